@@ -22,6 +22,10 @@ from ..operators.metrics import roc_auc
 from ..session import ensure_local_checkpoint_dir
 from ..sources import fixtures as fxt
 from .tournament import Tournament
+from . import jobs
+from .factors import FactorJob
+from ..operators import models
+from pyspark.ml.functions import vector_to_array
 
 SEASONS = list(fxt.TARGET_SEASONS)
 
@@ -206,6 +210,86 @@ def q_roc_auc(spark, sf):
     return r6(roc_auc(rows, "Result", "strength", by=["Season"]))
 
 
+# ---- models (rows-only checks: no SQL oracle) ---------------------------
+# Lighter search settings than the library defaults (which are the
+# original grids), so each check finishes in seconds; the data is whole.
+
+def q_feature_vector(spark, sf):
+    t = _t(spark, sf)
+    scaled, cols = t.scaled()
+    v = models.assemble_scaled(scaled, cols)
+    return v.select("Season", "TeamID1", "TeamID2", "is_train", "label",
+                    vector_to_array("features").alias("features"))
+
+
+def q_lr_predict(spark, sf):
+    return r6(jobs.tournament_predictions(_t(spark, sf), "lr")[0])
+
+
+def q_lr_cv_predict(spark, sf):
+    return r6(jobs.tournament_predictions(_t(spark, sf), "lr_cv", cs=(0.01, 1.0, 100.0), folds=3)[0])
+
+
+def q_gbt_predict(spark, sf):
+    return r6(jobs.tournament_predictions(_t(spark, sf), "gbt", max_iter=40, max_depth=3)[0])
+
+
+_LIGHT_GRID = {"maxIter": [5, 10], "featureSubsetStrategy": ["0.5"], "maxDepth": [2, 3]}
+
+
+def q_gbt_grid_predict(spark, sf):
+    return r6(jobs.tournament_predictions(_t(spark, sf), "gbt_grid", grid=_LIGHT_GRID, folds=2)[0])
+
+
+def q_gbt_subsample_predict(spark, sf):
+    return r6(jobs.tournament_predictions(_t(spark, sf), "gbt_subsample", grid={"maxDepth": [3], "minInstancesPerNode": [1, 3]},
+                                          folds=2, maxIter=10)[0])
+
+
+def q_svc_predict(spark, sf):
+    return r6(jobs.tournament_predictions(_t(spark, sf), "svc", folds=3)[0])
+
+
+def q_grid_report(spark, sf):
+    _, cv = jobs.tournament_predictions(_t(spark, sf), "gbt_grid", grid=_LIGHT_GRID, folds=2)
+    return r6(models.grid_report(cv))
+
+
+def q_gbt_leaf_encode(spark, sf):
+    t = _t(spark, sf)
+    scaled, cols = t.scaled()
+    data = models.assemble_scaled(scaled, cols)
+    g = models.fit_gbt(data.where("is_train"), max_iter=10, max_depth=3)
+    leaves, lcols = models.leaf_encoder(g, data)
+    enc = models.fit_leaf_one_hot(leaves.select(*lcols), lcols)
+    out = enc(leaves)
+    return out.select("Season", "TeamID1", "TeamID2", "is_train",
+                      vector_to_array("leaf").cast("array<int>").alias("leaf_ids"),
+                      F.size(vector_to_array("leaves")).alias("n_leaf_slots"))
+
+
+def q_gbt_leaf_lr(spark, sf):
+    return r6(jobs.leaf_stack_report(_t(spark, sf), gbt_kw={"max_iter": 10, "max_depth": 3}))
+
+
+def _factor_job(spark, sf):
+    ensure_local_checkpoint_dir(spark)
+    li = fxt.table(spark, sf, "lineitem")
+    o = fxt.table(spark, sf, "orders")
+    sc = fxt.contests_from(li, o).select("WTeamID", "LTeamID")
+    return FactorJob(sc, None, n_factors=50, max_iter=20, step=0.01), fxt.targets_from(li, o, SEASONS)
+
+
+def q_factor_predict(spark, sf):
+    job, targets = _factor_job(spark, sf)
+    return r6(job.predict(targets))
+
+
+def q_loss_history(spark, sf):
+    job, _ = _factor_job(spark, sf)
+    return r6(job.loss_history())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_contests": q_scan_contests,
     "scan_seeds": q_scan_seeds,
@@ -237,6 +321,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "minmax_scale": q_minmax_scale,
     "holdout_split": q_holdout_split,
     "roc_auc": q_roc_auc,
+    "feature_vector": q_feature_vector,
+    "lr_predict": q_lr_predict,
+    "lr_cv_predict": q_lr_cv_predict,
+    "gbt_predict": q_gbt_predict,
+    "gbt_grid_predict": q_gbt_grid_predict,
+    "gbt_subsample_predict": q_gbt_subsample_predict,
+    "svc_predict": q_svc_predict,
+    "grid_report": q_grid_report,
+    "gbt_leaf_encode": q_gbt_leaf_encode,
+    "gbt_leaf_lr": q_gbt_leaf_lr,
+    "factor_predict": q_factor_predict,
+    "loss_history": q_loss_history,
 }
 
 

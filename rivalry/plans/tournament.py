@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import complete, contests as ct, pairs, prepare
+from ..session import materialize
 from ..sources.fixtures import TARGET_SEASONS
 
 
@@ -81,7 +82,11 @@ class Tournament:
 
     @cached_property
     def union(self) -> DataFrame:
-        return prepare.feature_union(self.observed, self.test)
+        """Training and test rows together, written once to the checkpoint
+        folder: the boundary between the relational part and the model part,
+        read by the category scan, the scaler fit, the model fit and the
+        scoring pass without recomputing the joins above it."""
+        return materialize(prepare.feature_union(self.observed, self.test))
 
     def encoded(self, season_cats=None, numot_cats=None) -> tuple[DataFrame, list[str]]:
         return prepare.encode_features(self.union, season_cats, numot_cats)

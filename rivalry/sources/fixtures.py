@@ -75,8 +75,17 @@ def _places(podium: DataFrame, k: int) -> DataFrame:
     return podium.groupBy("l_orderkey").agg(*aggs)
 
 
+PODIUM_PLACES = 3
+
+
+def podium_places(lineitem: DataFrame) -> DataFrame:
+    """Places 1-3 of every order as one row.  Contests and requests both
+    start here, so a plan that needs both reuses one aggregation of lineitem."""
+    return _places(order_podium(lineitem, PODIUM_PLACES), PODIUM_PLACES)
+
+
 def contests_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    top = _places(order_podium(lineitem, 2), 2).where(F.col("s1") > F.col("s2"))
+    top = podium_places(lineitem).where(F.col("s1") > F.col("s2"))
     o = orders.select("o_orderkey", "o_orderdate")
     c = top.join(o, top.l_orderkey == o.o_orderkey, "inner").select(
         season_of("o_orderdate").alias("Season"),
@@ -114,7 +123,7 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def targets_from(lineitem: DataFrame, orders: DataFrame,
                  seasons: Sequence[int] = TARGET_SEASONS) -> DataFrame:
-    top = _places(order_podium(lineitem, 3), 3)
+    top = podium_places(lineitem)
     pairs = top.select("l_orderkey", F.inline(F.array(
         F.struct(F.col("t1").alias("a"), F.col("t2").alias("b")),
         F.struct(F.col("t1").alias("a"), F.col("t3").alias("b")),
