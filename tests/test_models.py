@@ -1,0 +1,39 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from rivalry.plans import catalog, jobs
+from tests.conftest import SF_SMALL
+
+
+def test_lr_job_completes_every_target(spark):
+    t = catalog._t(spark, SF_SMALL)
+    sub, model = jobs.tournament_predictions(t, "lr")
+    n_expected = catalog._stand_in_sub(catalog._t(spark, SF_SMALL)).count()
+    rows = sub.collect()
+    assert len(rows) == n_expected
+    assert all(r.Pred is not None and 0.0 <= r.Pred <= 1.0 for r in rows)
+    # a refit on the same data gives the same coefficients
+    _, again = jobs.tournament_predictions(catalog._t(spark, SF_SMALL), "lr")
+    # (distributed sums may add in another order: compare to a tolerance)
+    assert np.allclose(model.coefficients.toArray(), again.coefficients.toArray(), rtol=1e-6, atol=1e-9)
+
+
+def test_gbt_grid_report_marks_one_best(spark):
+    df = catalog.q_grid_report(spark, SF_SMALL)
+    rows = df.collect()
+    assert len(rows) == 4 and sum(r.is_best for r in rows) == 1
+
+
+def test_factor_job_scores_all_requests(spark):
+    job, targets = catalog._factor_job(spark, SF_SMALL)
+    out = job.predict(targets)
+    assert out.count() == targets.count()
+    assert out.where(F.col("pred").isNull() | (F.col("pred") < 0) | (F.col("pred") > 1)).count() == 0
+    hist = job.loss_history().orderBy("iteration").collect()
+    assert len(hist) > 1
+
+
+def test_leaf_stack_report(spark):
+    rows = {r.model: r.auc for r in catalog.q_gbt_leaf_lr(spark, SF_SMALL).collect()}
+    assert set(rows) == {"gbt", "lr", "leaves_lr", "combined_lr"}
+    assert all(0.0 <= v <= 1.0 for v in rows.values())

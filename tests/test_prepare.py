@@ -1,0 +1,41 @@
+from pyspark.sql import functions as F
+
+from rivalry.operators.prepare import fit_min_max, holdout_split, one_hot, team_index
+from rivalry.operators.contests import mirror_pairs
+
+
+def test_one_hot_golden(spark):
+    df = spark.createDataFrame([(0, 3), (1, 1), (2, None), (3, 3)], "id int, v int")
+    out, names = one_hot(df, "v")
+    assert names == ["v_1", "v_3"]
+    rows = {r.id: (r.v_1, r.v_3) for r in out.collect()}
+    assert rows == {0: (0.0, 1.0), 1: (1.0, 0.0), 2: (0.0, 0.0), 3: (0.0, 1.0)}
+
+
+def test_min_max_train_stats_and_two_eps(spark):
+    df = spark.createDataFrame([(True, 5.0), (True, 5.0), (False, 6.0)], "is_train boolean, x double")
+    mm = fit_min_max(df, ["x"])
+    out = sorted((r.is_train, r.x) for r in mm.transform(df).collect())
+    assert out == [(False, 1.0), (True, 0.0), (True, 0.0)]
+
+
+def test_holdout_split_is_deterministic_and_keeps_mirrors_together(spark):
+    rows = [(2000 + i % 4, i, i + 1000) for i in range(300)]
+    df = spark.createDataFrame(rows + [(s, b, a) for s, a, b in rows], "Season int, TeamID1 bigint, TeamID2 bigint")
+    a = holdout_split(df).collect()
+    b = holdout_split(df.repartition(7)).collect()
+    key = lambda r: (r.Season, min(r.TeamID1, r.TeamID2), max(r.TeamID1, r.TeamID2))
+    sides = {}
+    for r in a:
+        sides.setdefault(key(r), set()).add(r.is_holdout)
+    assert all(len(v) == 1 for v in sides.values())
+    assert {(r.Season, r.TeamID1, r.TeamID2, r.is_holdout) for r in a} == \
+        {(r.Season, r.TeamID1, r.TeamID2, r.is_holdout) for r in b}
+    share = sum(r.is_holdout for r in a) / len(a)
+    assert 0.15 < share < 0.45
+
+
+def test_team_index(spark):
+    sc = spark.createDataFrame([(10, 20), (30, 10)], "WTeamID bigint, LTeamID bigint")
+    idx = {r.TeamID: r.team_idx for r in team_index(mirror_pairs(sc)).collect()}
+    assert idx == {10: 0, 20: 1, 30: 2}

@@ -1,0 +1,47 @@
+import random
+
+import pandas as pd
+import pytest
+
+from rivalry.operators.stats import column_min_max, group_medians, harmonic_mean_by, null_profile
+
+
+def test_group_medians_match_pandas(spark):
+    rnd = random.Random(7)
+    rows = []
+    for i in range(600):
+        g = 0 if rnd.random() < 0.4 else rnd.randint(1, 12)      # group 0 is hot
+        a = rnd.choice([None, rnd.randint(0, 2)])
+        b = rnd.random() if rnd.random() > 0.1 else None
+        rows.append((g, a, b))
+    rows.append((99, None, None))                                 # all-NULL group
+    df = spark.createDataFrame(rows, "g int, a int, b double")
+    got = group_medians(df, ["g"], ["a", "b"], chunks=6).toPandas().set_index("g").sort_index()
+    exp = pd.DataFrame(rows, columns=["g", "a", "b"]).groupby("g")[["a", "b"]].median().sort_index()
+    assert list(got.index) == list(exp.index)
+    for c in ["a", "b"]:
+        for g in exp.index:
+            e, v = exp.loc[g, c], got.loc[g, c]
+            if pd.isna(e):
+                assert pd.isna(v)
+            else:
+                assert v == pytest.approx(e, abs=1e-12)
+
+
+def test_median_even_count_averages(spark):
+    df = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 10.0), (1, 20.0)], "g int, x double")
+    assert group_medians(df, ["g"], ["x"]).collect()[0].x == 6.0
+
+
+def test_harmonic_mean_goldens(spark):
+    df = spark.createDataFrame([(1, 0.0), (1, 0.5), (2, None), (2, 0.5), (3, None)], "t int, p double")
+    got = {r.t: r.h for r in harmonic_mean_by(df, "t", "p", "h").collect()}
+    assert got == {1: 0.0, 2: 0.5, 3: 0.5}
+
+
+def test_min_max_and_profile(spark):
+    df = spark.createDataFrame([(1, 2.0, "a"), (3, None, None)], "x int, y double, z string")
+    mm = {r.feature: (r.x_min, r.x_max) for r in column_min_max(df, ["x", "y"]).collect()}
+    assert mm == {"x": (1.0, 3.0), "y": (2.0, 2.0)}
+    prof = {r.column: (r.rows, r.non_null, r.dtype) for r in null_profile(df).collect()}
+    assert prof == {"x": (2, 2, "int"), "y": (2, 1, "double"), "z": (2, 1, "string")}
