@@ -27,12 +27,19 @@ class Tournament:
                  seeds: DataFrame | Callable[[], DataFrame],
                  targets: DataFrame | Callable[[], DataFrame],
                  seasons: Sequence[int] = TARGET_SEASONS, eps_train: float = 1e-14,
-                 eps_test: float = 1.0, chunks: int | None = None):
+                 eps_test: float = 1.0, chunks: int | None = None, checkpoint_stages: bool = True):
         self._inputs = {"contests": contests, "seeds": seeds, "targets": targets}
         self.seasons = list(seasons)
         self.eps_train = eps_train
         self.eps_test = eps_test
         self.chunks = chunks
+        self.checkpoint_stages = checkpoint_stages
+
+    def _stage(self, df: DataFrame) -> DataFrame:
+        """Write a stage read by several later steps once to the checkpoint
+        folder, so the fan-out re-reads it instead of recomputing its joins
+        (and a lost executor does not send the job back to the raw tables)."""
+        return materialize(df) if self.checkpoint_stages else df
 
     def _input(self, name: str) -> DataFrame:
         v = self._inputs[name]
@@ -58,11 +65,13 @@ class Tournament:
 
     @cached_property
     def train(self) -> DataFrame:
-        return ct.mirror_contests(self.enriched)
+        """Mirrored contests; read by the observed and the missing split."""
+        return self._stage(ct.mirror_contests(self.enriched))
 
     @cached_property
     def parsed_targets(self) -> DataFrame:
-        return pairs.parse_targets(self.targets)
+        """Requests split into keys; read by both splits and the completion."""
+        return self._stage(pairs.parse_targets(self.targets))
 
     @cached_property
     def observed(self) -> DataFrame:
@@ -101,7 +110,7 @@ class Tournament:
         returns targets with the model value or the harmonic fallback."""
         test_pred = scored.where(~F.col("is_train"))
         train_pred = scored.where(F.col("is_train"))
-        sub = complete.attach_predictions(self.parsed_targets, test_pred, train_pred, pred_col)
+        sub = self._stage(complete.attach_predictions(self.parsed_targets, test_pred, train_pred, pred_col))
         return complete.fallback_prediction(sub, pred_col, out="Pred")
 
     def run(self, score: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
