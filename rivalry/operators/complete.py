@@ -16,10 +16,17 @@ def attach_predictions(parsed_targets: DataFrame, test_pred: DataFrame, train_pr
 
     Scored rows come from the requested pairs (observed or missing), so the
     original outer join is a left join; a pair scored twice (two meetings)
-    keeps both rows.
+    keeps both rows.  It is written as an inner join (AQE can split a hot
+    pair on either side of an inner join, but only the left side of a left
+    join, and here the scored side is the one that can be hot) plus the
+    requests without any scored row (anti join against the distinct scored
+    keys).  Same rows as the left join.
     """
     preds = test_pred.select(*KEYS, pred_col).unionByName(train_pred.select(*KEYS, pred_col))
-    return parsed_targets.join(preds, KEYS, "left")
+    matched = parsed_targets.join(preds, KEYS, "inner")
+    unmatched = (parsed_targets.join(preds.select(*KEYS).distinct(), KEYS, "left_anti")
+                 .withColumn(pred_col, F.lit(None).cast("double")))
+    return matched.unionByName(unmatched)
 
 
 def team_probabilities(sub: DataFrame, pred_col: str = "Pred1") -> tuple[DataFrame, DataFrame]:

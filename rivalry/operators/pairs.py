@@ -32,8 +32,11 @@ def observed_pairs(train: DataFrame, parsed_targets: DataFrame, seasons: Sequenc
 
 def missing_pairs(train: DataFrame, parsed_targets: DataFrame, seasons: Sequence[int]) -> DataFrame:
     """Requested pairs with no training row: an anti join (the original full
-    outer join followed by ``Result IS NULL`` keeps exactly these rows)."""
-    seen = train.where(F.col("Season").isin(list(seasons))).select(*KEYS)
+    outer join followed by ``Result IS NULL`` keeps exactly these rows).
+
+    The seen keys are made distinct first (partial aggregation), so a pair
+    that met in a third of all contests is one row on the anti-join side."""
+    seen = train.where(F.col("Season").isin(list(seasons))).select(*KEYS).distinct()
     return parsed_targets.select("TeamID1", "TeamID2", "Season").join(seen, KEYS, "left_anti")
 
 

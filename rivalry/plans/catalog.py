@@ -337,5 +337,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    """The complete prediction table (ID, Pred)."""
-    return q_submission(spark, sf)
+    """The complete prediction table (ID, Pred) of the logistic-regression
+    job: fixtures -> features -> fit -> scores -> harmonic fallback."""
+    return q_lr_predict(spark, sf)
