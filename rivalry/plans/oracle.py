@@ -123,8 +123,8 @@ def _r(c: str, alias: str | None = None) -> str:
 
 
 def _onehot_cols(numot_cats, season_cats) -> list[str]:
-    cols = [f"CASE WHEN NumOT = {v} THEN 1.0 ELSE 0.0 END AS NumOT_{v}" for v in numot_cats]
-    cols += [f"CASE WHEN Season = {v} THEN 1.0 ELSE 0.0 END AS Season_{v}" for v in season_cats]
+    cols = [f"CAST(CASE WHEN NumOT = {v} THEN 1 ELSE 0 END AS DOUBLE) AS NumOT_{v}" for v in numot_cats]
+    cols += [f"CAST(CASE WHEN Season = {v} THEN 1 ELSE 0 END AS DOUBLE) AS Season_{v}" for v in season_cats]
     return cols
 
 
