@@ -10,17 +10,20 @@ from . import schemas
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "csv") -> DataFrame:
-    """Scan ``path`` with ``schema``; CSV files carry a header row.
-
-    Only the declared columns are read: parquet prunes columns and pushes
-    filters into the scan; CSV is parsed with the schema, never inferred.
+    """Scan ``path`` and return exactly the columns of ``schema``, found by
+    name and cast to the declared types; CSV files carry a header row.
+
+    Files may hold more columns than the job reads (a full results file):
+    columns are matched by header name, never by position, and types are
+    never inferred - CSV fields are read as text and cast (ANSI casts fail
+    on a malformed value instead of producing NULL).  Only the selected
+    columns are parsed (CSV column pruning) or read (parquet).
     """
     if fmt == "csv":
-        df = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+        df = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
     else:
         df = spark.read.format(fmt).load(path)
-        df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-    return df
+    return conform(df, schema)
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:

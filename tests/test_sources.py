@@ -11,3 +11,12 @@ def test_submission_csv_round_trip(spark):
     back = read_targets(spark, path)
     assert [(f.name, f.dataType) for f in back.schema] == [(f.name, f.dataType) for f in schemas.TARGETS]
     assert sorted(tuple(r) for r in back.collect()) == [("2000_1_2", 0.25), ("2000_1_3", 0.75)]
+
+
+def test_csv_columns_matched_by_name_not_position(spark):
+    from rivalry.sources.files import read_season_contests
+    path = tempfile.mkdtemp(prefix="rivalry-csv-", dir="/tmp") + "/full.csv"
+    with open(path, "w") as f:
+        f.write("Season,DayNum,LTeamID,WScore,WTeamID,LScore\n2003,10,1104,68,1328,62\n")
+    r = read_season_contests(spark, path).collect()
+    assert [tuple(x) for x in r] == [(1328, 1104)]
