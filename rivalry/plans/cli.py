@@ -1,12 +1,13 @@
 """Command line: run a job on CSV (or parquet) inputs and write the table.
 
     python -m rivalry.plans.cli tournament --seeds S --contests C --targets T \
-        --out OUT [--model lr|lr_cv|gbt|gbt_grid|gbt_grid2|gbt_subsample|svc] [--seasons 2014,2015,2016,2017]
+        --out OUT [--model lr|lr_cv|gbt|gbt_grid|gbt_grid2|gbt_subsample|svc] [--seasons 2014,2015,2016,2017] \
+        [--conf spark.checkpoint.dir=DIR ...]
     python -m rivalry.plans.cli factors --contests C --targets T --out OUT
 
 Inputs carry a header and are read with the declared schemas; the output is
 a CSV directory with ``ID`` and ``Pred`` (``pred`` for the factor job).
-``spark.checkpoint.dir`` must name a shared folder (``--conf`` at submit).
+``spark.checkpoint.dir`` must name a shared folder (``--conf KEY=VALUE``).
 """
 
 from __future__ import annotations
@@ -63,9 +64,13 @@ def main(argv=None) -> None:
     f.add_argument("--targets", required=True)
     f.add_argument("--out", required=True)
     f.add_argument("--format", default="csv")
+    for p in (t, f):
+        p.add_argument("--conf", action="append", default=[], metavar="KEY=VALUE",
+                       help="Spark setting, e.g. spark.checkpoint.dir=<shared folder>")
     a = ap.parse_args(argv)
     from ..session import build_session
-    spark = build_session(app=f"rivalry-{a.job}")
+    conf = dict(kv.split("=", 1) for kv in a.conf)
+    spark = build_session(app=f"rivalry-{a.job}", conf=conf)
     if a.job == "tournament":
         run_tournament(spark, a.seeds, a.contests, a.targets, a.out, a.model,
                        [int(s) for s in a.seasons.split(",")], a.format)
