@@ -10,7 +10,10 @@ approximations:
 * ``max_features`` (a fraction) <-> ``featureSubsetStrategy`` as a fraction
   string; ``min_samples_split=2`` is Spark's default of one row per child;
 * folds are a deterministic md5 bucket of the contest key (``foldCol``), so
-  a refit sees the same folds and mirrored rows never straddle folds.
+  a refit sees the same folds and mirrored rows never straddle folds (the
+  original uses stratified random folds); folds are scored by accuracy;
+* Spark's trees split on binned features (``maxBins``), sklearn's on exact
+  thresholds.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (FMClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -66,8 +69,10 @@ def _grid(est: Estimator, grid: dict[str, Sequence]) -> list:
 
 def _cv(est: Estimator, grid: dict[str, Sequence], folds: int, parallelism: int,
         label: str = "label") -> CrossValidator:
+    """k-fold search; folds are scored by accuracy (the default score of the
+    original searches), the best point is refit on all rows."""
     return CrossValidator(estimator=est, estimatorParamMaps=_grid(est, grid),
-                          evaluator=BinaryClassificationEvaluator(labelCol=label),
+                          evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"),
                           numFolds=folds, foldCol="fold", parallelism=parallelism, seed=42)
 
 
@@ -83,7 +88,7 @@ def fit_logistic(train: DataFrame, c: float = 1.0, features: str = "features", l
 
 def fit_logistic_cv(train: DataFrame, cs: Sequence[float] = LR_CS, folds: int = LR_CV_FOLDS,
                     parallelism: int = 4):
-    """Cross-validated logistic regression over ``C`` values (AUC picks)."""
+    """Cross-validated logistic regression over ``C`` values."""
     data = _fit_input(fold_column(train, folds))
     n = data.count()
     est = LogisticRegression(standardization=False, elasticNetParam=0.0, maxIter=100)
