@@ -43,13 +43,15 @@ def _order_cols(order: Sequence[str | Column]) -> list[Column]:
 
 def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
                 weight: str | Column | None = None, out: str = "cum",
-                total: str | None = None, chunks: int | None = None) -> DataFrame:
+                total: str | None = None, chunks: int | None = None,
+                slice_col: str | None = None) -> DataFrame:
     """Add ``out`` = inclusive running sum of ``weight`` within ``by`` in
     ``order`` (``weight=None`` counts rows, i.e. a row number), and
     optionally ``total`` = the group's grand sum.
 
     ``chunks`` defaults to ``spark.sql.shuffle.partitions``; each slice should
-    fit one task comfortably.
+    fit one task comfortably.  ``slice_col`` keeps the slice id under that
+    name (for inspection).
     """
     spark = df.sparkSession
     by = list(by)
@@ -77,7 +79,10 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
 
     joined = local.join(offs, on=[*by, _CHUNK], how="inner") if by else \
         local.join(offs, on=[_CHUNK], how="inner")
-    return joined.withColumn(out, F.col(_OFF) + F.col(_LOCAL)).drop(_CHUNK, _LOCAL, _OFF, _W)
+    res = joined.withColumn(out, F.col(_OFF) + F.col(_LOCAL))
+    if slice_col:
+        res = res.withColumnRenamed(_CHUNK, slice_col)
+    return res.drop(_CHUNK, _LOCAL, _OFF, _W)
 
 
 def row_number(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],

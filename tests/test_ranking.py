@@ -41,3 +41,17 @@ def test_dense_index_is_bijection(spark):
     df = spark.createDataFrame([(k,) for k in [5, 3, 3, 9, 5, 1, None]], "team bigint")
     out = {r.team: r.idx for r in dense_index(df, "team", chunks=3).collect()}
     assert out == {1: 0, 3: 1, 5: 2, 9: 3}
+
+
+def test_hot_group_is_spread_over_slices(spark):
+    # one group holds 75 % of all rows: it must not land in one slice / task
+    rows = [("hot" if i % 4 else f"g{i % 13}", i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    out = running_sum(df, ["g"], ["v"], None, out="rn", chunks=8, slice_col="slice")
+    hot = out.where("g = 'hot'")
+    per_slice = {r.slice: r.n for r in hot.groupBy("slice").agg(F.count("*").alias("n")).collect()}
+    assert len(per_slice) >= 5
+    assert max(per_slice.values()) < 0.4 * hot.count()
+    # and the numbering is still one contiguous 1..n over the whole group
+    rn = sorted(r.rn for r in hot.select("rn").collect())
+    assert rn == list(range(1, 3001))
