@@ -39,10 +39,8 @@ def r6(df: DataFrame) -> DataFrame:
 
 def _t(spark: SparkSession, sf: str) -> Tournament:
     ensure_local_checkpoint_dir(spark)
-    li = fxt.table(spark, sf, "lineitem")
-    o = fxt.table(spark, sf, "orders")
-    return Tournament(lambda: fxt.contests_from(li, o), lambda: fxt.seeds_from(li, o),
-                      lambda: fxt.targets_from(li, o, SEASONS), SEASONS)
+    fx = fxt.Fixtures(fxt.table(spark, sf, "lineitem"), fxt.table(spark, sf, "orders"), SEASONS)
+    return Tournament(lambda: fx.contests, lambda: fx.seeds, lambda: fx.targets, SEASONS)
 
 
 def _stand_in_sub(t: Tournament) -> DataFrame:
@@ -274,10 +272,9 @@ def q_gbt_leaf_lr(spark, sf):
 
 def _factor_job(spark, sf):
     ensure_local_checkpoint_dir(spark)
-    li = fxt.table(spark, sf, "lineitem")
-    o = fxt.table(spark, sf, "orders")
-    sc = fxt.contests_from(li, o).select("WTeamID", "LTeamID")
-    return FactorJob(sc, None, n_factors=50, max_iter=20, step=0.01), fxt.targets_from(li, o, SEASONS)
+    fx = fxt.Fixtures(fxt.table(spark, sf, "lineitem"), fxt.table(spark, sf, "orders"), SEASONS)
+    sc = fx.contests.select("WTeamID", "LTeamID")
+    return FactorJob(sc, None, n_factors=50, max_iter=20, step=0.01), fx.targets
 
 
 def q_factor_predict(spark, sf):

@@ -58,8 +58,13 @@ def order_podium(lineitem: DataFrame, k: int) -> DataFrame:
     """
     s = (lineitem.groupBy("l_orderkey", "l_suppkey")
          .agg(F.max("l_extendedprice").alias("score"), F.max("l_quantity").alias("qty")))
+    return _top_k(s, k)
+
+
+def _top_k(order_team: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy(F.desc("score"), F.asc("l_suppkey"))
-    return (s.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return (order_team.select("l_orderkey", "l_suppkey", "score", "qty")
+            .withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
             .withColumnRenamed("l_suppkey", "team"))
 
 
@@ -85,7 +90,11 @@ def podium_places(lineitem: DataFrame) -> DataFrame:
 
 
 def contests_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    top = podium_places(lineitem).where(F.col("s1") > F.col("s2"))
+    return _contests_of(podium_places(lineitem), orders)
+
+
+def _contests_of(places: DataFrame, orders: DataFrame) -> DataFrame:
+    top = places.where(F.col("s1") > F.col("s2"))
     o = orders.select("o_orderkey", "o_orderdate")
     c = top.join(o, top.l_orderkey == o.o_orderkey, "inner").select(
         season_of("o_orderdate").alias("Season"),
@@ -101,11 +110,19 @@ def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeds_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    li = lineitem.select("l_orderkey", "l_suppkey", "l_extendedprice")
+    li = lineitem.select("l_orderkey", "l_suppkey",
+                         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))
+    return _seeds_of(li, orders)
+
+
+def _seeds_of(order_cents: DataFrame, orders: DataFrame) -> DataFrame:
+    """``order_cents`` holds (l_orderkey, l_suppkey, cents): revenue in cents
+    per line or already summed per (order, supplier)."""
+    li = order_cents.select("l_orderkey", "l_suppkey", "cents")
     o = orders.select("o_orderkey", season_of("o_orderdate").alias("Season"))
     rev = (li.join(o, li.l_orderkey == o.o_orderkey, "inner")
            .groupBy("Season", F.col("l_suppkey").alias("TeamID"))
-           .agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("r")))
+           .agg(F.sum("cents").alias("r")))
     # rank inside a season without sending the season to one task
     ranked = row_number(rev, ["Season"], [F.desc("r"), F.asc("TeamID")], out="rk", total="n")
     rk, n = F.col("rk"), F.col("n")
@@ -123,7 +140,10 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def targets_from(lineitem: DataFrame, orders: DataFrame,
                  seasons: Sequence[int] = TARGET_SEASONS) -> DataFrame:
-    top = podium_places(lineitem)
+    return _targets_of(podium_places(lineitem), orders, seasons)
+
+
+def _targets_of(top: DataFrame, orders: DataFrame, seasons: Sequence[int]) -> DataFrame:
     pairs = top.select("l_orderkey", F.inline(F.array(
         F.struct(F.col("t1").alias("a"), F.col("t2").alias("b")),
         F.struct(F.col("t1").alias("a"), F.col("t3").alias("b")),
@@ -145,3 +165,55 @@ def targets(spark: SparkSession, sf_dir: str, seasons: Sequence[int] = TARGET_SE
 
 def season_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(contests(spark, sf_dir).select("WTeamID", "LTeamID"), schemas.SEASON_CONTESTS)
+
+
+class Fixtures:
+    """All relations from one pass over ``lineitem``.
+
+    ``contests``, ``targets`` and ``seeds`` all start from lineitem grouped by
+    (order, supplier).  That aggregate (best line price, best quantity,
+    revenue in cents) is written once to the checkpoint folder, and so is the
+    per-order podium built from it; the three relations then read those
+    instead of scanning and shuffling the largest table three times.
+    """
+
+    def __init__(self, lineitem: DataFrame, orders: DataFrame,
+                 seasons: Sequence[int] = TARGET_SEASONS, stage=None):
+        self.lineitem = lineitem
+        self.orders = orders
+        self.seasons = list(seasons)
+        if stage is None:
+            from ..session import materialize as stage
+        self._stage = stage
+        self._cache: dict[str, DataFrame] = {}
+
+    def _get(self, name, build):
+        if name not in self._cache:
+            self._cache[name] = build()
+        return self._cache[name]
+
+    @property
+    def order_team(self) -> DataFrame:
+        """(l_orderkey, l_suppkey, score, qty, cents): partial-aggregated
+        shuffle on (order, supplier)."""
+        return self._get("order_team", lambda: self._stage(
+            self.lineitem.groupBy("l_orderkey", "l_suppkey").agg(
+                F.max("l_extendedprice").alias("score"), F.max("l_quantity").alias("qty"),
+                F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"))))
+
+    @property
+    def places(self) -> DataFrame:
+        return self._get("places", lambda: self._stage(_places(_top_k(self.order_team, PODIUM_PLACES),
+                                                               PODIUM_PLACES)))
+
+    @property
+    def contests(self) -> DataFrame:
+        return self._get("contests", lambda: _contests_of(self.places, self.orders))
+
+    @property
+    def targets(self) -> DataFrame:
+        return self._get("targets", lambda: _targets_of(self.places, self.orders, self.seasons))
+
+    @property
+    def seeds(self) -> DataFrame:
+        return self._get("seeds", lambda: _seeds_of(self.order_team, self.orders))
