@@ -143,9 +143,10 @@ def grid_report(cv_model) -> DataFrame:
     return spark.createDataFrame(rows, "params string, metric double, is_best boolean")
 
 
-def leaf_encoder(model, df: DataFrame, leaf_col: str = "leaf", out: str = "leaves"):
-    """One-hot of the leaf reached in each tree (``dropLast=False``); returns
-    the transformed frame and the fitted encoder pipeline pieces."""
+def leaf_encoder(model, df: DataFrame, leaf_col: str = "leaf"):
+    """The leaf reached in each tree: adds ``leaf_col`` (vector of leaf ids)
+    and one numeric column per tree; returns the frame and those column
+    names (input of :func:`fit_leaf_one_hot`)."""
     n_trees = model.getNumTrees
     with_leaf = model.setLeafCol(leaf_col).transform(df).drop("prediction", "rawPrediction", "probability")
     arr = vector_to_array(leaf_col)

@@ -274,7 +274,7 @@ def _factor_job(spark, sf):
     ensure_local_checkpoint_dir(spark)
     fx = fxt.Fixtures(fxt.table(spark, sf, "lineitem"), fxt.table(spark, sf, "orders"), SEASONS)
     sc = fx.contests.select("WTeamID", "LTeamID")
-    return FactorJob(sc, None, n_factors=50, max_iter=20, step=0.01), fx.targets
+    return FactorJob(sc, n_factors=50, max_iter=20, step=0.01), fx.targets
 
 
 def q_factor_predict(spark, sf):

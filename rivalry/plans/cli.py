@@ -44,7 +44,7 @@ def run_tournament(spark: SparkSession, seeds: str, contests: str, targets: str,
 
 def run_factors(spark: SparkSession, contests: str, targets: str, out: str, fmt: str = "csv", **kw) -> None:
     req = files.read_targets(spark, targets, fmt)
-    job = FactorJob(files.read_season_contests(spark, contests, fmt), req, **kw)
+    job = FactorJob(files.read_season_contests(spark, contests, fmt), **kw)
     files.write_submission(job.predict(req), out, pred_col="pred")
 
 

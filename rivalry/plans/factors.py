@@ -19,7 +19,7 @@ class FactorJob:
     A team of the requests that never played gets a NULL prediction (the
     original stops with a lookup error)."""
 
-    def __init__(self, season_contests: DataFrame, targets: DataFrame, **model_kw):
+    def __init__(self, season_contests: DataFrame, **model_kw):
         self.pairs = mirror_pairs(season_contests)
         self.index = team_index(self.pairs)
         self.model_kw = model_kw

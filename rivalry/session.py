@@ -37,13 +37,27 @@ def build_session(master: str | None = None, app: str = "rivalry",
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None for a Spark Connect session (the server then
+    takes the folder from ``spark.checkpoint.dir``)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect has no driver-side context
+        return None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     The library never invents a folder: on a cluster the checkpoint folder
     must be shared storage every executor can reach.
     """
-    sc = spark.sparkContext
+    sc = _context(spark)
+    if sc is None:
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
+        return d
     cur = sc.getCheckpointDir()
     if cur:
         return cur
@@ -56,7 +70,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def ensure_local_checkpoint_dir(spark: SparkSession) -> str:
     """Tests and local runs only: set a scratch checkpoint folder when unset."""
-    sc = spark.sparkContext
+    sc = _context(spark)
+    if sc is None:
+        return checkpoint_dir(spark)
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
