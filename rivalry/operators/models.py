@@ -19,6 +19,7 @@ approximations:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator
@@ -55,9 +56,15 @@ def margin_probability(pred: DataFrame, out: str = "Pred1") -> DataFrame:
     return pred.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-vector_to_array("rawPrediction").getItem(1))))
 
 
-def _fit_input(df: DataFrame) -> DataFrame:
-    # Iterative solvers pass over the data many times: keep one copy.
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+@contextmanager
+def held(df: DataFrame):
+    """Iterative solvers pass over the data many times: keep one copy for
+    the duration of the fit, release it afterwards."""
+    d = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield d
+    finally:
+        d.unpersist(blocking=False)
 
 
 def _grid(est: Estimator, grid: dict[str, Sequence]) -> list:
@@ -82,18 +89,18 @@ def logistic(n_rows: int, c: float = 1.0, features: str = "features", label: str
 
 
 def fit_logistic(train: DataFrame, c: float = 1.0, features: str = "features", label: str = "label"):
-    data = _fit_input(train)
-    return logistic(data.count(), c, features, label).fit(data)
+    with held(train) as data:
+        return logistic(data.count(), c, features, label).fit(data)
 
 
 def fit_logistic_cv(train: DataFrame, cs: Sequence[float] = LR_CS, folds: int = LR_CV_FOLDS,
                     parallelism: int = 4):
     """Cross-validated logistic regression over ``C`` values."""
-    data = _fit_input(fold_column(train, folds))
-    n = data.count()
-    est = LogisticRegression(standardization=False, elasticNetParam=0.0, maxIter=100)
-    grid = {"regParam": [1.0 / (c * n) for c in cs]}
-    return _cv(est, grid, folds, parallelism).fit(data)
+    with held(fold_column(train, folds)) as data:
+        n = data.count()
+        est = LogisticRegression(standardization=False, elasticNetParam=0.0, maxIter=100)
+        grid = {"regParam": [1.0 / (c * n) for c in cs]}
+        return _cv(est, grid, folds, parallelism).fit(data)
 
 
 def gbt(max_iter: int = 40, max_depth: int = 3, feature_fraction: str = "0.5", seed: int = 42,
@@ -103,16 +110,17 @@ def gbt(max_iter: int = 40, max_depth: int = 3, feature_fraction: str = "0.5", s
 
 
 def fit_gbt(train: DataFrame, **kw):
-    return gbt(**kw).fit(_fit_input(train))
+    with held(train) as data:
+        return gbt(**kw).fit(data)
 
 
 def fit_gbt_grid(train: DataFrame, grid: dict[str, Sequence] = GBT_GRID_1, folds: int = GBT_GRID_FOLDS,
                  parallelism: int = 4, **fixed):
     """Grid search over boosted trees with k-fold CV; the best point is refit
     on all rows by ``CrossValidator`` (once)."""
-    data = _fit_input(fold_column(train, folds))
-    est = GBTClassifier(seed=3, cacheNodeIds=True, checkpointInterval=10, **fixed)
-    return _cv(est, grid, folds, parallelism).fit(data)
+    with held(fold_column(train, folds)) as data:
+        est = GBTClassifier(seed=3, cacheNodeIds=True, checkpointInterval=10, **fixed)
+        return _cv(est, grid, folds, parallelism).fit(data)
 
 
 def fit_boost_subsample(train: DataFrame, grid: dict[str, Sequence] = BOOST_SUBSAMPLE_GRID,
@@ -124,10 +132,10 @@ def fit_boost_subsample(train: DataFrame, grid: dict[str, Sequence] = BOOST_SUBS
 
 
 def fit_linear_svc(train: DataFrame, cs: Sequence[float] = SVC_CS, folds: int = SVC_FOLDS, parallelism: int = 4):
-    data = _fit_input(fold_column(train, folds))
-    n = data.count()
-    est = LinearSVC(standardization=False, maxIter=100)
-    return _cv(est, {"regParam": [1.0 / (c * n) for c in cs]}, folds, parallelism).fit(data)
+    with held(fold_column(train, folds)) as data:
+        n = data.count()
+        est = LinearSVC(standardization=False, maxIter=100)
+        return _cv(est, {"regParam": [1.0 / (c * n) for c in cs]}, folds, parallelism).fit(data)
 
 
 def grid_report(cv_model) -> DataFrame:

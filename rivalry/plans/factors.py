@@ -35,8 +35,8 @@ class FactorJob:
             data = self._indexed(self.pairs, "team1", "team2").withColumn("label", F.col("pred").cast("double"))
             enc = OneHotEncoder(inputCols=["i1", "i2"], outputCols=["v1", "v2"], dropLast=False).fit(data)
             asm = VectorAssembler(inputCols=["v1", "v2"], outputCol="features")
-            train = models._fit_input(asm.transform(enc.transform(data)))
-            self._fitted = (enc, asm, models.factor_model(**self.model_kw).fit(train))
+            with models.held(asm.transform(enc.transform(data))) as train:
+                self._fitted = (enc, asm, models.factor_model(**self.model_kw).fit(train))
         return self._fitted
 
     def predict(self, targets: DataFrame) -> DataFrame:
