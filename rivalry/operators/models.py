@@ -74,13 +74,20 @@ def _grid(est: Estimator, grid: dict[str, Sequence]) -> list:
     return b.build()
 
 
-def _cv(est: Estimator, grid: dict[str, Sequence], folds: int, parallelism: int,
+MAX_PARALLEL_FITS = 8
+
+
+def _cv(est: Estimator, grid: dict[str, Sequence], folds: int, parallelism: int | None,
         label: str = "label") -> CrossValidator:
     """k-fold search; folds are scored by accuracy (the default score of the
-    original searches), the best point is refit on all rows."""
-    return CrossValidator(estimator=est, estimatorParamMaps=_grid(est, grid),
+    original searches), the best point is refit on all rows.  Grid points are
+    fitted concurrently (each fit is itself distributed); by default as many
+    as there are points, at most ``MAX_PARALLEL_FITS``."""
+    maps = _grid(est, grid)
+    par = parallelism or min(len(maps), MAX_PARALLEL_FITS)
+    return CrossValidator(estimator=est, estimatorParamMaps=maps,
                           evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"),
-                          numFolds=folds, foldCol="fold", parallelism=parallelism, seed=42)
+                          numFolds=folds, foldCol="fold", parallelism=par, seed=42)
 
 
 def logistic(n_rows: int, c: float = 1.0, features: str = "features", label: str = "label") -> LogisticRegression:
@@ -94,7 +101,7 @@ def fit_logistic(train: DataFrame, c: float = 1.0, features: str = "features", l
 
 
 def fit_logistic_cv(train: DataFrame, cs: Sequence[float] = LR_CS, folds: int = LR_CV_FOLDS,
-                    parallelism: int = 4):
+                    parallelism: int | None = None):
     """Cross-validated logistic regression over ``C`` values."""
     with held(fold_column(train, folds)) as data:
         n = data.count()
@@ -115,7 +122,7 @@ def fit_gbt(train: DataFrame, **kw):
 
 
 def fit_gbt_grid(train: DataFrame, grid: dict[str, Sequence] = GBT_GRID_1, folds: int = GBT_GRID_FOLDS,
-                 parallelism: int = 4, **fixed):
+                 parallelism: int | None = None, **fixed):
     """Grid search over boosted trees with k-fold CV; the best point is refit
     on all rows by ``CrossValidator`` (once)."""
     with held(fold_column(train, folds)) as data:
@@ -124,14 +131,14 @@ def fit_gbt_grid(train: DataFrame, grid: dict[str, Sequence] = GBT_GRID_1, folds
 
 
 def fit_boost_subsample(train: DataFrame, grid: dict[str, Sequence] = BOOST_SUBSAMPLE_GRID,
-                        folds: int = BOOST_SUBSAMPLE_FOLDS, parallelism: int = 4, **fixed):
+                        folds: int = BOOST_SUBSAMPLE_FOLDS, parallelism: int | None = None, **fixed):
     """Boosted trees with row subsampling and shrinkage, grid over depth and
     minimum rows per node."""
     params = {**BOOST_SUBSAMPLE, **fixed}
     return fit_gbt_grid(train, grid, folds, parallelism, **params)
 
 
-def fit_linear_svc(train: DataFrame, cs: Sequence[float] = SVC_CS, folds: int = SVC_FOLDS, parallelism: int = 4):
+def fit_linear_svc(train: DataFrame, cs: Sequence[float] = SVC_CS, folds: int = SVC_FOLDS, parallelism: int | None = None):
     with held(fold_column(train, folds)) as data:
         n = data.count()
         est = LinearSVC(standardization=False, maxIter=100)

@@ -245,7 +245,7 @@ def q_gbt_subsample_predict(spark, sf):
 
 
 def q_svc_predict(spark, sf):
-    return r6(jobs.tournament_predictions(_t(spark, sf), "svc", folds=3)[0])
+    return r6(jobs.tournament_predictions(_t(spark, sf), "svc", folds=2)[0])
 
 
 def q_grid_report(spark, sf):
