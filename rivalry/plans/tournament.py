@@ -65,8 +65,16 @@ class Tournament:
 
     @cached_property
     def train(self) -> DataFrame:
-        """Mirrored contests; read by the observed and the missing split."""
-        return self._stage(ct.mirror_contests(self.enriched))
+        """Mirrored contests of every season."""
+        return ct.mirror_contests(self.enriched)
+
+    @cached_property
+    def season_train(self) -> DataFrame:
+        """Mirrored contests of the target seasons only: the season filter is
+        applied to the contests before the seed join and the mirror, and only
+        this part is written for the observed and the missing split."""
+        c = ct.season_filter(self.contests, self.seasons)
+        return self._stage(ct.mirror_contests(ct.seed_join(c, self.seeds)))
 
     @cached_property
     def parsed_targets(self) -> DataFrame:
@@ -75,11 +83,11 @@ class Tournament:
 
     @cached_property
     def observed(self) -> DataFrame:
-        return pairs.observed_pairs(self.train, self.parsed_targets, self.seasons)
+        return pairs.observed_pairs(self.season_train, self.parsed_targets, self.seasons)
 
     @cached_property
     def missing(self) -> DataFrame:
-        return pairs.missing_pairs(self.train, self.parsed_targets, self.seasons)
+        return pairs.missing_pairs(self.season_train, self.parsed_targets, self.seasons)
 
     @cached_property
     def medians(self) -> DataFrame:

@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # remove checkpoint files once nothing refers to them (long sessions)
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
