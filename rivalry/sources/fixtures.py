@@ -61,17 +61,17 @@ def order_podium(lineitem: DataFrame, k: int) -> DataFrame:
     return _top_k(s, k)
 
 
-def _top_k(order_team: DataFrame, k: int) -> DataFrame:
+def _top_k(order_team: DataFrame, k: int, carry: Sequence[str] = ()) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy(F.desc("score"), F.asc("l_suppkey"))
-    return (order_team.select("l_orderkey", "l_suppkey", "score", "qty")
+    return (order_team.select("l_orderkey", "l_suppkey", "score", "qty", *carry)
             .withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
             .withColumnRenamed("l_suppkey", "team"))
 
 
-def _places(podium: DataFrame, k: int) -> DataFrame:
+def _places(podium: DataFrame, k: int, carry: Sequence[str] = ()) -> DataFrame:
     """One row per order with team/score/qty of places 1..k (no shuffle: the
-    podium is already clustered by order)."""
-    aggs = []
+    podium is already clustered by order); ``carry`` columns are per order."""
+    aggs = [F.max(c).alias(c) for c in carry]
     for p in range(1, k + 1):
         at = F.col("place") == p
         aggs += [F.max(F.when(at, F.col("team"))).alias(f"t{p}"),
@@ -95,9 +95,14 @@ def contests_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 
 def _contests_of(places: DataFrame, orders: DataFrame) -> DataFrame:
     top = places.where(F.col("s1") > F.col("s2"))
-    o = orders.select("o_orderkey", "o_orderdate")
-    c = top.join(o, top.l_orderkey == o.o_orderkey, "inner").select(
-        season_of("o_orderdate").alias("Season"),
+    o = orders.select("o_orderkey", season_of("o_orderdate").alias("Season"))
+    return _contests_rows(top.join(o, top.l_orderkey == o.o_orderkey, "inner"))
+
+
+def _contests_rows(top: DataFrame) -> DataFrame:
+    """Contest rows from per-order places that carry ``Season``."""
+    c = top.select(
+        "Season",
         F.col("t1").alias("WTeamID"), F.col("s1").alias("WScore"),
         F.col("t2").alias("LTeamID"), F.col("s2").alias("LScore"),
         F.lit("N").alias("WLoc"),
@@ -120,9 +125,13 @@ def _seeds_of(order_cents: DataFrame, orders: DataFrame) -> DataFrame:
     per line or already summed per (order, supplier)."""
     li = order_cents.select("l_orderkey", "l_suppkey", "cents")
     o = orders.select("o_orderkey", season_of("o_orderdate").alias("Season"))
-    rev = (li.join(o, li.l_orderkey == o.o_orderkey, "inner")
-           .groupBy("Season", F.col("l_suppkey").alias("TeamID"))
-           .agg(F.sum("cents").alias("r")))
+    return _seed_rows(li.join(o, li.l_orderkey == o.o_orderkey, "inner")
+                      .groupBy("Season", F.col("l_suppkey").alias("TeamID"))
+                      .agg(F.sum("cents").alias("r")))
+
+
+def _seed_rows(rev: DataFrame) -> DataFrame:
+    """Seeds from season revenue per team (Season, TeamID, r)."""
     # rank inside a season without sending the season to one task
     ranked = row_number(rev, ["Season"], [F.desc("r"), F.asc("TeamID")], out="rk", total="n")
     rk, n = F.col("rk"), F.col("n")
@@ -144,15 +153,20 @@ def targets_from(lineitem: DataFrame, orders: DataFrame,
 
 
 def _targets_of(top: DataFrame, orders: DataFrame, seasons: Sequence[int]) -> DataFrame:
-    pairs = top.select("l_orderkey", F.inline(F.array(
+    o = (orders.select("o_orderkey", "o_orderdate").where(season_range_filter("o_orderdate", seasons))
+         .select("o_orderkey", season_of("o_orderdate").alias("Season")))
+    return _target_rows(top.join(o, top.l_orderkey == o.o_orderkey, "inner"))
+
+
+def _target_rows(top: DataFrame) -> DataFrame:
+    """Requests from per-order places that carry ``Season`` (already
+    restricted to the target seasons)."""
+    pairs = top.select("Season", F.inline(F.array(
         F.struct(F.col("t1").alias("a"), F.col("t2").alias("b")),
         F.struct(F.col("t1").alias("a"), F.col("t3").alias("b")),
         F.struct(F.col("t2").alias("a"), F.col("t3").alias("b"))))).where(F.col("b").isNotNull())
-    o = orders.select("o_orderkey", "o_orderdate").where(season_range_filter("o_orderdate", seasons))
-    t = (pairs.join(o, pairs.l_orderkey == o.o_orderkey, "inner")
-         .select(season_of("o_orderdate").alias("Season"),
-                 F.least("a", "b").alias("TeamID1"), F.greatest("a", "b").alias("TeamID2"))
-         .distinct())
+    t = pairs.select("Season", F.least("a", "b").alias("TeamID1"),
+                     F.greatest("a", "b").alias("TeamID2")).distinct()
     out = t.select(F.concat_ws("_", F.col("Season").cast("string"), F.col("TeamID1").cast("string"),
                                F.col("TeamID2").cast("string")).alias("ID"),
                    F.lit(0.5).alias("Pred"))
@@ -168,13 +182,14 @@ def season_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Fixtures:
-    """All relations from one pass over ``lineitem``.
+    """All relations from one pass over ``lineitem`` and one join with ``orders``.
 
     ``contests``, ``targets`` and ``seeds`` all start from lineitem grouped by
-    (order, supplier).  That aggregate (best line price, best quantity,
-    revenue in cents) is written once to the checkpoint folder, and so is the
-    per-order podium built from it; the three relations then read those
-    instead of scanning and shuffling the largest table three times.
+    (order, supplier) - best line price, best quantity, revenue in cents -
+    with the order's season attached.  That table is written once to the
+    checkpoint folder, and so is the per-order podium built from it; the
+    three relations read those instead of scanning and shuffling the two
+    largest tables three times.
     """
 
     def __init__(self, lineitem: DataFrame, orders: DataFrame,
@@ -194,26 +209,35 @@ class Fixtures:
 
     @property
     def order_team(self) -> DataFrame:
-        """(l_orderkey, l_suppkey, score, qty, cents): partial-aggregated
-        shuffle on (order, supplier)."""
-        return self._get("order_team", lambda: self._stage(
-            self.lineitem.groupBy("l_orderkey", "l_suppkey").agg(
+        """(l_orderkey, l_suppkey, score, qty, cents, Season): a
+        partial-aggregated shuffle on (order, supplier), then the join with
+        orders on the order key."""
+        def build():
+            agg = self.lineitem.groupBy("l_orderkey", "l_suppkey").agg(
                 F.max("l_extendedprice").alias("score"), F.max("l_quantity").alias("qty"),
-                F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"))))
+                F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"))
+            o = self.orders.select("o_orderkey", season_of("o_orderdate").alias("Season"))
+            return self._stage(agg.join(o, agg.l_orderkey == o.o_orderkey, "inner").drop("o_orderkey"))
+        return self._get("order_team", build)
 
     @property
     def places(self) -> DataFrame:
-        return self._get("places", lambda: self._stage(_places(_top_k(self.order_team, PODIUM_PLACES),
-                                                               PODIUM_PLACES)))
+        """Places 1-3 of every order with its season, one row per order."""
+        def build():
+            top = _top_k(self.order_team, PODIUM_PLACES, carry=["Season"])
+            return self._stage(_places(top, PODIUM_PLACES, carry=["Season"]))
+        return self._get("places", build)
 
     @property
     def contests(self) -> DataFrame:
-        return self._get("contests", lambda: _contests_of(self.places, self.orders))
+        return self._get("contests", lambda: _contests_rows(self.places.where(F.col("s1") > F.col("s2"))))
 
     @property
     def targets(self) -> DataFrame:
-        return self._get("targets", lambda: _targets_of(self.places, self.orders, self.seasons))
+        return self._get("targets", lambda: _target_rows(
+            self.places.where(F.col("Season").isin(self.seasons))))
 
     @property
     def seeds(self) -> DataFrame:
-        return self._get("seeds", lambda: _seeds_of(self.order_team, self.orders))
+        return self._get("seeds", lambda: _seed_rows(
+            self.order_team.groupBy("Season", F.col("l_suppkey").alias("TeamID")).agg(F.sum("cents").alias("r"))))

@@ -21,7 +21,17 @@ def test_completion_has_no_cartesian_or_nested_loop(spark):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
-def test_scans_read_only_needed_columns(spark):
-    df = catalog.q_scan_targets(spark, SF_SMALL)
-    text = df._jdf.queryExecution().executedPlan().toString()
+def test_scans_read_only_needed_columns_and_push_the_season_range(spark):
+    from rivalry.sources.fixtures import table, targets_from
+    df = targets_from(table(spark, SF_SMALL, "lineitem"), table(spark, SF_SMALL, "orders"))
+    text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     assert "l_partkey" not in text and "l_discount" not in text and "o_totalprice" not in text
+    assert "GreaterThanOrEqual(o_orderdate,1998-01-01" in text and "LessThan(o_orderdate,2002-01-01" in text
+
+
+def test_fixtures_scan_lineitem_and_orders_once(spark):
+    from rivalry.sources.fixtures import Fixtures, table
+    fx = Fixtures(table(spark, SF_SMALL, "lineitem"), table(spark, SF_SMALL, "orders"))
+    for rel in (fx.contests, fx.targets, fx.seeds):
+        text = spark._jvm.PythonSQLUtils.explainString(rel._jdf.queryExecution(), "formatted")
+        assert "Scan parquet" not in text            # all read the checkpointed per-order tables
