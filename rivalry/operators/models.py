@@ -34,17 +34,20 @@ from pyspark.sql import functions as F
 
 from .prepare import assemble, fold_column
 
-# Fixed values of the original searches.
-LR_CV_FOLDS = 20
-LR_CS = tuple(10.0 ** (-4 + 8 * i / 9) for i in range(10))   # 10 values, 1e-4 .. 1e4
-GBT_GRID_1 = {"maxIter": [500, 1000], "featureSubsetStrategy": ["0.001", "0.005"], "maxDepth": [2, 3, 5]}
-GBT_GRID_2 = {"maxIter": [1000], "featureSubsetStrategy": ["0.0005", "0.0003", "0.001"], "maxDepth": [2, 3, 5]}
-GBT_GRID_FOLDS = 10
-SVC_CS = (1.0, 10.0, 100.0)
-SVC_FOLDS = 15
-BOOST_SUBSAMPLE = {"stepSize": 0.03, "maxIter": 900, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
-BOOST_SUBSAMPLE_GRID = {"maxDepth": [3, 5, 7, 9], "minInstancesPerNode": [1, 3, 5]}
-BOOST_SUBSAMPLE_FOLDS = 20
+from ..defaults import (BOOST_SUBSAMPLE, BOOST_SUBSAMPLE_FOLDS, BOOST_SUBSAMPLE_GRID,  # noqa: F401
+                        FACTOR_EPOCHS, FACTOR_L2, FACTOR_STEP, FACTORS, GBT_DEPTH,
+                        GBT_FEATURE_FRACTION, GBT_GRID_1, GBT_GRID_2, GBT_GRID_FOLDS, GBT_GRID_SEED,
+                        GBT_TREES, LR_C, LR_CV_C_RANGE, LR_CV_FOLDS, LR_CV_NUM_C, SVC_CS, SVC_FOLDS)
+
+
+def log_grid(lo: float, hi: float, n: int) -> tuple[float, ...]:
+    """``n`` values evenly spaced in log10 between ``lo`` and ``hi``."""
+    import math
+    a, b = math.log10(lo), math.log10(hi)
+    return tuple(10.0 ** (a + (b - a) * i / (n - 1)) for i in range(n))
+
+
+LR_CS = log_grid(*LR_CV_C_RANGE, LR_CV_NUM_C)
 
 
 def class1_probability(pred: DataFrame, out: str = "Pred1") -> DataFrame:
@@ -90,12 +93,12 @@ def _cv(est: Estimator, grid: dict[str, Sequence], folds: int, parallelism: int
                           numFolds=folds, foldCol="fold", parallelism=par, seed=42)
 
 
-def logistic(n_rows: int, c: float = 1.0, features: str = "features", label: str = "label") -> LogisticRegression:
+def logistic(n_rows: int, c: float = LR_C, features: str = "features", label: str = "label") -> LogisticRegression:
     return LogisticRegression(featuresCol=features, labelCol=label, regParam=1.0 / (c * max(n_rows, 1)),
                               elasticNetParam=0.0, standardization=False, maxIter=100)
 
 
-def fit_logistic(train: DataFrame, c: float = 1.0, features: str = "features", label: str = "label"):
+def fit_logistic(train: DataFrame, c: float = LR_C, features: str = "features", label: str = "label"):
     with held(train) as data:
         return logistic(data.count(), c, features, label).fit(data)
 
@@ -110,7 +113,8 @@ def fit_logistic_cv(train: DataFrame, cs: Sequence[float] = LR_CS, folds: int =
         return _cv(est, grid, folds, parallelism).fit(data)
 
 
-def gbt(max_iter: int = 40, max_depth: int = 3, feature_fraction: str = "0.5", seed: int = 42,
+def gbt(max_iter: int = GBT_TREES, max_depth: int = GBT_DEPTH, feature_fraction: str = GBT_FEATURE_FRACTION,
+        seed: int = 42,
         **kw) -> GBTClassifier:
     return GBTClassifier(maxIter=max_iter, maxDepth=max_depth, featureSubsetStrategy=feature_fraction,
                          seed=seed, cacheNodeIds=True, checkpointInterval=10, **kw)
@@ -126,7 +130,7 @@ def fit_gbt_grid(train: DataFrame, grid: dict[str, Sequence] = GBT_GRID_1, folds
     """Grid search over boosted trees with k-fold CV; the best point is refit
     on all rows by ``CrossValidator`` (once)."""
     with held(fold_column(train, folds)) as data:
-        est = GBTClassifier(seed=3, cacheNodeIds=True, checkpointInterval=10, **fixed)
+        est = GBTClassifier(seed=GBT_GRID_SEED, cacheNodeIds=True, checkpointInterval=10, **fixed)
         return _cv(est, grid, folds, parallelism).fit(data)
 
 
@@ -203,7 +207,8 @@ def leaf_stack(train: DataFrame, test: DataFrame, features: str = "features", la
     return scored, {"gbt": g, "lr": lr_raw, "leaves_lr": lr_leaf, "combined_lr": lr_comb}
 
 
-def factor_model(n_factors: int = 50, reg: float = 1e-4, step: float = 0.001, max_iter: int = 100,
+def factor_model(n_factors: int = FACTORS, reg: float = FACTOR_L2, step: float = FACTOR_STEP,
+                 max_iter: int = FACTOR_EPOCHS,
                  mini_batch: float = 1.0, seed: int = 42) -> FMClassifier:
     """``sigmoid(<u_t1, v_t2> + b1[t1] + b2[t2] + c)`` as a factorization
     machine on one-hot(team1) (+) one-hot(team2); same function class as the

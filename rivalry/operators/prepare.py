@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..defaults import EPS_TEST, EPS_TRAIN, HOLDOUT_TEST_PCT
 from ..functions import scalar as fx
 from .pairs import KEYS
 from .ranking import dense_index
@@ -68,8 +69,8 @@ def encode_features(union: DataFrame, season_cats: Sequence | None = None,
 class MinMaxModel:
     """Per-feature min and max from the training rows."""
     stats: dict[str, tuple[float, float]]
-    eps_train: float = 1e-14
-    eps_test: float = 1.0
+    eps_train: float = EPS_TRAIN
+    eps_test: float = EPS_TEST
 
     def transform(self, df: DataFrame, flag: str = "is_train") -> DataFrame:
         """``(x - min) / (max - min + eps)``; ``eps`` is ``eps_train`` on
@@ -81,7 +82,7 @@ class MinMaxModel:
 
 
 def fit_min_max(df: DataFrame, cols: Sequence[str], flag: str = "is_train",
-                eps_train: float = 1e-14, eps_test: float = 1.0) -> MinMaxModel:
+                eps_train: float = EPS_TRAIN, eps_test: float = EPS_TEST) -> MinMaxModel:
     """One aggregate over the training rows; the result (two numbers per
     feature) is the model, like any fitted scaler."""
     rows = column_min_max(df.where(F.col(flag)), cols).collect()
@@ -100,7 +101,7 @@ def team_index(pairs: DataFrame, team_col: str = "team1", out: str = "team_idx")
     return dense_index(pairs, team_col, out=out).withColumnRenamed(team_col, "TeamID")
 
 
-def holdout_split(df: DataFrame, test_pct: int = 30, season: str = "Season",
+def holdout_split(df: DataFrame, test_pct: int = HOLDOUT_TEST_PCT, season: str = "Season",
                   t1: str = "TeamID1", t2: str = "TeamID2", out: str = "is_holdout") -> DataFrame:
     """Deterministic hold-out flag from md5 of the orientation-free contest
     key: both mirrored rows of a contest fall on the same side, and the split

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..defaults import FALLBACK_PROB
 from .ranking import running_sum
 
 
@@ -42,7 +43,7 @@ def group_medians(df: DataFrame, by: Sequence[str], cols: Sequence[str],
     return picked.select(*by, *[((F.col(f"_lo_{c}") + F.col(f"_hi_{c}")) / 2).alias(c) for c in cols])
 
 
-def harmonic_mean_by(df: DataFrame, key: str, value: str, out: str, default: float = 0.5) -> DataFrame:
+def harmonic_mean_by(df: DataFrame, key: str, value: str, out: str, default: float = FALLBACK_PROB) -> DataFrame:
     """``(mean(x^-1))^-1`` per ``key`` with NULLs skipped and ``default`` for
     groups without any value.  ``pow(0,-1)`` is +inf and ``pow(inf,-1)`` is 0,
     so a zero in a group gives 0, as in the row-wise original.  Partial

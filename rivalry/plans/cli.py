@@ -16,6 +16,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from ..defaults import REQUEST_SEASONS
 from ..operators import models
 from ..sources import files
 from .factors import FactorJob
@@ -34,7 +35,7 @@ MODEL_ARGS = {
 
 
 def run_tournament(spark: SparkSession, seeds: str, contests: str, targets: str, out: str,
-                   model: str = "lr", seasons=(2014, 2015, 2016, 2017), fmt: str = "csv") -> None:
+                   model: str = "lr", seasons=REQUEST_SEASONS, fmt: str = "csv") -> None:
     t = Tournament(files.read_contests(spark, contests, fmt), files.read_seeds(spark, seeds, fmt),
                    files.read_targets(spark, targets, fmt), seasons)
     family, kw = MODEL_ARGS[model]
@@ -57,7 +58,7 @@ def main(argv=None) -> None:
     t.add_argument("--targets", required=True)
     t.add_argument("--out", required=True)
     t.add_argument("--model", default="lr", choices=sorted(MODEL_ARGS))
-    t.add_argument("--seasons", default="2014,2015,2016,2017")
+    t.add_argument("--seasons", default=",".join(str(s) for s in REQUEST_SEASONS))
     t.add_argument("--format", default="csv")
     f = sub.add_parser("factors")
     f.add_argument("--contests", required=True)

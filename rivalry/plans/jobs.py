@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..defaults import HOLDOUT_TEST_PCT
 from ..operators import complete, models
 from ..operators.metrics import roc_auc
 from ..operators.prepare import holdout_split
@@ -41,7 +42,7 @@ def tournament_predictions(t: Tournament, model: str = "lr", **kw) -> tuple[Data
     return complete.submission(t.complete(scored)), fitted
 
 
-def leaf_stack_report(t: Tournament, test_pct: int = 30, gbt_kw: dict | None = None) -> DataFrame:
+def leaf_stack_report(t: Tournament, test_pct: int = HOLDOUT_TEST_PCT, gbt_kw: dict | None = None) -> DataFrame:
     """Hold-out AUC of GBT, LR, LR on GBT leaves and LR on leaves + features
     over the training rows (deterministic 70/30 split by contest key):
     (model, auc)."""

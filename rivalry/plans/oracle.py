@@ -8,6 +8,7 @@ to 6 places, like the Spark side.
 
 from __future__ import annotations
 
+from ..defaults import EPS_TEST, EPS_TRAIN
 from ..sources.fixtures import TARGET_SEASONS
 
 _SEASONS = ", ".join(str(s) for s in TARGET_SEASONS)
@@ -138,7 +139,7 @@ def oracle_sql(numot_cats=(0, 1, 2, 3, 4)) -> dict[str, str]:
         f"FROM enc WHERE is_train" for c in feat)
     mm = ", ".join(f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in feat)
     scaled = ", ".join(
-        f"round(({c} - mn_{c}) / (mx_{c} - mn_{c} + CASE WHEN is_train THEN 1e-14 ELSE 1.0 END), 6) AS {c}"
+        f"round(({c} - mn_{c}) / (mx_{c} - mn_{c} + CASE WHEN is_train THEN {EPS_TRAIN!r} ELSE {EPS_TEST!r} END), 6) AS {c}"
         for c in feat)
     other = ("Season, TeamID1, TeamID2, round(NumOT, 6) AS NumOT, is_train, round(Result, 6) AS Result")
 

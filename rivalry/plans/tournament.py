@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import complete, contests as ct, pairs, prepare
+from ..defaults import EPS_TEST, EPS_TRAIN
 from ..session import materialize
 from ..sources.fixtures import TARGET_SEASONS
 
@@ -26,8 +27,8 @@ class Tournament:
     def __init__(self, contests: DataFrame | Callable[[], DataFrame],
                  seeds: DataFrame | Callable[[], DataFrame],
                  targets: DataFrame | Callable[[], DataFrame],
-                 seasons: Sequence[int] = TARGET_SEASONS, eps_train: float = 1e-14,
-                 eps_test: float = 1.0, chunks: int | None = None, checkpoint_stages: bool = True):
+                 seasons: Sequence[int] = TARGET_SEASONS, eps_train: float = EPS_TRAIN,
+                 eps_test: float = EPS_TEST, chunks: int | None = None, checkpoint_stages: bool = True):
         self._inputs = {"contests": contests, "seeds": seeds, "targets": targets}
         self.seasons = list(seasons)
         self.eps_train = eps_train

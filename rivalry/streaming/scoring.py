@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..defaults import FALLBACK_PROB
 from ..functions import scalar as fx
 from ..operators.complete import team_probabilities
 from ..operators.pairs import KEYS, parse_targets
@@ -29,7 +30,7 @@ class CompletionTables:
         self.prob1, self.prob2 = team_probabilities(sub, pred_col)
 
 
-def complete_stream(requests: DataFrame, tables: CompletionTables, default: float = 0.5) -> DataFrame:
+def complete_stream(requests: DataFrame, tables: CompletionTables, default: float = FALLBACK_PROB) -> DataFrame:
     """(ID, Pred) for a (streaming or static) frame of requests (ID, Pred).
 
     A team without a batch probability gets ``default``, the value the
