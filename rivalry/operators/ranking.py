@@ -77,8 +77,15 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
         offs = offs.withColumn(total, F.sum(_TOT).over(whole))
     offs = offs.drop(_TOT)
 
-    joined = local.join(offs, on=[*by, _CHUNK], how="inner") if by else \
-        local.join(offs, on=[_CHUNK], how="inner")
+    # join back on (group, slice); NULL-safe on the group so a NULL group
+    # keeps its rows
+    keys = [f"_rv_k{i}" for i in range(len(by))]
+    offs = offs.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.col(_CHUNK).alias("_rv_kc"),
+                       *[c for c in offs.columns if c not in (*by, _CHUNK)])
+    cond = F.col(_CHUNK) == F.col("_rv_kc")
+    for b, k in zip(by, keys):
+        cond = cond & F.col(b).eqNullSafe(F.col(k))
+    joined = local.join(offs, on=cond, how="inner").drop(*keys, "_rv_kc")
     res = joined.withColumn(out, F.col(_OFF) + F.col(_LOCAL))
     if slice_col:
         res = res.withColumnRenamed(_CHUNK, slice_col)

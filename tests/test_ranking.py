@@ -55,3 +55,10 @@ def test_hot_group_is_spread_over_slices(spark):
     # and the numbering is still one contiguous 1..n over the whole group
     rn = sorted(r.rn for r in hot.select("rn").collect())
     assert rn == list(range(1, 3001))
+
+
+def test_null_group_keeps_its_rows(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2)], "g string, v int")
+    key = lambda t: (t[0] is not None, t[0] or "", t[1])
+    got = sorted(((r.g, r.v, r.rn) for r in row_number(df, ["g"], ["v"], chunks=2).collect()), key=key)
+    assert got == [(None, 1, 1), (None, 3, 2), ("a", 2, 1)]
