@@ -15,7 +15,6 @@ from .pairs import KEYS
 from .ranking import dense_index
 from .stats import column_min_max
 
-RAW_FEATURES = ["Season", "NumOT", "Score_Ratio", "Score_Pct"]
 # Refuse to one-hot a column with more categories than this: the category
 # list is pulled to the driver to name the columns.
 MAX_CATEGORIES = 10_000

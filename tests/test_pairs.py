@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from rivalry.operators.complete import attach_predictions, fallback_prediction
 from rivalry.operators.pairs import (missing_pairs, observed_pairs, pair_features, parse_targets,

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from rivalry.operators.prepare import fit_min_max, holdout_split, one_hot, team_index
 from rivalry.operators.contests import mirror_pairs

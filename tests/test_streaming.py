@@ -1,7 +1,6 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from rivalry.plans import catalog
 from rivalry.streaming.scoring import CompletionTables, complete_stream, read_request_stream, start_scoring
