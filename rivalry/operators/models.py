@@ -117,7 +117,7 @@ def gbt(max_iter: int = GBT_TREES, max_depth: int = GBT_DEPTH, feature_fraction:
         seed: int = 42,
         **kw) -> GBTClassifier:
     return GBTClassifier(maxIter=max_iter, maxDepth=max_depth, featureSubsetStrategy=feature_fraction,
-                         seed=seed, cacheNodeIds=True, checkpointInterval=10, **kw)
+                         seed=seed, checkpointInterval=10, **kw)
 
 
 def fit_gbt(train: DataFrame, **kw):
@@ -130,7 +130,7 @@ def fit_gbt_grid(train: DataFrame, grid: dict[str, Sequence] = GBT_GRID_1, folds
     """Grid search over boosted trees with k-fold CV; the best point is refit
     on all rows by ``CrossValidator`` (once)."""
     with held(fold_column(train, folds)) as data:
-        est = GBTClassifier(seed=GBT_GRID_SEED, cacheNodeIds=True, checkpointInterval=10, **fixed)
+        est = GBTClassifier(seed=GBT_GRID_SEED, checkpointInterval=10, **fixed)
         return _cv(est, grid, folds, parallelism).fit(data)
 
 
@@ -138,7 +138,7 @@ def fit_boost_subsample(train: DataFrame, grid: dict[str, Sequence] = BOOST_SUBS
                         folds: int = BOOST_SUBSAMPLE_FOLDS, parallelism: int | None = None, **fixed):
     """Boosted trees with row subsampling and shrinkage, grid over depth and
     minimum rows per node."""
-    params = {**BOOST_SUBSAMPLE, **fixed}
+    params = {**BOOST_SUBSAMPLE, "cacheNodeIds": True, **fixed}   # deep trees: cache node ids
     return fit_gbt_grid(train, grid, folds, parallelism, **params)
 
 
