@@ -27,8 +27,18 @@ def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "c
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
-    """Project and cast ``df`` to ``schema`` (column order included)."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    """Project and cast ``df`` to ``schema`` (column order included).
+
+    Fields declared non-nullable (the ids used as join keys) fail the job on
+    a NULL instead of letting it silently drop out of a join; the check is an
+    expression in the projection, so it costs no extra pass."""
+    cols = []
+    for f in schema.fields:
+        c = F.col(f.name).cast(f.dataType)
+        if not f.nullable:
+            c = F.when(c.isNull(), F.raise_error(F.lit(f"NULL in key column {f.name}"))).otherwise(c)
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
 
 
 def read_seeds(spark, path, fmt="csv"):

@@ -20,3 +20,13 @@ def test_csv_columns_matched_by_name_not_position(spark):
         f.write("Season,DayNum,LTeamID,WScore,WTeamID,LScore\n2003,10,1104,68,1328,62\n")
     r = read_season_contests(spark, path).collect()
     assert [tuple(x) for x in r] == [(1328, 1104)]
+
+
+def test_null_key_fails_loudly(spark):
+    import pytest
+    from rivalry.sources.files import read_season_contests
+    path = tempfile.mkdtemp(prefix="rivalry-csv-", dir="/tmp") + "/bad.csv"
+    with open(path, "w") as f:
+        f.write("WTeamID,LTeamID\n1,2\n,3\n")
+    with pytest.raises(Exception, match="NULL in key column WTeamID"):
+        read_season_contests(spark, path).collect()
