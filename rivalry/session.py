@@ -71,7 +71,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def ensure_local_checkpoint_dir(spark: SparkSession) -> str:
-    """Tests and local runs only: set a scratch checkpoint folder when unset."""
+    """Tests and local runs only: use ``spark.checkpoint.dir`` when it is set,
+    else a fresh scratch folder (on the context: the setting itself cannot be
+    changed once the context runs)."""
     sc = _context(spark)
     if sc is None:
         return checkpoint_dir(spark)
@@ -81,7 +83,6 @@ def ensure_local_checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir:
         import tempfile
         conf_dir = tempfile.mkdtemp(prefix="rivalry-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
 
