@@ -13,19 +13,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from ..operators import complete, contests as ct, pairs, prepare, stats
+from ..operators import complete, contests as ct, models, pairs, prepare, stats
 from ..operators.metrics import roc_auc
 from ..session import ensure_local_checkpoint_dir
 from ..sources import fixtures as fxt
-from .tournament import Tournament
 from . import jobs
 from .factors import FactorJob
-from ..operators import models
-from pyspark.ml.functions import vector_to_array
+from .tournament import Tournament
 
 SEASONS = list(fxt.TARGET_SEASONS)
 

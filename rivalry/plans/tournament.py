@@ -17,17 +17,18 @@ from pyspark.sql import functions as F
 from ..operators import complete, contests as ct, pairs, prepare
 from ..defaults import EPS_TEST, EPS_TRAIN
 from ..session import materialize
-from ..sources.fixtures import TARGET_SEASONS
 
 
 class Tournament:
     """Inputs may be DataFrames or zero-argument callables returning one; a
-    callable is only evaluated when a stage needs that input."""
+    callable is only evaluated when a stage needs that input.  ``seasons``
+    are the seasons of the requested pairings (the training rows are taken
+    from those seasons)."""
 
     def __init__(self, contests: DataFrame | Callable[[], DataFrame],
                  seeds: DataFrame | Callable[[], DataFrame],
                  targets: DataFrame | Callable[[], DataFrame],
-                 seasons: Sequence[int] = TARGET_SEASONS, eps_train: float = EPS_TRAIN,
+                 seasons: Sequence[int], eps_train: float = EPS_TRAIN,
                  eps_test: float = EPS_TEST, chunks: int | None = None, checkpoint_stages: bool = True):
         self._inputs = {"contests": contests, "seeds": seeds, "targets": targets}
         self.seasons = list(seasons)
@@ -104,7 +105,7 @@ class Tournament:
         folder: the boundary between the relational part and the model part,
         read by the category scan, the scaler fit, the model fit and the
         scoring pass without recomputing the joins above it."""
-        return materialize(prepare.feature_union(self.observed, self.test))
+        return self._stage(prepare.feature_union(self.observed, self.test))
 
     def encoded(self, season_cats=None, numot_cats=None) -> tuple[DataFrame, list[str]]:
         return prepare.encode_features(self.union, season_cats, numot_cats)
