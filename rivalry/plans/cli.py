@@ -2,7 +2,8 @@
 
     python -m rivalry.plans.cli tournament --seeds S --contests C --targets T \
         --out OUT [--model lr|lr_cv|gbt|gbt_grid|gbt_grid2|gbt_subsample|svc] [--seasons 2014,2015,2016,2017] \
-        [--conf spark.checkpoint.dir=DIR ...]
+        [--report] [--conf spark.checkpoint.dir=DIR ...]
+    python -m rivalry.plans.cli leaf-auc --seeds S --contests C --targets T [--seasons ...]
     python -m rivalry.plans.cli factors --contests C --targets T --out OUT
 
 Inputs carry a header and are read with the declared schemas; the output is
@@ -20,7 +21,7 @@ from ..defaults import REQUEST_SEASONS
 from ..operators import models
 from ..sources import files
 from .factors import FactorJob
-from .jobs import tournament_predictions
+from .jobs import leaf_stack_report, tournament_predictions
 from .tournament import Tournament
 
 MODEL_ARGS = {
@@ -34,13 +35,27 @@ MODEL_ARGS = {
 }
 
 
+def _tournament(spark, seeds, contests, targets, seasons, fmt) -> Tournament:
+    return Tournament(files.read_contests(spark, contests, fmt), files.read_seeds(spark, seeds, fmt),
+                      files.read_targets(spark, targets, fmt), seasons)
+
+
 def run_tournament(spark: SparkSession, seeds: str, contests: str, targets: str, out: str,
-                   model: str = "lr", seasons=REQUEST_SEASONS, fmt: str = "csv") -> None:
-    t = Tournament(files.read_contests(spark, contests, fmt), files.read_seeds(spark, seeds, fmt),
-                   files.read_targets(spark, targets, fmt), seasons)
+                   model: str = "lr", seasons=REQUEST_SEASONS, fmt: str = "csv", report: bool = False):
+    """Write the completed table; with ``report`` and a searched model, also
+    return the grid report (one row per grid point, best marked)."""
     family, kw = MODEL_ARGS[model]
-    sub, _ = tournament_predictions(t, family, **kw)
+    sub, fitted = tournament_predictions(_tournament(spark, seeds, contests, targets, seasons, fmt), family, **kw)
     files.write_submission(sub, out)
+    if report and hasattr(fitted, "avgMetrics"):
+        return models.grid_report(fitted)
+    return None
+
+
+def run_leaf_auc(spark: SparkSession, seeds: str, contests: str, targets: str,
+                 seasons=REQUEST_SEASONS, fmt: str = "csv"):
+    """Hold-out AUC of GBT, LR, LR on leaves, LR on leaves + features."""
+    return leaf_stack_report(_tournament(spark, seeds, contests, targets, seasons, fmt))
 
 
 def run_factors(spark: SparkSession, contests: str, targets: str, out: str, fmt: str = "csv", **kw) -> None:
@@ -60,12 +75,18 @@ def main(argv=None) -> None:
     t.add_argument("--model", default="lr", choices=sorted(MODEL_ARGS))
     t.add_argument("--seasons", default=",".join(str(s) for s in REQUEST_SEASONS))
     t.add_argument("--format", default="csv")
+    t.add_argument("--report", action="store_true", help="print the grid report of a searched model")
+    la = sub.add_parser("leaf-auc")
+    for name in ("--seeds", "--contests", "--targets"):
+        la.add_argument(name, required=True)
+    la.add_argument("--seasons", default=",".join(str(s) for s in REQUEST_SEASONS))
+    la.add_argument("--format", default="csv")
     f = sub.add_parser("factors")
     f.add_argument("--contests", required=True)
     f.add_argument("--targets", required=True)
     f.add_argument("--out", required=True)
     f.add_argument("--format", default="csv")
-    for p in (t, f):
+    for p in (t, la, f):
         p.add_argument("--conf", action="append", default=[], metavar="KEY=VALUE",
                        help="Spark setting, e.g. spark.checkpoint.dir=<shared folder>")
     a = ap.parse_args(argv)
@@ -73,8 +94,13 @@ def main(argv=None) -> None:
     conf = dict(kv.split("=", 1) for kv in a.conf)
     spark = build_session(app=f"rivalry-{a.job}", conf=conf)
     if a.job == "tournament":
-        run_tournament(spark, a.seeds, a.contests, a.targets, a.out, a.model,
-                       [int(s) for s in a.seasons.split(",")], a.format)
+        rep = run_tournament(spark, a.seeds, a.contests, a.targets, a.out, a.model,
+                             [int(s) for s in a.seasons.split(",")], a.format, a.report)
+        if rep is not None:
+            rep.show(truncate=False)
+    elif a.job == "leaf-auc":
+        run_leaf_auc(spark, a.seeds, a.contests, a.targets, [int(s) for s in a.seasons.split(",")],
+                     a.format).show(truncate=False)
     else:
         run_factors(spark, a.contests, a.targets, a.out, a.format)
 

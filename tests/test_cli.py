@@ -4,7 +4,7 @@ import os
 import tempfile
 
 from rivalry.plans import catalog
-from rivalry.plans.cli import run_factors, run_tournament
+from rivalry.plans.cli import run_factors, run_leaf_auc, run_tournament
 from rivalry.sources import fixtures as fxt
 from tests.conftest import SF_SMALL
 
@@ -37,3 +37,24 @@ def test_tournament_and_factor_jobs_from_csv(spark):
     cf = spark.read.option("header", True).csv(paths["cf"])
     assert cf.columns == ["ID", "pred"]
     assert cf.count() == spark.read.option("header", True).csv(paths["targets"]).count()
+
+
+def test_grid_report_and_leaf_auc_from_csv(spark):
+    from rivalry.plans import cli
+    root = tempfile.mkdtemp(prefix="rivalry-cli-", dir="/tmp")
+    li, o = fxt.table(spark, SF_SMALL, "lineitem"), fxt.table(spark, SF_SMALL, "orders")
+    paths = {k: os.path.join(root, k) for k in ("seeds", "contests", "targets", "sub")}
+    _write(fxt.seeds_from(li, o), paths["seeds"])
+    _write(fxt.contests_from(li, o), paths["contests"])
+    _write(fxt.targets_from(li, o), paths["targets"])
+    cli.MODEL_ARGS["tiny_grid"] = ("gbt_grid", {"grid": {"maxIter": [3], "maxDepth": [2, 3]}, "folds": 2})
+    try:
+        rep = run_tournament(spark, paths["seeds"], paths["contests"], paths["targets"], paths["sub"],
+                             "tiny_grid", seasons=list(fxt.TARGET_SEASONS), report=True)
+    finally:
+        del cli.MODEL_ARGS["tiny_grid"]
+    rows = rep.collect()
+    assert len(rows) == 2 and sum(r.is_best for r in rows) == 1
+    auc = {r.model: r.auc for r in run_leaf_auc(spark, paths["seeds"], paths["contests"], paths["targets"],
+                                                 seasons=list(fxt.TARGET_SEASONS)).collect()}
+    assert set(auc) == {"gbt", "lr", "leaves_lr", "combined_lr"}
