@@ -212,8 +212,14 @@ def factor_model(n_factors: int = FACTORS, reg: float = FACTOR_L2, step: float =
                  mini_batch: float = 1.0, seed: int = 42) -> FMClassifier:
     """``sigmoid(<u_t1, v_t2> + b1[t1] + b2[t2] + c)`` as a factorization
     machine on one-hot(team1) (+) one-hot(team2); same function class as the
-    embedding model (the outer weight is absorbed by the factors).  ``regParam``
-    also covers the linear terms - a documented difference."""
+    embedding model (the outer weight is absorbed by the factors).
+
+    Documented differences: ``regParam`` also covers the linear terms; and
+    one Spark iteration is one AdamW step over the whole data (each a
+    distributed job), where the original takes a step per batch of 128 rows
+    for every epoch - with the original step size, 100 full-batch iterations
+    move the parameters far less, so pass a larger ``step`` (or more
+    iterations) for a comparable fit."""
     return FMClassifier(factorSize=n_factors, regParam=reg, stepSize=step, maxIter=max_iter,
                         solver="adamW", miniBatchFraction=mini_batch, seed=seed, fitIntercept=True,
                         fitLinear=True)

@@ -86,6 +86,9 @@ def main(argv=None) -> None:
     f.add_argument("--targets", required=True)
     f.add_argument("--out", required=True)
     f.add_argument("--format", default="csv")
+    f.add_argument("--factors", type=int, default=models.FACTORS)
+    f.add_argument("--step", type=float, default=models.FACTOR_STEP)
+    f.add_argument("--iterations", type=int, default=models.FACTOR_EPOCHS)
     for p in (t, la, f):
         p.add_argument("--conf", action="append", default=[], metavar="KEY=VALUE",
                        help="Spark setting, e.g. spark.checkpoint.dir=<shared folder>")
@@ -102,7 +105,8 @@ def main(argv=None) -> None:
         run_leaf_auc(spark, a.seeds, a.contests, a.targets, [int(s) for s in a.seasons.split(",")],
                      a.format).show(truncate=False)
     else:
-        run_factors(spark, a.contests, a.targets, a.out, a.format)
+        run_factors(spark, a.contests, a.targets, a.out, a.format,
+                    n_factors=a.factors, step=a.step, max_iter=a.iterations)
 
 
 if __name__ == "__main__":
