@@ -30,3 +30,16 @@ def test_null_key_fails_loudly(spark):
         f.write("WTeamID,LTeamID\n1,2\n,3\n")
     with pytest.raises(Exception, match="NULL in key column WTeamID"):
         read_season_contests(spark, path).collect()
+
+
+def test_parquet_input_is_projected_and_cast(spark):
+    from rivalry.sources.files import read_contests
+    path = tempfile.mkdtemp(prefix="rivalry-pq-", dir="/tmp") + "/c"
+    spark.createDataFrame([(2003, 10, 1328, 68, 1104, 62, "N", 0, 99)],
+                          "Season long, DayNum int, WTeamID int, WScore int, LTeamID int, LScore int, "
+                          "WLoc string, NumOT int, Extra int").write.parquet(path)
+    df = read_contests(spark, path, fmt="parquet")
+    assert [(f.name, f.dataType.simpleString()) for f in df.schema] == [
+        ("Season", "int"), ("WTeamID", "bigint"), ("WScore", "double"), ("LTeamID", "bigint"),
+        ("LScore", "double"), ("WLoc", "string"), ("NumOT", "int")]
+    assert tuple(df.collect()[0]) == (2003, 1328, 68.0, 1104, 62.0, "N", 0)
