@@ -23,9 +23,10 @@ def attach_predictions(parsed_targets: DataFrame, test_pred: DataFrame, train_pr
     keys).  Same rows as the left join.
     """
     preds = test_pred.select(*KEYS, pred_col).unionByName(train_pred.select(*KEYS, pred_col))
-    matched = parsed_targets.join(preds, KEYS, "inner")
+    cols = [*parsed_targets.columns, pred_col]          # request columns in their order, then the value
+    matched = parsed_targets.join(preds, KEYS, "inner").select(*cols)
     unmatched = (parsed_targets.join(preds.select(*KEYS).distinct(), KEYS, "left_anti")
-                 .withColumn(pred_col, F.lit(None).cast("double")))
+                 .withColumn(pred_col, F.lit(None).cast("double")).select(*cols))
     return matched.unionByName(unmatched)
 
 

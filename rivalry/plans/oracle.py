@@ -187,11 +187,11 @@ def oracle_sql(numot_cats=(0, 1, 2, 3, 4)) -> dict[str, str]:
         "team_cardinality": _ALL + "SELECT CAST(count(DISTINCT WTeamID) AS BIGINT) AS n_teams FROM "
                                    "(SELECT WTeamID FROM contests UNION ALL SELECT LTeamID FROM contests) t",
         "null_profile": _ALL + ("SELECT (SELECT count(*) FROM sub) AS rows, position, \"column\", non_null, dtype FROM ("
-                                "SELECT 0 AS position, 'Season' AS \"column\", (SELECT count(Season) FROM sub) AS non_null, 'int' AS dtype "
-                                "UNION ALL SELECT 1, 'TeamID1', (SELECT count(TeamID1) FROM sub), 'bigint' "
-                                "UNION ALL SELECT 2, 'TeamID2', (SELECT count(TeamID2) FROM sub), 'bigint' "
-                                "UNION ALL SELECT 3, 'ID', (SELECT count(ID) FROM sub), 'string' "
-                                "UNION ALL SELECT 4, 'Pred', (SELECT count(Pred) FROM sub), 'double' "
+                                "SELECT 0 AS position, 'ID' AS \"column\", (SELECT count(ID) FROM sub) AS non_null, 'string' AS dtype "
+                                "UNION ALL SELECT 1, 'Pred', (SELECT count(Pred) FROM sub), 'double' "
+                                "UNION ALL SELECT 2, 'Season', (SELECT count(Season) FROM sub), 'int' "
+                                "UNION ALL SELECT 3, 'TeamID1', (SELECT count(TeamID1) FROM sub), 'bigint' "
+                                "UNION ALL SELECT 4, 'TeamID2', (SELECT count(TeamID2) FROM sub), 'bigint' "
                                 "UNION ALL SELECT 5, 'Pred1', (SELECT count(Pred1) FROM sub), 'double') p"),
         "feature_union": _ALL + (f"SELECT Season, TeamID1, TeamID2, {_r('NumOT')}, {_r('Score_Ratio')}, "
                                  f"{_r('Score_Pct')}, {_r('Result')}, is_train FROM funion"),
