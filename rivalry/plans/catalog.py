@@ -44,8 +44,8 @@ def _t(spark: SparkSession, sf: str) -> Tournament:
 
 def _stand_in_sub(t: Tournament) -> DataFrame:
     """Targets with ``Pred1`` = Score_Pct of the observed / test rows."""
-    return t._stage(complete.attach_predictions(t.parsed_targets, t.test.withColumn("Pred1", F.col("Score_Pct")),
-                                                t.observed.withColumn("Pred1", F.col("Score_Pct"))))
+    return t.stage(complete.attach_predictions(t.parsed_targets, t.test.withColumn("Pred1", F.col("Score_Pct")),
+                                               t.observed.withColumn("Pred1", F.col("Score_Pct"))))
 
 
 # ---- sources -----------------------------------------------------------

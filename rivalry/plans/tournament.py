@@ -37,7 +37,7 @@ class Tournament:
         self.chunks = chunks
         self.checkpoint_stages = checkpoint_stages
 
-    def _stage(self, df: DataFrame) -> DataFrame:
+    def stage(self, df: DataFrame) -> DataFrame:
         """Write a stage read by several later steps once to the checkpoint
         folder, so the fan-out re-reads it instead of recomputing its joins
         (and a lost executor does not send the job back to the raw tables)."""
@@ -76,12 +76,12 @@ class Tournament:
         applied to the contests before the seed join and the mirror, and only
         this part is written for the observed and the missing split."""
         c = ct.season_filter(self.contests, self.seasons)
-        return self._stage(ct.mirror_contests(ct.seed_join(c, self.seeds)))
+        return self.stage(ct.mirror_contests(ct.seed_join(c, self.seeds)))
 
     @cached_property
     def parsed_targets(self) -> DataFrame:
         """Requests split into keys; read by both splits and the completion."""
-        return self._stage(pairs.parse_targets(self.targets))
+        return self.stage(pairs.parse_targets(self.targets))
 
     @cached_property
     def observed(self) -> DataFrame:
@@ -105,7 +105,7 @@ class Tournament:
         folder: the boundary between the relational part and the model part,
         read by the category scan, the scaler fit, the model fit and the
         scoring pass without recomputing the joins above it."""
-        return self._stage(prepare.feature_union(self.observed, self.test))
+        return self.stage(prepare.feature_union(self.observed, self.test))
 
     def encoded(self, season_cats=None, numot_cats=None) -> tuple[DataFrame, list[str]]:
         return prepare.encode_features(self.union, season_cats, numot_cats)
@@ -120,7 +120,7 @@ class Tournament:
         returns targets with the model value or the harmonic fallback."""
         test_pred = scored.where(~F.col("is_train"))
         train_pred = scored.where(F.col("is_train"))
-        sub = self._stage(complete.attach_predictions(self.parsed_targets, test_pred, train_pred, pred_col))
+        sub = self.stage(complete.attach_predictions(self.parsed_targets, test_pred, train_pred, pred_col))
         return complete.fallback_prediction(sub, pred_col, out="Pred")
 
     def run(self, score: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
