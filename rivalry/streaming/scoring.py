@@ -17,17 +17,23 @@ from ..defaults import FALLBACK_PROB
 from ..functions import scalar as fx
 from ..operators.complete import team_probabilities
 from ..operators.pairs import KEYS, parse_targets
+from ..session import materialize
 from ..sources import schemas
 
 
 class CompletionTables:
     """Static inputs of the streaming completion, taken from a batch ``sub``
-    (requests with ``Pred1``): scored pairs and per-team probabilities."""
+    (requests with ``Pred1``): scored pairs and per-team probabilities.
+
+    The static side of a stream-static join is evaluated again for every
+    micro-batch, so the three tables are written once to the checkpoint
+    folder here; each batch then reads them instead of re-aggregating."""
 
     def __init__(self, sub: DataFrame, pred_col: str = "Pred1"):
-        self.scored = (sub.where(F.col(pred_col).isNotNull())
-                       .select(*KEYS, F.col(pred_col).alias("Pred1")))
-        self.prob1, self.prob2 = team_probabilities(sub, pred_col)
+        self.scored = materialize(sub.where(F.col(pred_col).isNotNull())
+                                  .select(*KEYS, F.col(pred_col).alias("Pred1")))
+        p1, p2 = team_probabilities(sub, pred_col)
+        self.prob1, self.prob2 = materialize(p1), materialize(p2)
 
 
 def complete_stream(requests: DataFrame, tables: CompletionTables, default: float = FALLBACK_PROB) -> DataFrame:
