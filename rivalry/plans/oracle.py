@@ -139,7 +139,8 @@ def oracle_sql(numot_cats=(0, 1, 2, 3, 4)) -> dict[str, str]:
         f"FROM enc WHERE is_train" for c in feat)
     mm = ", ".join(f"min({c}) AS mn_{c}, max({c}) AS mx_{c}" for c in feat)
     scaled = ", ".join(
-        f"round(({c} - mn_{c}) / (mx_{c} - mn_{c} + CASE WHEN is_train THEN {EPS_TRAIN!r} ELSE {EPS_TEST!r} END), 6) AS {c}"
+        f"round(({c} - (SELECT mn_{c} FROM mm)) / ((SELECT mx_{c} FROM mm) - (SELECT mn_{c} FROM mm) "
+        f"+ CASE WHEN is_train THEN {EPS_TRAIN!r} ELSE {EPS_TEST!r} END), 6) AS {c}"
         for c in feat)
     other = ("Season, TeamID1, TeamID2, round(NumOT, 6) AS NumOT, is_train, round(Result, 6) AS Result")
 
@@ -197,7 +198,7 @@ def oracle_sql(numot_cats=(0, 1, 2, 3, 4)) -> dict[str, str]:
                                  f"{_r('Score_Pct')}, {_r('Result')}, is_train FROM funion"),
         "one_hot_season": _ALL + enc + (f"\nSELECT {other}, {_r('Score_Ratio')}, {_r('Score_Pct')}, "
                                         + ", ".join(_r(c) for c in feat[:-2]) + " FROM enc"),
-        "minmax_scale": _ALL + enc + f",\nmm AS (SELECT {mm} FROM enc WHERE is_train)\nSELECT {other}, {scaled} FROM enc, mm",
+        "minmax_scale": _ALL + enc + f",\nmm AS (SELECT {mm} FROM enc WHERE is_train)\nSELECT {other}, {scaled} FROM enc",
         "holdout_split": _ALL + ("SELECT Season, TeamID1, TeamID2, Result, "
                                  "CAST(('0x' || substr(md5(concat(CAST(Season AS VARCHAR), '_', "
                                  "CAST(least(TeamID1, TeamID2) AS VARCHAR), '_', CAST(greatest(TeamID1, TeamID2) AS VARCHAR))), 1, 8))"
