@@ -142,10 +142,11 @@ def fit_boost_subsample(train: DataFrame, grid: dict[str, Sequence] = BOOST_SUBS
     return fit_gbt_grid(train, grid, folds, parallelism, **params)
 
 
-def fit_linear_svc(train: DataFrame, cs: Sequence[float] = SVC_CS, folds: int = SVC_FOLDS, parallelism: int | None = None):
+def fit_linear_svc(train: DataFrame, cs: Sequence[float] = SVC_CS, folds: int = SVC_FOLDS,
+                   parallelism: int | None = None, max_iter: int = 100):
     with held(fold_column(train, folds)) as data:
         n = data.count()
-        est = LinearSVC(standardization=False, maxIter=100)
+        est = LinearSVC(standardization=False, maxIter=max_iter)
         return _cv(est, {"regParam": [1.0 / (c * n) for c in cs]}, folds, parallelism).fit(data)
 
 

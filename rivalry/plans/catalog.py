@@ -244,7 +244,7 @@ def q_gbt_subsample_predict(spark, sf):
 
 
 def q_svc_predict(spark, sf):
-    return r6(jobs.tournament_predictions(_t(spark, sf), "svc", cs=(1.0, 100.0), folds=2)[0])
+    return r6(jobs.tournament_predictions(_t(spark, sf), "svc", cs=(1.0, 100.0), folds=2, max_iter=25)[0])
 
 
 def q_grid_report(spark, sf):
