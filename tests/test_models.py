@@ -37,3 +37,9 @@ def test_leaf_stack_report(spark):
     rows = {r.model: r.auc for r in catalog.q_gbt_leaf_lr(spark, SF_SMALL).collect()}
     assert set(rows) == {"gbt", "lr", "leaves_lr", "combined_lr"}
     assert all(0.0 <= v <= 1.0 for v in rows.values())
+
+
+def test_svc_job_probabilities(spark):
+    rows = catalog.q_svc_predict(spark, SF_SMALL).collect()
+    assert len(rows) == catalog._stand_in_sub(catalog._t(spark, SF_SMALL)).count()
+    assert all(r.Pred is not None and 0.0 <= r.Pred <= 1.0 for r in rows)
