@@ -58,3 +58,23 @@ def test_grid_report_and_leaf_auc_from_csv(spark):
     auc = {r.model: r.auc for r in run_leaf_auc(spark, paths["seeds"], paths["contests"], paths["targets"],
                                                  seasons=list(fxt.TARGET_SEASONS)).collect()}
     assert set(auc) == {"gbt", "lr", "leaves_lr", "combined_lr"}
+
+
+def test_command_line_main(spark):
+    import subprocess
+    import sys
+    root = tempfile.mkdtemp(prefix="rivalry-main-", dir="/tmp")
+    li, o = fxt.table(spark, SF_SMALL, "lineitem"), fxt.table(spark, SF_SMALL, "orders")
+    for name, df in [("seeds", fxt.seeds_from(li, o)), ("contests", fxt.contests_from(li, o)),
+                     ("targets", fxt.targets_from(li, o))]:
+        _write(df, os.path.join(root, name))
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    cmd = [sys.executable, "-m", "rivalry.plans.cli", "tournament", "--conf",
+           f"spark.checkpoint.dir={root}/ckpt", "--seeds", f"{root}/seeds", "--contests", f"{root}/contests",
+           "--targets", f"{root}/targets", "--out", f"{root}/sub", "--model", "lr",
+           "--seasons", ",".join(str(s) for s in fxt.TARGET_SEASONS)]
+    done = subprocess.run(cmd, cwd=repo, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+    sub = spark.read.option("header", True).csv(f"{root}/sub")
+    assert sub.columns == ["ID", "Pred"]
+    assert sub.count() == catalog.q_lr_predict(spark, SF_SMALL).count()
