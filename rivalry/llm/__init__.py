@@ -11,7 +11,7 @@ import importlib
 
 from pyspark import cloudpickle
 
-_TASK_MODULES = ("common", "simhash")
+_TASK_MODULES = ("common", "simhash", "quality_cnn", "tokens", "packing", "token_store", "warc", "ann")
 
 
 def by_value() -> None:

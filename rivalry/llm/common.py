@@ -56,6 +56,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def computed(df: DataFrame, keep: Sequence[str | Column], **columns: Column) -> DataFrame:
+    """``keep`` and the named columns, each computed exactly once a row: a
+    filter on them is not moved below (where Spark would compute them again,
+    inside a lambda even for every element)."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def prefix_sums(df: DataFrame, keys: Sequence[str], seq: str, value: str, before: str,
                 total: str | None = None, span: int = 4096) -> DataFrame:
     """Add ``before`` = sum of ``value`` over smaller ``seq`` within ``keys``
@@ -96,3 +103,23 @@ def unpacked(df: DataFrame, names: Sequence[str], *columns: str | Column) -> Dat
     new = [F.col(c) if isinstance(c, str) else c for c in columns]
     taken = {n.lower() for n in df.select(*new).columns} if new else set()
     return df.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names) if c.lower() not in taken], *new)
+
+
+def slice_of(value: Column, bounds: Sequence[int]) -> Column:
+    """Number of the ascending ``bounds`` that are at most ``value`` (0 for
+    NULL), by binary search: a pure function of the value, so every stage and
+    every retry sees the same slices."""
+    if not bounds:
+        return F.lit(0)
+    table = F.array(*[F.lit(b).cast("long") for b in bounds])
+    steps = F.array(*[F.lit(i) for i in range(len(bounds).bit_length())])
+
+    def step(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        right = (acc["lo"] < acc["hi"]) & (F.get(table, mid) <= value)
+        left = (acc["lo"] < acc["hi"]) & ~right
+        return F.struct(F.when(right, mid + 1).otherwise(acc["lo"]).alias("lo"),
+                        F.when(left, mid).otherwise(acc["hi"]).alias("hi"))
+
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), step)["lo"]
+    return F.when(value.isNull(), F.lit(0)).otherwise(found)

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, packed, unpacked, words
+from .common import computed, let, packed, unpacked, words
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -84,18 +84,18 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     d = docs.select(*keep, words(F.col(text)).alias("_w"), lines.alias("_l"), t.alias("_t"))
     capital = lambda x: (F.length(x) > 1) & (x == F.upper(x)) & (x != F.lower(x))
     w, ln = F.col("_w"), F.col("_l")
-    return d.select(
-        *keep,
-        F.size(w).cast("long").alias("n_words"),
-        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        F.regexp_count(F.col("_t"), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size(ln) - F.size(F.array_distinct(ln))).cast("long").alias("n_dup_lines"),
-        repeat_words(w).cast("long").alias("n_repeat_words"),
-        F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.size(F.filter(w, capital)).cast("long").alias("n_upper_words"),
-        F.size(ln).cast("long").alias("n_lines"),
-        F.size(F.filter(ln, lambda s: s.rlike(r"^[\x20\x09-\x0D]*[-*•]"))).cast("long").alias("n_bullet_lines"),
-        F.size(F.filter(ln, lambda s: s.rlike(r"(?:\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long").alias("n_ellipsis_lines"))
+    return computed(
+        d, keep,
+        n_words=F.size(w).cast("long"),
+        word_chars=F.length(F.array_join(w, "")).cast("long"),
+        n_symbols=F.regexp_count(F.col("_t"), F.lit(SYMBOLS)).cast("long"),
+        n_dup_lines=(F.size(ln) - F.size(F.array_distinct(ln))).cast("long"),
+        n_repeat_words=repeat_words(w).cast("long"),
+        n_stop_words=F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long"),
+        n_upper_words=F.size(F.filter(w, capital)).cast("long"),
+        n_lines=F.size(ln).cast("long"),
+        n_bullet_lines=F.size(F.filter(ln, lambda s: s.rlike(r"^[\x20\x09-\x0D]*[-*•]"))).cast("long"),
+        n_ellipsis_lines=F.size(F.filter(ln, lambda s: s.rlike(r"(?:\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long"))
 
 
 def verdict(rules: Sequence = RULES) -> Column:

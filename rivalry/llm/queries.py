@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import by_value, mixing, quality_rules, sharding, simhash
+from . import ann, by_value, licenses, mixing, packing, quality_cnn, quality_rules, sharding, simhash, token_store, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,14 +37,41 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = quality_cnn.train(docs, table(spark, sf_dir, "labels"))
+    return quality_cnn.score(docs, net).select("doc_id", quality_cnn.held_out().alias("held_out"), "score", "predicted")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder, bounds, shards = token_store.write_store(docs)
+    return token_store.read_store(docs.select(F.col("doc_id").alias("key")), folder, bounds, shards)
+
+
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.summary(warc.derive(warc.responses(table(spark, sf_dir, "pages"))))
+
+
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality_rules": op1_quality_rules,
-    "op2_source_mix": op2_source_mix,
-    "op3_simhash_dedup": op3_simhash_dedup,
-    "op4_shards": op4_shards,
-}
+    f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_simhash_dedup, op4_shards, op5_quality_cnn,
+                            op6_license_scan, op7_packing, op8_token_store, op9_warc_derivatives, op10_multi_index)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.oracle_sql(),
     "op2_source_mix": mixing.oracle_sql(),
+    "op6_license_scan": licenses.oracle_sql(),
+    "op10_multi_index": ann.oracle_sql(),
 }
