@@ -35,7 +35,7 @@ from .common import computed, pin, small
 SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS = 8
-WINDOW, STRIDE = 16, 8
+WINDOW, STRIDE = 16, 8    # in shingles; a window is two strides
 LONG = WINDOW + STRIDE - 1
 
 #: License notices as they are usually written.
@@ -93,27 +93,46 @@ def hashes(w: Column) -> Column:
     return F.transform(_starts(w), lambda i: F.xxhash64(*[w[i + j] for j in range(SHINGLE)]))
 
 
-def _ordered(name: str, band: int) -> Column:
-    """The shingle hashes in the order of one band."""
-    return F.transform(F.col(name), lambda h: F.xxhash64(h, F.lit(band)))
+def _minimum(hashes: str, start: Column, width: int, mask: int) -> Column:
+    """Least shingle hash, in the order of one band, of ``width`` shingles
+    (positions behind the end do not count)."""
+    return F.least(*[F.get(F.col(hashes), start + j).bitwiseXOR(F.lit(mask)) for j in range(width)])
 
 
-def _minima(band: int, at: Column) -> Column:
-    """(band, value) of the windows that start ``at``."""
-    return F.transform(at, lambda i: F.struct(F.lit(band).alias("band"),
-                                              F.array_min(F.slice(F.col(f"_b{band}"), i + 1, WINDOW)).alias("value")))
+def _band_masks() -> list[int]:
+    """One constant per band: a band orders the hashes by their XOR with it."""
+    return [(b + 1) * 0x9E3779B97F4A7C15 % (1 << 63) for b in range(BANDS)]
 
 
-def _signatures(d: DataFrame, keys: Sequence[str], stride: int) -> DataFrame:
-    """(keys, band, value) of the windows of ``hashes``; a text shorter than a
-    window is one window."""
-    n = F.size("hashes")
-    d = computed(d.where(n > 0), [*keys, F.greatest(F.lit(0), n - WINDOW).alias("last")],
-                 **{f"_b{b}": _ordered("hashes", b) for b in range(BANDS)})
-    at = F.sequence(F.lit(0), F.col("last"), F.lit(stride))
-    if stride > 1:      # and one window that ends with the text
-        at = F.array_union(at, F.array("last"))
-    return d.select(*keys, F.inline(F.concat(*[_minima(b, at) for b in range(BANDS)])))
+def _inline_bands(d: DataFrame, keys: Sequence[str], minima) -> DataFrame:
+    """(keys, band, value) of the signature values of all windows."""
+    value = lambda b, m: F.transform(m, lambda x: F.struct(F.lit(b).alias("band"), x.alias("value")))
+    return d.select(*keys, F.inline(F.concat(*[value(b, minima(b)) for b in range(BANDS)])))
+
+
+def _template_signatures(t: DataFrame) -> DataFrame:
+    """Signatures of all windows of the long templates."""
+    starts = F.sequence(F.lit(0), F.size("hashes") - WINDOW)
+    masks = _band_masks()
+
+    def all_windows(mask):
+        return F.transform(starts, lambda i: _minimum("hashes", i, WINDOW, mask))
+    return _inline_bands(t, ["license"], lambda b: all_windows(masks[b])).distinct()
+
+
+def _text_signatures(h: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Signatures of the windows of a text that start every ``STRIDE``: a
+    window is two neighbouring blocks of ``STRIDE`` shingles."""
+    starts = F.sequence(F.lit(0), F.size("hashes") - 1, F.lit(STRIDE))
+    d = h.where(F.size("hashes") > 0)
+
+    def blocks(mask):
+        return F.transform(starts, lambda i: _minimum("hashes", i, STRIDE, mask))
+    d = computed(d, keys, **{f"_b{b}": blocks(m) for b, m in enumerate(_band_masks())})
+
+    def windows(b):
+        return F.transform(F.col(f"_b{b}"), lambda x, i: F.least(x, F.get(F.col(f"_b{b}"), i + 1)))
+    return _inline_bands(d, keys, windows)
 
 
 def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
@@ -132,13 +151,13 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, text
     t = pin(template_table(spark, templates))
     long_ = F.size("shingles") >= LONG
     short_index = t.where(~long_).select("license", F.explode("hashes").alias("value")).distinct()
-    long_index = _signatures(t.where(long_), ["license"], 1).distinct()
+    long_index = _template_signatures(t.where(long_))
 
     d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     h = computed(computed(d, ["doc_id", "th"], w=_tokens(F.col("text"))), ["doc_id", "th"], hashes=hashes(F.col("w")))
     found = (h.select("doc_id", "th", F.explode("hashes").alias("value")).join(small(pin(short_index)), "value")
              .select("doc_id", "th", "license"))
-    found = found.unionByName(_signatures(h, ["doc_id", "th"], STRIDE).join(small(pin(long_index)), ["band", "value"])
+    found = found.unionByName(_text_signatures(h, ["doc_id", "th"]).join(small(pin(long_index)), ["band", "value"])
                               .select("doc_id", "th", "license"))
     found = found.groupBy("doc_id", "th", "license").count().groupBy("doc_id", "th").agg(
         F.collect_set("license").alias("licenses"))          # at most one of each template
