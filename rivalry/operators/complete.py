@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fx
+from ..session import materialize
 from .pairs import KEYS
 from .stats import harmonic_mean_by
 
@@ -39,13 +40,18 @@ def team_probabilities(sub: DataFrame, pred_col: str = "Pred1") -> tuple[DataFra
 
 
 def fallback_prediction(sub: DataFrame, pred_col: str = "Pred1", out: str = "Pred") -> DataFrame:
-    """``out`` = the model value, else prob1[TeamID1] * (1 - prob2[TeamID2]).
-
-    The per-team tables have one row per team; AQE broadcasts them when the
-    materialised size is under the threshold.  (The product uses 1 - prob2
-    although prob2 is already a team-1 win probability; kept as specified.)
+    """``out`` = the model value, else prob1[TeamID1] * (1 - prob2[TeamID2]);
+    a NaN is no value.
+
+    The per-team tables have one row per team and are materialized first: the
+    joins then have an exchange on both sides, so adaptive execution can
+    split a team that holds a third of the requests (straight from the
+    aggregates it could not), and broadcasts a table only after measuring it.
+    (The product uses 1 - prob2 although prob2 is already a team-1 win
+    probability; kept as specified.)
     """
-    p1, p2 = team_probabilities(sub, pred_col)
+    sub = sub.withColumn(pred_col, F.when(~F.isnan(pred_col), F.col(pred_col)))
+    p1, p2 = (materialize(p) for p in team_probabilities(sub, pred_col))
     j = sub.join(p1, "TeamID1", "left").join(p2, "TeamID2", "left")
     return j.withColumn(out, F.coalesce(F.col(pred_col), fx.fallback_product("prob1", "prob2")))
 

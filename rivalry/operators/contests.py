@@ -33,9 +33,6 @@ def seed_join(contests: DataFrame, seeds: DataFrame) -> DataFrame:
     return out.withColumn("DiffSeed", fx.seed_diff("LSeed", "WSeed"))
 
 
-_SIDE_COLS = ("Season", "TeamID1", "TeamID2", "Team1_Score", "Team2_Score", "NumOT", "DiffSeed", "Result")
-
-
 def mirror_contests(enriched: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Two labelled rows per contest: the winner's view (``Result`` 1.0) and
     the loser's view (``Result`` 0.0), then score ratio, total and share.

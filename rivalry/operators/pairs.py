@@ -82,14 +82,3 @@ def pair_features(missing: DataFrame, medians: DataFrame) -> DataFrame:
         F.bround(F.col("NumOT1") + F.col("NumOT2"), 0).alias("NumOT"),
         fx.inverse_ratio_geomean("Score_Ratio1", "Score_Ratio2").alias("Score_Ratio"),
         fx.harmonic_pair("Score_Pct1", "Score_Pct2").alias("Score_Pct"))
-
-
-def season_pair_stats(medians: DataFrame) -> DataFrame:
-    """The original per-season product of team-1 and team-2 statistics.
-
-    Kept only as the brute-force reference for tests on small inputs: it
-    emits every (team1, team2) pair of a season.  Use :func:`pair_features`.
-    """
-    t1 = side_stats(medians, 1)
-    t2 = side_stats(medians, 2)
-    return t1.join(t2, ["Season"], "inner")

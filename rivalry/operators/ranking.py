@@ -8,8 +8,8 @@ window is done in two levels instead:
 
 1. range-partition the rows by ``(group, order)`` into ``chunks`` slices of
    about equal size and tag each row with its slice id; the tagged copy is
-   checkpointed so every later step sees the same slices, also after an
-   executor is lost;
+   fixed (:func:`~rivalry.session.materialize`) so every later step sees the
+   same slices, also after an executor is lost;
 2. running sum inside each (slice, group) piece - a window over at most one
    slice;
 3. per (group, slice) totals - a tiny table of at most ``groups + chunks``
@@ -35,6 +35,7 @@ _LOCAL = "_rv_local"
 _OFF = "_rv_off"
 _TOT = "_rv_tot"
 _W = "_rv_w"
+_KEY = "_rv_key"
 
 
 def _order_cols(order: Sequence[str | Column]) -> list[Column]:
@@ -63,9 +64,9 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
         .withColumn(_CHUNK, F.spark_partition_id())
     ranged = materialize(ranged)
 
-    local_w = (Window.partitionBy(_CHUNK, *by).orderBy(*ordc)
+    local_w = (Window.partitionBy(_KEY).orderBy(*ordc)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = ranged.withColumn(_LOCAL, F.sum(_W).over(local_w))
+    local = ranged.withColumn(_KEY, F.struct(_CHUNK, *by)).withColumn(_LOCAL, F.sum(_W).over(local_w))
 
     # one row per (group, slice): bounded by groups + slices
     tots = ranged.groupBy(*by, _CHUNK).agg(F.sum(_W).alias(_TOT))
@@ -77,15 +78,10 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
         offs = offs.withColumn(total, F.sum(_TOT).over(whole))
     offs = offs.drop(_TOT)
 
-    # join back on (group, slice); NULL-safe on the group so a NULL group
-    # keeps its rows
-    keys = [f"_rv_k{i}" for i in range(len(by))]
-    offs = offs.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.col(_CHUNK).alias("_rv_kc"),
-                       *[c for c in offs.columns if c not in (*by, _CHUNK)])
-    cond = F.col(_CHUNK) == F.col("_rv_kc")
-    for b, k in zip(by, keys):
-        cond = cond & F.col(b).eqNullSafe(F.col(k))
-    joined = local.join(offs, on=cond, how="inner").drop(*keys, "_rv_kc")
+    # join back on (slice, group) as one key that is never NULL, the window's
+    # own partitioning, so the rows are not dealt out again
+    offs = offs.select(F.struct(_CHUNK, *by).alias(_KEY), *[c for c in offs.columns if c not in (*by, _CHUNK)])
+    joined = local.join(offs, on=_KEY, how="inner").drop(_KEY)
     res = joined.withColumn(out, F.col(_OFF) + F.col(_LOCAL))
     if slice_col:
         res = res.withColumnRenamed(_CHUNK, slice_col)

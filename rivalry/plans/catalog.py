@@ -20,7 +20,6 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from ..operators import complete, contests as ct, models, pairs, prepare, stats
 from ..operators.metrics import roc_auc
-from ..session import ensure_local_checkpoint_dir
 from ..sources import fixtures as fxt
 from . import jobs
 from .factors import FactorJob
@@ -37,29 +36,33 @@ def r6(df: DataFrame) -> DataFrame:
 
 
 def _t(spark: SparkSession, sf: str) -> Tournament:
-    ensure_local_checkpoint_dir(spark)
     fx = fxt.Fixtures(fxt.table(spark, sf, "lineitem"), fxt.table(spark, sf, "orders"), SEASONS)
     return Tournament(lambda: fx.contests, lambda: fx.seeds, lambda: fx.targets, SEASONS)
 
 
 def _stand_in_sub(t: Tournament) -> DataFrame:
     """Targets with ``Pred1`` = Score_Pct of the observed / test rows."""
-    return t.stage(complete.attach_predictions(t.parsed_targets, t.test.withColumn("Pred1", F.col("Score_Pct")),
-                                               t.observed.withColumn("Pred1", F.col("Score_Pct"))))
+    scored = t.union.withColumn("Pred1", F.col("Score_Pct"))
+    return t.stage(complete.attach_predictions(t.parsed_targets, scored.where(~F.col("is_train")),
+                                               scored.where("is_train")))
 
 
 # ---- sources -----------------------------------------------------------
 
+def _one(spark: SparkSession, sf: str) -> fxt.Fixtures:
+    return fxt.one(fxt.table(spark, sf, "lineitem"), fxt.table(spark, sf, "orders"), SEASONS)
+
+
 def q_scan_contests(spark, sf):
-    return r6(_t(spark, sf).contests)
+    return r6(_one(spark, sf).contests)
 
 
 def q_scan_seeds(spark, sf):
-    return _t(spark, sf).seeds
+    return _one(spark, sf).seeds
 
 
 def q_scan_targets(spark, sf):
-    return _t(spark, sf).targets
+    return _one(spark, sf).targets
 
 
 def q_submission(spark, sf):
@@ -70,11 +73,11 @@ def q_submission(spark, sf):
 # ---- scalar functions / projections -------------------------------------
 
 def q_parse_seed(spark, sf):
-    return ct.parse_seeds(_t(spark, sf).seeds)
+    return ct.parse_seeds(_one(spark, sf).seeds)
 
 
 def q_parse_target_id(spark, sf):
-    return pairs.parse_targets(_t(spark, sf).targets)
+    return pairs.parse_targets(_one(spark, sf).targets)
 
 
 def q_seed_join(spark, sf):
@@ -94,17 +97,15 @@ def q_score_features(spark, sf):
 
 
 def q_season_filter(spark, sf):
-    t = _t(spark, sf)
-    return r6(ct.season_filter(t.train, SEASONS).select("Season", "TeamID1", "TeamID2", "Result", "Score_Pct"))
+    # the contests are filtered before the seed joins and the mirror
+    return r6(_t(spark, sf).season_rows.select("Season", "TeamID1", "TeamID2", "Result", "Score_Pct"))
 
 
 def q_mirror_pairs(spark, sf):
-    ensure_local_checkpoint_dir(spark)
     return ct.mirror_pairs(fxt.season_contests(spark, sf))
 
 
 def q_preview_topn(spark, sf):
-    ensure_local_checkpoint_dir(spark)
     mp = ct.mirror_pairs(fxt.season_contests(spark, sf))
     return mp.orderBy("team1", "team2", "pred").limit(5)
 
@@ -133,7 +134,6 @@ def q_fallback_prediction(spark, sf):
 
 
 def q_team_index(spark, sf):
-    ensure_local_checkpoint_dir(spark)
     return prepare.team_index(ct.mirror_pairs(fxt.season_contests(spark, sf)))
 
 
@@ -161,11 +161,10 @@ def q_minmax_stats(spark, sf):
 
 
 def q_distinct_seasons(spark, sf):
-    return _t(spark, sf).parsed_targets.select("Season").distinct()
+    return pairs.parse_targets(_one(spark, sf).targets).select("Season").distinct()
 
 
 def q_team_cardinality(spark, sf):
-    ensure_local_checkpoint_dir(spark)
     mp = ct.mirror_pairs(fxt.season_contests(spark, sf))
     return mp.agg(F.countDistinct("team1").alias("n_teams"))
 
@@ -270,7 +269,6 @@ def q_gbt_leaf_lr(spark, sf):
 
 
 def _factor_job(spark, sf):
-    ensure_local_checkpoint_dir(spark)
     fx = fxt.Fixtures(fxt.table(spark, sf, "lineitem"), fxt.table(spark, sf, "orders"), SEASONS)
     sc = fx.contests.select("WTeamID", "LTeamID")
     return FactorJob(sc, n_factors=50, max_iter=20, step=0.01), fx.targets

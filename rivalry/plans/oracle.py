@@ -18,8 +18,7 @@ podium AS (
   SELECT l_orderkey, team, score, qty, place FROM (
     SELECT l_orderkey, l_suppkey AS team, max(l_extendedprice) AS score, max(l_quantity) AS qty,
            row_number() OVER (PARTITION BY l_orderkey ORDER BY max(l_extendedprice) DESC, l_suppkey) AS place
-    FROM lineitem GROUP BY l_orderkey, l_suppkey) x
-  WHERE place <= 3)"""
+    FROM lineitem GROUP BY l_orderkey, l_suppkey) x)"""
 
 _CONTESTS = """
 contests AS (
@@ -51,7 +50,7 @@ targets AS (
          CAST(0.5 AS DOUBLE) AS Pred
   FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS Season,
                least(a.team, b.team) AS TeamID1, greatest(a.team, b.team) AS TeamID2
-        FROM podium a JOIN podium b ON a.l_orderkey = b.l_orderkey AND a.place < b.place
+        FROM podium a JOIN podium b ON a.l_orderkey = b.l_orderkey AND a.place + 1 = b.place
         JOIN orders ON a.l_orderkey = o_orderkey
         WHERE year(o_orderdate) IN ({_SEASONS})) p)"""
 
@@ -203,14 +202,14 @@ def oracle_sql(numot_cats=(0, 1, 2, 3, 4)) -> dict[str, str]:
                                  "CAST(('0x' || substr(md5(concat(CAST(Season AS VARCHAR), '_', "
                                  "CAST(least(TeamID1, TeamID2) AS VARCHAR), '_', CAST(greatest(TeamID1, TeamID2) AS VARCHAR))), 1, 8))"
                                  "::UBIGINT % 100 AS INTEGER) < 30 AS is_holdout FROM train"),
+        # by rank sums (Mann-Whitney, ties at their mean rank), not by running counts
         "roc_auc": _ALL + ("""
 , sc AS (
   SELECT t.Season, t.Result, CAST(17 - coalesce(s.seed_int, 17) AS DOUBLE) AS strength
   FROM train t LEFT JOIN seeds_p s ON t.Season = s.Season AND t.TeamID1 = s.TeamID),
-g AS (SELECT Season, strength, sum(Result) AS pos, sum(1.0 - Result) AS neg FROM sc GROUP BY 1, 2),
-c AS (SELECT *, sum(neg) OVER (PARTITION BY Season ORDER BY strength ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cneg FROM g)
-SELECT Season, round(CASE WHEN sum(pos) > 0 AND sum(neg) > 0
-                     THEN sum(pos * (cneg - neg + 0.5 * neg)) / (sum(pos) * sum(neg)) END, 6) AS auc
-FROM c GROUP BY Season"""),
+r AS (SELECT Season, Result, rank() OVER (PARTITION BY Season ORDER BY strength)
+             + (count(*) OVER (PARTITION BY Season, strength) - 1) / 2.0 AS mean_rank FROM sc),
+u AS (SELECT Season, sum(Result) AS p, sum(1 - Result) AS n, sum(Result * mean_rank) AS ranks FROM r GROUP BY Season)
+SELECT Season, round(CASE WHEN p > 0 AND n > 0 THEN (ranks - p * (p + 1) / 2) / (p * n) END, 6) AS auc FROM u"""),
     }
     return q

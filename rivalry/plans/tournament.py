@@ -71,12 +71,15 @@ class Tournament:
         return ct.mirror_contests(self.enriched)
 
     @cached_property
-    def season_train(self) -> DataFrame:
+    def season_rows(self) -> DataFrame:
         """Mirrored contests of the target seasons only: the season filter is
-        applied to the contests before the seed join and the mirror, and only
-        this part is written for the observed and the missing split."""
-        c = ct.season_filter(self.contests, self.seasons)
-        return self.stage(ct.mirror_contests(ct.seed_join(c, self.seeds)))
+        applied to the contests before the seed join and the mirror."""
+        return ct.mirror_contests(ct.seed_join(ct.season_filter(self.contests, self.seasons), self.seeds))
+
+    @cached_property
+    def season_train(self) -> DataFrame:
+        """The same, fixed once for the observed and the missing split."""
+        return self.stage(self.season_rows)
 
     @cached_property
     def parsed_targets(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Defaults that hold at any scale: AQE re-plans joins and partition counts at
@@ -48,50 +49,40 @@ def _context(spark: SparkSession):
         return None
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    The library never invents a folder: on a cluster the checkpoint folder
-    must be shared storage every executor can reach.
-    """
+def configured_dir(spark: SparkSession) -> str | None:
+    """The shared folder named by ``spark.checkpoint.dir`` (or set on the
+    context), None where there is none."""
     sc = _context(spark)
     if sc is None:
-        d = spark.conf.get("spark.checkpoint.dir", None)
-        if not d:
-            raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
-        return d
-    cur = sc.getCheckpointDir()
-    if cur:
-        return cur
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not conf_dir:
-        raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir()
+        return spark.conf.get("spark.checkpoint.dir", None)
+    return (sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+            or sc.getConf().get("spark.checkpoint.dir"))
 
 
-def ensure_local_checkpoint_dir(spark: SparkSession) -> str:
-    """Tests and local runs only: use ``spark.checkpoint.dir`` when it is set,
-    else a fresh scratch folder (on the context: the setting itself cannot be
-    changed once the context runs)."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder; an error where none is configured.  The
+    library never invents a folder: on a cluster it must be shared storage
+    that every executor can reach."""
+    conf_dir = configured_dir(spark)
+    if not conf_dir:
+        raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
     sc = _context(spark)
     if sc is None:
-        return checkpoint_dir(spark)
-    if sc.getCheckpointDir():
-        return sc.getCheckpointDir()
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not conf_dir:
-        import tempfile
-        conf_dir = tempfile.mkdtemp(prefix="rivalry-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(conf_dir)
+        return conf_dir
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+    """One fixed copy of ``df`` for several readers.
 
-    Used where later steps must see one fixed copy of a result (for example
-    range-partition ids) and must survive the loss of executors.
+    With a shared checkpoint folder it is written there and its lineage is
+    cut, so a lost executor costs nothing.  Without one it is kept by the
+    executors; what is lost is computed again from the same lineage - the same
+    tasks, the same range bounds - so readers still see one result.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if configured_dir(df.sparkSession):
+        checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -9,6 +9,11 @@ from pyspark.sql.types import StructType
 from . import schemas
 
 
+#: Headers are checked in every file, malformed rows fail the job.  Column
+#: pruning would skip the check of columns that are not read.
+CSV_OPTIONS = {"header": "true", "mode": "FAILFAST", "enforceSchema": "false", "columnPruning": "false"}
+
+
 def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "csv") -> DataFrame:
     """Scan ``path`` and return exactly the columns of ``schema``, found by
     name and cast to the declared types; CSV files carry a header row.
@@ -16,11 +21,12 @@ def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "c
     Files may hold more columns than the job reads (a full results file):
     columns are matched by header name, never by position, and types are
     never inferred - CSV fields are read as text and cast (ANSI casts fail
-    on a malformed value instead of producing NULL).  Only the selected
-    columns are parsed (CSV column pruning) or read (parquet).
+    on a malformed value instead of producing NULL).  All files of a CSV
+    folder must have the same header; another order or name fails the job
+    instead of swapping columns.
     """
     if fmt == "csv":
-        df = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+        df = spark.read.options(**CSV_OPTIONS).csv(path)
     else:
         df = spark.read.format(fmt).load(path)
     return conform(df, schema)

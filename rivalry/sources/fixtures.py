@@ -7,10 +7,11 @@ Spark from ``lineitem`` and ``orders`` so the work grows with the tables.
 
 * ``contests``  - Season, WTeamID, WScore, LTeamID, LScore, WLoc, NumOT
 * ``seeds``     - Season, TeamID, Seed: top 68 % of teams by season revenue
-* ``targets``   - ID, Pred: the requested pairings.  A request is any pairing
-  among the three best suppliers of an order of a target season (at most
-  three pairs per order, so the list grows linearly with the orders; the
-  contest pairs are among them, the place-3 pairings mostly never met).
+* ``targets``   - ID, Pred: the requested pairings.  A request pairs a
+  supplier of an order of a target season with the next-placed one of that
+  order (place p with p + 1, for every p), so the list grows linearly with
+  the (order, supplier) rows and leaves none out; the contest pairs are among
+  them, the lower places mostly never met.
 * ``season_contests`` - WTeamID, LTeamID of every contest.
 """
 
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import row_number
+from ..session import materialize
 from . import schemas
 from .files import conform
 
@@ -50,84 +52,38 @@ def season_range_filter(ts_col: str, seasons: Sequence[int]) -> F.Column:
 
 def order_podium(lineitem: DataFrame, k: int) -> DataFrame:
     """The ``k`` best suppliers of every order: (l_orderkey, team, score, qty,
-    place), place 1 = highest score, ties by lower team id.
+    place), place 1 = highest score, ties by lower team id."""
+    return _top_k(lineitem.groupBy("l_orderkey", "l_suppkey").agg(*_best()), k)
+
+
+def _best() -> list[F.Column]:
+    return [F.max("l_extendedprice").alias("score"), F.max("l_quantity").alias("qty")]
 
-    The top-k filter on ``row_number`` is planned as a partial
-    WindowGroupLimit before the shuffle, so even an order holding a third of
-    all lines sends at most ``k`` rows per map task.
-    """
-    s = (lineitem.groupBy("l_orderkey", "l_suppkey")
-         .agg(F.max("l_extendedprice").alias("score"), F.max("l_quantity").alias("qty")))
-    return _top_k(s, k)
+
+def _placed() -> list[F.Column]:
+    return [F.desc("score"), F.asc("l_suppkey")]
 
 
 def _top_k(order_team: DataFrame, k: int, carry: Sequence[str] = ()) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy(F.desc("score"), F.asc("l_suppkey"))
+    """The top-k filter on ``row_number`` is planned as a partial
+    WindowGroupLimit before the shuffle, so even an order holding a third of
+    all lines sends at most ``k`` rows per map task."""
+    w = Window.partitionBy("l_orderkey").orderBy(*_placed())
     return (order_team.select("l_orderkey", "l_suppkey", "score", "qty", *carry)
             .withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
             .withColumnRenamed("l_suppkey", "team"))
 
 
-def _places(podium: DataFrame, k: int, carry: Sequence[str] = ()) -> DataFrame:
-    """One row per order with team/score/qty of places 1..k (no shuffle: the
-    podium is already clustered by order); ``carry`` columns are per order."""
-    aggs = [F.max(c).alias(c) for c in carry]
-    for p in range(1, k + 1):
-        at = F.col("place") == p
-        aggs += [F.max(F.when(at, F.col("team"))).alias(f"t{p}"),
-                 F.max(F.when(at, F.col("score"))).alias(f"s{p}"),
-                 F.max(F.when(at, F.col("qty"))).alias(f"q{p}")]
-    return podium.groupBy("l_orderkey").agg(*aggs)
-
-
-PODIUM_PLACES = 3
-
-
-def podium_places(lineitem: DataFrame) -> DataFrame:
-    """Places 1-3 of every order as one row.  Contests and requests both
-    start here, so a plan that needs both reuses one aggregation of lineitem."""
-    return _places(order_podium(lineitem, PODIUM_PLACES), PODIUM_PLACES)
-
-
-def contests_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    return _contests_of(podium_places(lineitem), orders)
-
-
-def _contests_of(places: DataFrame, orders: DataFrame) -> DataFrame:
-    top = places.where(F.col("s1") > F.col("s2"))
-    o = orders.select("o_orderkey", season_of("o_orderdate").alias("Season"))
-    return _contests_rows(top.join(o, top.l_orderkey == o.o_orderkey, "inner"))
-
-
-def _contests_rows(top: DataFrame) -> DataFrame:
-    """Contest rows from per-order places that carry ``Season``."""
-    c = top.select(
-        "Season",
-        F.col("t1").alias("WTeamID"), F.col("s1").alias("WScore"),
-        F.col("t2").alias("LTeamID"), F.col("s2").alias("LScore"),
-        F.lit("N").alias("WLoc"),
-        ((F.col("q1") + F.col("q2")).cast("int") % 3).cast("int").alias("NumOT"))
-    return conform(c, schemas.CONTESTS)
-
-
-def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contests_from(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
-
-
-def seeds_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    li = lineitem.select("l_orderkey", "l_suppkey",
-                         F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))
-    return _seeds_of(li, orders)
-
-
-def _seeds_of(order_cents: DataFrame, orders: DataFrame) -> DataFrame:
-    """``order_cents`` holds (l_orderkey, l_suppkey, cents): revenue in cents
-    per line or already summed per (order, supplier)."""
-    li = order_cents.select("l_orderkey", "l_suppkey", "cents")
-    o = orders.select("o_orderkey", season_of("o_orderdate").alias("Season"))
-    return _seed_rows(li.join(o, li.l_orderkey == o.o_orderkey, "inner")
-                      .groupBy("Season", F.col("l_suppkey").alias("TeamID"))
-                      .agg(F.sum("cents").alias("r")))
+def _contest_rows(order_team: DataFrame) -> DataFrame:
+    """A contest is place 1 against place 2 of an order, unless they are tied."""
+    at = lambda p, c: F.max(F.when(F.col("place") == p, F.col(c)))
+    top = (_top_k(order_team, 2, carry=["Season"]).groupBy("l_orderkey")
+           .agg(F.max("Season").alias("Season"), at(1, "team").alias("WTeamID"), at(1, "score").alias("WScore"),
+                at(2, "team").alias("LTeamID"), at(2, "score").alias("LScore"),
+                (at(1, "qty") + at(2, "qty")).alias("qty")))
+    return conform(top.where(F.col("WScore") > F.col("LScore")).select(
+        "Season", "WTeamID", "WScore", "LTeamID", "LScore", F.lit("N").alias("WLoc"),
+        (F.col("qty").cast("int") % 3).cast("int").alias("NumOT")), schemas.CONTESTS)
 
 
 def _seed_rows(rev: DataFrame) -> DataFrame:
@@ -143,63 +99,36 @@ def _seed_rows(rev: DataFrame) -> DataFrame:
     return conform(s, schemas.SEEDS)
 
 
-def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeds_from(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
-
-
-def targets_from(lineitem: DataFrame, orders: DataFrame,
-                 seasons: Sequence[int] = TARGET_SEASONS) -> DataFrame:
-    return _targets_of(podium_places(lineitem), orders, seasons)
-
-
-def _targets_of(top: DataFrame, orders: DataFrame, seasons: Sequence[int]) -> DataFrame:
-    o = (orders.select("o_orderkey", "o_orderdate").where(season_range_filter("o_orderdate", seasons))
-         .select("o_orderkey", season_of("o_orderdate").alias("Season")))
-    return _target_rows(top.join(o, top.l_orderkey == o.o_orderkey, "inner"))
-
-
-def _target_rows(top: DataFrame) -> DataFrame:
-    """Requests from per-order places that carry ``Season`` (already
-    restricted to the target seasons)."""
-    pairs = top.select("Season", F.inline(F.array(
-        F.struct(F.col("t1").alias("a"), F.col("t2").alias("b")),
-        F.struct(F.col("t1").alias("a"), F.col("t3").alias("b")),
-        F.struct(F.col("t2").alias("a"), F.col("t3").alias("b"))))).where(F.col("b").isNotNull())
-    t = pairs.select("Season", F.least("a", "b").alias("TeamID1"),
-                     F.greatest("a", "b").alias("TeamID2")).distinct()
-    out = t.select(F.concat_ws("_", F.col("Season").cast("string"), F.col("TeamID1").cast("string"),
-                               F.col("TeamID2").cast("string")).alias("ID"),
-                   F.lit(0.5).alias("Pred"))
-    return conform(out, schemas.TARGETS)
-
-
-def targets(spark: SparkSession, sf_dir: str, seasons: Sequence[int] = TARGET_SEASONS) -> DataFrame:
-    return targets_from(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), seasons)
-
-
-def season_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conform(contests(spark, sf_dir).select("WTeamID", "LTeamID"), schemas.SEASON_CONTESTS)
+def _target_rows(order_team: DataFrame) -> DataFrame:
+    """Requests from (order, supplier) rows of the target seasons."""
+    # places without sending an order to one task; (order, place) is unique
+    placed = row_number(order_team.select("l_orderkey", "l_suppkey", "score", "Season"), ["l_orderkey"],
+                        _placed(), out="place").select("l_orderkey", "place", "Season", "l_suppkey")
+    after = placed.select("l_orderkey", (F.col("place") - 1).alias("place"), F.col("l_suppkey").alias("next"))
+    t = (placed.join(after, ["l_orderkey", "place"], "inner")
+         .select("Season", F.least("l_suppkey", "next").alias("TeamID1"), F.greatest("l_suppkey", "next").alias("TeamID2"))
+         .distinct())
+    return conform(t.select(F.concat_ws("_", *[F.col(c).cast("string") for c in t.columns]).alias("ID"),
+                            F.lit(0.5).alias("Pred")), schemas.TARGETS)
 
 
 class Fixtures:
-    """All relations from one pass over ``lineitem`` and one join with ``orders``.
-
-    ``contests``, ``targets`` and ``seeds`` all start from lineitem grouped by
-    (order, supplier) - best line price, best quantity, revenue in cents -
-    with the order's season attached.  That table is written once to the
-    checkpoint folder, and so is the per-order podium built from it; the
-    three relations read those instead of scanning and shuffling the two
-    largest tables three times.
+    """The relations, from ``lineitem`` grouped by (order, supplier) - best
+    line price, best quantity, revenue in cents - with the order's season.
+
+    ``shared`` says that several relations are wanted: the grouped table is
+    then fixed once and read by all.  A single relation is built straight from
+    the scans; the requests alone join only the target seasons' orders (the
+    season range reaches the scan) before they aggregate.
     """
 
     def __init__(self, lineitem: DataFrame, orders: DataFrame,
-                 seasons: Sequence[int] = TARGET_SEASONS, stage=None):
+                 seasons: Sequence[int] = TARGET_SEASONS, stage=None, shared: bool = True):
         self.lineitem = lineitem
         self.orders = orders
         self.seasons = list(seasons)
-        if stage is None:
-            from ..session import materialize as stage
-        self._stage = stage
+        self.shared = shared
+        self._stage = stage or materialize
         self._cache: dict[str, DataFrame] = {}
 
     def _get(self, name, build):
@@ -214,30 +143,53 @@ class Fixtures:
         orders on the order key."""
         def build():
             agg = self.lineitem.groupBy("l_orderkey", "l_suppkey").agg(
-                F.max("l_extendedprice").alias("score"), F.max("l_quantity").alias("qty"),
-                F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"))
+                *_best(), F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"))
             o = self.orders.select("o_orderkey", season_of("o_orderdate").alias("Season"))
-            return self._stage(agg.join(o, agg.l_orderkey == o.o_orderkey, "inner").drop("o_orderkey"))
+            rows = agg.join(o, agg.l_orderkey == o.o_orderkey, "inner").drop("o_orderkey")
+            return self._stage(rows) if self.shared else rows
         return self._get("order_team", build)
 
     @property
-    def places(self) -> DataFrame:
-        """Places 1-3 of every order with its season, one row per order."""
-        def build():
-            top = _top_k(self.order_team, PODIUM_PLACES, carry=["Season"])
-            return self._stage(_places(top, PODIUM_PLACES, carry=["Season"]))
-        return self._get("places", build)
+    def season_order_team(self) -> DataFrame:
+        """(l_orderkey, l_suppkey, score, Season) of the target seasons."""
+        if self.shared:
+            return self.order_team.where(F.col("Season").isin(self.seasons))
+        o = (self.orders.where(season_range_filter("o_orderdate", self.seasons))
+             .select("o_orderkey", season_of("o_orderdate").alias("Season")))
+        return (self.lineitem.join(o, self.lineitem.l_orderkey == o.o_orderkey, "inner")
+                .groupBy("l_orderkey", "l_suppkey", "Season").agg(F.max("l_extendedprice").alias("score")))
 
     @property
     def contests(self) -> DataFrame:
-        return self._get("contests", lambda: _contests_rows(self.places.where(F.col("s1") > F.col("s2"))))
+        return self._get("contests", lambda: _contest_rows(self.order_team))
 
     @property
     def targets(self) -> DataFrame:
-        return self._get("targets", lambda: _target_rows(
-            self.places.where(F.col("Season").isin(self.seasons))))
+        return self._get("targets", lambda: _target_rows(self.season_order_team))
 
     @property
     def seeds(self) -> DataFrame:
         return self._get("seeds", lambda: _seed_rows(
             self.order_team.groupBy("Season", F.col("l_suppkey").alias("TeamID")).agg(F.sum("cents").alias("r"))))
+
+
+def one(lineitem: DataFrame, orders: DataFrame, seasons: Sequence[int] = TARGET_SEASONS) -> Fixtures:
+    """The builders for a caller that wants a single relation."""
+    return Fixtures(lineitem, orders, seasons, shared=False)
+
+
+def contests_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    return one(lineitem, orders).contests
+
+
+def seeds_from(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    return one(lineitem, orders).seeds
+
+
+def targets_from(lineitem: DataFrame, orders: DataFrame, seasons: Sequence[int] = TARGET_SEASONS) -> DataFrame:
+    return one(lineitem, orders, seasons).targets
+
+
+def season_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = contests_from(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
+    return conform(c.select("WTeamID", "LTeamID"), schemas.SEASON_CONTESTS)

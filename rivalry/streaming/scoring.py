@@ -19,6 +19,7 @@ from ..operators.complete import team_probabilities
 from ..operators.pairs import KEYS, parse_targets
 from ..session import materialize
 from ..sources import schemas
+from ..sources.files import CSV_OPTIONS, conform
 
 
 class CompletionTables:
@@ -51,9 +52,11 @@ def complete_stream(requests: DataFrame, tables: CompletionTables, default: floa
 
 
 def read_request_stream(spark: SparkSession, folder: str, max_files_per_trigger: int = 100) -> DataFrame:
-    """CSV request files (ID, Pred, with header) arriving in ``folder``."""
-    return (spark.readStream.schema(schemas.TARGETS).option("header", True)
-            .option("maxFilesPerTrigger", max_files_per_trigger).csv(folder))
+    """CSV request files (ID, Pred, with header) arriving in ``folder``.  As
+    in the batch reader another header or a malformed row fails the query."""
+    df = (spark.readStream.schema("ID string, Pred string").options(**CSV_OPTIONS)
+          .option("maxFilesPerTrigger", max_files_per_trigger).csv(folder))
+    return conform(df, schemas.TARGETS)
 
 
 def start_scoring(requests: DataFrame, tables: CompletionTables, out_folder: str,

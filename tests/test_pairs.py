@@ -2,7 +2,8 @@ import pytest
 
 from rivalry.operators.complete import attach_predictions, fallback_prediction
 from rivalry.operators.pairs import (missing_pairs, observed_pairs, pair_features, parse_targets,
-                                     season_pair_stats, team_medians)
+                                     team_medians)
+from .brute import season_pair_stats
 
 TRAIN = "Season int, TeamID1 bigint, TeamID2 bigint, NumOT int, Result double, Score_Ratio double, Score_Pct double"
 

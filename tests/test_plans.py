@@ -22,8 +22,8 @@ def test_completion_has_no_cartesian_or_nested_loop(spark):
 
 
 def test_scans_read_only_needed_columns_and_push_the_season_range(spark):
-    from rivalry.sources.fixtures import table, targets_from
-    df = targets_from(table(spark, SF_SMALL, "lineitem"), table(spark, SF_SMALL, "orders"))
+    from rivalry.sources.fixtures import one, table
+    df = one(table(spark, SF_SMALL, "lineitem"), table(spark, SF_SMALL, "orders")).season_order_team
     text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     assert "l_partkey" not in text and "l_discount" not in text and "o_totalprice" not in text
     assert "GreaterThanOrEqual(o_orderdate,1998-01-01" in text and "LessThan(o_orderdate,2002-01-01" in text

@@ -16,14 +16,12 @@ sys.path.insert(0, sys.argv[1])
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import SparkSession, functions as F
-from rivalry.session import ensure_local_checkpoint_dir
 from rivalry.operators.ranking import running_sum
 from rivalry.operators.stats import group_medians
 
 spark = (SparkSession.builder.master("local[4,3]").config("spark.ui.enabled", "false")
          .config("spark.sql.shuffle.partitions", "4").getOrCreate())
 spark.sparkContext.setLogLevel("OFF")
-ensure_local_checkpoint_dir(spark)
 MARKS = sys.argv[2]
 
 @F.udf("double")
