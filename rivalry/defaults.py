@@ -28,6 +28,8 @@ BOOST_SUBSAMPLE = {"stepSize": 0.03, "maxIter": 900, "subsamplingRate": 0.8, "fe
 BOOST_SUBSAMPLE_GRID = {"maxDepth": [3, 5, 7, 9], "minInstancesPerNode": [1, 3, 5]}
 BOOST_SUBSAMPLE_FOLDS = 20
 
+LEAF_LR_FOLDS = 10           # search of the LR on leaves and features
+
 # Linear SVM.
 SVC_CS = (1.0, 10.0, 100.0)
 SVC_FOLDS = 15

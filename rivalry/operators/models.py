@@ -6,7 +6,8 @@ lighter settings for quick checks.  Parameter translations are documented
 approximations:
 
 * sklearn ``C`` <-> Spark ``regParam = 1 / (C * n)`` with
-  ``standardization=False`` (sklearn does not standardise);
+  ``standardization=False`` (sklearn does not standardise), with n the rows
+  of the fit at hand: a fold's fit counts the fold's training rows;
 * ``max_features`` (a fraction) <-> ``featureSubsetStrategy`` as a fraction
   string; ``min_samples_split=2`` is Spark's default of one row per child;
 * folds are a deterministic md5 bucket of the contest key (``foldCol``), so
@@ -18,26 +19,24 @@ approximations:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from contextlib import contextmanager
+from dataclasses import dataclass
+from itertools import product
+from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
-from pyspark.ml import Estimator
-from pyspark.ml.classification import (FMClassifier, GBTClassifier, LinearSVC,
-                                       LogisticRegression)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml import Estimator, Model
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .prepare import assemble, fold_column
-
-from ..defaults import (BOOST_SUBSAMPLE, BOOST_SUBSAMPLE_FOLDS, BOOST_SUBSAMPLE_GRID,  # noqa: F401
-                        FACTOR_EPOCHS, FACTOR_L2, FACTOR_STEP, FACTORS, GBT_DEPTH,
-                        GBT_FEATURE_FRACTION, GBT_GRID_1, GBT_GRID_2, GBT_GRID_FOLDS, GBT_GRID_SEED,
-                        GBT_TREES, LR_C, LR_CV_C_RANGE, LR_CV_FOLDS, LR_CV_NUM_C, SVC_CS, SVC_FOLDS)
+from ..defaults import (BOOST_SUBSAMPLE, BOOST_SUBSAMPLE_FOLDS, BOOST_SUBSAMPLE_GRID, GBT_DEPTH, GBT_FEATURE_FRACTION,
+                        GBT_GRID_1, GBT_GRID_FOLDS, GBT_GRID_SEED, GBT_TREES, LR_C, LR_CV_C_RANGE, LR_CV_FOLDS,
+                        LR_CV_NUM_C, SVC_CS, SVC_FOLDS)
+from .prepare import fold_column
 
 
 def log_grid(lo: float, hi: float, n: int) -> tuple[float, ...]:
@@ -70,27 +69,53 @@ def held(df: DataFrame):
         d.unpersist(blocking=False)
 
 
-def _grid(est: Estimator, grid: dict[str, Sequence]) -> list:
-    b = ParamGridBuilder()
-    for name, vals in grid.items():
-        b = b.addGrid(est.getParam(name), list(vals))
-    return b.build()
+MAX_PARALLEL_FITS = 8
+
 
+@dataclass
+class Search:
+    """A finished k-fold search: its points, their mean accuracy over the
+    folds, and the best point's model refit on all rows."""
+    points: list[dict]
+    metrics: list[float]
+    model: Model
+
+    @property
+    def best(self) -> int:
+        return max(range(len(self.metrics)), key=lambda i: self.metrics[i])
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df)
+
+
+def grid_points(grid: dict[str, Sequence]) -> list[dict]:
+    return [dict(zip(grid, values)) for values in product(*grid.values())]
 
-MAX_PARALLEL_FITS = 8
 
+def k_fold(data: DataFrame, points: list[dict], make: Callable[[dict, int], Estimator],
+           parallelism: int | None = None) -> Search:
+    """Fit every point on every fold's training rows (column ``fold``), score
+    it by accuracy on the fold, refit the best on all rows.  ``make(point,
+    rows)`` gets the number of rows of the fit.  Fits run concurrently (each
+    is itself distributed), at most ``MAX_PARALLEL_FITS`` at a time."""
+    sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
+    total = sum(sizes.values())
+    folds = [f for f in sorted(sizes) if total > sizes[f]]
 
-def _cv(est: Estimator, grid: dict[str, Sequence], folds: int, parallelism: int | None,
-        label: str = "label") -> CrossValidator:
-    """k-fold search; folds are scored by accuracy (the default score of the
-    original searches), the best point is refit on all rows.  Grid points are
-    fitted concurrently (each fit is itself distributed); by default as many
-    as there are points, at most ``MAX_PARALLEL_FITS``."""
-    maps = _grid(est, grid)
-    par = parallelism or min(len(maps), MAX_PARALLEL_FITS)
-    return CrossValidator(estimator=est, estimatorParamMaps=maps,
-                          evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"),
-                          numFolds=folds, foldCol="fold", parallelism=par, seed=42)
+    def accuracy(job) -> float:
+        point, fold = job
+        fitted = make(point, total - sizes[fold]).fit(data.where(F.col("fold") != fold))
+        hit = fitted.transform(data.where(F.col("fold") == fold)).agg(
+            F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+        return float(hit)
+
+    jobs = [(p, f) for p in points for f in folds]
+    with ThreadPool(min(parallelism or MAX_PARALLEL_FITS, max(1, len(jobs)))) as pool:
+        found = pool.map(accuracy, jobs, chunksize=1)
+    n = max(1, len(folds))
+    metrics = [sum(found[i * len(folds):(i + 1) * len(folds)]) / n for i in range(len(points))]
+    best = points[max(range(len(points)), key=lambda i: metrics[i])]
+    return Search(points, metrics, make(best, total).fit(data))
 
 
 def logistic(n_rows: int, c: float = LR_C, features: str = "features", label: str = "label") -> LogisticRegression:
@@ -104,13 +129,10 @@ def fit_logistic(train: DataFrame, c: float = LR_C, features: str = "features",
 
 
 def fit_logistic_cv(train: DataFrame, cs: Sequence[float] = LR_CS, folds: int = LR_CV_FOLDS,
-                    parallelism: int | None = None):
+                    parallelism: int | None = None) -> Search:
     """Cross-validated logistic regression over ``C`` values."""
     with held(fold_column(train, folds)) as data:
-        n = data.count()
-        est = LogisticRegression(standardization=False, elasticNetParam=0.0, maxIter=100)
-        grid = {"regParam": [1.0 / (c * n) for c in cs]}
-        return _cv(est, grid, folds, parallelism).fit(data)
+        return k_fold(data, grid_points({"C": cs}), lambda p, n: logistic(n, p["C"]), parallelism)
 
 
 def gbt(max_iter: int = GBT_TREES, max_depth: int = GBT_DEPTH, feature_fraction: str = GBT_FEATURE_FRACTION,
@@ -126,16 +148,16 @@ def fit_gbt(train: DataFrame, **kw):
 
 
 def fit_gbt_grid(train: DataFrame, grid: dict[str, Sequence] = GBT_GRID_1, folds: int = GBT_GRID_FOLDS,
-                 parallelism: int | None = None, **fixed):
+                 parallelism: int | None = None, **fixed) -> Search:
     """Grid search over boosted trees with k-fold CV; the best point is refit
-    on all rows by ``CrossValidator`` (once)."""
+    on all rows once."""
     with held(fold_column(train, folds)) as data:
-        est = GBTClassifier(seed=GBT_GRID_SEED, checkpointInterval=10, **fixed)
-        return _cv(est, grid, folds, parallelism).fit(data)
+        return k_fold(data, grid_points(grid), lambda p, n: GBTClassifier(
+            seed=GBT_GRID_SEED, checkpointInterval=10, **{**fixed, **p}), parallelism)
 
 
 def fit_boost_subsample(train: DataFrame, grid: dict[str, Sequence] = BOOST_SUBSAMPLE_GRID,
-                        folds: int = BOOST_SUBSAMPLE_FOLDS, parallelism: int | None = None, **fixed):
+                        folds: int = BOOST_SUBSAMPLE_FOLDS, parallelism: int | None = None, **fixed) -> Search:
     """Boosted trees with row subsampling and shrinkage, grid over depth and
     minimum rows per node."""
     params = {**BOOST_SUBSAMPLE, "cacheNodeIds": True, **fixed}   # deep trees: cache node ids
@@ -143,24 +165,18 @@ def fit_boost_subsample(train: DataFrame, grid: dict[str, Sequence] = BOOST_SUBS
 
 
 def fit_linear_svc(train: DataFrame, cs: Sequence[float] = SVC_CS, folds: int = SVC_FOLDS,
-                   parallelism: int | None = None, max_iter: int = 100):
+                   parallelism: int | None = None, max_iter: int = 100) -> Search:
     with held(fold_column(train, folds)) as data:
-        n = data.count()
-        est = LinearSVC(standardization=False, maxIter=max_iter)
-        return _cv(est, {"regParam": [1.0 / (c * n) for c in cs]}, folds, parallelism).fit(data)
+        return k_fold(data, grid_points({"C": cs}), lambda p, n: LinearSVC(
+            standardization=False, maxIter=max_iter, regParam=1.0 / (p["C"] * max(n, 1))), parallelism)
 
 
-def grid_report(cv_model) -> DataFrame:
-    """(params, metric, is_best) per grid point of a fitted CrossValidator:
-    the grid is small, so its rows are built on the driver."""
-    maps = cv_model.getEstimatorParamMaps()
-    metrics = list(cv_model.avgMetrics)
-    best = max(range(len(metrics)), key=lambda i: metrics[i])
-    rows = [(", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)),
-             float(metrics[i]), i == best) for i, m in enumerate(maps)]
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(rows, "params string, metric double, is_best boolean")
+def grid_report(search: Search) -> DataFrame:
+    """(params, metric, is_best) per grid point of a finished search: the grid
+    is small, so its rows are built on the driver."""
+    rows = [(", ".join(f"{k}={v}" for k, v in sorted(p.items())), float(m), i == search.best)
+            for i, (p, m) in enumerate(zip(search.points, search.metrics))]
+    return SparkSession.getActiveSession().createDataFrame(rows, "params string, metric double, is_best boolean")
 
 
 def leaf_encoder(model, df: DataFrame, leaf_col: str = "leaf"):
@@ -182,6 +198,14 @@ def fit_leaf_one_hot(frame: DataFrame, cols: Sequence[str], out: str = "leaves")
     return lambda d: asm.transform(enc.transform(d)).drop(*cols, *[f"{c}_oh" for c in cols])
 
 
+def combined_features(model, df: DataFrame, out: str = "combined") -> DataFrame:
+    """``df`` with the one-hot leaves of ``model`` (encoder fitted on all of
+    ``df``) in front of its raw features."""
+    leaves, cols = leaf_encoder(model, df)
+    encoded = fit_leaf_one_hot(leaves.select(*cols), cols)(leaves)
+    return VectorAssembler(inputCols=["leaves", "features"], outputCol=out).transform(encoded)
+
+
 def leaf_stack(train: DataFrame, test: DataFrame, features: str = "features", label: str = "label",
                gbt_kw: dict | None = None) -> tuple[dict[str, DataFrame], dict]:
     """GBT -> one-hot leaves -> LR, and LR on leaves + raw features.
@@ -206,25 +230,3 @@ def leaf_stack(train: DataFrame, test: DataFrame, features: str = "features", la
         "combined_lr": class1_probability(lr_comb.transform(te_c)),
     }
     return scored, {"gbt": g, "lr": lr_raw, "leaves_lr": lr_leaf, "combined_lr": lr_comb}
-
-
-def factor_model(n_factors: int = FACTORS, reg: float = FACTOR_L2, step: float = FACTOR_STEP,
-                 max_iter: int = FACTOR_EPOCHS,
-                 mini_batch: float = 1.0, seed: int = 42) -> FMClassifier:
-    """``sigmoid(<u_t1, v_t2> + b1[t1] + b2[t2] + c)`` as a factorization
-    machine on one-hot(team1) (+) one-hot(team2); same function class as the
-    embedding model (the outer weight is absorbed by the factors).
-
-    Documented differences: ``regParam`` also covers the linear terms; and
-    one Spark iteration is one AdamW step over the whole data (each a
-    distributed job), where the original takes a step per batch of 128 rows
-    for every epoch - with the original step size, 100 full-batch iterations
-    move the parameters far less, so pass a larger ``step`` (or more
-    iterations) for a comparable fit."""
-    return FMClassifier(factorSize=n_factors, regParam=reg, stepSize=step, maxIter=max_iter,
-                        solver="adamW", miniBatchFraction=mini_batch, seed=seed, fitIntercept=True,
-                        fitLinear=True)
-
-
-def assemble_scaled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return assemble(df, cols).withColumnRenamed("Result", "label")

@@ -4,7 +4,8 @@ Every query derives its inputs from the parquet tables under ``sf_dir``
 (see :mod:`rivalry.sources.fixtures`) and runs over the whole tables.  Where
 the pipeline needs model output, the relational queries use a deterministic
 stand-in model (``Pred1`` = the row's ``Score_Pct``) so an SQL oracle can
-repeat them; the model queries (at the end) fit real Spark ML estimators.
+repeat them; the model queries (at the end) fit real Spark ML estimators,
+and the checks after them state properties of the fits that SQL can tell.
 
 Computed doubles are rounded to 6 places for comparison with the oracle.
 """
@@ -21,11 +22,13 @@ from pyspark.sql.types import DoubleType, FloatType
 from ..operators import complete, contests as ct, models, pairs, prepare, stats
 from ..operators.metrics import roc_auc
 from ..sources import fixtures as fxt
+from ..defaults import GBT_GRID_2
 from . import jobs
 from .factors import FactorJob
 from .tournament import Tournament
 
 SEASONS = list(fxt.TARGET_SEASONS)
+NUMOT = list(range(5))       # a contest has 0 to 2, the sum of two medians up to 4
 
 
 def r6(df: DataFrame) -> DataFrame:
@@ -151,7 +154,7 @@ def q_harmonic_team_prob(spark, sf):
 
 
 def _encoded(t: Tournament):
-    return t.encoded(season_cats=SEASONS)
+    return t.encoded(season_cats=SEASONS, numot_cats=NUMOT)
 
 
 def q_minmax_stats(spark, sf):
@@ -206,72 +209,91 @@ def q_roc_auc(spark, sf):
     return r6(roc_auc(rows, "Result", "strength", by=["Season"]))
 
 
-# ---- models (rows-only checks: no SQL oracle) ---------------------------
-# Lighter search settings than the library defaults (which are the
-# original grids), so each check finishes in seconds; the data is whole.
+# ---- models -------------------------------------------------------------
+# The original searches: all points and all folds.  Only the boosted-tree
+# searches are cut, in the number of trees alone (500 to 1000 trees times 90
+# to 240 fits are days of work on one machine); the cut is GRID_TREES.
+
+GRID_TREES = {500: 3, 1000: 6, 900: 2}
+
+
+def _short(grid: dict) -> dict:
+    return {**grid, "maxIter": [GRID_TREES[n] for n in grid["maxIter"]]}
+
 
 def q_feature_vector(spark, sf):
-    t = _t(spark, sf)
-    scaled, cols = t.scaled()
-    v = models.assemble_scaled(scaled, cols)
-    return v.select("Season", "TeamID1", "TeamID2", "is_train", "label",
-                    vector_to_array("features").alias("features"))
+    v = _t(spark, sf).featured
+    return v.select("Season", "TeamID1", "TeamID2", "is_train", F.round("label", 6).alias("label"),
+                    F.transform(vector_to_array("features"), lambda x: F.round(x, 6)).alias("features"))
+
+
+def _predictions(spark, sf, family, **kw):
+    return r6(jobs.tournament_predictions(_t(spark, sf), family, **kw)[0])
 
 
 def q_lr_predict(spark, sf):
-    return r6(jobs.tournament_predictions(_t(spark, sf), "lr")[0])
+    return _predictions(spark, sf, "lr")
 
 
 def q_lr_cv_predict(spark, sf):
-    return r6(jobs.tournament_predictions(_t(spark, sf), "lr_cv", cs=(0.01, 1.0, 100.0), folds=3)[0])
+    return _predictions(spark, sf, "lr_cv")
 
 
 def q_gbt_predict(spark, sf):
-    return r6(jobs.tournament_predictions(_t(spark, sf), "gbt", max_iter=40, max_depth=3)[0])
+    return _predictions(spark, sf, "gbt")
 
 
-_LIGHT_GRID = {"maxIter": [5, 10], "featureSubsetStrategy": ["0.5"], "maxDepth": [2, 3]}
+def q_gbt_grid_predict(spark, sf):
+    """All 12 points and 10 folds of the first grid; fewer trees (GRID_TREES)."""
+    return _predictions(spark, sf, "gbt_grid", grid=_short(models.GBT_GRID_1))
 
 
-def q_gbt_grid_predict(spark, sf):
-    return r6(jobs.tournament_predictions(_t(spark, sf), "gbt_grid", grid=_LIGHT_GRID, folds=2)[0])
+def q_gbt_grid2_predict(spark, sf):
+    """All 9 points and 10 folds of the second grid; fewer trees (GRID_TREES)."""
+    return _predictions(spark, sf, "gbt_grid", grid=_short(GBT_GRID_2))
 
 
 def q_gbt_subsample_predict(spark, sf):
-    return r6(jobs.tournament_predictions(_t(spark, sf), "gbt_subsample", grid={"maxDepth": [3], "minInstancesPerNode": [1, 3]},
-                                          folds=2, maxIter=10)[0])
+    """All 12 points and 20 folds; fewer trees (GRID_TREES)."""
+    return _predictions(spark, sf, "gbt_subsample", maxIter=GRID_TREES[900])
 
 
 def q_svc_predict(spark, sf):
-    return r6(jobs.tournament_predictions(_t(spark, sf), "svc", cs=(1.0, 100.0), folds=2, max_iter=25)[0])
+    return _predictions(spark, sf, "svc")
 
 
 def q_grid_report(spark, sf):
-    _, cv = jobs.tournament_predictions(_t(spark, sf), "gbt_grid", grid=_LIGHT_GRID, folds=2)
-    return r6(models.grid_report(cv))
+    """The search of q_gbt_grid_predict, without completing a table."""
+    return r6(models.grid_report(jobs.fit_model(_t(spark, sf), "gbt_grid", grid=_short(models.GBT_GRID_1))))
+
+
+def _leaves(spark, sf):
+    d = _t(spark, sf).featured
+    d = d.where(F.col("features").isNotNull())
+    leaves, cols = models.leaf_encoder(models.fit_gbt(d.where("is_train")), d)
+    return models.fit_leaf_one_hot(leaves.select(*cols), cols)(leaves), len(cols)
 
 
 def q_gbt_leaf_encode(spark, sf):
-    t = _t(spark, sf)
-    scaled, cols = t.scaled()
-    data = models.assemble_scaled(scaled, cols)
-    g = models.fit_gbt(data.where("is_train"), max_iter=10, max_depth=3)
-    leaves, lcols = models.leaf_encoder(g, data)
-    enc = models.fit_leaf_one_hot(leaves.select(*lcols), lcols)
-    out = enc(leaves)
-    return out.select("Season", "TeamID1", "TeamID2", "is_train",
-                      vector_to_array("leaf").cast("array<int>").alias("leaf_ids"),
-                      F.size(vector_to_array("leaves")).alias("n_leaf_slots"))
+    """Leaf ids of the 40 trees and the positions set in their one-hot encoding."""
+    d, _ = _leaves(spark, sf)
+    ones = F.transform(F.filter(F.transform(vector_to_array("leaves"), lambda x, i: F.when(x != 0, i)),
+                                lambda i: i.isNotNull()), lambda i: i.cast("int"))
+    return d.select("Season", "TeamID1", "TeamID2", "is_train", vector_to_array("leaf").cast("array<int>").alias("leaf_ids"),
+                    ones.alias("set_slots"))
 
 
 def q_gbt_leaf_lr(spark, sf):
-    return r6(jobs.leaf_stack_report(_t(spark, sf), gbt_kw={"max_iter": 10, "max_depth": 3}))
+    return r6(jobs.leaf_stack_report(_t(spark, sf)))
+
+
+def q_gbt_leaf_predict(spark, sf):
+    return r6(jobs.leaf_stack_predictions(_t(spark, sf))[0])
 
 
 def _factor_job(spark, sf):
     fx = fxt.Fixtures(fxt.table(spark, sf, "lineitem"), fxt.table(spark, sf, "orders"), SEASONS)
-    sc = fx.contests.select("WTeamID", "LTeamID")
-    return FactorJob(sc, n_factors=50, max_iter=20, step=0.01), fx.targets
+    return FactorJob(fx.contests.select("WTeamID", "LTeamID")), fx.targets
 
 
 def q_factor_predict(spark, sf):
@@ -284,6 +306,70 @@ def q_loss_history(spark, sf):
     return r6(job.loss_history())
 
 
+# ---- checks of fitted models against SQL ---------------------------------
+
+def q_lr_optimal(spark, sf):
+    """Per feature: is the gradient of the regularised log loss at the fitted
+    coefficients zero (1e-4)?  The loss is convex, so that proves the fit."""
+    t = _t(spark, sf)
+    m = jobs.fit_model(t, "lr")
+    return _gradient_check(t, m, models.LR_C)
+
+
+def q_lr_cv_optimal(spark, sf):
+    """The same for the refit of the cross-validated search, at its best C."""
+    t = _t(spark, sf)
+    search = jobs.fit_model(t, "lr_cv")
+    return _gradient_check(t, search.model, search.points[search.best]["C"])
+
+
+def _gradient_check(t: Tournament, model, c: float) -> DataFrame:
+    train = t.featured.where("is_train")
+    w = [float(x) for x in model.coefficients]
+    n = train.count()
+    p = models.class1_probability(model.transform(train))
+    x = vector_to_array("features")
+    g = (p.select(F.posexplode(F.transform(F.concat(x, F.array(F.lit(1.0))), lambda v: v * (F.col("Pred1") - F.col("label")))))
+         .groupBy("pos").agg((F.sum("col") / n).alias("g")))
+    pull = F.get(F.array(*[F.lit(v) for v in [*w, 0.0]]), F.col("pos")) / (c * n)
+    return g.select(F.col("pos").cast("int").alias("feature"), (F.abs(F.col("g") + pull) < 1e-4).alias("optimal"))
+
+
+def q_leaf_slots(spark, sf):
+    """Rows by the number of one-hot leaf slots set, and whether rows with
+    equal features share all leaves."""
+    d, trees = _leaves(spark, sf)
+    d = d.withColumn("n_set", F.aggregate(vector_to_array("leaves"), F.lit(0.0), lambda a, v: a + v).cast("int"))
+    alike = d.groupBy("features", "n_set").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("leaf").alias("k"))
+    return alike.groupBy("n_set").agg(F.sum("rows").alias("rows"), (F.max("k") == 1).alias("leaves_shared"))
+
+
+def _completeness(family, **kw):
+    def query(spark, sf):
+        """(ID, multiplicity, scored) of a job's rows, ``scored`` telling the
+        model's values from the fallback's."""
+        t = _t(spark, sf)
+        fitted = jobs.fit_model(t, family, **kw)
+        done = t.complete(jobs.score_union(t.featured, fitted, jobs.FITTERS[family][1]))
+        inside = F.col("Pred").between(0.0, 1.0)
+        return done.groupBy("ID").agg(F.count(F.lit(1)).alias("multiplicity"), F.count("Pred1").alias("scored"),
+                                      F.min(inside).alias("in_range"))
+    return query
+
+
+def q_factor_complete(spark, sf):
+    """(ID, known): every request once, scored if both teams have played."""
+    job, targets = _factor_job(spark, sf)
+    return job.predict(targets).select("ID", F.col("pred").isNotNull().alias("known"))
+
+
+def q_loss_falls(spark, sf):
+    """The loss history starts at its largest value and ends at its least."""
+    h = q_loss_history(spark, sf)
+    return h.agg((F.max_by("loss", "iteration") == F.min("loss")).alias("ends_least"),
+                 (F.min_by("loss", "iteration") == F.max("loss")).alias("starts_most"), (F.count(F.lit(1)) > 1).alias("moves"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_contests": q_scan_contests,
     "scan_seeds": q_scan_seeds,
@@ -327,6 +413,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gbt_leaf_lr": q_gbt_leaf_lr,
     "factor_predict": q_factor_predict,
     "loss_history": q_loss_history,
+    "gbt_grid2_predict": q_gbt_grid2_predict,
+    "gbt_leaf_predict": q_gbt_leaf_predict,
+    "lr_optimal": q_lr_optimal,
+    "lr_cv_optimal": q_lr_cv_optimal,
+    "leaf_slots": q_leaf_slots,
+    "lr_complete": _completeness("lr"),
+    "gbt_complete": _completeness("gbt"),
+    "svc_complete": _completeness("svc"),
+    "factor_complete": q_factor_complete,
+    "loss_falls": q_loss_falls,
 }
 
 

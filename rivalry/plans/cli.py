@@ -17,10 +17,10 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from ..defaults import REQUEST_SEASONS
+from ..defaults import FACTOR_EPOCHS, FACTORS, GBT_GRID_1, GBT_GRID_2, REQUEST_SEASONS
 from ..operators import models
 from ..sources import files
-from .factors import FactorJob
+from .factors import SWEEPS, FactorJob
 from .jobs import leaf_stack_report, tournament_predictions
 from .tournament import Tournament
 
@@ -28,8 +28,8 @@ MODEL_ARGS = {
     "lr": ("lr", {}),
     "lr_cv": ("lr_cv", {}),
     "gbt": ("gbt", {}),
-    "gbt_grid": ("gbt_grid", {"grid": models.GBT_GRID_1}),
-    "gbt_grid2": ("gbt_grid", {"grid": models.GBT_GRID_2}),
+    "gbt_grid": ("gbt_grid", {"grid": GBT_GRID_1}),
+    "gbt_grid2": ("gbt_grid", {"grid": GBT_GRID_2}),
     "gbt_subsample": ("gbt_subsample", {}),
     "svc": ("svc", {}),
 }
@@ -47,7 +47,7 @@ def run_tournament(spark: SparkSession, seeds: str, contests: str, targets: str,
     family, kw = MODEL_ARGS[model]
     sub, fitted = tournament_predictions(_tournament(spark, seeds, contests, targets, seasons, fmt), family, **kw)
     files.write_submission(sub, out)
-    if report and hasattr(fitted, "avgMetrics"):
+    if report and isinstance(fitted, models.Search):
         return models.grid_report(fitted)
     return None
 
@@ -86,9 +86,9 @@ def main(argv=None) -> None:
     f.add_argument("--targets", required=True)
     f.add_argument("--out", required=True)
     f.add_argument("--format", default="csv")
-    f.add_argument("--factors", type=int, default=models.FACTORS)
-    f.add_argument("--step", type=float, default=models.FACTOR_STEP)
-    f.add_argument("--iterations", type=int, default=models.FACTOR_EPOCHS)
+    f.add_argument("--factors", type=int, default=FACTORS)
+    f.add_argument("--sweeps", type=int, default=SWEEPS)
+    f.add_argument("--iterations", type=int, default=FACTOR_EPOCHS)
     for p in (t, la, f):
         p.add_argument("--conf", action="append", default=[], metavar="KEY=VALUE",
                        help="Spark setting, e.g. spark.checkpoint.dir=<shared folder>")
@@ -106,7 +106,7 @@ def main(argv=None) -> None:
                      a.format).show(truncate=False)
     else:
         run_factors(spark, a.contests, a.targets, a.out, a.format,
-                    n_factors=a.factors, step=a.step, max_iter=a.iterations)
+                    n_factors=a.factors, sweeps=a.sweeps, max_iter=a.iterations)
 
 
 if __name__ == "__main__":

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..defaults import HOLDOUT_TEST_PCT
+from ..defaults import HOLDOUT_TEST_PCT, LEAF_LR_FOLDS
 from ..operators import complete, models
 from ..operators.metrics import roc_auc
 from ..operators.prepare import holdout_split
@@ -16,12 +16,17 @@ from .tournament import Tournament
 Fitter = Callable[[DataFrame], object]
 
 
-def score_union(scaled: DataFrame, cols: list[str], fit: Fitter, probability=models.class1_probability):
-    """Assemble the scaled features, fit on the training rows, score every
-    row of the union (``Pred1``).  Returns (scored frame, fitted model)."""
-    data = models.assemble_scaled(scaled, cols)
-    model = fit(data.where(F.col("is_train")))
-    return probability(model.transform(data)), model
+def fit_union(featured: DataFrame, fit: Fitter):
+    """Fit on the training rows of the feature union."""
+    return fit(featured.where(F.col("is_train")))
+
+
+def score_union(featured: DataFrame, model, probability=models.class1_probability) -> DataFrame:
+    """Score every row of the union (``Pred1``); a row without a feature
+    vector keeps NULL and is completed by the fallback."""
+    scored = probability(model.transform(featured.where(F.col("features").isNotNull())))
+    rest = featured.where(F.col("features").isNull()).withColumn("Pred1", F.lit(None).cast("double"))
+    return scored.select(*rest.columns).unionByName(rest)
 
 
 FITTERS: dict[str, tuple[Callable[..., Fitter], Callable]] = {
@@ -34,21 +39,35 @@ FITTERS: dict[str, tuple[Callable[..., Fitter], Callable]] = {
 }
 
 
+def fit_model(t: Tournament, model: str = "lr", **kw):
+    """The fitted model (or search) of a family, without completing a table."""
+    return fit_union(t.featured, FITTERS[model][0](**kw))
+
+
 def tournament_predictions(t: Tournament, model: str = "lr", **kw) -> tuple[DataFrame, object]:
     """Complete prediction table (ID, Pred) with the chosen model family."""
-    make, prob = FITTERS[model]
-    scaled, cols = t.scaled()
-    scored, fitted = score_union(scaled, cols, make(**kw), prob)
-    return complete.submission(t.complete(scored)), fitted
+    fitted = fit_model(t, model, **kw)
+    return complete.submission(t.complete(score_union(t.featured, fitted, FITTERS[model][1]))), fitted
+
+
+def leaf_stack_predictions(t: Tournament, gbt_kw: dict | None = None, cs=models.LR_CS, folds: int = LEAF_LR_FOLDS):
+    """Complete prediction table (ID, Pred) of the logistic regression on tree
+    leaves and raw features, its C chosen by k-fold search.  The leaf encoder
+    sees the leaves of training and request rows alike."""
+    ready = t.featured.where(F.col("features").isNotNull())
+    combined = models.combined_features(models.fit_gbt(ready.where("is_train"), **(gbt_kw or {})), ready)
+    search = models.fit_logistic_cv(combined.where("is_train").withColumn("features", F.col("combined")), cs, folds)
+    scored = models.class1_probability(search.transform(combined.withColumn("features", F.col("combined"))))
+    rest = t.featured.where(F.col("features").isNull()).withColumn("Pred1", F.lit(None).cast("double"))
+    cols = ["Season", "TeamID1", "TeamID2", "is_train", "Pred1"]
+    return complete.submission(t.complete(scored.select(*cols).unionByName(rest.select(*cols)))), search
 
 
 def leaf_stack_report(t: Tournament, test_pct: int = HOLDOUT_TEST_PCT, gbt_kw: dict | None = None) -> DataFrame:
     """Hold-out AUC of GBT, LR, LR on GBT leaves and LR on leaves + features
     over the training rows (deterministic 70/30 split by contest key):
     (model, auc)."""
-    scaled, cols = t.scaled()
-    data = models.assemble_scaled(scaled.where(F.col("is_train")), cols)
-    data = holdout_split(data, test_pct)
+    data = holdout_split(t.featured.where(F.col("is_train")), test_pct)
     train, test = data.where(~F.col("is_holdout")), data.where(F.col("is_holdout"))
     scored, _ = models.leaf_stack(train, test, gbt_kw=gbt_kw)
     parts = [roc_auc(s.select("label", "Pred1"), "label", "Pred1").select(F.lit(name).alias("model"), "auc")

@@ -110,13 +110,16 @@ class Tournament:
         scoring pass without recomputing the joins above it."""
         return self.stage(prepare.feature_union(self.observed, self.test))
 
-    def encoded(self, season_cats=None, numot_cats=None) -> tuple[DataFrame, list[str]]:
+    def encoded(self, season_cats, numot_cats) -> tuple[DataFrame, list[str]]:
+        """Named indicator columns, for categories known to the caller."""
         return prepare.encode_features(self.union, season_cats, numot_cats)
 
-    def scaled(self, season_cats=None, numot_cats=None) -> tuple[DataFrame, list[str]]:
-        enc, cols = self.encoded(season_cats, numot_cats)
-        mm = prepare.fit_min_max(enc, cols, eps_train=self.eps_train, eps_test=self.eps_test)
-        return mm.transform(enc), cols
+    @cached_property
+    def featured(self) -> DataFrame:
+        """The feature union with ``label`` and the scaled ``features`` vector
+        (NULL for a row to be scored that lacks a feature)."""
+        return prepare.scaled_features(self.union, eps_train=self.eps_train, eps_test=self.eps_test) \
+            .withColumnRenamed("Result", "label")
 
     def complete(self, scored: DataFrame, pred_col: str = "Pred1") -> DataFrame:
         """``scored`` holds every row of the feature union with ``pred_col``;
@@ -126,8 +129,7 @@ class Tournament:
         sub = self.stage(complete.attach_predictions(self.parsed_targets, test_pred, train_pred, pred_col))
         return complete.fallback_prediction(sub, pred_col, out="Pred")
 
-    def run(self, score: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
-        """Full job: ``score(scaled_union, feature_cols)`` must return the
-        union rows with a ``Pred1`` column (class-1 probability)."""
-        scaled, cols = self.scaled()
-        return complete.submission(self.complete(score(scaled, cols)))
+    def run(self, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Full job: ``score(featured)`` must return the union rows with a
+        ``Pred1`` column (class-1 probability)."""
+        return complete.submission(self.complete(score(self.featured)))

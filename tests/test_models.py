@@ -1,7 +1,14 @@
+import math
+import random
+
 import numpy as np
+import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from rivalry.operators import models, prepare
 from rivalry.plans import catalog, jobs
+from rivalry.plans.factors import FactorJob
 from tests.conftest import SF_SMALL
 
 
@@ -18,10 +25,70 @@ def test_lr_job_completes_every_target(spark):
     assert np.allclose(model.coefficients.toArray(), again.coefficients.toArray(), rtol=1e-6, atol=1e-9)
 
 
-def test_gbt_grid_report_marks_one_best(spark):
-    df = catalog.q_grid_report(spark, SF_SMALL)
-    rows = df.collect()
+def test_grid_report_marks_one_best(spark):
+    grid = {"maxIter": [2, 4], "featureSubsetStrategy": ["0.5"], "maxDepth": [2, 3]}
+    search = jobs.fit_model(catalog._t(spark, SF_SMALL), "gbt_grid", grid=grid, folds=2)
+    rows = models.grid_report(search).collect()
     assert len(rows) == 4 and sum(r.is_best for r in rows) == 1
+    assert max(r.metric for r in rows) == next(r.metric for r in rows if r.is_best)
+
+
+def test_regparam_counts_the_rows_of_the_fit(spark):
+    d = spark.createDataFrame([(i % 3, float(i % 2), float(i % 2) + 0.1 * i) for i in range(30)],
+                              "fold int, label double, x double")
+    d = VectorAssembler(inputCols=["x"], outputCol="features").transform(d)
+    seen = []
+
+    def make(point, n):
+        seen.append(n)
+        return models.logistic(n, point["C"])
+    search = models.k_fold(d, [{"C": 1.0}], make, parallelism=1)
+    assert seen == [20, 20, 20, 30] and len(search.metrics) == 1
+
+
+def test_logistic_fit_equals_newton(spark):
+    """An independent fit of the same regularised loss in numpy."""
+    t = catalog._t(spark, SF_SMALL)
+    m = jobs.fit_model(t, "lr")
+    rows = t.featured.where("is_train").select("features", "label").collect()
+    x = np.array([[*r.features.toArray(), 1.0] for r in rows])
+    y = np.array([r.label for r in rows])
+    w, ridge = np.zeros(x.shape[1]), np.r_[np.full(x.shape[1] - 1, 1.0), 0.0]      # C = 1
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        h = x.T * (p * (1 - p)) @ x + np.diag(ridge) + 1e-12 * np.eye(len(w))
+        w -= np.linalg.solve(h, x.T @ (p - y) + ridge * w)
+    ours = 1 / (1 + np.exp(-(x[:, :-1] @ m.coefficients.toArray() + m.intercept)))
+    assert np.abs(ours - 1 / (1 + np.exp(-x @ w))).max() < 1e-3
+
+
+def test_factor_model_beats_the_base_rate_on_held_out_contests(spark):
+    rnd = random.Random(5)
+    strength = {i: rnd.gauss(0, 1.5) for i in range(30)}
+
+    def contest():
+        a, b = rnd.sample(range(30), 2)
+        return (a, b) if rnd.random() < 1 / (1 + math.exp(strength[b] - strength[a])) else (b, a)
+    past, later = ([contest() for _ in range(n)] for n in (1500, 300))
+    job = FactorJob(spark.createDataFrame(past, "WTeamID bigint, LTeamID bigint"), n_factors=4, max_iter=50, sweeps=5)
+    ask = spark.createDataFrame([(f"2000_{min(c)}_{max(c)}", 0.5) for c in set(map(lambda c: (min(c), max(c)), later))],
+                                "ID string, Pred double")
+    p = {r.ID: r.pred for r in job.predict(ask).collect()}
+    loss = -sum(math.log(p[f"2000_{min(c)}_{max(c)}"] if c[0] < c[1] else 1 - p[f"2000_{min(c)}_{max(c)}"]) for c in later)
+    assert loss / len(later) < math.log(2) - 0.05
+
+
+def test_rows_without_a_feature_fall_back_and_never_train(spark):
+    rows = [(2000, i, i + 1, float(i % 2), 1.0 + i, 0.5, float(i % 2), True) for i in range(8)]
+    schema = "Season int, TeamID1 bigint, TeamID2 bigint, NumOT double, Score_Ratio double, Score_Pct double, Result double, is_train boolean"
+    test = [(2000, 50, 51, 0.0, None, 0.5, None, False), (2000, 50, 52, 0.0, float("nan"), 0.5, None, False),
+            (2000, 50, 53, 9.0, 1.0, 0.5, None, False)]
+    f = prepare.scaled_features(spark.createDataFrame(rows + test, schema)).withColumnRenamed("Result", "label")
+    scored = {r.TeamID2: r.Pred1 for r in jobs.score_union(f, jobs.fit_union(f, models.fit_logistic)).collect()}
+    assert scored[51] is None and scored[52] is None and 0 < scored[53] < 1
+    bad = spark.createDataFrame([*rows, (2000, 60, 61, 0.0, None, 0.5, 1.0, True)], schema)
+    with pytest.raises(Exception, match="training row without Score_Ratio"):
+        prepare.scaled_features(bad).select("features").collect()
 
 
 def test_factor_job_scores_all_requests(spark):
@@ -34,12 +101,21 @@ def test_factor_job_scores_all_requests(spark):
 
 
 def test_leaf_stack_report(spark):
-    rows = {r.model: r.auc for r in catalog.q_gbt_leaf_lr(spark, SF_SMALL).collect()}
+    rows = {r.model: r.auc for r in jobs.leaf_stack_report(catalog._t(spark, SF_SMALL), gbt_kw={"max_iter": 5}).collect()}
     assert set(rows) == {"gbt", "lr", "leaves_lr", "combined_lr"}
     assert all(0.0 <= v <= 1.0 for v in rows.values())
 
 
+def test_leaf_stack_completes_every_target(spark):
+    t = catalog._t(spark, SF_SMALL)
+    sub, search = jobs.leaf_stack_predictions(t, gbt_kw={"max_iter": 3}, cs=(0.1, 1.0), folds=2)
+    assert len(search.points) == 2
+    rows = sub.collect()
+    assert len(rows) == catalog._stand_in_sub(t).count() and all(0.0 <= r.Pred <= 1.0 for r in rows)
+
+
 def test_svc_job_probabilities(spark):
-    rows = catalog.q_svc_predict(spark, SF_SMALL).collect()
-    assert len(rows) == catalog._stand_in_sub(catalog._t(spark, SF_SMALL)).count()
+    t = catalog._t(spark, SF_SMALL)
+    rows = jobs.tournament_predictions(t, "svc", cs=(1.0, 10.0), folds=2, max_iter=20)[0].collect()
+    assert len(rows) == catalog._stand_in_sub(t).count()
     assert all(r.Pred is not None and 0.0 <= r.Pred <= 1.0 for r in rows)

@@ -1,11 +1,12 @@
 
-from rivalry.operators.prepare import fit_min_max, holdout_split, one_hot, team_index
+from rivalry.operators.prepare import (encode_features, fit_min_max, holdout_split, one_hot, scaled_features,
+                                       team_index)
 from rivalry.operators.contests import mirror_pairs
 
 
 def test_one_hot_golden(spark):
     df = spark.createDataFrame([(0, 3), (1, 1), (2, None), (3, 3)], "id int, v int")
-    out, names = one_hot(df, "v")
+    out, names = one_hot(df, "v", [1, 3])
     assert names == ["v_1", "v_3"]
     rows = {r.id: (r.v_1, r.v_3) for r in out.collect()}
     assert rows == {0: (0.0, 1.0), 1: (1.0, 0.0), 2: (0.0, 0.0), 3: (0.0, 1.0)}
@@ -38,3 +39,27 @@ def test_team_index(spark):
     sc = spark.createDataFrame([(10, 20), (30, 10)], "WTeamID bigint, LTeamID bigint")
     idx = {r.TeamID: r.team_idx for r in team_index(mirror_pairs(sc)).collect()}
     assert idx == {10: 0, 20: 1, 30: 2}
+
+
+FEATURES = "Season int, NumOT double, Score_Ratio double, Score_Pct double, is_train boolean"
+
+
+def test_vector_equals_the_named_columns(spark):
+    # one season in all training rows: its indicator is constant there
+    df = spark.createDataFrame([(2000, 0.0, 1.0, 0.3, True), (2000, 1.0, 2.0, 0.5, True), (2000, 1.0, 4.0, 0.9, True),
+                                (2001, 2.0, 3.0, 0.1, False), (2000, 0.0, 1.5, 0.2, False)], FEATURES)
+    enc, cols = encode_features(df, [2000, 2001], [0.0, 1.0, 2.0])
+    named = fit_min_max(enc, cols).transform(enc).select(*cols).collect()
+    got = [r.features.toArray().tolist() for r in scaled_features(df).collect()]
+    for a, v in zip(named, got):
+        # NumOT_0, _1, _2, Season_2000, _2001, then the constant season's own column
+        assert [round(x, 9) for x in v[:3] + [v[3] + v[5], v[4]] + v[6:]] == [round(x, 9) for x in a]
+
+
+def test_twenty_thousand_categories(spark):
+    df = spark.range(25_000).selectExpr("2000 AS Season", "CAST(id % 20000 AS DOUBLE) AS NumOT",
+                                        "CAST(id AS DOUBLE) AS Score_Ratio", "0.5D AS Score_Pct", "id % 3 < 2 AS is_train")
+    f = scaled_features(df)
+    r = f.where("NumOT = 19999").first()
+    assert r.features.size == 20_000 + 1 + 1 + 2 and r.features.numNonzeros() <= 5
+    assert f.count() == 25_000

@@ -43,3 +43,30 @@ def test_parquet_input_is_projected_and_cast(spark):
         ("Season", "int"), ("WTeamID", "bigint"), ("WScore", "double"), ("LTeamID", "bigint"),
         ("LScore", "double"), ("WLoc", "string"), ("NumOT", "int")]
     assert tuple(df.collect()[0]) == (2003, 1328, 68.0, 1104, 62.0, "N", 0)
+
+
+def _two_files(first, second):
+    folder = tempfile.mkdtemp(prefix="rivalry-csv2-", dir="/tmp")
+    for name, text in (("a.csv", first), ("b.csv", second)):
+        with open(f"{folder}/{name}", "w") as f:
+            f.write(text)
+    return folder
+
+
+def test_files_with_another_header_order_fail(spark):
+    import pytest
+    from rivalry.sources.files import read_season_contests
+    folder = _two_files("WTeamID,LTeamID\n9,8\n", "LTeamID,WTeamID\n9,8\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_season_contests(spark, folder).collect()
+    same = _two_files("WTeamID,LTeamID\n9,8\n", "WTeamID,LTeamID\n7,6\n")
+    assert sorted(map(tuple, read_season_contests(spark, same).collect())) == [(7, 6), (9, 8)]
+
+
+def test_stream_with_another_header_order_fails(spark):
+    import pytest
+    from rivalry.streaming.scoring import read_request_stream
+    folder = _two_files("ID,Pred\n2000_1_2,0.5\n", "Pred,ID\n0.5,2000_1_3\n")
+    q = read_request_stream(spark, folder).writeStream.format("memory").queryName("swapped").start()
+    with pytest.raises(Exception, match="(?i)header"):
+        q.processAllAvailable()
