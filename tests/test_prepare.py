@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 
 from rivalry.operators.prepare import (encode_features, fit_min_max, holdout_split, one_hot, scaled_features,
                                        team_index)
@@ -49,10 +50,10 @@ def test_vector_equals_the_named_columns(spark):
     df = spark.createDataFrame([(2000, 0.0, 1.0, 0.3, True), (2000, 1.0, 2.0, 0.5, True), (2000, 1.0, 4.0, 0.9, True),
                                 (2001, 2.0, 3.0, 0.1, False), (2000, 0.0, 1.5, 0.2, False)], FEATURES)
     enc, cols = encode_features(df, [2000, 2001], [0.0, 1.0, 2.0])
-    named = fit_min_max(enc, cols).transform(enc).select(*cols).collect()
-    got = [r.features.toArray().tolist() for r in scaled_features(df).collect()]
-    for a, v in zip(named, got):
-        # NumOT_0, _1, _2, Season_2000, _2001, then the constant season's own column
+    named = {r._key: r for r in fit_min_max(enc, cols).transform(enc.withColumn("_key", F.col("Score_Ratio"))).collect()}
+    for r in scaled_features(df.withColumn("_key", F.col("Score_Ratio"))).collect():
+        v, a = r.features.toArray().tolist(), [named[r._key][c] for c in cols]
+        # NumOT_0, _1, _2, Season_2000, _2001, the constant season's own column, the two numbers
         assert [round(x, 9) for x in v[:3] + [v[3] + v[5], v[4]] + v[6:]] == [round(x, 9) for x in a]
 
 
