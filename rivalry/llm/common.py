@@ -101,8 +101,13 @@ def unpacked(df: DataFrame, names: Sequence[str], *columns: str | Column) -> Dat
     """The columns ``names`` of the packed input again, then ``columns``; an
     input column with the name of one of them gives way."""
     new = [F.col(c) if isinstance(c, str) else c for c in columns]
-    taken = {n.lower() for n in df.select(*new).columns} if new else set()
-    return df.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names) if c.lower() not in taken], *new)
+    made = df.select(*new).columns if new else []
+    taken = {n.lower() for n in made}
+    kept = [(i, c) for i, c in enumerate(names) if c.lower() not in taken]
+    # two steps: in one, an input column's name could be taken for what a new
+    # column's expression means
+    d = df.select(*[F.col(f"_c{i}") for i, _ in kept], *[c.alias(f"_n{j}") for j, c in enumerate(new)])
+    return d.select(*[F.col(f"_c{i}").alias(c) for i, c in kept], *[F.col(f"_n{j}").alias(n) for j, n in enumerate(made)])
 
 
 def slice_of(value: Column, bounds: Sequence[int]) -> Column:
