@@ -28,9 +28,11 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    # learned from the whole labelled table: the rules before it have removed
+    # most examples of label 0 from ``docs``
     by_value()
-    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
-    return quality_cnn.keep(docs, quality_cnn.train(docs, labels))
+    read = lambda name: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return quality_cnn.keep(docs, quality_cnn.train(read("documents"), read("labels")))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
