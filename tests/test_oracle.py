@@ -8,7 +8,8 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 
-TABLES = ["lineitem", "orders", "supplier", "nation", "region", "customer", "part"]
+TABLES = ["lineitem", "orders", "supplier", "nation", "region", "customer", "part", "documents", "embeddings", "labels",
+          "pages"]
 SQL = E.oracle_sql()
 
 
