@@ -13,6 +13,7 @@ goes to the library whole.  The memory is bounded and only saves time.
 from __future__ import annotations
 
 import os
+import re
 
 import regex
 
@@ -22,7 +23,8 @@ NAME = "word_bpe_49k.json"
 
 #: Characters whose white space, lower case and composition are the same for
 #: Python and the library: ASCII, Latin letters, common punctuation.
-OTHER = regex.compile("[^\t\n\v\f\r -~¡-įı-ɏ‐-‧‰-⁞€]|<\\|")
+OTHER = re.compile("[^\t\n\v\f\r -~¡-įı-ɏ‐-‧‰-⁞€]")
+SPECIAL = "<|"           # begins every special token
 
 WORDS_KEPT = 400_000     # entries of the two memories of a Python worker
 RUNS_KEPT = 1_000_000
@@ -47,16 +49,21 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memory(dict):
-    """word -> its ids as little-endian unsigned 32-bit bytes."""
+    """word -> its ids as little-endian unsigned 32-bit bytes.  When it is
+    full, the words not asked for since it was last full are forgotten."""
 
     def __init__(self, encode, limit):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.old = encode, limit, {}
 
     def __missing__(self, word):
-        if len(self) >= self.limit:
+        if 2 * len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        ids = self[word] = self.encode(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        self[word] = ids
         return ids
 
 
@@ -67,6 +74,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.split = regex.compile(PATTERN).findall
         self.runs = _Memory(self._run, RUNS_KEPT)
         self.words = _Memory(self._word, WORDS_KEPT)
@@ -74,19 +82,24 @@ class Encoder:
     def _run(self, run: str) -> bytes:
         if not run.isascii():
             run = run.encode().decode("latin-1").translate(self.letters)
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(run))
+        return b"".join([self.bytes[t.id] for t in self.model.tokenize(run)])
 
     def _word(self, word: str) -> bytes:
-        return b"".join(map(self.runs.__getitem__, self.split(word.lower())))
+        word = word.lower()
+        # letters, or letters and one other character: what the pattern finds too
+        if word.isalpha():
+            return self.runs[word]
+        if word[:-1].isalpha():
+            return self.runs[word[:-1]] + self.runs[word[-1]]
+        return b"".join(map(self.runs.__getitem__, self.split(word)))
 
     def __call__(self, text: str | None) -> bytes:
         """Ids of a text (NULL: of the empty text) as little-endian unsigned
         32-bit bytes."""
         if not text:
             return b""
-        if OTHER.search(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return b"".join(i.to_bytes(4, "little") for i in ids)
+        if SPECIAL in text or OTHER.search(text):
+            return b"".join([self.bytes[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
