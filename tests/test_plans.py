@@ -41,7 +41,7 @@ def test_hot_team_is_split_in_the_fallback_joins(spark):
     from pyspark.sql import functions as F
     from rivalry.operators.complete import fallback_prediction
     conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.shuffle.partitions": "8",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.shuffle.partitions": "32",
             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k"}
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
