@@ -26,8 +26,8 @@ NAME = "word_bpe_49k.json"
 OTHER = re.compile("[^\t\n\v\f\r -~¡-įı-ɏ‐-‧‰-⁞€]")
 SPECIAL = "<|"           # begins every special token
 
-WORDS_KEPT = 400_000     # entries of the two memories of a Python worker
-RUNS_KEPT = 1_000_000
+WORDS_KEPT = 300_000     # entries of the two memories of a Python worker
+RUNS_KEPT = 600_000
 
 
 def vocabulary_path(path: str | None = None) -> str:
