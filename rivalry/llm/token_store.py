@@ -1,12 +1,13 @@
 """Token-id files with keyed access in constant time.
 
 A store is a folder of shards in ascending key order.  A shard is two files:
-``.ids``, the raw ids of its documents one after the other (unsigned 32-bit,
-little-endian, each document with its end id), and ``.mph``, a minimal perfect
-hash index over its keys:
+``.ids``, the raw ids of its documents one after the other (unsigned,
+little-endian, 16 bits where the vocabulary fits and 32 otherwise, each
+document with its end id), and ``.mph``, a minimal perfect hash index over its
+keys:
 
     magic ``RVMPH1``, padded to 8 bytes
-    u64  seed, number of keys n, number of levels, bits of every level
+    u64  bytes of an id, seed, number of keys n, number of levels, bits of every level
     u64  words of the levels' bit maps
     u32  rank: ones before each word
     u32  fingerprint of the key in each slot          (n)
@@ -76,13 +77,13 @@ def _fingerprint(h: np.ndarray) -> np.ndarray:
 class Index:
     """Minimal perfect hash over the keys of a shard."""
 
-    def __init__(self, seed, sizes, words, rank, prints, offsets, lengths):
-        self.seed, self.sizes, self.words, self.rank = seed, sizes, words, rank
+    def __init__(self, width, seed, sizes, words, rank, prints, offsets, lengths):
+        self.width, self.seed, self.sizes, self.words, self.rank = width, seed, sizes, words, rank
         self.prints, self.offsets, self.lengths = prints, offsets, lengths
 
     @classmethod
     def build(cls, ids: np.ndarray, nulls: np.ndarray, occurrence: np.ndarray, offsets: np.ndarray,
-              lengths: np.ndarray) -> Index:
+              lengths: np.ndarray, width: int = 4) -> Index:
         seed = 0
         while len(np.unique(h := key_hash(ids, nulls, occurrence, seed))) < len(h):
             seed += 1          # two keys with one hash: another seed parts them
@@ -97,7 +98,7 @@ class Index:
         words = np.concatenate(maps) if maps else np.zeros(0, "<u8")
         ones = np.bitwise_count(words).astype(np.int64)
         rank = (np.cumsum(ones) - ones).astype("<u4")
-        index = cls(seed, np.array(sizes, "<u8"), words, rank, None, None, None)
+        index = cls(width, seed, np.array(sizes, "<u8"), words, rank, None, None, None)
         slot = index._slots(h)
         n = len(h)
         index.prints, index.offsets, index.lengths = np.zeros(n, "<u4"), np.zeros(n, "<u8"), np.zeros(n, "<u8")
@@ -131,7 +132,7 @@ class Index:
         return found, self.offsets[at].astype(np.int64), self.lengths[at].astype(np.int64)
 
     def dump(self) -> bytes:
-        head = np.array([self.seed, len(self.prints), len(self.sizes), *self.sizes.tolist()], "<u8")
+        head = np.array([self.width, self.seed, len(self.prints), len(self.sizes), *self.sizes.tolist()], "<u8")
         return b"".join([MAGIC, *(x.tobytes() for x in (head, self.words, self.rank, self.prints, self.offsets,
                                                         self.lengths))])
 
@@ -139,15 +140,15 @@ class Index:
     def load(cls, data: bytes) -> Index:
         if data[:8] != MAGIC:
             raise ValueError("not an index of token ids")
-        seed, n, levels = np.frombuffer(data, "<u8", 3, 8).tolist()
-        sizes = np.frombuffer(data, "<u8", levels, 32)
-        at = 32 + 8 * levels
+        width, seed, n, levels = np.frombuffer(data, "<u8", 4, 8).tolist()
+        sizes = np.frombuffer(data, "<u8", levels, 40)
+        at = 40 + 8 * levels
         parts = []
         n_words = int(sizes.sum()) // 64
         for kind, count in (("<u8", n_words), ("<u4", n_words), ("<u4", n), ("<u8", n), ("<u8", n)):
             parts.append(np.frombuffer(data, kind, count, at))
             at += parts[-1].nbytes
-        return cls(seed, sizes, *parts)
+        return cls(width, seed, sizes, *parts)
 
 
 class Shard:
@@ -166,10 +167,12 @@ class Shard:
                                                 np.array([occurrence]))
         if not found[0]:
             return None
-        return np.frombuffer(self.read(int(offset[0]), int(length[0])), "<u4")
+        return self.read(int(offset[0]), int(length[0]))
 
-    def read(self, offset: int, length: int) -> bytes:
-        return self.payload.read_at(4 * length, 4 * offset)
+    def read(self, offset: int, length: int) -> np.ndarray:
+        """``length`` ids from ``offset`` on, as unsigned 32-bit numbers."""
+        width = self.index.width
+        return np.frombuffer(self.payload.read_at(width * length, width * offset), f"<u{width}").astype("<u4")
 
     def close(self) -> None:
         self.payload.close()
@@ -184,11 +187,12 @@ def occurrences(ids: np.ndarray, nulls: np.ndarray) -> np.ndarray:
     return np.arange(n) - first
 
 
-def _writer(folder: str, path: str, tail: bytes):
+def _writer(folder: str, path: str, end_id: int):
     schema = pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("name", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode, tail = encoder(path), np.array([end_id], "<u4").tobytes()
+        width = 2 if max(encode.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         files, root = pafs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
         shard = name = out = None
@@ -200,7 +204,7 @@ def _writer(folder: str, path: str, tail: bytes):
             nulls = np.array([i is None for i in ids], bool)
             keys = np.array([i or 0 for i in ids], np.int64)
             n = np.array(lengths, np.int64)
-            index = Index.build(keys, nulls, occurrences(keys, nulls), np.cumsum(n) - n, n)
+            index = Index.build(keys, nulls, occurrences(keys, nulls), np.cumsum(n) - n, n, width)
             with files.open_output_stream(f"{root}/{name}.mph") as f:
                 f.write(index.dump())
             return pa.RecordBatch.from_pylist([{"shard": shard, "n_docs": len(ids), "n_ids": int(n.sum()), "name": name}],
@@ -213,10 +217,10 @@ def _writer(folder: str, path: str, tail: bytes):
                         yield close()
                     shard, name, ids, lengths = s, f"{s:06d}-{uuid.uuid4().hex}", [], []
                     out = files.open_output_stream(f"{root}/{name}.ids")
-                body = encode(text.as_py()) + tail
-                out.write(body)
+                body = np.frombuffer(encode(text.as_py()) + tail, "<u4")
+                out.write(body.astype(f"<u{width}").tobytes())
                 ids.append(doc)
-                lengths.append(len(body) // 4)
+                lengths.append(len(body))
         if out:
             yield close()
     return run
@@ -237,7 +241,7 @@ def write_store(docs: DataFrame, folder: str | None = None, end_id: int = END_ID
     d = docs.select(slice_of(F.col(key).cast("long"), bounds).cast("int").alias("shard"),
                     F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     table = pin(d.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("key"))
-                .mapInArrow(_writer(folder, vocabulary_path(vocabulary), end_id.to_bytes(4, "little")), SHARDS))
+                .mapInArrow(_writer(folder, vocabulary_path(vocabulary), end_id), SHARDS))
     return folder, bounds, table
 
 
