@@ -7,6 +7,12 @@ summed distance - a heap over the two sorted distance lists - until the cells
 it passed hold ``probe`` entries (and at least ``cells`` cells).  The entries
 of those cells are reranked by the exact cosine in double precision.
 
+``probe`` is not fixed: on a table of more entries it is measured.  The exact
+neighbours of ``CALIBRATE`` queries tell how many entries the walk passes
+before their cells; ``probe`` is widened until ``RECALL`` of them are found.
+Where that is more than one in ``EXACT`` of the entries, all queries are
+compared with all entries in blocks, which is then the shorter way.
+
 An entry is a distinct vector with the ``k`` + 1 smallest ids that carry it:
 more copies of it cannot be in a result, ties going to the smaller id.  Cells
 are worked off in blocks of bounded numbers of entries and of queries, so a
@@ -34,6 +40,9 @@ from .common import pin
 
 K = 5
 PROBE = 3000             # entries that a query looks at, at least
+CALIBRATE = 256          # queries whose exact neighbours are found to widen it, at most
+RECALL = 0.95            # share of those neighbours that the widened walk finds (0.9 and a margin for the sample)
+EXACT = 16               # a visit of a cell costs as much as this many times its entries in a block
 CELLS = 8                # cells that a query looks at, at least
 SAMPLE = 8192            # entries the centroids are fitted on, at most
 MAX_CENTROIDS = 256      # of each half
@@ -92,6 +101,20 @@ def walk(d1: np.ndarray, d2: np.ndarray, held: np.ndarray, probe: int, cells: in
     return out
 
 
+def needed(u: np.ndarray, cells: list[list[int]], c1: np.ndarray, c2: np.ndarray, held: np.ndarray,
+           half: int, recall: float = RECALL) -> int:
+    """The least ``probe`` at which the walks of the unit vectors ``u`` pass
+    ``recall`` of the cells given for each of them."""
+    before: list[int] = []
+    for d1, d2, own in zip(_distances(u[:, :half], c1), _distances(u[:, half:], c2), cells):
+        order = np.argsort((d1[:, None] + d2).ravel(), kind="stable")
+        passed = np.empty(len(order), np.int64)
+        passed[order] = np.cumsum(held[order]) - held[order]
+        before += passed[own].tolist()
+    before.sort()
+    return before[int(np.ceil(recall * len(before))) - 1] + 1 if before else 0
+
+
 def exact_cosines(e: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Cosines in double precision, every sum taken from left to right."""
     last = lambda x: np.cumsum(x, axis=1)[:, -1]
@@ -159,6 +182,41 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id"
     for r in index.groupBy("cell").count().collect():       # at most c * c rows
         held[r["cell"]] = r["count"]
 
+    queries = rows.where("is_query").select(F.col("id").alias("query_id"), "vector").distinct()
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def nearest(index: DataFrame, asked: DataFrame) -> DataFrame:
+        """The ``k`` nearest entries in the cells asked for."""
+        blocks = lambda t, name: t.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias(name))
+        per_cell = F.broadcast(pin(blocks(index, "n_e").join(blocks(asked, "n_q"), "cell")))    # at most c * c rows
+        e = (index.join(per_cell, "cell")
+             .withColumn("e", F.pmod(F.xxhash64("vector"), F.col("n_e")))
+             .withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_q") - 1))).drop("n_e", "n_q"))
+        q = (asked.join(per_cell, "cell")
+             .withColumn("q", F.pmod(F.xxhash64("query_id"), F.col("n_q")))
+             .withColumn("e", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_e") - 1))).drop("n_e", "n_q"))
+        on = ["cell", "e", "q"]
+        near = (e.groupBy(*on).cogroup(q.groupBy(*on))
+                .applyInArrow(_rerank(dim, k), "query_id long, vec_id long, score double"))
+        return (near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+                .select("query_id", "rank", "vec_id", "score"))
+
+    one = lambda t: t.withColumn("cell", F.lit(0).cast("long"))
+    if n > probe:
+        some = pin(queries.orderBy(F.xxhash64("query_id", "vector")).limit(CALIBRATE))
+        real = pin(nearest(one(index), one(some)))          # at most k rows a query
+        where = index.select(F.explode("ids").alias("vec_id"), "cell").join(F.broadcast(real), "vec_id")
+        cells_of: dict[int, list[int]] = {}
+        for r in where.select("query_id", "cell").collect():
+            cells_of.setdefault(r["query_id"], []).append(r["cell"])
+        asked = some.toArrow()
+        if len(asked):
+            u = _units(asked["vector"].combine_chunks(), dim)
+            want = needed(u, [cells_of.get(i, []) for i in asked["query_id"].to_pylist()], c1, c2, held, half)
+            if want > probe and want * EXACT >= n:
+                return nearest(one(index), one(pin(queries)))
+            probe = max(probe, want)
+
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             u = _units(b.column("vector"), dim)
@@ -169,22 +227,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id"
                 [b.column("query_id").take(pa.array(at)), b.column("vector").take(pa.array(at)),
                  pa.array(np.array([x for f in found for x in f], np.int64))], ["query_id", "vector", "cell"])
 
-    queries = rows.where("is_query").select(F.col("id").alias("query_id"), "vector").distinct()
-    asked = pin(queries.mapInArrow(probes, f"query_id long, vector {kind}, cell long"))
-    blocks = lambda t, name: t.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias(name))
-    per_cell = F.broadcast(pin(blocks(index, "n_e").join(blocks(asked, "n_q"), "cell")))    # at most c * c rows
-    e = (index.join(per_cell, "cell")
-         .withColumn("e", F.pmod(F.xxhash64("vector"), F.col("n_e")))
-         .withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_q") - 1))).drop("n_e", "n_q"))
-    q = (asked.join(per_cell, "cell")
-         .withColumn("q", F.pmod(F.xxhash64("query_id"), F.col("n_q")))
-         .withColumn("e", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_e") - 1))).drop("n_e", "n_q"))
-    on = ["cell", "e", "q"]
-    near = (e.groupBy(*on).cogroup(q.groupBy(*on))
-            .applyInArrow(_rerank(dim, k), "query_id long, vec_id long, score double"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    return nearest(index, pin(queries.mapInArrow(probes, f"query_id long, vector {kind}, cell long")))
 
 
 def oracle_sql(every: int = 50, k: int = K) -> str:

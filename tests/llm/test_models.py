@@ -127,3 +127,40 @@ def test_walk_visits_pairs_in_order_of_the_sum():
     assert ann.walk(a, b, held, 10**9, 0) == order
     some = ann.walk(a, b, held, 12, 3)
     assert some == order[:len(some)] and held[some].sum() >= 12 and len(some) >= 3
+
+
+def like_the_table(n, dim=64, seed=9):
+    """Mean of a label plus a Gaussian residual, sized as in sf0.1/embeddings."""
+    r = np.random.default_rng(seed)
+    return (r.standard_normal((10, dim))[np.arange(n) % 10] * 0.07 + r.standard_normal((n, dim))).astype(np.float32)
+
+
+def recall(spark, n, k=5):
+    import pyarrow as pa
+    x = like_the_table(n)
+    d = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    got = {(r.query_id, r.vec_id) for r in ann.search(d, F.col("vec_id") % 50 == 0).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, n, 50):
+        s = u @ u[q]
+        s[q] = -2
+        hit += sum((q, int(i)) in got for i in np.argpartition(-s, k)[:k])
+    return hit / (k * len(range(0, n, 50)))
+
+
+def test_recall_of_a_larger_table(spark):
+    """Production parameters: a fixed budget of ``PROBE`` finds too few."""
+    assert recall(spark, 20_000) >= 0.9
+
+
+def test_needed_probe():
+    r = np.random.default_rng(1)
+    u, c1, c2 = r.standard_normal((20, 8)), r.standard_normal((5, 4)), r.standard_normal((5, 4))
+    held = r.integers(0, 9, 25)
+    want = [[int(i)] for i in r.choice(np.flatnonzero(held), 20)]
+    for share in (0.5, 0.9, 1.0):
+        n = ann.needed(u, want, c1, c2, held, 4, share)
+        found = lambda probe: np.mean([w[0] in ann.walk(a, b, held, probe, 0) for w, a, b in zip(
+            want, ann._distances(u[:, :4], c1), ann._distances(u[:, 4:], c2))])
+        assert found(n) >= share > (found(n - 1) if n > 1 else 0)
