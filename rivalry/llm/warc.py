@@ -17,7 +17,7 @@ per record, and :func:`read_warc` reads any WARC file record by record.
 Cases: a NULL html is an empty page, a NULL url the target ``about:blank``;
 rows that agree in id, url and html give the same records; a record that is
 not an HTTP response gives no derivative; broken markup and characters are
-kept as text; an empty table gives an empty result; other columns pass through
+kept as text, a head without an end goes as far as its elements do; an empty table gives an empty result; other columns pass through
 :func:`responses` only as far as they are named.
 """
 
@@ -46,13 +46,20 @@ SPACE_URL = uuid.uuid5(uuid.NAMESPACE_URL, "urn:rivalry:warc")
 RECORDS = "page_id long, record_id string, type string, record binary"
 SCHEMA = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("type", pa.string()), ("record", pa.binary())])
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+# What no reader sees; an unclosed title or template is broken markup, its text is kept.
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(title|template)\b[^>]*>.*?</\2\s*>",
+                   re.S | re.I)
+# A head, tagged or not: it ends before the first text or element that cannot stand in one.
+_HEAD = re.compile(r"(?:\A\ufeff?|<head\b[^>]*>)(?:\s+|<!--.*?-->|<(?:!(?!--)|\?)[^>]*>|"
+                   r"</?(?:html|head|meta|link|base|noscript)\b[^>]*>|"
+                   r"<(title|script|style|template)\b[^>]*>.*?</\1\s*>)*", re.S | re.I)
 _BREAK = re.compile(r"<(?:br|hr)\b[^>]*>|</?(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|main|"
                     r"aside|blockquote|pre|dd|dt|dl|form|title)\b[^>]*>", re.I)
 _TAG = re.compile(r"<(?:[a-zA-Z/!?][^>]*>|[a-zA-Z/!?][^>]*\Z)")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.S | re.I)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<template\b[^>]*>.*?</template\s*>",
+                   re.S | re.I)
 _LINK = re.compile(r"<(a|area|link|img|script|iframe|source)\b[^>]*?\b(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))",
                    re.I)
 _BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
@@ -91,8 +98,18 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def plain_text(page: str) -> str:
-    """Visible text: lines at block elements, white space collapsed."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page)))
+    """Visible text: lines at block elements, white space collapsed.  A title
+    goes with the head it stands in, the text of a noscript stays."""
+    top, others = _HEAD.match(page).end(), None
+
+    def drop(m: re.Match) -> str:
+        nonlocal others
+        if (m[2] or "").lower() != "title" or m.start() < top:
+            return " "
+        if others is None:
+            others = [h.span() for h in _HEAD.finditer(page, top)]
+        return " " if any(a <= m.start() < b for a, b in others) else m[0]
+    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(drop, page)))
     lines = (_BLANKS.sub(" ", line).strip() for line in htmllib.unescape(text).split("\n"))
     return "\n".join(line for line in lines if line)
 

@@ -63,3 +63,17 @@ def test_files_round_trip(spark, tmp_path):
     assert key(back) == key(made)
     # the derivatives of what was read are those of what was written
     assert key(warc.derive(back)) == key(made.where("type <> 'response'"))
+
+
+def test_head_ends_without_its_tag():
+    text = "All the text\nmore"
+    body = "<p>All the text<p>more"
+    head = '<html><head><meta charset="utf-8"><title>T</title><style>p{}</style><script>x</script>'
+    for page in (head + "<body>" + body, head + body, head + "</head>" + body, "<title>T</title>" + body,
+                 "<!doctype html>\n" + head + "<!-- c -->\n<link rel=x href=/y>" + body, "<head>All the text" + body[15:],
+                 "<head><title>a <!-- b</title></head>" + body, "<template>no</template>" + body, "<template>" + body):
+        assert warc.plain_text(page) == text, page
+    assert warc.plain_text("<p>junk<head><title>T</title>" + body) == "junk\n" + text
+    assert warc.plain_text("<p>a</p><title>kept</title>") == "a\nkept"
+    assert warc.plain_text("<p>a</p><noscript>kept</noscript><p>b</p><noscript>open <p>c") == "a\nkept\nb\nopen\nc"
+    assert [x["url"] for x in warc.links("<template><a href=/x>", "http://h/")] == ["http://h/x"]
