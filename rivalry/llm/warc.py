@@ -17,7 +17,10 @@ per record, and :func:`read_warc` reads any WARC file record by record.
 Cases: a NULL html is an empty page, a NULL url the target ``about:blank``;
 rows that agree in id, url and html give the same records; a record that is
 not an HTTP response gives no derivative; broken markup and characters are
-kept as text, a head without an end goes as far as its elements do; an empty table gives an empty result; other columns pass through
+kept as text; chunked, gzip and deflate bodies are decoded first (what a broken
+one gives up to the break; a body that is not in the encoding its head names is
+taken as it stands), one in another encoding has no conversion and its metadata
+names the encoding under ``undecoded``; a head without an end goes as far as its elements do; an empty table gives an empty result; other columns pass through
 :func:`responses` only as far as they are named.
 """
 
@@ -31,6 +34,7 @@ import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -62,6 +66,7 @@ _SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)
                    re.S | re.I)
 _LINK = re.compile(r"<(a|area|link|img|script|iframe|source)\b[^>]*?\b(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))",
                    re.I)
+_CHUNK = re.compile(rb"(?:\r?\n)?([0-9A-Fa-f]{1,15})[ \t]*(?:;[^\r\n]*)?\r?\n")
 _BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
 
 
@@ -137,6 +142,53 @@ def response_record(page_id: int | None, url: str | None, page: str | None) -> t
                         ("WARC-Payload-Digest", payload), ("Content-Type", "application/http; msgtype=response")], block)
 
 
+def unchunked(body: bytes) -> bytes:
+    """A chunked body's bytes; a body that does not start with a chunk as it is."""
+    out, at = [], 0
+    while m := _CHUNK.match(body, at):
+        size = int(m[1], 16)
+        if not size:
+            return b"".join(out)
+        out.append(body[m.end():m.end() + size])
+        at = m.end() + size
+    return b"".join(out) if out else body
+
+
+def inflated(body: bytes, coding: str) -> bytes:
+    """A gzip (any number of members) or deflate (with or without the zlib
+    head) body's bytes; a body that is neither as it is."""
+    for bits in (31,) if coding == "gzip" else (15, -15):
+        out, rest = [], body
+        while rest:
+            d = zlib.decompressobj(bits)
+            try:
+                for i in range(0, len(rest), 1 << 12):      # in pieces: a break costs no more than its piece
+                    out.append(d.decompress(rest[i:i + (1 << 12)]))
+                    if d.eof:
+                        break
+            except zlib.error:
+                break
+            rest = d.unused_data + rest[i + (1 << 12):] if d.eof and coding == "gzip" else b""
+        if any(out) or (not rest and body):
+            return b"".join(out)
+    return body
+
+
+def decoded(body: bytes, http: list[list[str]]) -> tuple[bytes, str | None]:
+    """The body without the encodings its HTTP head names, last one first, and
+    the one that cannot be undone, if any."""
+    for field in ("transfer-encoding", "content-encoding"):
+        named = ",".join(v for k, v in http if k.lower() == field).lower().split(",")
+        for coding in (c.strip().removeprefix("x-") for c in reversed(named)):
+            if coding == "chunked":
+                body = unchunked(body)
+            elif coding in ("gzip", "deflate"):
+                body = inflated(body, coding)
+            elif coding not in ("", "identity"):
+                return body, coding
+    return body, None
+
+
 def derivatives(data: bytes) -> list[tuple[str, str, bytes]]:
     """(id, type, record) of the metadata and the conversion of a response."""
     headers, block = parse(data)
@@ -145,21 +197,25 @@ def derivatives(data: bytes) -> list[tuple[str, str, bytes]]:
     head, _, body = block.partition(b"\r\n\r\n")
     http = [[k.strip(), v.strip()] for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])]
     kind = next((v for k, v in http if k.lower() == "content-type"), "")
+    plain, undecoded = decoded(body, http)
     charset = re.search(r"charset=\"?([\w-]+)", kind, re.I)
     try:
-        page = body.decode(charset[1] if charset else "utf-8", "replace")
+        page = plain.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:                    # an unknown charset
-        page = body.decode("utf-8", "replace")
+        page = plain.decode("utf-8", "replace")
+    page = "" if undecoded else page
     rid, target = headers["warc-record-id"], headers.get("warc-target-uri", "about:blank")
     title, lang = _TITLE.search(page), _LANG.search(page)
     meta = json.dumps({
         "target": target, "title": " ".join(htmllib.unescape(title[1]).split()) if title else None,
         "lang": lang[1] if lang else None, "status": head.split(b"\r\n")[0].decode("latin-1"), "headers": http,
         "payload-digest": headers.get("warc-payload-digest", digest(body)), "links": links(page, target),
+        **({"undecoded": undecoded} if undecoded else {}),
     }, ensure_ascii=False).encode("utf-8", "surrogatepass")
     text = plain_text(page).encode("utf-8", "surrogatepass")
     out = []
-    for what, mime, content in (("metadata", "application/json", meta), ("conversion", "text/plain; charset=utf-8", text)):
+    made = (("metadata", "application/json", meta), ("conversion", "text/plain; charset=utf-8", text))
+    for what, mime, content in made[:1] if undecoded else made:
         own = name_id(what, rid)
         out.append((own, what, record(
             [("WARC-Type", what), ("WARC-Record-ID", own), ("WARC-Refers-To", rid),

@@ -77,3 +77,30 @@ def test_head_ends_without_its_tag():
     assert warc.plain_text("<p>a</p><title>kept</title>") == "a\nkept"
     assert warc.plain_text("<p>a</p><noscript>kept</noscript><p>b</p><noscript>open <p>c") == "a\nkept\nb\nopen\nc"
     assert [x["url"] for x in warc.links("<template><a href=/x>", "http://h/")] == ["http://h/x"]
+
+
+def test_encoded_bodies():
+    import gzip
+    page = PAGE.encode()
+    raw = zlib.compressobj(wbits=-15)
+    raw = raw.compress(page) + raw.flush()
+    cut = lambda b: b"".join(b"%x;x=y\r\n%s\r\n" % (len(b[i:i + 100]), b[i:i + 100]) for i in range(0, len(b), 100)) + b"0\r\n\r\n"
+
+    def read(body, *fields):
+        head = "\r\n".join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", *fields]).encode()
+        found = warc.derivatives(warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"),
+                                              ("WARC-Target-URI", "http://h.example/dir/p")], head + b"\r\n\r\n" + body))
+        return json.loads(warc.parse(found[0][2])[1]), [warc.parse(r)[1] for _, kind, r in found if kind == "conversion"]
+    meta, text = read(page)
+    for body, *fields in ((cut(page), "Transfer-Encoding: chunked"), (gzip.compress(page), "Content-Encoding: gzip"),
+                          (gzip.compress(page[:300]) + gzip.compress(page[300:]), "content-encoding: x-gzip"),
+                          (zlib.compress(page), "Content-Encoding: deflate"), (raw, "Content-Encoding: deflate"),
+                          (cut(gzip.compress(page)), "Transfer-Encoding: chunked", "Content-Encoding: GZIP"),
+                          (cut(gzip.compress(page)), "Transfer-Encoding: gzip, chunked"),
+                          (page, "Transfer-Encoding: chunked", "Content-Encoding: gzip"), (page, "Content-Encoding: identity")):
+        m, t = read(body, *fields)
+        assert (m["title"], m["links"], t) == (meta["title"], meta["links"], text), fields
+    m, t = read(b"\x1b\x00", "Content-Encoding: br")
+    assert m["undecoded"] == "br" and m["links"] == [] and m["title"] is None and t == []
+    long = b"<p>" + b" ".join(b"%d" % (i * i) for i in range(20000))
+    assert len(read(gzip.compress(long)[:-9000], "Content-Encoding: gzip")[1][0]) > 50000
