@@ -11,6 +11,9 @@ Two window classes cover templates of all lengths: long ones (from
 ``LONG`` shingles) by windows of 16 shingles, of which every passage of a long
 template holds a whole one at each start; short ones by windows of a single
 shingle, where the signature is the shingle itself and nothing is missed.
+A template of fewer words than a shingle is matched as its whole word
+sequence, one without a word is refused.  A template may name a passage that a
+document must hold whole, such as the version (``NOTICES``).
 At similarity 0.8 of a window, eight bands of one value meet with
 probability 1 - 0.2^8 > 0.999997.
 
@@ -71,6 +74,38 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
      "materials provided with the distribution."),
 )
 
+_BY = dict(TEMPLATES)
+
+#: Fixed values: ``TEMPLATES`` with the versions told apart, and further notices; no whole license texts.
+NOTICES: tuple[tuple[str, ...], ...] = (
+    ("GPL-3.0", _BY["GPL-3.0"], "General Public License, version 3"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", "General Public License, version 2"),
+    ("CC-BY-NC-4.0", _BY["CC-BY-NC-4.0"], _BY["CC-BY-NC-4.0"]),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0.", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY-SA 4.0."),
+    ("MIT", _BY["MIT"]),
+    ("Apache-2.0", _BY["Apache-2.0"]),
+    ("MIT-notice", _BY["MIT-notice"]),
+    ("Apache-2.0-notice", _BY["Apache-2.0-notice"]),
+    ("GPL-3.0-notice", _BY["GPL-3.0-notice"], "GNU General Public License as published by the Free Software Foundation, "
+                                              "either version 3 of the License"),
+    *((f"{short}-notice", _BY["GPL-3.0-notice"].replace("This program", f"This {what}").replace(
+        "GNU General Public License", f"GNU {name}").replace("version 3 of", f"version {v} of"),
+       f"GNU {name} as published by the Free Software Foundation, either version {v} of the License")
+      for short, what, name, v in (("GPL-2.0", "program", "General Public License", "2"),
+                                   ("LGPL-2.1", "library", "Lesser General Public License", "2.1"),
+                                   ("LGPL-3.0", "library", "Lesser General Public License", "3"),
+                                   ("AGPL-3.0", "program", "Affero General Public License", "3"))),
+    ("MPL-2.0-notice",
+     "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+     "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "Mozilla Public License, v. 2.0"),
+    ("BSD-notice", _BY["BSD-notice"]),
+    ("BSD-3-clause",
+     "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+     "products derived from this software without specific prior written permission."),
+    ("Proprietary", "All rights reserved."),
+)
+
 _WORDS = r"[^\p{L}\p{N}]+"
 
 
@@ -135,20 +170,32 @@ def _text_signatures(h: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _inline_bands(d, keys, windows)
 
 
-def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """(license, shingles): the distinct shingles of every template."""
-    t = spark.createDataFrame(list(templates), "license string, text string")
-    w = computed(t, ["license"], w=_tokens(F.col("text")))
-    return (computed(w, ["license"], shingles=F.array_distinct(shingles(F.col("w"))), hashes=hashes(F.col("w")))
-            .where(F.size("shingles") > 0))
+def template_table(spark: SparkSession, templates: Sequence[tuple[str, ...]] = TEMPLATES) -> DataFrame:
+    """(license, w, must, shingles, hashes): the words of every template, the
+    shingles of its passage that must occur, its distinct shingles."""
+    t = spark.createDataFrame([(x[0], x[1], x[2] if len(x) > 2 else "") for x in templates],
+                              "license string, text string, must string")
+    w = computed(t, ["license"], w=_tokens(F.col("text")), m=_tokens(F.col("must")))
+    return computed(w, ["license", "w"], must=shingles(F.col("m")), shingles=F.array_distinct(shingles(F.col("w"))),
+                    hashes=hashes(F.col("w")))
+
+
+def _sequences(w: Column, n: int) -> Column:
+    """The distinct sequences of ``n`` words as text."""
+    starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", *[w[i + j] for j in range(n)])))
 
 
-def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, text: str = "text",
+def scan(docs: DataFrame, templates: Sequence[tuple[str, ...]] = TEMPLATES, text: str = "text",
          key: str = "doc_id") -> DataFrame:
     """(doc_id, license, n_shared, n_shingles): the templates of which a
-    document holds at least ``CONTAINMENT``."""
+    document holds at least ``CONTAINMENT`` (and the passage that must occur)."""
     spark = docs.sparkSession
-    t = pin(template_table(spark, templates))
+    every = pin(template_table(spark, templates))
+    words = [(r["license"], r["n"]) for r in every.select("license", F.size("w").alias("n")).collect()]
+    if empty := [name for name, n in words if not n]:
+        raise ValueError(f"templates without a word: {empty}")
+    t = every.where(F.size("shingles") > 0)
     long_ = F.size("shingles") >= LONG
     short_index = t.where(~long_).select("license", F.explode("hashes").alias("value")).distinct()
     long_index = _template_signatures(t.where(long_))
@@ -168,11 +215,20 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, text
     seen = computed(seen, ["doc_id", "th", "licenses"], w=_tokens(F.col("text")))
     own = computed(seen, ["doc_id", "th", "licenses"], own=F.array_distinct(shingles(F.col("w"))))
     pairs = own.select("doc_id", "th", "own", F.explode("licenses").alias("license")).join(
-        small(t.select("license", "shingles")), "license")
+        small(t.select("license", "shingles", "must")), "license")
+    pairs = pairs.where(F.size(F.array_except("must", "own")) == 0)
     pairs = computed(pairs, ["doc_id", "th", "license", F.size("shingles").cast("long").alias("n_shingles")],
                      n_shared=F.size(F.array_intersect("shingles", "own")).cast("long"))
-    return (pairs.where(F.col("n_shared") >= F.lit(CONTAINMENT) * F.col("n_shingles"))
-            .distinct().select("doc_id", "license", "n_shared", "n_shingles"))
+    whole = pairs.where(F.col("n_shared") >= F.lit(CONTAINMENT) * F.col("n_shingles"))
+    if lengths := sorted({n for _, n in words if n < SHINGLE}):
+        brief = every.where(F.size("w") < SHINGLE).select("license", F.concat_ws(" ", "w").alias("value"))
+        runs = computed(computed(d, ["doc_id", "th"], w=_tokens(F.col("text"))), ["doc_id", "th"],
+                        runs=F.concat(*[_sequences(F.col("w"), n) for n in lengths]))
+        one = F.lit(1).cast("long")
+        whole = whole.unionByName(
+            runs.select("doc_id", "th", F.explode("runs").alias("value")).join(small(pin(brief)), "value")
+            .select("doc_id", "th", "license", one.alias("n_shingles"), one.alias("n_shared")))
+    return whole.distinct().select("doc_id", "license", "n_shared", "n_shingles")
 
 
 def oracle_sql(templates: Sequence[tuple[str, str]] = TEMPLATES) -> str:

@@ -157,6 +157,21 @@ def test_license_scan(spark, tmp_path):
     assert licenses.scan(data.table(spark, [])).count() == 0
 
 
+def test_short_templates_and_versions(spark):
+    t = dict(licenses.TEMPLATES)
+    gpl = "This work is licensed under the GNU General Public License, version 2."
+    lines = {1: "x\nAll rights reserved.", 2: "all, RIGHTS reserved", 3: "all rights are reserved", 4: gpl, 5: t["GPL-3.0"],
+             6: "Licensed under CC BY-SA 4.0.", 7: t["GPL-3.0-notice"], 8: t["GPL-3.0-notice"].replace("version 3", "version 2"),
+             9: t["GPL-3.0-notice"].replace("General Public", "Affero General Public"), 10: None, 11: t["CC-BY-NC-4.0"]}
+    d = spark.createDataFrame([*lines.items(), (1, lines[1])], "doc_id int, text string")
+    got = sorted((r.doc_id, r.license, r.n_shared == r.n_shingles) for r in licenses.scan(d, licenses.NOTICES).collect())
+    assert got == [(1, "Proprietary", True), (2, "Proprietary", True), (4, "GPL-2.0", True), (5, "GPL-3.0", True),
+                   (6, "CC-BY-SA-4.0", True), (7, "GPL-3.0-notice", True), (8, "GPL-2.0-notice", True),
+                   (9, "AGPL-3.0-notice", True), (11, "CC-BY-NC-4.0", True)]
+    with pytest.raises(ValueError):
+        licenses.scan(d, [("none", "...")])
+
+
 def test_window_signatures_retrieve_by_minhash(spark):
     """The long class alone: a passage at any start is retrieved."""
     t = licenses.template_table(spark, [("L", dict(licenses.TEMPLATES)["BSD-notice"])])
