@@ -119,3 +119,18 @@ def test_svc_job_probabilities(spark):
     rows = jobs.tournament_predictions(t, "svc", cs=(1.0, 10.0), folds=2, max_iter=20)[0].collect()
     assert len(rows) == catalog._stand_in_sub(t).count()
     assert all(r.Pred is not None and 0.0 <= r.Pred <= 1.0 for r in rows)
+
+
+def test_boosted_searches_have_all_trees(monkeypatch):
+    from rivalry import defaults
+    seen = []
+    monkeypatch.setattr(catalog, "_t", lambda spark, sf: None)
+    monkeypatch.setattr(catalog, "_predictions", lambda spark, sf, family, **kw: seen.append((family, kw)))
+    for q in (catalog.q_gbt_grid_predict, catalog.q_gbt_grid2_predict, catalog.q_gbt_subsample_predict):
+        q(None, SF_SMALL)
+    monkeypatch.setattr(catalog, "r6", lambda d: d)
+    monkeypatch.setattr(catalog.models, "grid_report", lambda search: search)
+    monkeypatch.setattr(catalog.jobs, "fit_model", lambda t, family, **kw: seen.append((family, kw)))
+    catalog.q_grid_report(None, SF_SMALL)
+    grid = ("gbt_grid", {"grid": defaults.GBT_GRID_1})
+    assert seen == [grid, ("gbt_grid", {"grid": defaults.GBT_GRID_2}), ("gbt_subsample", {}), grid]
