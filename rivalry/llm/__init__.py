@@ -11,7 +11,8 @@ import importlib
 
 from pyspark import cloudpickle
 
-_TASK_MODULES = ("common", "simhash", "quality_cnn", "tokens", "packing", "token_store", "warc", "ann")
+_TASK_MODULES = ("common", "simhash", "quality_cnn", "tokens", "packing", "token_store", "warc", "ann", "pieces",
+                 "ranked", "fim")
 
 
 def by_value() -> None:

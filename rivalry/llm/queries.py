@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, by_value, licenses, mixing, packing, quality_cnn, quality_rules, sharding, simhash, token_store, warc
+from . import (ann, by_value, fim, licenses, mixing, packing, pieces, quality_cnn, quality_rules, ranked, sharding,
+               simhash, token_store, warc)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,13 +66,36 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fim.restore(F.col("fim_text"), F.col("fim_form"))
+    return made.select("doc_id", F.col("fim_units").alias("n"), F.col("fim_form").alias("form"),
+                       F.col("fim_prefix").alias("prefix_chars"), F.col("fim_middle").alias("middle_chars"),
+                       F.sha2(F.col("fim_text").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_simhash_dedup, op4_shards, op5_quality_cnn,
-                            op6_license_scan, op7_packing, op8_token_store, op9_warc_derivatives, op10_multi_index)}
+                            op6_license_scan, op7_packing, op8_token_store, op9_warc_derivatives, op10_multi_index,
+                            op11_pieces, op12_ranked_search, op13_fill_in_middle)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.oracle_sql(),
     "op2_source_mix": mixing.oracle_sql(),
     "op6_license_scan": licenses.oracle_sql(),
     "op10_multi_index": ann.oracle_sql(),
+    "op12_ranked_search": ranked.oracle_sql(),
+    "op13_fill_in_middle": fim.oracle_sql(),
 }
