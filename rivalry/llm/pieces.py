@@ -33,7 +33,7 @@ from __future__ import annotations
 import heapq
 import re
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +46,10 @@ NAME = "piece_bpe_32k.model"
 SPACE = "▁"
 NONE = np.int32(2 ** 31 - 1)     # rank of a pair that is no piece
 LONG = 4096                      # symbols of a part that rounds take
-WORDS_KEPT = 300_000             # words a Python worker remembers, twice
+WORDS_KEPT = 200_000             # words a Python worker remembers, about
 WORD_KEPT = 64                   # characters of the longest of them
-STEP_BYTES = 4 << 20             # text encoded at a time
+STEP = 1 << 20                   # characters split into words at a time
+ROUNDS = 1 << 18                 # characters of new words in one array
 _WIDE = 1 << 22                  # above all piece ids and code points
 
 
@@ -101,7 +102,7 @@ class Pieces:
             self.rank_of[i] = place[model.pieces[i].score]
         self.tied = np.bincount(self.rank_of[list(normal.values())], minlength=len(scores)) > 1
 
-        self.char = np.arange(_WIDE // 2, dtype=np.int64) + self.size     # beyond the ids: no piece
+        self.char = np.arange(0x110000, dtype=np.int32) + self.size       # beyond the ids: no piece
         beside, pairs = set(), {}
         for text, i in normal.items():
             if len(text) == 1:
@@ -120,7 +121,6 @@ class Pieces:
         alone = "".join(c for c in "\n\t\r" if c not in set("".join(normal)))
         self.words = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]+" if alone else "")).findall
         self.memory: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.ends = tuple(np.array([x], "<u4").tobytes() for x in (self.begin, self.end))
 
     # ---- encoding --------------------------------------------------------
@@ -171,7 +171,7 @@ class Pieces:
         cut = ~self._in(self.beside, code[:-1] * _WIDE + code[1:])
         cut[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(code))] - 1] = True
         seg = np.concatenate(([0], np.cumsum(cut)))
-        sym, pos = self.char[code], np.arange(len(code))
+        sym, pos = self.char[code].astype(np.int64), np.arange(len(code))
         out_pos, out_sym = [], []
 
         def aside(rows: np.ndarray) -> None:
@@ -288,42 +288,40 @@ class Pieces:
         data, bounds = ids.astype("<u4").tobytes(), (4 * np.searchsorted(where, ends)).tolist()
         return [data[a:b] for a, b in zip([0, *bounds], bounds)]
 
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
+    def encode(self, texts: Iterable[str]) -> Iterator[list[bytes]]:
         """Ids of whole texts with begin and end ids, as little-endian
-        unsigned 32-bit bytes."""
-        out, i = [], 0
-        while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and (j == i or size + len(texts[j]) <= STEP_BYTES):
-                size += len(texts[j])
-                j += 1
-            split = [self.words(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts[i:j]]
-            known = self._known(set().union(*split))
-            a, b = self.ends
-            out += [b"".join((a, *map(known.__getitem__, words), b)) for words in split]
-            i = j
+        unsigned 32-bit bytes, some texts at a time."""
+        split, size = [], 0
+        for t in texts:
+            split.append(self.words(SPACE + t.replace(" ", SPACE)) if t else [])
+            size += len(t)
+            if size >= STEP:
+                yield self._joined(split)
+                split, size = [], 0
+        if split:
+            yield self._joined(split)
+
+    def _joined(self, split: list[list[str]]) -> list[bytes]:
+        words, memory = set().union(*split), self.memory
+        new = [w for w in words if w not in memory]
+        at = 0
+        while at < len(new):
+            to, size = at, 0
+            while to < len(new) and (to == at or size + len(new[to]) <= ROUNDS):
+                size += len(new[to])
+                to += 1
+            memory.update(zip(new[at:to], self.encode_words(new[at:to])))
+            at = to
+        a, b = self.ends
+        out = [b"".join((a, *map(memory.__getitem__, own), b)) for own in split]
+        if len(memory) > WORDS_KEPT:       # the words of this step stay
+            self.memory = {w: memory[w] for w in words if len(w) <= WORD_KEPT}
+        else:
+            for w in new:
+                if len(w) > WORD_KEPT:
+                    del memory[w]
         return out
 
-    def _known(self, words: set[str]) -> dict[str, bytes]:
-        memory, older = self.memory, self.older
-        known, new = {}, []
-        for w in words:
-            ids = memory.get(w)
-            if ids is None:
-                ids = older.get(w)
-                if ids is None:
-                    new.append(w)
-                    continue
-                memory[w] = ids
-            known[w] = ids
-        for w, ids in zip(new, self.encode_words(new) if new else ()):
-            known[w] = ids
-            if len(w) <= WORD_KEPT:
-                memory[w] = ids
-        if len(memory) > WORDS_KEPT:       # forget what was not asked for since the last time
-            self.older, self.memory = memory, {}
-        return known
-
     # ---- decoding --------------------------------------------------------
 
     def decode(self, ids: bytes) -> str:
@@ -387,7 +385,8 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", model: str | N
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = pieces(path)
         for texts in batches:
-            yield pa.array(own.encode([t or "" for t in texts.to_pylist()]), pa.binary())
+            made = [pa.array(part, pa.binary()) for part in own.encode(t.as_py() or "" for t in texts)]
+            yield pa.concat_arrays(made) if made else pa.array([], pa.binary())
 
     return unpacked(packed(docs, _ids=ids(F.col(text).cast("string"))), docs.columns, F.col("_ids").alias(out))
 
@@ -400,6 +399,8 @@ def decode(frame: DataFrame, ids: str = "ids", out: str = "decoded", model: str
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = pieces(path)
         for found in batches:
-            yield pa.array([None if x is None else own.decode(x) for x in found.to_pylist()], pa.string())
+            made = [pa.array([own.decode(x.as_py()) if x.is_valid else None for x in found.slice(i, 500)], pa.string())
+                    for i in range(0, len(found), 500)]
+            yield pa.concat_arrays(made) if made else pa.array([], pa.string())
 
     return unpacked(packed(frame, _decoded=text(F.col(ids))), frame.columns, F.col("_decoded").alias(out))

@@ -31,7 +31,7 @@ def raw(x):
 
 
 def both(text):
-    coded = OWN.encode([text])[0]
+    coded = next(OWN.encode([text]))[0]
     assert np.frombuffer(coded, "<u4").tolist() == ids(text), text[:60]
     assert OWN.decode(coded) == LIBRARY.decode(ids(text))
 
@@ -64,12 +64,14 @@ def test_long_words_by_rounds_and_by_queue(monkeypatch):
 
 def test_memory_that_is_full(monkeypatch):
     monkeypatch.setattr(pieces, "WORDS_KEPT", 3)
-    monkeypatch.setattr(pieces, "STEP_BYTES", 50)
+    monkeypatch.setattr(pieces, "STEP", 50)
+    monkeypatch.setattr(pieces, "ROUNDS", 20)
     text = " ".join(data.WORDS)
     own = pieces.Pieces(pieces.model_path())
-    for found in own.encode([text] * 5):
+    found = [x for part in own.encode([text, *data.WORDS, "x" * 100] * 3) for x in part]
+    for found, text in zip(found, [text, *data.WORDS, "x" * 100] * 3, strict=True):
         assert np.frombuffer(found, "<u4").tolist() == ids(text)
-    assert len(own.memory) <= 3 + len(data.WORDS)
+    assert len(own.memory) <= 3 + len(data.WORDS) and max(map(len, own.memory)) <= pieces.WORD_KEPT
 
 
 def test_other_models_are_refused(tmp_path):
