@@ -8,40 +8,42 @@ approximations:
 * sklearn ``C`` <-> Spark ``regParam = 1 / (C * n)`` with
   ``standardization=False`` (sklearn does not standardise), with n the rows
   of the fit at hand: a fold's fit counts the fold's training rows;
-* ``max_features`` (a fraction) <-> ``featureSubsetStrategy`` as a fraction
-  string; ``min_samples_split=2`` is Spark's default of one row per child;
-* folds are a deterministic md5 bucket of the contest key (``foldCol``), so
-  a refit sees the same folds and mirrored rows never straddle folds (the
-  original uses stratified random folds); folds are scored by accuracy;
-* Spark's trees split on binned features (``maxBins``), sklearn's on exact
+* boosted trees are those of :mod:`.boosting`: a node draws ``max_features``
+  (a share, one feature at least), ``min_samples_split=2`` is one row per child;
+* folds are stratified and number the contests (``stratified_folds``), so a
+  refit sees the same folds and mirrored rows never straddle folds (the
+  original's are stratified by row); folds are scored by accuracy;
+* trees split on binned features (at most 64 bins), sklearn's on exact
   thresholds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml import Estimator, Model, Pipeline, Transformer
+from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..defaults import (BOOST_SUBSAMPLE, BOOST_SUBSAMPLE_FOLDS, BOOST_SUBSAMPLE_GRID, GBT_DEPTH, GBT_FEATURE_FRACTION,
-                        GBT_GRID_1, GBT_GRID_FOLDS, GBT_GRID_SEED, GBT_TREES, LR_C, LR_CV_C_RANGE, LR_CV_FOLDS,
-                        LR_CV_NUM_C, SVC_CS, SVC_FOLDS)
-from .prepare import fold_column
+from ..defaults import (BOOST_SUBSAMPLE, BOOST_SUBSAMPLE_FOLDS, BOOST_SUBSAMPLE_GRID, GBT_DEPTH, GBT_FEATURE_SHARE,
+                        GBT_GRID_1, GBT_GRID_FOLDS, GBT_GRID_SEED, GBT_RATE, GBT_TREES, LR_C, LR_CV_C_RANGE, LR_CV_FOLDS,
+                        LR_CV_NUM_C, SVC_CS, SVC_FOLDS, SVC_FREQUENCIES, SVC_GAMMAS, SVC_SEED)
+from . import boosting
+from .prepare import stratified_folds
 
 
 def log_grid(lo: float, hi: float, n: int) -> tuple[float, ...]:
     """``n`` values evenly spaced in log10 between ``lo`` and ``hi``."""
-    import math
     a, b = math.log10(lo), math.log10(hi)
     return tuple(10.0 ** (a + (b - a) * i / (n - 1)) for i in range(n))
 
@@ -53,16 +55,21 @@ def class1_probability(pred: DataFrame, out: str = "Pred1") -> DataFrame:
     return pred.withColumn(out, vector_to_array("probability").getItem(1))
 
 
-def margin_probability(pred: DataFrame, out: str = "Pred1") -> DataFrame:
-    """Logistic of the decision margin, for models without probabilities."""
-    return pred.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-vector_to_array("rawPrediction").getItem(1))))
+ROWS_PER_TASK = 20_000
 
 
 @contextmanager
 def held(df: DataFrame):
     """Iterative solvers pass over the data many times: keep one copy for
-    the duration of the fit, release it afterwards."""
+    the duration of the fit, release it afterwards.  The copy has a partition
+    for every ``ROWS_PER_TASK`` rows at most, so that the passes over a small
+    table are not all scheduling."""
     d = df.persist(StorageLevel.MEMORY_AND_DISK)
+    few = max(1, math.ceil(d.count() / ROWS_PER_TASK))
+    if few < d.rdd.getNumPartitions():
+        d, whole = d.coalesce(few).persist(StorageLevel.MEMORY_AND_DISK), d
+        d.count()
+        whole.unpersist(blocking=False)
     try:
         yield d
     finally:
@@ -75,10 +82,12 @@ MAX_PARALLEL_FITS = 8
 @dataclass
 class Search:
     """A finished k-fold search: its points, their mean accuracy over the
-    folds, and the best point's model refit on all rows."""
+    folds, the best point's model refit on all rows and its models of the
+    folds."""
     points: list[dict]
     metrics: list[float]
     model: Model
+    by_fold: dict[int, Model] = field(default_factory=dict)
 
     @property
     def best(self) -> int:
@@ -102,20 +111,21 @@ def k_fold(data: DataFrame, points: list[dict], make: Callable[[dict, int], Esti
     total = sum(sizes.values())
     folds = [f for f in sorted(sizes) if total > sizes[f]]
 
-    def accuracy(job) -> float:
+    def accuracy(job) -> tuple[float, Model]:
         point, fold = job
         fitted = make(point, total - sizes[fold]).fit(data.where(F.col("fold") != fold))
         hit = fitted.transform(data.where(F.col("fold") == fold)).agg(
             F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-        return float(hit)
+        return float(hit), fitted
 
     jobs = [(p, f) for p in points for f in folds]
     with ThreadPool(min(parallelism or MAX_PARALLEL_FITS, max(1, len(jobs)))) as pool:
         found = pool.map(accuracy, jobs, chunksize=1)
     n = max(1, len(folds))
-    metrics = [sum(found[i * len(folds):(i + 1) * len(folds)]) / n for i in range(len(points))]
-    best = points[max(range(len(points)), key=lambda i: metrics[i])]
-    return Search(points, metrics, make(best, total).fit(data))
+    metrics = [sum(hit for hit, _ in found[i * len(folds):(i + 1) * len(folds)]) / n for i in range(len(points))]
+    best = max(range(len(points)), key=lambda i: metrics[i])
+    own = dict(zip(folds, (m for _, m in found[best * len(folds):(best + 1) * len(folds)])))
+    return Search(points, metrics, make(points[best], total).fit(data), own)
 
 
 def logistic(n_rows: int, c: float = LR_C, features: str = "features", label: str = "label") -> LogisticRegression:
@@ -131,47 +141,124 @@ def fit_logistic(train: DataFrame, c: float = LR_C, features: str = "features",
 def fit_logistic_cv(train: DataFrame, cs: Sequence[float] = LR_CS, folds: int = LR_CV_FOLDS,
                     parallelism: int | None = None) -> Search:
     """Cross-validated logistic regression over ``C`` values."""
-    with held(fold_column(train, folds)) as data:
+    with held(stratified_folds(train, folds)) as data:
         return k_fold(data, grid_points({"C": cs}), lambda p, n: logistic(n, p["C"]), parallelism)
 
 
-def gbt(max_iter: int = GBT_TREES, max_depth: int = GBT_DEPTH, feature_fraction: str = GBT_FEATURE_FRACTION,
-        seed: int = 42,
-        **kw) -> GBTClassifier:
-    return GBTClassifier(maxIter=max_iter, maxDepth=max_depth, featureSubsetStrategy=feature_fraction,
-                         seed=seed, checkpointInterval=10, **kw)
-
-
-def fit_gbt(train: DataFrame, **kw):
+def fit_gbt(train: DataFrame, trees: int = GBT_TREES, depth: int = GBT_DEPTH, feature_share: float = GBT_FEATURE_SHARE,
+            seed: int = 42) -> boosting.Boosted:
     with held(train) as data:
-        return gbt(**kw).fit(data)
+        return boosting.fit(data, lambda width: boosting.Recipe(
+            trees, depth, GBT_RATE, boosting.share_of(feature_share, width), seed=seed))
 
 
-def fit_gbt_grid(train: DataFrame, grid: dict[str, Sequence] = GBT_GRID_1, folds: int = GBT_GRID_FOLDS,
-                 parallelism: int | None = None, **fixed) -> Search:
+def fit_gbt_grid(train: DataFrame, grid: dict[str, Sequence] = GBT_GRID_1,
+                 folds: int = GBT_GRID_FOLDS) -> boosting.BoostSearch:
     """Grid search over boosted trees with k-fold CV; the best point is refit
     on all rows once."""
-    with held(fold_column(train, folds)) as data:
-        return k_fold(data, grid_points(grid), lambda p, n: GBTClassifier(
-            seed=GBT_GRID_SEED, checkpointInterval=10, **{**fixed, **p}), parallelism)
+    with held(stratified_folds(train, folds)) as data:
+        return boosting.search(data, grid_points(grid), lambda p, width: boosting.Recipe(
+            p["trees"], p["depth"], GBT_RATE, boosting.share_of(p["feature_share"], width), seed=GBT_GRID_SEED))
 
 
 def fit_boost_subsample(train: DataFrame, grid: dict[str, Sequence] = BOOST_SUBSAMPLE_GRID,
-                        folds: int = BOOST_SUBSAMPLE_FOLDS, parallelism: int | None = None, **fixed) -> Search:
-    """Boosted trees with row subsampling and shrinkage, grid over depth and
-    minimum rows per node."""
-    params = {**BOOST_SUBSAMPLE, "cacheNodeIds": True, **fixed}   # deep trees: cache node ids
-    return fit_gbt_grid(train, grid, folds, parallelism, **params)
+                        folds: int = BOOST_SUBSAMPLE_FOLDS, **fixed) -> boosting.BoostSearch:
+    """Second-order boosted trees with row and column draws and shrinkage,
+    grid over depth and least hessian sum of a child."""
+    own = {**BOOST_SUBSAMPLE, **fixed}
+    with held(stratified_folds(train, folds)) as data:
+        return boosting.search(data, grid_points(grid), lambda p, width: boosting.Recipe(
+            own["trees"], p["depth"], own["rate"], columns=boosting.share_of(own["column_share"], width), bag=own["bag"],
+            second_order=True, l2=own["l2"], min_child=p["min_child_weight"], seed=own["seed"]))
+
+
+class FourierFeatures(Transformer):
+    """Random Fourier features: ``out`` holds cosines and sines of seeded
+    normal projections, so that the inner product of two rows estimates the
+    kernel ``exp(-gamma |x - y|^2)`` with a standard error of at most
+    ``1 / sqrt(2 * frequencies)``.  Built-in expressions only."""
+
+    def __init__(self, gamma: float, width: int, frequencies: int = SVC_FREQUENCIES, seed: int = SVC_SEED,
+                 features: str = "features", out: str = "fourier"):
+        super().__init__()
+        r = np.random.default_rng(seed)
+        self.w = (r.normal(0.0, math.sqrt(2 * gamma), (frequencies, width))).tolist()
+        self.features, self.out = features, out
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        x, size = vector_to_array(self.features), F.lit(1 / math.sqrt(len(self.w)))
+        rows = F.array(*[F.array(*[F.lit(v) for v in row]) for row in self.w])
+        at = F.transform(rows, lambda row: F.aggregate(F.zip_with(row, x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+        both = F.concat(F.transform("_at", lambda v: F.cos(v) * size), F.transform("_at", lambda v: F.sin(v) * size))
+        return df.withColumn("_at", at).withColumn(self.out, array_to_vector(both)).drop("_at")
 
 
-def fit_linear_svc(train: DataFrame, cs: Sequence[float] = SVC_CS, folds: int = SVC_FOLDS,
-                   parallelism: int | None = None, max_iter: int = 100) -> Search:
-    with held(fold_column(train, folds)) as data:
-        return k_fold(data, grid_points({"C": cs}), lambda p, n: LinearSVC(
-            standardization=False, maxIter=max_iter, regParam=1.0 / (p["C"] * max(n, 1))), parallelism)
+@dataclass
+class Calibrated:
+    """A search whose margins become probabilities: ``Pred1`` is the logistic
+    of ``slope * margin + offset``."""
+    search: Search
+    slope: float
+    offset: float
 
+    @property
+    def points(self) -> list[dict]:
+        return self.search.points
 
-def grid_report(search: Search) -> DataFrame:
+    @property
+    def metrics(self) -> list[float]:
+        return self.search.metrics
+
+    @property
+    def best(self) -> int:
+        return self.search.best
+
+    def transform(self, df: DataFrame, out: str = "Pred1") -> DataFrame:
+        z = F.lit(self.slope) * vector_to_array("rawPrediction").getItem(1) + F.lit(self.offset)
+        return self.search.transform(df).withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
+
+
+def platt(margins: DataFrame) -> tuple[float, float]:
+    """(slope, offset) of the logistic that gives the labels (0/1, column
+    ``label``) from ``margin`` with the least log loss, the labels drawn a
+    little towards the middle: (n1 + 1) / (n1 + 2) for 1, 1 / (n0 + 2) for 0."""
+    row = margins.agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0")).first()
+    n1, n0 = float(row["n1"] or 0), float(row["n0"] or 0)
+    if not n1 or not n0:
+        return 0.0, math.log((n1 + 1) / (n0 + 1))
+    goal = F.when(F.col("label") > 0.5, F.lit((n1 + 1) / (n1 + 2))).otherwise(F.lit(1 / (n0 + 2)))
+    both = margins.select(array_to_vector(F.array("margin")).alias("m"), F.inline(F.array(
+        F.struct(F.lit(1.0).alias("y"), goal.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - goal).alias("w")))))
+    with held(both) as data:
+        fitted = LogisticRegression(featuresCol="m", labelCol="y", weightCol="w", maxIter=200, tol=1e-12).fit(data)
+    return float(fitted.coefficients[0]), float(fitted.intercept)
+
+
+def fit_svc(train: DataFrame, cs: Sequence[float] = SVC_CS, gammas: Sequence[float] = SVC_GAMMAS, folds: int = SVC_FOLDS,
+            parallelism: int | None = None, max_iter: int = 100) -> Calibrated:
+    """Support vector machines with the kernel exp(-gamma |x - y|^2) (on
+    Fourier features) and without one, every C; probabilities from the margins
+    that the best point's models give on the folds they did not see."""
+    points = [*grid_points({"kernel": ["rbf"], "gamma": gammas, "C": cs}), *grid_points({"kernel": ["linear"], "C": cs})]
+    with held(stratified_folds(train, folds)) as data:
+        some = data.select(F.size(vector_to_array("features")).alias("n")).first()
+        width = some["n"] if some else 0
+
+        def make(p, n):
+            svc = LinearSVC(standardization=False, maxIter=max_iter, regParam=1.0 / (p["C"] * max(n, 1)))
+            if p["kernel"] == "linear":
+                return svc
+            return Pipeline(stages=[FourierFeatures(p["gamma"], width), svc.setFeaturesCol("fourier")])
+        search = k_fold(data, points, make, parallelism)
+        margin = vector_to_array("rawPrediction").getItem(1).alias("margin")
+        parts = [m.transform(data.where(F.col("fold") == f)).select("label", margin) for f, m in search.by_fold.items()]
+        if not parts:
+            parts = [search.model.transform(data).select("label", margin)]
+        slope, offset = platt(reduce(DataFrame.unionByName, parts))
+    return Calibrated(search, slope, offset)
+
+
+def grid_report(search: Search | Calibrated | boosting.BoostSearch) -> DataFrame:
     """(params, metric, is_best) per grid point of a finished search: the grid
     is small, so its rows are built on the driver."""
     rows = [(", ".join(f"{k}={v}" for k, v in sorted(p.items())), float(m), i == search.best)
@@ -179,54 +266,23 @@ def grid_report(search: Search) -> DataFrame:
     return SparkSession.getActiveSession().createDataFrame(rows, "params string, metric double, is_best boolean")
 
 
-def leaf_encoder(model, df: DataFrame, leaf_col: str = "leaf"):
-    """The leaf reached in each tree: adds ``leaf_col`` (vector of leaf ids)
-    and one numeric column per tree; returns the frame and those column
-    names (input of :func:`fit_leaf_one_hot`)."""
-    n_trees = model.getNumTrees
-    with_leaf = model.setLeafCol(leaf_col).transform(df).drop("prediction", "rawPrediction", "probability")
-    arr = vector_to_array(leaf_col)
-    cols = [f"_leaf_{i}" for i in range(n_trees)]
-    with_cols = with_leaf.select("*", *[arr.getItem(i).alias(c) for i, c in enumerate(cols)])
-    return with_cols, cols
-
-
-def fit_leaf_one_hot(frame: DataFrame, cols: Sequence[str], out: str = "leaves"):
-    enc = OneHotEncoder(inputCols=list(cols), outputCols=[f"{c}_oh" for c in cols], dropLast=False,
-                        handleInvalid="keep").fit(frame)
-    asm = VectorAssembler(inputCols=[f"{c}_oh" for c in cols], outputCol=out)
-    return lambda d: asm.transform(enc.transform(d)).drop(*cols, *[f"{c}_oh" for c in cols])
-
-
-def combined_features(model, df: DataFrame, out: str = "combined") -> DataFrame:
-    """``df`` with the one-hot leaves of ``model`` (encoder fitted on all of
-    ``df``) in front of its raw features."""
-    leaves, cols = leaf_encoder(model, df)
-    encoded = fit_leaf_one_hot(leaves.select(*cols), cols)(leaves)
-    return VectorAssembler(inputCols=["leaves", "features"], outputCol=out).transform(encoded)
-
-
 def leaf_stack(train: DataFrame, test: DataFrame, features: str = "features", label: str = "label",
                gbt_kw: dict | None = None) -> tuple[dict[str, DataFrame], dict]:
     """GBT -> one-hot leaves -> LR, and LR on leaves + raw features.
 
     Returns the scored test frames per model (``Pred1``) and the fitted models.
-    The leaf encoder is fitted on train and test leaves together.
+    Leaves that no row of the fit reaches have slots too; their coefficients
+    are 0.
     """
     g = fit_gbt(train, **(gbt_kw or {}))
     lr_raw = fit_logistic(train, features=features, label=label)
-    tr_l, cols = leaf_encoder(g, train)
-    te_l, _ = leaf_encoder(g, test)
-    enc = fit_leaf_one_hot(tr_l.select(*cols).unionByName(te_l.select(*cols)), cols)
-    tr_e, te_e = enc(tr_l), enc(te_l)
-    lr_leaf = fit_logistic(tr_e, features="leaves", label=label)
-    tr_c = VectorAssembler(inputCols=["leaves", features], outputCol="combined").transform(tr_e)
-    te_c = VectorAssembler(inputCols=["leaves", features], outputCol="combined").transform(te_e)
-    lr_comb = fit_logistic(tr_c, features="combined", label=label)
+    tr, te = (g.leaf_vectors(d, "leaves", "combined") for d in (train, test))
+    lr_leaf = fit_logistic(tr, features="leaves", label=label)
+    lr_comb = fit_logistic(tr, features="combined", label=label)
     scored = {
-        "gbt": class1_probability(g.transform(test)),
+        "gbt": g.transform(test),
         "lr": class1_probability(lr_raw.transform(test)),
-        "leaves_lr": class1_probability(lr_leaf.transform(te_e.drop("prediction", "rawPrediction", "probability"))),
-        "combined_lr": class1_probability(lr_comb.transform(te_c)),
+        "leaves_lr": class1_probability(lr_leaf.transform(te)),
+        "combined_lr": class1_probability(lr_comb.transform(te)),
     }
     return scored, {"gbt": g, "lr": lr_raw, "leaves_lr": lr_leaf, "combined_lr": lr_comb}

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fx
@@ -13,6 +13,7 @@ from .stats import group_medians
 
 KEYS = ["Season", "TeamID1", "TeamID2"]
 STAT_COLS = ["NumOT", "Score_Ratio", "Score_Pct"]
+SKETCH_K = 200           # size of the quantile sketches
 
 
 def parse_targets(targets: DataFrame) -> DataFrame:
@@ -55,6 +56,49 @@ def team_medians(observed: DataFrame, chunks: int | None = None) -> DataFrame:
     return group_medians(both, ["side", "Season", "TeamID"], STAT_COLS, chunks=chunks)
 
 
+def prior_medians(train: DataFrame, seasons: Sequence[int], chunks: int | None = None) -> DataFrame:
+    """Exact medians as of a season: like :func:`team_medians`, per (side,
+    season, team) over all rows of *earlier* seasons.
+
+    A row counts towards each of the given ``seasons`` that follows its own
+    (a factor of at most their number, known beforehand), so the history is
+    not joined to itself and the medians take the same skew-safe way."""
+    later = F.filter(F.array(*[F.lit(int(s)) for s in sorted(seasons)]), lambda s: s > F.col("Season"))
+    rows = train.select("TeamID1", "TeamID2", *STAT_COLS, F.explode(later).alias("Season"))
+    return team_medians(rows, chunks=chunks)
+
+
+def season_sketches(train: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """Mergeable quantile sketches per (side, Season, TeamID), one column per
+    statistic: of bounded size however many rows a team has.  A rank read from
+    one is off by 1.33 % of the rows at ``k`` = 200 (99 % of the time), about
+    inversely to ``k``."""
+    side = lambda i: F.struct(F.lit(i).alias("side"), F.col("Season"), F.col(f"TeamID{i}").alias("TeamID"),
+                              *[F.col(c).cast("double").alias(c) for c in STAT_COLS])
+    return (train.select(F.inline(F.array(side(1), side(2)))).groupBy("side", "Season", "TeamID")
+            .agg(*[F.kll_sketch_agg_double(c, F.lit(k)).alias(c) for c in STAT_COLS]))
+
+
+def sketch_medians(sketches: DataFrame) -> DataFrame:
+    """Approximate medians from sketches, in the columns of :func:`team_medians`."""
+    return sketches.select("side", "Season", "TeamID",
+                           *[F.kll_sketch_get_quantile_double(c, F.lit(0.5)).alias(c) for c in STAT_COLS])
+
+
+def prior_sketches(sketches: DataFrame) -> DataFrame:
+    """Per (side, Season, TeamID) the merged sketches of the team's earlier
+    seasons (no row for its first): stored season by season, each read as it
+    is.  A group holds one bounded sketch per season."""
+    before = Window.partitionBy("side", "TeamID").orderBy("Season").rowsBetween(Window.unboundedPreceding, -1)
+
+    def merged(c: str):
+        past = F.col(f"_{c}")
+        return F.aggregate(F.slice(past, 2, F.greatest(F.size(past) - 1, F.lit(0))), F.get(past, F.lit(0)),
+                           lambda a, b: F.kll_sketch_merge_double(a, b)).alias(c)
+    d = sketches.select("side", "Season", "TeamID", *[F.collect_list(c).over(before).alias(f"_{c}") for c in STAT_COLS])
+    return d.where(F.size(f"_{STAT_COLS[0]}") > 0).select("side", "Season", "TeamID", *[merged(c) for c in STAT_COLS])
+
+
 def side_stats(medians: DataFrame, side: int) -> DataFrame:
     """One side of :func:`team_medians` renamed for the pair join."""
     return medians.where(F.col("side") == side).select(
@@ -62,8 +106,9 @@ def side_stats(medians: DataFrame, side: int) -> DataFrame:
         *[F.col(c).alias(f"{c}{side}") for c in STAT_COLS])
 
 
-def pair_features(missing: DataFrame, medians: DataFrame) -> DataFrame:
-    """Features of missing pairs from the two teams' season medians.
+def pair_features(missing: DataFrame, medians: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Features of missing pairs from the two teams' season medians (and the
+    columns ``keep`` as they are).
 
     The original pairs every team-1 row with every team-2 row of the season
     and then keeps the requested pairs; here each missing pair looks up its
@@ -81,4 +126,4 @@ def pair_features(missing: DataFrame, medians: DataFrame) -> DataFrame:
         *KEYS,
         F.bround(F.col("NumOT1") + F.col("NumOT2"), 0).alias("NumOT"),
         fx.inverse_ratio_geomean("Score_Ratio1", "Score_Ratio2").alias("Score_Ratio"),
-        fx.harmonic_pair("Score_Pct1", "Score_Pct2").alias("Score_Pct"))
+        fx.harmonic_pair("Score_Pct1", "Score_Pct2").alias("Score_Pct"), *keep)

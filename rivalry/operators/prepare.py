@@ -160,7 +160,16 @@ def holdout_split(df: DataFrame, test_pct: int = HOLDOUT_TEST_PCT, season: str =
     return df.withColumn(out, bucket < F.lit(test_pct))
 
 
-def fold_column(df: DataFrame, folds: int, season: str = "Season", t1: str = "TeamID1",
-                t2: str = "TeamID2", out: str = "fold") -> DataFrame:
-    """Repeatable cross-validation fold 0..folds-1 per contest key."""
-    return df.withColumn(out, fx.split_bucket(fx.pair_key(season, t1, t2), folds))
+def stratified_folds(df: DataFrame, folds: int, label: str = "label", season: str = "Season", t1: str = "TeamID1",
+                     t2: str = "TeamID2", out: str = "fold") -> DataFrame:
+    """Folds 0..folds-1 over contests, all rows of a contest in one, equal in
+    size and class share: contests alike in their number of rows and of
+    positive rows are numbered by the md5 of their key (two-level row number)
+    and dealt in turn, so a fold has at most one of each kind more than
+    another."""
+    keyed = df.withColumn("_contest", fx.pair_key(season, t1, t2))
+    kinds = keyed.groupBy("_contest").agg(F.count(F.lit(1)).alias("_rows"),
+                                          F.sum((F.col(label) > 0.5).cast("long")).alias("_positive"))
+    dealt = row_number(kinds.withColumn("_md5", F.md5("_contest")), ["_rows", "_positive"], ["_md5", "_contest"], out="_nth")
+    dealt = dealt.select("_contest", ((F.col("_nth") - 1) % folds).cast("int").alias(out))
+    return keyed.drop(out).join(dealt, "_contest").drop("_contest")

@@ -210,8 +210,7 @@ def q_roc_auc(spark, sf):
 
 
 # ---- models -------------------------------------------------------------
-# The original searches: all points, all folds, all trees.  The boosted-tree
-# searches (500 to 1000 trees times 90 to 240 fits) are long, see the README.
+# The original searches: all points, all folds, all trees.
 
 
 def q_feature_vector(spark, sf):
@@ -263,17 +262,13 @@ def q_grid_report(spark, sf):
 def _leaves(spark, sf):
     d = _t(spark, sf).featured
     d = d.where(F.col("features").isNotNull())
-    leaves, cols = models.leaf_encoder(models.fit_gbt(d.where("is_train")), d)
-    return models.fit_leaf_one_hot(leaves.select(*cols), cols)(leaves), len(cols)
+    return models.fit_gbt(d.where("is_train")), d
 
 
 def q_gbt_leaf_encode(spark, sf):
-    """Leaf ids of the 40 trees and the positions set in their one-hot encoding."""
-    d, _ = _leaves(spark, sf)
-    ones = F.transform(F.filter(F.transform(vector_to_array("leaves"), lambda x, i: F.when(x != 0, i)),
-                                lambda i: i.isNotNull()), lambda i: i.cast("int"))
-    return d.select("Season", "TeamID1", "TeamID2", "is_train", vector_to_array("leaf").cast("array<int>").alias("leaf_ids"),
-                    ones.alias("set_slots"))
+    """Leaf ids of the 40 trees and the slots set in their one-hot encoding."""
+    model, d = _leaves(spark, sf)
+    return model.encode(d).select("Season", "TeamID1", "TeamID2", "is_train", "leaf_ids", "set_slots")
 
 
 def q_gbt_leaf_lr(spark, sf):
@@ -331,9 +326,10 @@ def _gradient_check(t: Tournament, model, c: float) -> DataFrame:
 def q_leaf_slots(spark, sf):
     """Rows by the number of one-hot leaf slots set, and whether rows with
     equal features share all leaves."""
-    d, trees = _leaves(spark, sf)
+    model, d = _leaves(spark, sf)
+    d = model.leaf_vectors(d)
     d = d.withColumn("n_set", F.aggregate(vector_to_array("leaves"), F.lit(0.0), lambda a, v: a + v).cast("int"))
-    alike = d.groupBy("features", "n_set").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("leaf").alias("k"))
+    alike = d.groupBy("features", "n_set").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("leaves").alias("k"))
     return alike.groupBy("n_set").agg(F.sum("rows").alias("rows"), (F.max("k") == 1).alias("leaves_shared"))
 
 
@@ -357,10 +353,54 @@ def q_factor_complete(spark, sf):
 
 
 def q_loss_falls(spark, sf):
-    """The loss history starts at its largest value and ends at its least."""
+    """The loss history, one number per epoch, starts at its largest value
+    and ends lower."""
     h = q_loss_history(spark, sf)
-    return h.agg((F.max_by("loss", "iteration") == F.min("loss")).alias("ends_least"),
-                 (F.min_by("loss", "iteration") == F.max("loss")).alias("starts_most"), (F.count(F.lit(1)) > 1).alias("moves"))
+    return h.agg((F.max_by("loss", "epoch") < F.min_by("loss", "epoch")).alias("falls"),
+                 (F.min_by("loss", "epoch") == F.max("loss")).alias("starts_most"),
+                 (F.count(F.lit(1)) > 5).alias("by_epoch"))
+
+
+# ---- earlier seasons, sketches, folds ------------------------------------
+
+def q_prior_medians(spark, sf):
+    """Medians per (side, season, team) over all earlier seasons."""
+    return r6(pairs.prior_medians(_t(spark, sf).train, SEASONS))
+
+
+def q_prior_features(spark, sf):
+    """Training rows and requests with the pair features of earlier seasons."""
+    return r6(_t(spark, sf).with_features("prior_season").union)
+
+
+def q_season_auc(spark, sf):
+    return r6(jobs.season_auc(_t(spark, sf)))
+
+
+def _sketch_ranks(spark, sf, sketches, rows):
+    """Is the sketch's median of NumOT and Score_Ratio within 2 % of the rows
+    (or one row) of the middle rank?"""
+    cols = ["NumOT", "Score_Ratio"]
+    med = pairs.sketch_medians(sketches).select("side", "Season", "TeamID", *[F.col(c).alias(f"m_{c}") for c in cols])
+    j = rows.join(med, ["side", "Season", "TeamID"])
+    near = lambda c: ((F.sum((F.col(c) < F.col(f"m_{c}")).cast("long")) <= F.count(c) * 0.52 + 1)
+                      & (F.sum((F.col(c) <= F.col(f"m_{c}")).cast("long")) >= F.count(c) * 0.48 - 1))
+    return j.groupBy("side", "Season", "TeamID").agg(F.count(F.lit(1)).alias("rows"), *[near(c).alias(f"near_{c}") for c in cols])
+
+
+def _sides(train):
+    return train.select(F.inline(F.array(*[F.struct(F.lit(i).alias("side"), F.col("Season"), F.col(f"TeamID{i}").alias("TeamID"),
+                                                    F.col("NumOT").cast("double").alias("NumOT"), "Score_Ratio") for i in (1, 2)])))
+
+
+def q_sketch_medians(spark, sf):
+    train = _t(spark, sf).train
+    return _sketch_ranks(spark, sf, pairs.season_sketches(train), _sides(train))
+
+
+def q_stratified_folds(spark, sf):
+    t = _t(spark, sf)
+    return prepare.stratified_folds(t.train.select("Season", "TeamID1", "TeamID2", "Result"), 10, "Result")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -414,8 +454,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lr_complete": _completeness("lr"),
     "gbt_complete": _completeness("gbt"),
     "svc_complete": _completeness("svc"),
+    "gbt_grid_complete": _completeness("gbt_grid", grid=models.GBT_GRID_1),
+    "gbt_grid2_complete": _completeness("gbt_grid", grid=GBT_GRID_2),
+    "gbt_subsample_complete": _completeness("gbt_subsample"),
     "factor_complete": q_factor_complete,
     "loss_falls": q_loss_falls,
+    "prior_medians": q_prior_medians,
+    "prior_features": q_prior_features,
+    "season_auc": q_season_auc,
+    "sketch_medians": q_sketch_medians,
+    "stratified_folds": q_stratified_folds,
 }
 
 

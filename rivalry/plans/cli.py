@@ -20,7 +20,7 @@ from pyspark.sql import SparkSession
 from ..defaults import FACTOR_EPOCHS, FACTORS, GBT_GRID_1, GBT_GRID_2, REQUEST_SEASONS
 from ..operators import models
 from ..sources import files
-from .factors import SWEEPS, FactorJob
+from .factors import FactorJob
 from .jobs import leaf_stack_report, tournament_predictions
 from .tournament import Tournament
 
@@ -87,8 +87,7 @@ def main(argv=None) -> None:
     f.add_argument("--out", required=True)
     f.add_argument("--format", default="csv")
     f.add_argument("--factors", type=int, default=FACTORS)
-    f.add_argument("--sweeps", type=int, default=SWEEPS)
-    f.add_argument("--iterations", type=int, default=FACTOR_EPOCHS)
+    f.add_argument("--epochs", type=int, default=FACTOR_EPOCHS)
     for p in (t, la, f):
         p.add_argument("--conf", action="append", default=[], metavar="KEY=VALUE",
                        help="Spark setting, e.g. spark.checkpoint.dir=<shared folder>")
@@ -106,7 +105,7 @@ def main(argv=None) -> None:
                      a.format).show(truncate=False)
     else:
         run_factors(spark, a.contests, a.targets, a.out, a.format,
-                    n_factors=a.factors, sweeps=a.sweeps, max_iter=a.iterations)
+                    n_factors=a.factors, epochs=a.epochs)
 
 
 if __name__ == "__main__":

@@ -1,37 +1,24 @@
 """The latent-factor job: season contests -> factor model -> scores for the
 requested pairings (ID, pred).
 
-The model is ``sigmoid(w0 <u_t1, v_t2> + w1 b1[t1] + w2 b2[t2] + c)``.  The
-factors come from alternating least squares, which keeps them distributed (a
-block of teams per task; nothing of the size teams x factors is on the driver),
-the per-team terms are smoothed log odds of winning on either side, and a
-logistic regression fits the outer weights by log loss.
-
-Differences to an embedding model trained end to end: the factors minimise
-squared error instead of log loss, in ``sweeps`` passes over all data instead
-of mini-batch epochs (alternating least squares converges in a few), and the
-per-team terms are counted, not learned.  The loss history is that of the
-logistic fit, up to ``max_iter`` iterations.
+The model (:mod:`rivalry.operators.embedding`) is
+``sigmoid(w * (<u_t1, v_t2> + b1[t1] + b2[t2]) + c)``, factors, biases and outer
+numbers learned together by log loss in mini-batches with Adam, L2 on the
+factors.  Early stopping watches the training loss: there is no other.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..defaults import FACTOR_EPOCHS, FACTOR_L2, FACTORS
+from ..defaults import FACTOR_BATCH, FACTOR_EPOCHS, FACTOR_L2, FACTOR_PATIENCE, FACTOR_STEP, FACTORS
 from ..functions import scalar as fx
-from ..operators import models
+from ..operators import embedding
 from ..operators.contests import mirror_pairs
 from ..operators.prepare import team_index
 from ..session import materialize
 
-SWEEPS = 10
-PRIOR = 2.0              # contests of even odds added to every team
-
 
 class FactorJob:
     """Mirror the contests, index the teams, fit the factor model, score.
@@ -39,53 +26,37 @@ class FactorJob:
     A team of the requests that never played gets a NULL prediction (the
     original stops with a lookup error)."""
 
-    def __init__(self, season_contests: DataFrame, n_factors: int = FACTORS, reg: float = FACTOR_L2,
-                 max_iter: int = FACTOR_EPOCHS, sweeps: int = SWEEPS, factor_reg: float = 0.1, seed: int = 42):
+    def __init__(self, season_contests: DataFrame, n_factors: int = FACTORS, l2: float = FACTOR_L2, epochs: int = FACTOR_EPOCHS,
+                 step: float = FACTOR_STEP, batch: int = FACTOR_BATCH, patience: int | None = FACTOR_PATIENCE, tol: float = 0.0,
+                 blocks: int | None = None, seed: int = 42):
         self.pairs = mirror_pairs(season_contests)
-        self.n_factors, self.reg, self.max_iter = n_factors, reg, max_iter
-        self.sweeps, self.factor_reg, self.seed = sweeps, factor_reg, seed
+        self.settings = embedding.Settings(n_factors, l2, step, batch, seed)
+        self.epochs, self.patience, self.tol, self.blocks = epochs, patience, tol, blocks
         self._fitted = None
 
-    def _team_terms(self, side: str) -> DataFrame:
-        """Smoothed log odds that the team-``side`` team's rows are wins."""
-        wins, n = F.sum("pred") + PRIOR / 2, F.count(F.lit(1)) + PRIOR
-        return self.pairs.groupBy(F.col(side).alias("TeamID")).agg(F.log(wins / (n - wins)).alias("odds"))
-
-    def _table(self) -> DataFrame:
-        """One row per team: index and both terms."""
-        b1, b2 = (self._team_terms(s).withColumnRenamed("odds", o) for s, o in (("team1", "b1"), ("team2", "b2")))
-        return materialize(team_index(self.pairs).join(b1, "TeamID", "left").join(b2, "TeamID", "left"))
-
     def _indexed(self, df: DataFrame, teams: DataFrame, t1: str, t2: str) -> DataFrame:
-        """``df`` with both teams' indices and terms, NULL for a team unknown."""
-        one = teams.select(F.col("TeamID").alias(t1), F.col("team_idx").alias("i1"), "b1")
-        two = teams.select(F.col("TeamID").alias(t2), F.col("team_idx").alias("i2"), "b2")
+        """``df`` with both teams' indices, NULL for a team unknown."""
+        one = teams.select(F.col("TeamID").alias(t1), F.col("team_idx").cast("long").alias("i1"))
+        two = teams.select(F.col("TeamID").alias(t2), F.col("team_idx").cast("long").alias("i2"))
         return df.join(one, t1, "left").join(two, t2, "left")
 
-    def fit(self):
+    def fit(self) -> tuple[DataFrame, embedding.Embedding]:
         if self._fitted is None:
-            teams = self._table()
-            data = self._indexed(self.pairs, teams, "team1", "team2").withColumn("label", F.col("pred").cast("double"))
-            with models.held(data.select("i1", "i2", "b1", "b2", "label", (F.col("label") - 0.5).alias("rating"))) as d:
-                als = ALS(rank=self.n_factors, maxIter=self.sweeps, regParam=self.factor_reg, userCol="i1", itemCol="i2",
-                          ratingCol="rating", coldStartStrategy="nan", seed=self.seed).fit(d)
-                asm = VectorAssembler(inputCols=["prediction", "b1", "b2"], outputCol="features")
-                lr = LogisticRegression(regParam=self.reg, maxIter=self.max_iter, standardization=False,
-                                        predictionCol="class")
-                self._fitted = teams, als, asm, lr.fit(asm.transform(als.transform(d)))
+            teams = materialize(team_index(self.pairs))
+            rows = self._indexed(self.pairs, teams, "team1", "team2").select(
+                F.col("i1").alias("a"), F.col("i2").alias("b"), F.col("pred").alias("y"))
+            self._fitted = teams, embedding.fit(materialize(rows), teams.count(), self.settings, self.epochs, self.patience,
+                                                self.tol, self.blocks)
         return self._fitted
 
     def predict(self, targets: DataFrame) -> DataFrame:
         """(ID, pred) for every request."""
-        teams, als, asm, lr = self.fit()
+        teams, model = self.fit()
         t = targets.select("ID", fx.target_part("ID", 1).alias("t1"), fx.target_part("ID", 2).alias("t2"))
-        j = self._indexed(t, teams, "t1", "t2")
-        known = F.col("i1").isNotNull() & F.col("i2").isNotNull()
-        scored = models.class1_probability(lr.transform(asm.transform(als.transform(j.where(known)))), out="pred")
-        return scored.select("ID", "pred").unionByName(
-            j.where(~known).select("ID", F.lit(None).cast("double").alias("pred")))
+        return model.score(self._indexed(t, teams, "t1", "t2"), "i1", "i2").select("ID", "pred")
 
     def loss_history(self) -> DataFrame:
-        hist = list(self.fit()[3].summary.objectiveHistory)      # one number per iteration
-        return self.pairs.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(hist)],
-                                                       "iteration int, loss double")
+        """(epoch, loss): the mean loss over each epoch's batches, gathered
+        while it trained."""
+        hist = self.fit()[1].history                             # one number per epoch
+        return self.pairs.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(hist)], "epoch int, loss double")

@@ -29,13 +29,18 @@ def score_union(featured: DataFrame, model, probability=models.class1_probabilit
     return scored.select(*rest.columns).unionByName(rest)
 
 
+def _scored(d: DataFrame) -> DataFrame:
+    """For models whose ``transform`` gives ``Pred1`` itself."""
+    return d
+
+
 FITTERS: dict[str, tuple[Callable[..., Fitter], Callable]] = {
     "lr": (lambda **kw: (lambda d: models.fit_logistic(d, **kw)), models.class1_probability),
     "lr_cv": (lambda **kw: (lambda d: models.fit_logistic_cv(d, **kw)), models.class1_probability),
-    "gbt": (lambda **kw: (lambda d: models.fit_gbt(d, **kw)), models.class1_probability),
-    "gbt_grid": (lambda **kw: (lambda d: models.fit_gbt_grid(d, **kw)), models.class1_probability),
-    "gbt_subsample": (lambda **kw: (lambda d: models.fit_boost_subsample(d, **kw)), models.class1_probability),
-    "svc": (lambda **kw: (lambda d: models.fit_linear_svc(d, **kw)), models.margin_probability),
+    "gbt": (lambda **kw: (lambda d: models.fit_gbt(d, **kw)), _scored),
+    "gbt_grid": (lambda **kw: (lambda d: models.fit_gbt_grid(d, **kw)), _scored),
+    "gbt_subsample": (lambda **kw: (lambda d: models.fit_boost_subsample(d, **kw)), _scored),
+    "svc": (lambda **kw: (lambda d: models.fit_svc(d, **kw)), _scored),
 }
 
 
@@ -52,10 +57,9 @@ def tournament_predictions(t: Tournament, model: str = "lr", **kw) -> tuple[Data
 
 def leaf_stack_predictions(t: Tournament, gbt_kw: dict | None = None, cs=models.LR_CS, folds: int = LEAF_LR_FOLDS):
     """Complete prediction table (ID, Pred) of the logistic regression on tree
-    leaves and raw features, its C chosen by k-fold search.  The leaf encoder
-    sees the leaves of training and request rows alike."""
+    leaves and raw features, its C chosen by k-fold search."""
     ready = t.featured.where(F.col("features").isNotNull())
-    combined = models.combined_features(models.fit_gbt(ready.where("is_train"), **(gbt_kw or {})), ready)
+    combined = models.fit_gbt(ready.where("is_train"), **(gbt_kw or {})).leaf_vectors(ready, "leaves", "combined")
     search = models.fit_logistic_cv(combined.where("is_train").withColumn("features", F.col("combined")), cs, folds)
     scored = models.class1_probability(search.transform(combined.withColumn("features", F.col("combined"))))
     rest = t.featured.where(F.col("features").isNull()).withColumn("Pred1", F.lit(None).cast("double"))
@@ -76,3 +80,18 @@ def leaf_stack_report(t: Tournament, test_pct: int = HOLDOUT_TEST_PCT, gbt_kw: d
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def season_auc(t: Tournament, test_pct: int = HOLDOUT_TEST_PCT) -> DataFrame:
+    """Hold-out AUC of the logistic regression with the contests' own
+    statistics as training features, which know the result, and with those of
+    earlier seasons, which do not: (train_features, rows, auc)."""
+    parts = []
+    for mode in ("contest", "prior_season"):
+        own = t.with_features(mode).featured
+        data = holdout_split(own.where(F.col("is_train") & F.col("features").isNotNull()), test_pct)
+        train, test = data.where(~F.col("is_holdout")), data.where(F.col("is_holdout"))
+        scored = models.class1_probability(models.fit_logistic(train).transform(test))
+        parts.append(roc_auc(scored.select("label", "Pred1"), "label", "Pred1")
+                     .select(F.lit(mode).alias("train_features"), F.lit(test.count()).cast("long").alias("rows"), "auc"))
+    return parts[0].unionByName(parts[1])

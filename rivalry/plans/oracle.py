@@ -115,6 +115,19 @@ funion AS (
   UNION ALL
   SELECT Season, TeamID1, TeamID2, CAST(NumOT AS DOUBLE), Score_Ratio, Score_Pct, CAST(NULL AS DOUBLE), false FROM test)"""
 
+# medians as of a season: all rows of earlier seasons, by either side
+_PRIOR = f"""
+asked AS (SELECT unnest([{_SEASONS}]) AS S),
+b1 AS (
+  SELECT CAST(S AS INTEGER) AS Season, TeamID1, median(CAST(NumOT AS DOUBLE)) AS NumOT1, median(Score_Ratio) AS Score_Ratio1,
+         median(Score_Pct) AS Score_Pct1 FROM asked JOIN train ON train.Season < S GROUP BY 1, 2),
+b2 AS (
+  SELECT CAST(S AS INTEGER) AS Season, TeamID2, median(CAST(NumOT AS DOUBLE)) AS NumOT2, median(Score_Ratio) AS Score_Ratio2,
+         median(Score_Pct) AS Score_Pct2 FROM asked JOIN train ON train.Season < S GROUP BY 1, 2),
+pairs_of AS (
+  SELECT Season, TeamID1, TeamID2, CAST(Result AS DOUBLE) AS Result, true AS is_train FROM observed
+  UNION ALL SELECT Season, TeamID1, TeamID2, NULL, false FROM missing)"""
+
 _ALL = "WITH " + ",".join([_PODIUM, _CONTESTS, _SEEDS, _TARGETS, _PIPE]) + "\n"
 
 
@@ -225,11 +238,29 @@ SELECT Season, round(CASE WHEN p > 0 AND n > 0 THEN (ranks - p * (p + 1) / 2) /
         "factor_complete": _ALL + (", played AS (SELECT WTeamID AS t FROM contests UNION SELECT LTeamID FROM contests)\n"
                                    "SELECT ID, TeamID1 IN (SELECT t FROM played) AND TeamID2 IN (SELECT t FROM played) AS known "
                                    "FROM tgt"),
-        "loss_falls": "SELECT true AS ends_least, true AS starts_most, true AS moves",
+        "loss_falls": "SELECT true AS falls, true AS starts_most, true AS by_epoch",
     }
+    prior = _ALL + ", " + _PRIOR
+    side = "SELECT {0} AS side, Season, TeamID{0} AS TeamID, " + ", ".join(
+        f"round({c}{{0}}, 6) AS {c}" for c in ("NumOT", "Score_Ratio", "Score_Pct")) + " FROM b{0}"
+    q["prior_medians"] = prior + f"\n{side.format(1)} UNION ALL {side.format(2)}"
+    q["prior_features"] = prior + """
+SELECT Season, TeamID1, TeamID2, round(round_even(NumOT1 + NumOT2, 0), 6) AS NumOT,
+       round(pow(Score_Ratio1 * pow(Score_Ratio2, -1.0), 0.5), 6) AS Score_Ratio,
+       round(pow(0.5 * pow(Score_Pct1, -1.0) + 0.5 * pow(1.0 - Score_Pct2, -1.0), -1.0), 6) AS Score_Pct, Result, is_train
+FROM pairs_of JOIN b1 USING (Season, TeamID1) JOIN b2 USING (Season, TeamID2)"""
+    each = "SELECT {0} AS side, Season, TeamID{0} AS TeamID, count(*) AS rows, true AS near_NumOT, true AS near_Score_Ratio FROM train GROUP BY ALL"
+    q["sketch_medians"] = _ALL + f"{each.format(1)} UNION ALL {each.format(2)}"
+    q["stratified_folds"] = _ALL + """
+, k AS (SELECT Season, TeamID1, TeamID2, Result,
+               concat(Season, '_', least(TeamID1, TeamID2), '_', greatest(TeamID1, TeamID2)) AS contest FROM train),
+g AS (SELECT contest, count(*) AS n, sum(Result) AS p FROM k GROUP BY contest),
+f AS (SELECT contest, CAST((row_number() OVER (PARTITION BY n, p ORDER BY md5(contest), contest) - 1) % 10 AS INTEGER) AS fold FROM g)
+SELECT Season, TeamID1, TeamID2, Result, fold FROM k JOIN f USING (contest)"""
     width = _ALL + (f"SELECT CAST(unnest(range((SELECT count(DISTINCT NumOT) FROM funion) + {len(seasons)} + 3)) AS INTEGER) "
                     "AS feature, true AS optimal")
     q["lr_optimal"] = q["lr_cv_optimal"] = width
     whole = _ALL + ("SELECT ID, count(*) AS multiplicity, count(Pred1) AS scored, true AS in_range FROM sub GROUP BY ID")
-    q["lr_complete"] = q["gbt_complete"] = q["svc_complete"] = whole
+    for family in ("lr", "gbt", "svc", "gbt_grid", "gbt_grid2", "gbt_subsample"):
+        q[f"{family}_complete"] = whole
     return q

@@ -19,23 +19,41 @@ from ..defaults import EPS_TEST, EPS_TRAIN
 from ..session import materialize
 
 
+TRAIN_FEATURES = ("contest", "prior_season")
+
+
 class Tournament:
     """Inputs may be DataFrames or zero-argument callables returning one; a
     callable is only evaluated when a stage needs that input.  ``seasons``
     are the seasons of the requested pairings (the training rows are taken
-    from those seasons)."""
+    from those seasons).  ``train_features``: ``contest``, the statistics of
+    the very contests, as the original has it (they know the result), or
+    ``prior_season``, what was known before the season."""
 
     def __init__(self, contests: DataFrame | Callable[[], DataFrame],
                  seeds: DataFrame | Callable[[], DataFrame],
                  targets: DataFrame | Callable[[], DataFrame],
                  seasons: Sequence[int], eps_train: float = EPS_TRAIN,
-                 eps_test: float = EPS_TEST, chunks: int | None = None, checkpoint_stages: bool = True):
+                 eps_test: float = EPS_TEST, chunks: int | None = None, checkpoint_stages: bool = True,
+                 train_features: str = "contest"):
         self._inputs = {"contests": contests, "seeds": seeds, "targets": targets}
         self.seasons = list(seasons)
         self.eps_train = eps_train
         self.eps_test = eps_test
         self.chunks = chunks
         self.checkpoint_stages = checkpoint_stages
+        if train_features not in TRAIN_FEATURES:
+            raise ValueError(f"train_features must be one of {TRAIN_FEATURES}")
+        self.train_features = train_features
+
+    def with_features(self, train_features: str) -> Tournament:
+        """The same job with other training features, sharing what is alike."""
+        other = Tournament(None, None, None, self.seasons, self.eps_train, self.eps_test, self.chunks, self.checkpoint_stages,
+                           train_features)
+        other._inputs = self._inputs
+        for name in ("enriched", "train", "season_rows", "season_train", "parsed_targets", "observed", "missing"):
+            other.__dict__[name] = getattr(self, name)
+        return other
 
     def stage(self, df: DataFrame) -> DataFrame:
         """Write a stage read by several later steps once to the checkpoint
@@ -96,8 +114,21 @@ class Tournament:
 
     @cached_property
     def medians(self) -> DataFrame:
+        """Per (side, season, team): of the season's observed rows, or of all
+        earlier seasons."""
+        if self.train_features == "prior_season":
+            return self.stage(pairs.prior_medians(self.train, self.seasons, chunks=self.chunks))
         return pairs.team_medians(self.observed, chunks=self.chunks)
 
+    @cached_property
+    def learned(self) -> DataFrame:
+        """Training rows with their features: the contests' own statistics,
+        or the pair features of earlier seasons (rows whose teams have none
+        are left to the fallback)."""
+        if self.train_features == "prior_season":
+            return pairs.pair_features(self.observed, self.medians, keep=["Result"])
+        return self.observed
+
     @cached_property
     def test(self) -> DataFrame:
         return pairs.pair_features(self.missing, self.medians)
@@ -108,7 +139,7 @@ class Tournament:
         folder: the boundary between the relational part and the model part,
         read by the category scan, the scaler fit, the model fit and the
         scoring pass without recomputing the joins above it."""
-        return self.stage(prepare.feature_union(self.observed, self.test))
+        return self.stage(prepare.feature_union(self.learned, self.test))
 
     def encoded(self, season_cats, numot_cats) -> tuple[DataFrame, list[str]]:
         """Named indicator columns, for categories known to the caller."""

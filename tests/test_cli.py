@@ -33,7 +33,7 @@ def test_tournament_and_factor_jobs_from_csv(spark):
     for r in expected.collect():
         assert any(abs(v - r.Pred) < 1e-5 for v in got[r.ID])
 
-    run_factors(spark, paths["contests"], paths["targets"], paths["cf"], max_iter=5)
+    run_factors(spark, paths["contests"], paths["targets"], paths["cf"], epochs=2)
     cf = spark.read.option("header", True).csv(paths["cf"])
     assert cf.columns == ["ID", "pred"]
     assert cf.count() == spark.read.option("header", True).csv(paths["targets"]).count()

@@ -26,7 +26,7 @@ def test_lr_job_completes_every_target(spark):
 
 
 def test_grid_report_marks_one_best(spark):
-    grid = {"maxIter": [2, 4], "featureSubsetStrategy": ["0.5"], "maxDepth": [2, 3]}
+    grid = {"trees": [2, 4], "feature_share": [0.5], "depth": [2, 3]}
     search = jobs.fit_model(catalog._t(spark, SF_SMALL), "gbt_grid", grid=grid, folds=2)
     rows = models.grid_report(search).collect()
     assert len(rows) == 4 and sum(r.is_best for r in rows) == 1
@@ -70,7 +70,7 @@ def test_factor_model_beats_the_base_rate_on_held_out_contests(spark):
         a, b = rnd.sample(range(30), 2)
         return (a, b) if rnd.random() < 1 / (1 + math.exp(strength[b] - strength[a])) else (b, a)
     past, later = ([contest() for _ in range(n)] for n in (1500, 300))
-    job = FactorJob(spark.createDataFrame(past, "WTeamID bigint, LTeamID bigint"), n_factors=4, max_iter=50, sweeps=5)
+    job = FactorJob(spark.createDataFrame(past, "WTeamID bigint, LTeamID bigint"), n_factors=4, epochs=15, step=0.02)
     ask = spark.createDataFrame([(f"2000_{min(c)}_{max(c)}", 0.5) for c in set(map(lambda c: (min(c), max(c)), later))],
                                 "ID string, Pred double")
     p = {r.ID: r.pred for r in job.predict(ask).collect()}
@@ -96,19 +96,19 @@ def test_factor_job_scores_all_requests(spark):
     out = job.predict(targets)
     assert out.count() == targets.count()
     assert out.where(F.col("pred").isNull() | (F.col("pred") < 0) | (F.col("pred") > 1)).count() == 0
-    hist = job.loss_history().orderBy("iteration").collect()
-    assert len(hist) > 1
+    hist = job.loss_history().orderBy("epoch").collect()
+    assert 1 < len(hist) <= 100 and hist[-1].loss < hist[0].loss
 
 
 def test_leaf_stack_report(spark):
-    rows = {r.model: r.auc for r in jobs.leaf_stack_report(catalog._t(spark, SF_SMALL), gbt_kw={"max_iter": 5}).collect()}
+    rows = {r.model: r.auc for r in jobs.leaf_stack_report(catalog._t(spark, SF_SMALL), gbt_kw={"trees": 5}).collect()}
     assert set(rows) == {"gbt", "lr", "leaves_lr", "combined_lr"}
     assert all(0.0 <= v <= 1.0 for v in rows.values())
 
 
 def test_leaf_stack_completes_every_target(spark):
     t = catalog._t(spark, SF_SMALL)
-    sub, search = jobs.leaf_stack_predictions(t, gbt_kw={"max_iter": 3}, cs=(0.1, 1.0), folds=2)
+    sub, search = jobs.leaf_stack_predictions(t, gbt_kw={"trees": 3}, cs=(0.1, 1.0), folds=2)
     assert len(search.points) == 2
     rows = sub.collect()
     assert len(rows) == catalog._stand_in_sub(t).count() and all(0.0 <= r.Pred <= 1.0 for r in rows)
