@@ -50,22 +50,21 @@ SPACE_URL = uuid.uuid5(uuid.NAMESPACE_URL, "urn:rivalry:warc")
 RECORDS = "page_id long, record_id string, type string, record binary"
 SCHEMA = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("type", pa.string()), ("record", pa.binary())])
 
-# What no reader sees; an unclosed title or template is broken markup, its text is kept.
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(title|template)\b[^>]*>.*?</\2\s*>",
-                   re.S | re.I)
-# A head, tagged or not: it ends before the first text or element that cannot stand in one.
-_HEAD = re.compile(r"(?:\A\ufeff?|<head\b[^>]*>)(?:\s+|<!--.*?-->|<(?:!(?!--)|\?)[^>]*>|"
-                   r"</?(?:html|head|meta|link|base|noscript)\b[^>]*>|"
-                   r"<(title|script|style|template)\b[^>]*>.*?</\1\s*>)*", re.S | re.I)
-_BREAK = re.compile(r"<(?:br|hr)\b[^>]*>|</?(?:p|div|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|main|"
-                    r"aside|blockquote|pre|dd|dt|dl|form|title)\b[^>]*>", re.I)
-_TAG = re.compile(r"<(?:[a-zA-Z/!?][^>]*>|[a-zA-Z/!?][^>]*\Z)")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<template\b[^>]*>.*?</template\s*>",
-                   re.S | re.I)
-_LINK = re.compile(r"<(a|area|link|img|script|iframe|source)\b[^>]*?\b(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))",
-                   re.I)
+_OPEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][a-zA-Z0-9_]*)[^>]*(>?)|[!?/][^>]*(>?))")
+_CLOSE = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "title", "template")}
+_BREAK, _ONCE, _IN_HEAD, _LINK, _RAW, _HTML = 1, 2, 4, 8, 16, 32
+#: What the reader does at an element: a line break (at its start tag only), an
+#: element of the head, a link, one with raw text.
+_KIND: dict[str, int] = {}
+for _bit, _names in ((_BREAK, "br hr p div li ul ol h1 h2 h3 h4 h5 h6 tr table section article header footer nav main aside "
+                              "blockquote pre dd dt dl form title"),
+                     (_ONCE, "br hr"), (_IN_HEAD, "html head meta link base noscript"), (_LINK, "a area link img iframe source"),
+                     (_RAW, "script style title template"), (_HTML, "html")):
+    for _name in _names.split():
+        _KIND[_name] = _KIND.get(_name, 0) | _bit
+_REF = re.compile(r"\b(?:href|src)\s*=\s*", re.I)
+_BARE = re.compile(r"[^\s>]+")
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _CHUNK = re.compile(rb"(?:\r?\n)?([0-9A-Fa-f]{1,15})[ \t]*(?:;[^\r\n]*)?\r?\n")
 _BLANKS = re.compile(r"[ \t\r\f\v\xa0]+")
 
@@ -102,31 +101,120 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:int(headers["content-length"])]
 
 
+class Page:
+    """What a page says, read in one pass from its first to its last character.
+
+    ``text``: visible text, lines at block elements, white space collapsed;
+    ``title``: of the first title element; ``lang``: of the html element;
+    ``refs``: (tag, reference) of the links in order.
+
+    Comments, scripts, styles, closed templates and titles in a head are not
+    visible.  A head, tagged or not, ends before the first text or element
+    that cannot stand in one; the text of a noscript stays.  A tag without
+    its end is dropped to the end of the page; a title or template without
+    one is broken markup and its text is kept.  No end is looked for twice
+    where there is none, so the time is linear in the page.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.title, self.lang, self.refs = page, None, None, []
+        out, at, n, head = [], 0, len(page), True
+        none: set[str] = set()               # raw elements that do not close any more
+        quotes = None
+        search, put = _OPEN.search, out.append
+        if page.startswith("\ufeff"):
+            put("\ufeff")
+            at = 1
+        while at < n:
+            m = search(page, at)
+            to = m.start() if m else n
+            if to > at:
+                put(page[at:to])
+                head = head and page[at:to].isspace()
+            if not m:
+                break
+            slash, name, ended, closed = m.groups()
+            at = m.end()
+            if name is None:
+                if closed is None:            # a comment
+                    end = page.find("-->", at)
+                    if end < 0:
+                        break
+                    put(" ")
+                    at = end + 3
+                elif not closed:              # no tag ends any more
+                    break
+                continue
+            kind = _KIND.get(name)
+            if kind is None:
+                name = name.lower()
+                kind = _KIND.get(name, 0)
+            if not slash:
+                if kind & _LINK:
+                    if quotes is None:
+                        quotes = {q: page.rfind(q) for q in "\"'"}
+                    self._link(name, m.end(2), at - 1 if ended else at, quotes)
+                if kind & _HTML and self.lang is None:
+                    found = _LANG.search(page, m.end(2), at)
+                    self.lang = found[1] if found else None
+            if not ended:
+                break
+            if kind & _RAW and not slash:
+                close = None if name in none else _CLOSE[name].search(page, at)
+                if close is None:
+                    none.add(name)
+                    if name == "title" and self.title is None:
+                        self.title = page[at:]
+                    if name in ("script", "style"):
+                        break
+                    head = False
+                elif name != "title" or head:
+                    if name == "title" and self.title is None:
+                        self.title = page[at:close.start()]
+                    put(" ")
+                    at = close.end()
+                    continue
+                elif self.title is None:      # a title in the body: its text is text
+                    self.title = page[at:close.start()]
+            elif not kind & _IN_HEAD:
+                head = False
+            elif name == "head":
+                head = head or not slash
+            if kind & _BREAK and not (slash and kind & _ONCE):
+                put("\n")
+        raw = htmllib.unescape("".join(out))
+        lines = (_BLANKS.sub(" ", line).strip() for line in raw.split("\n"))
+        self.text = "\n".join(line for line in lines if line)
+
+    def _link(self, name: str, start: int, end: int, quotes: dict[str, int]) -> None:
+        """The first reference among the attributes of a tag; a quoted one may
+        reach behind the tag's first >."""
+        page = self.page
+        for m in _REF.finditer(page, start, end):
+            q = page[m.end():m.end() + 1]
+            if q in quotes and quotes[q] > m.end():
+                self.refs.append((name, page[m.end() + 1:page.index(q, m.end() + 1)]))
+                return
+            bare = _BARE.match(page, m.end(), end)
+            if bare:
+                self.refs.append((name, bare[0]))
+                return
+
+
 def plain_text(page: str) -> str:
-    """Visible text: lines at block elements, white space collapsed.  A title
-    goes with the head it stands in, the text of a noscript stays."""
-    top, others = _HEAD.match(page).end(), None
-
-    def drop(m: re.Match) -> str:
-        nonlocal others
-        if (m[2] or "").lower() != "title" or m.start() < top:
-            return " "
-        if others is None:
-            others = [h.span() for h in _HEAD.finditer(page, top)]
-        return " " if any(a <= m.start() < b for a, b in others) else m[0]
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(drop, page)))
-    lines = (_BLANKS.sub(" ", line).strip() for line in htmllib.unescape(text).split("\n"))
-    return "\n".join(line for line in lines if line)
-
-
-def links(page: str, target: str) -> list[dict[str, str]]:
+    """Visible text of a page."""
+    return Page(page).text
+
+
+def links(page: str | Page, target: str) -> list[dict[str, str]]:
+    """Its links, resolved against ``target``."""
     out = []
-    for m in _LINK.finditer(_SKIP.sub(" ", page)):
-        ref = htmllib.unescape(m[2] or m[3] or m[4] or "").strip()
+    for tag, raw in (page if isinstance(page, Page) else Page(page)).refs:
+        ref = htmllib.unescape(raw).strip()
         try:
-            out.append({"tag": m[1].lower(), "url": urljoin(target, ref)})
+            out.append({"tag": tag, "url": urljoin(target, ref)})
         except ValueError:                 # a reference that is no address is kept as written
-            out.append({"tag": m[1].lower(), "url": ref})
+            out.append({"tag": tag, "url": ref})
     return out
 
 
@@ -205,14 +293,14 @@ def derivatives(data: bytes) -> list[tuple[str, str, bytes]]:
         page = plain.decode("utf-8", "replace")
     page = "" if undecoded else page
     rid, target = headers["warc-record-id"], headers.get("warc-target-uri", "about:blank")
-    title, lang = _TITLE.search(page), _LANG.search(page)
+    seen = Page(page)
     meta = json.dumps({
-        "target": target, "title": " ".join(htmllib.unescape(title[1]).split()) if title else None,
-        "lang": lang[1] if lang else None, "status": head.split(b"\r\n")[0].decode("latin-1"), "headers": http,
-        "payload-digest": headers.get("warc-payload-digest", digest(body)), "links": links(page, target),
+        "target": target, "title": None if seen.title is None else " ".join(htmllib.unescape(seen.title).split()),
+        "lang": seen.lang, "status": head.split(b"\r\n")[0].decode("latin-1"), "headers": http,
+        "payload-digest": headers.get("warc-payload-digest", digest(body)), "links": links(seen, target),
         **({"undecoded": undecoded} if undecoded else {}),
     }, ensure_ascii=False).encode("utf-8", "surrogatepass")
-    text = plain_text(page).encode("utf-8", "surrogatepass")
+    text = seen.text.encode("utf-8", "surrogatepass")
     out = []
     made = (("metadata", "application/json", meta), ("conversion", "text/plain; charset=utf-8", text))
     for what, mime, content in made[:1] if undecoded else made:

@@ -1,8 +1,11 @@
 """WARC records: derivatives, links between records, files."""
 
 import hashlib
+import html as htmllib
 import json
+import time
 import zlib
+from html.parser import HTMLParser
 
 from rivalry.llm import by_value, warc
 
@@ -104,3 +107,64 @@ def test_encoded_bodies():
     assert m["undecoded"] == "br" and m["links"] == [] and m["title"] is None and t == []
     long = b"<p>" + b" ".join(b"%d" % (i * i) for i in range(20000))
     assert len(read(gzip.compress(long)[:-9000], "Content-Encoding: gzip")[1][0]) > 50000
+
+
+class Plain(HTMLParser):
+    """An independent reader: tags, text and links by the standard library."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.refs, self.text, self.hidden, self.title, self.lang = [], [], 0, None, None
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "title"):
+            self.hidden += 1
+            if tag == "title" and self.title is None:
+                self.title = ""
+        if tag == "html" and self.lang is None:
+            self.lang = dict(attrs).get("lang")
+        ref = next((v for k, v in attrs if k in ("href", "src")), None)
+        if tag in ("a", "area", "link", "img", "iframe", "source") and ref is not None:
+            self.refs.append((tag, ref))
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "title"):
+            self.hidden -= 1
+
+    def handle_data(self, text):
+        if self.lasttag == "title" and self.hidden and not self.text:
+            self.title += text
+        if not self.hidden:
+            self.text.append(text)
+
+
+def test_given_pages_equal_an_independent_parser():
+    import duckdb
+    pages_ = duckdb.sql("SELECT html FROM read_parquet('/root/testdata/sf0.01/pages.parquet') WHERE html IS NOT NULL").fetchall()
+    assert len(pages_) > 100
+    for (html,) in pages_:
+        ours, theirs = warc.Page(html), Plain(html)
+        assert "".join(ours.text.split()) == "".join("".join(theirs.text).split())
+        assert [(t, htmllib.unescape(r).strip()) for t, r in ours.refs] == [(t, r.strip()) for t, r in theirs.refs]
+        assert ours.lang == theirs.lang
+        assert (ours.title is None) == (theirs.title is None)
+
+
+def test_broken_pages_take_linear_time():
+    for opener in ("<title>x", "<template>x", "<a ", "<noscript><title>a", "<!--", "<script>", "<a href=\"x", "<a href='x",
+                   "<style>x", "<html lang", "</title", "<a src= href= ", "<", "</", "<!-- --"):
+        page = opener * (1_000_000 // len(opener))
+        began = time.thread_time()
+        warc.links(warc.Page(page), "http://h/")
+        assert time.thread_time() - began < 1.5, opener
+
+
+def test_repeated_rows_other_columns_and_long_pages(spark):
+    long = "<title>L</title>" + "<p>word <a href=/x>y</a>" * 40_000
+    rows = [(1, "http://h/", long, "a", 9), (1, "http://h/", long, "a", 9), (2, "http://h/", PAGE, "b", 8)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, record string, type int")
+    got = warc.summary(warc.derive(warc.responses(d))).collect()
+    assert len(got) == 6 and len({r.record_id for r in got}) == 4          # equal rows give equal records
+    assert max(r.length for r in got) > 300_000
