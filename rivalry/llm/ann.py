@@ -7,11 +7,10 @@ summed distance - a heap over the two sorted distance lists - until the cells
 it passed hold ``probe`` entries (and at least ``cells`` cells).  The entries
 of those cells are reranked by the exact cosine in double precision.
 
-``probe`` is not fixed: on a table of more entries it is measured.  The exact
-neighbours of ``CALIBRATE`` queries tell how many entries the walk passes
-before their cells; ``probe`` is widened until ``RECALL`` of them are found.
-Where that is more than one in ``EXACT`` of the entries, all queries are
-compared with all entries in blocks, which is then the shorter way.
+``probe`` is measured: the exact neighbours of ``CALIBRATE`` queries, found by
+comparing those with all entries in blocks, tell how many entries the walk
+passes before their cells; ``probe`` is widened until ``RECALL`` of them are
+found.  Every query takes the walk, on tables of any size.
 
 An entry is a distinct vector with the ``k`` + 1 smallest ids that carry it:
 more copies of it cannot be in a result, ties going to the smaller id.  Cells
@@ -42,7 +41,6 @@ K = 5
 PROBE = 3000             # entries that a query looks at, at least
 CALIBRATE = 256          # queries whose exact neighbours are found to widen it, at most
 RECALL = 0.95            # share of those neighbours that the widened walk finds (0.9 and a margin for the sample)
-EXACT = 16               # a visit of a cell costs as much as this many times its entries in a block
 CELLS = 8                # cells that a query looks at, at least
 SAMPLE = 8192            # entries the centroids are fitted on, at most
 MAX_CENTROIDS = 256      # of each half
@@ -132,14 +130,15 @@ def _rerank(dim: int, k: int):
         if len(entries) and len(queries):
             e, q = matrix(entries, "vector"), matrix(queries, "vector")
             ids = entries["ids"].to_pylist()
-            ne, nq = np.sqrt((e * e).sum(1)), np.sqrt((q * q).sum(1))
-            for a, query in enumerate(queries["query_id"].to_pylist()):
-                rough = (e @ q[a]) / (ne * nq[a])
-                # k entries beside the query's own; all within rounding of the last
-                top = np.partition(rough, -(k + 1))[-(k + 1)] if len(rough) > k + 1 else -np.inf
-                at = np.flatnonzero(rough >= top - 1e-9)
-                exact = exact_cosines(e[at], q[a:a + 1])
-                found = [(-s, v) for s, i in zip(exact.tolist(), at.tolist()) for v in ids[i] if v != query]
+            rough = (q / np.sqrt((q * q).sum(1, keepdims=True))) @ (e / np.sqrt((e * e).sum(1, keepdims=True))).T
+            # k entries beside the query's own; all within rounding of the last
+            top = np.partition(rough, -(k + 1), axis=1)[:, -(k + 1)] if len(e) > k + 1 else np.full(len(q), -np.inf)
+            row, at = np.nonzero(rough >= top[:, None] - 1e-9)
+            exact = np.concatenate([exact_cosines(e[at[i:i + BLOCK]], q[row[i:i + BLOCK]]) for i in range(0, len(at), BLOCK)])
+            ends = np.searchsorted(row, np.arange(len(q) + 1)).tolist()
+            exact, at = exact.tolist(), at.tolist()
+            for query, a, b in zip(queries["query_id"].to_pylist(), ends, ends[1:]):
+                found = [(-exact[i], v) for i in range(a, b) for v in ids[at[i]] if v != query]
                 out += [(query, v, -s) for s, v in heapq.nsmallest(k, found)]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else ([], [], []), schema)],
                                     schema=schema)
@@ -202,20 +201,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id"
                 .select("query_id", "rank", "vec_id", "score"))
 
     one = lambda t: t.withColumn("cell", F.lit(0).cast("long"))
-    if n > probe:
-        some = pin(queries.orderBy(F.xxhash64("query_id", "vector")).limit(CALIBRATE))
-        real = pin(nearest(one(index), one(some)))          # at most k rows a query
-        where = index.select(F.explode("ids").alias("vec_id"), "cell").join(F.broadcast(real), "vec_id")
-        cells_of: dict[int, list[int]] = {}
-        for r in where.select("query_id", "cell").collect():
-            cells_of.setdefault(r["query_id"], []).append(r["cell"])
-        asked = some.toArrow()
-        if len(asked):
-            u = _units(asked["vector"].combine_chunks(), dim)
-            want = needed(u, [cells_of.get(i, []) for i in asked["query_id"].to_pylist()], c1, c2, held, half)
-            if want > probe and want * EXACT >= n:
-                return nearest(one(index), one(pin(queries)))
-            probe = max(probe, want)
+    some = pin(queries.orderBy(F.xxhash64("query_id", "vector")).limit(CALIBRATE))
+    real = pin(nearest(one(index), one(some)))              # at most k rows a query
+    where = index.select(F.explode("ids").alias("vec_id"), "cell").join(F.broadcast(real), "vec_id")
+    cells_of: dict[int, list[int]] = {}
+    for r in where.select("query_id", "cell").collect():
+        cells_of.setdefault(r["query_id"], []).append(r["cell"])
+    asked = some.toArrow()
+    if len(asked):
+        u = _units(asked["vector"].combine_chunks(), dim)
+        probe = max(probe, needed(u, [cells_of.get(i, []) for i in asked["query_id"].to_pylist()], c1, c2, held, half))
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,8 +226,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id"
 
 
 def oracle_sql(every: int = 50, k: int = K) -> str:
-    """Brute force in DuckDB; equal to the search where the probes reach all
-    entries (tables of up to ``PROBE`` vectors)."""
+    """Brute force in DuckDB; the search finds the same where its walks pass
+    all the neighbours' cells (at least ``PROBE`` entries, so those of a small table)."""
     norm = "sqrt(list_dot_product({0}, {0}))"
     return f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings

@@ -149,9 +149,22 @@ def recall(spark, n, k=5):
     return hit / (k * len(range(0, n, 50)))
 
 
-def test_recall_of_a_larger_table(spark):
-    """Production parameters: a fixed budget of ``PROBE`` finds too few."""
+def clustered(n, dim=64, seed=9):
+    """Five hundred tight clusters."""
+    r = np.random.default_rng(seed)
+    return (r.standard_normal((500, dim))[r.integers(0, 500, n)] + 0.25 * r.standard_normal((n, dim))).astype(np.float32)
+
+
+@pytest.mark.parametrize("make", (like_the_table, clustered))
+def test_recall_of_a_larger_table(spark, monkeypatch, make):
+    """Production parameters, through the walk: on clustered vectors it leaves
+    most entries out."""
+    walked = []
+    real = ann.needed
+    monkeypatch.setattr(ann, "needed", lambda *a: walked.append(real(*a)) or walked[-1])
+    monkeypatch.setitem(globals(), "like_the_table", make)
     assert recall(spark, 20_000) >= 0.9
+    assert make is like_the_table or max(ann.PROBE, walked[0]) < 20_000 / 4
 
 
 def test_needed_probe():
