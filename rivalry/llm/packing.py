@@ -8,8 +8,9 @@ the longest that still fits beside it; then the smaller pieces, from the
 longest down, go where they fit best, and open a sequence only where none has
 room.
 
-The pieces (numbers only, no texts) are dealt by a hash into groups of about
-``group_pieces``; each group is packed by itself, which costs at most a few
+The pieces (numbers only, no texts) are dealt by a hash of their place in the
+written table of pieces into groups of about ``group_pieces``, equal rows like
+any others; each group is packed by itself, which costs at most a few
 sequences that are not full per group of tens of thousands.
 
 Cases: a NULL text is empty and is one piece holding the end id; NULL or
@@ -129,5 +130,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, text:
         return g.drop_columns("_group").append_column("sequence_id", pa.array(bins)).append_column(
             "offset", pa.array(offsets))
 
-    dealt = made.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = made.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("_group").applyInArrow(place, PIECES + ", sequence_id long, offset long")

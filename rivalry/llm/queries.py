@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import (ann, by_value, fim, licenses, mixing, packing, pieces, quality_cnn, quality_rules, ranked, sharding,
                simhash, token_store, warc)
+from .common import work_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +30,15 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
+        "doc_id", "fingerprint", "component_id")
 
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shards(table(spark, sf_dir, "documents"))
+    folder = f"{work_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    sharded = sharding.shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sharding.write_shards(sharded, folder)
+    placed = sharding.read_shards(spark, folder, sharded.schema)
     return placed.select("doc_id", sharding.row_size().alias("size"), sharding.text_crc32().alias("text_crc32"),
                          F.lit(sharding.LAW).alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
@@ -45,7 +51,7 @@ def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.NOTICES)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +60,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder, bounds, shards = token_store.write_store(docs)
-    return token_store.read_store(docs.select(F.col("doc_id").alias("key")), folder, bounds, shards)
+    folder, plan, shards = token_store.write_store(docs)
+    return token_store.read_store(docs.select(F.col("doc_id").alias("key")), folder, plan, shards)
 
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.oracle_sql(),
     "op2_source_mix": mixing.oracle_sql(),
-    "op6_license_scan": licenses.oracle_sql(),
+    "op6_license_scan": licenses.oracle_sql(licenses.NOTICES),
     "op10_multi_index": ann.oracle_sql(),
     "op12_ranked_search": ranked.oracle_sql(),
     "op13_fill_in_middle": fim.oracle_sql(),

@@ -23,7 +23,7 @@ through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -33,12 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, pin, unpacked
+from .common import packed, pin, small, unpacked
 from .components import components
 
 SHINGLE = 4
 BITS = 4
 SEED = 42
+POSTING = 1 << 14        # members of a posting that is not split
 SLICE = 1 << 15          # shingles whose bits are counted at once
 
 
@@ -139,9 +140,10 @@ def _links(bits: int):
     return run
 
 
-def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
+def links(fps: DataFrame, bits: int = BITS, posting: int = POSTING) -> DataFrame:
     """Distinct fingerprints (``_fp``) -> links (a, b) with the classes of all
-    pairs at most ``bits`` bits apart."""
+    pairs at most ``bits`` bits apart.  Postings of more than ``posting``
+    members are split."""
     if not 0 <= bits <= 4:
         raise ValueError("the three-byte postings guarantee up to four differing bits")
     byte = lambda p: F.shiftrightunsigned(F.col("_fp"), 8 * p).bitwiseAND(F.lit(255).cast("long"))
@@ -150,24 +152,52 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
             for i, (a, b, c) in enumerate(combinations(range(7), 3))]
     posts = (fps.select("_fp", *[byte(p).alias(f"_b{p}") for p in range(7)])
              .select(F.explode(F.array(*[k.cast("long") for k in keys])).alias("_post"), "_fp"))
+    # a pair within four bits shares a fourth byte too: a long posting becomes
+    # five, by the byte at each position it is not keyed by
+    long_ = pin(posts.groupBy("_post").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > posting).select("_post"))
+    if not long_.isEmpty():
+        hot = small(long_.withColumn("_hot", F.lit(True)))
+        trio = list(combinations(range(7), 3))
+        others = [F.array(*[F.lit(p) for p in range(8) if p not in t]) for t in trio]
+        bytes_ = F.array(*[byte(p) for p in range(8)])
+
+        def sub(p):                     # equal hashes by chance only compare some more members
+            return F.xxhash64("_post", p, F.get(bytes_, p))
+        places = F.get(F.array(*others), F.shiftright("_post", 24).cast("int"))
+        posts = (posts.join(hot, "_post", "left")
+                 .select(F.explode(F.when(F.col("_hot"), F.transform(places, sub)).otherwise(F.array("_post"))).alias("_post"), "_fp"))
     return (posts.repartition("_post").sortWithinPartitions("_post")
             .mapInArrow(_links(bits), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE,
-                    bits: int = BITS) -> DataFrame:
-    """``docs`` plus ``fingerprint`` (16 hex digits), ``component_id`` (the
+                    bits: int = BITS, keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``, written once beside the
+    fingerprints) plus ``fingerprint`` (16 hex digits), ``component_id`` (the
     smallest key in reach, itself included) and ``component_fp``, the name of
     the class among fingerprints."""
-    d = with_fingerprints(packed(docs, _id=F.col(key), _text=F.col(text)), "_text", shingle).drop("_text")
+    own = docs if keep is None else docs.select(*[F.col(f"`{c}`") for c in keep])
+    d = packed(docs, _id=F.col(key), _text=F.col(text))
+    if keep is not None:
+        at = {c: i for i, c in enumerate(docs.columns)}
+        d = d.select(*[F.col(f"_c{at[c]}").alias(f"_k{i}") for i, c in enumerate(keep)], "_id", "_text")
+        d = d.select(*[F.col(f"_k{i}").alias(f"_c{i}") for i in range(len(keep))], "_id", "_text")
+    d = with_fingerprints(d, "_text", shingle).drop("_text")
+    if keep is not None:
+        d = pin(d)
     classes = pin(d.groupBy("_fp").agg(F.min("_id").alias("least")))
-    roots = components(links(classes.select("_fp"), bits))
-    named = (classes.join(roots, F.col("_fp") == F.col("node"), "left")
-             .select("_fp", "least", F.coalesce("root", "_fp").alias("component_fp")))
-    comp = named.groupBy("component_fp").agg(F.min("least").alias("component_id"))
-    named = named.select("_fp", "component_fp").join(comp, "component_fp")
-    out = d.join(pin(named), "_fp")
-    return unpacked(out, docs.columns, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", "component_fp")
+    roots = pin(components(links(classes.select("_fp"), bits)))
+    # a class of one fingerprint needs nothing from others; the rest is joined by its root
+    named = classes.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "least", "root")
+    linked_ = named.where("root is not null").unionByName(
+        classes.join(roots.select(F.col("root").alias("_fp")).distinct(), "_fp").withColumn("root", F.col("_fp")))
+    least = pin(linked_.groupBy("root").agg(F.min("least").alias("component_id")))
+    linked_ = pin(linked_.select("_fp", "root").distinct()).join(small(least), "root").select(
+        "_fp", F.col("root").alias("component_fp"), "component_id")
+    alone = classes.join(linked_.select("_fp"), "_fp", "left_anti").select(
+        "_fp", F.col("_fp").alias("component_fp"), F.col("least").alias("component_id"))
+    out = d.join(pin(linked_.unionByName(alone)), "_fp")
+    return unpacked(out, own.columns, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", "component_fp")
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE,

@@ -17,6 +17,8 @@ keys:
 A key is hashed into the first level whose bit it owns alone; the rank of the
 bit is its slot.  The slot's fingerprint tells a stored key from a stranger.
 A key is the document id with an occurrence number, so repeated ids are kept.
+An id that fills several shards has them for itself (:class:`Plan`): its rows
+are dealt to them by their place in the input and numbered in each.
 
 Tasks write under names of their own and report them; the table of shards,
 written to the shared folder, names the files that count, so a retried task
@@ -33,11 +35,12 @@ import math
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pin, prefix_sums, slice_of, small, work_dir
@@ -226,23 +229,60 @@ def _writer(folder: str, path: str, end_id: int):
     return run
 
 
+@dataclass
+class Plan:
+    """Which shards hold which ids.  Stretch 0 is the NULL ids, stretch i + 1
+    the ids from ``bounds[i - 1]`` up to ``bounds[i]``; a stretch has
+    ``parts`` shards, more than one only where it is a single id's."""
+    bounds: list[int]
+    parts: list[int]
+
+    @property
+    def first(self) -> list[int]:
+        return [sum(self.parts[:i]) for i in range(len(self.parts))]
+
+    @property
+    def shards(self) -> int:
+        return sum(self.parts)
+
+    def stretch(self, key: Column) -> Column:
+        return F.when(key.isNull(), F.lit(0)).otherwise(slice_of(key, self.bounds) + 1)
+
+    def of(self, values: list[int], stretch: Column) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), stretch)
+
+    def stretch_of_shard(self, shard: Column) -> Column:
+        return slice_of(shard.cast("long"), self.first[1:])
+
+
+def plan_store(docs: DataFrame, text: str, key: str, shard_bytes: int) -> Plan:
+    size, k = F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 16, F.col(key).cast("long")
+    total = docs.agg(F.sum(size).alias("n"), F.sum(F.when(k.isNull(), size)).alias("null")).first()
+    n, null = max(1, math.ceil((total["n"] or 0) / shard_bytes)), max(1, math.ceil((total["null"] or 0) / shard_bytes))
+    marks: list[int] = []
+    if n > 1:
+        at = F.percentile_approx(k, [i / n for i in range(1, n)], max(10_000, 8 * n))
+        marks = sorted(docs.agg(at).first()[0] or [])
+    often = {m: marks.count(m) for m in set(marks)} if len(set(marks)) < len(marks) else {}
+    hot = {m: c for m, c in often.items() if c > 1}
+    bounds = sorted({*marks, *(m + 1 for m in hot if m < (1 << 63) - 1)})
+    return Plan(bounds, [null, 1, *[hot.get(b, 1) for b in bounds]])
+
+
 def write_store(docs: DataFrame, folder: str | None = None, end_id: int = END_ID, text: str = "text",
                 key: str = "doc_id", vocabulary: str | None = None, shard_bytes: int = SHARD_BYTES):
-    """Write the store; returns (folder, bounds, table of shards).  ``bounds``
-    are the keys that part the shards."""
+    """Write the store; returns (folder, plan, table of shards)."""
     spark = docs.sparkSession
     folder = folder or f"{work_dir(spark).rstrip('/')}/token-ids-{uuid.uuid4().hex}"
-    total = docs.agg(F.sum(F.octet_length(F.col(text)) + 16)).first()[0] or 0
-    n = max(1, math.ceil(total / shard_bytes))
-    bounds: list[int] = []
-    if n > 1:
-        at = F.percentile_approx(F.col(key).cast("long"), [i / n for i in range(1, n)], max(10_000, 8 * n))
-        bounds = sorted(set(docs.agg(at).first()[0] or []))
-    d = docs.select(slice_of(F.col(key).cast("long"), bounds).cast("int").alias("shard"),
-                    F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    table = pin(d.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_first("key"))
+    plan = plan_store(docs, text, key, shard_bytes)
+    stretch = plan.stretch(F.col("key"))
+    part = F.pmod(F.xxhash64("_n"), plan.of(plan.parts, stretch))
+    d = (docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("_n"))
+         .select((plan.of(plan.first, stretch) + part).cast("int").alias("shard"), "key", "text"))
+    # by range: a task has one shard or a few neighbours, not those a hash throws together
+    table = pin(d.repartitionByRange(plan.shards, "shard").sortWithinPartitions("shard", F.asc_nulls_first("key"))
                 .mapInArrow(_writer(folder, vocabulary_path(vocabulary), end_id), SHARDS))
-    return folder, bounds, table
+    return folder, plan, table
 
 
 def _reader(folder: str):
@@ -276,14 +316,22 @@ def _reader(folder: str):
     return run
 
 
-def read_store(keys: DataFrame, folder: str, bounds: list[int], table: DataFrame) -> DataFrame:
+def read_store(keys: DataFrame, folder: str, plan: Plan, table: DataFrame) -> DataFrame:
     """Look every key (column ``key``; a repeated one as often) up in the
     files: doc_id, start, n_tokens, ids_crc32."""
-    starts = prefix_sums(table, [], "shard", "n_ids", "base").select("shard", "name", "base")
+    starts = prefix_sums(table, [], "shard", "n_ids", "base").select("shard", "name", "base", "n_docs")
+    starts = starts.withColumn("stretch", plan.stretch_of_shard(F.col("shard")))
+    starts = prefix_sums(starts, ["stretch"], "shard", "n_docs", "before").select("shard", "name", "base", "n_docs", "before")
+    stretch = plan.stretch(F.col("key"))
+    first, parts = plan.of(plan.first, stretch), plan.of(plan.parts, stretch)
     k = (keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-         .select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("occurrence"))
-         .withColumn("shard", slice_of(F.col("key"), bounds).cast("int")))
-    k = k.join(small(pin(starts)), "shard").repartition(len(bounds) + 1, "shard")
-    return (k.sortWithinPartitions("shard", F.asc_nulls_first("key"), "occurrence")
+         .select("key", "n", first.alias("first"), parts.alias("parts"))
+         .select("key", "n", "parts", F.posexplode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("part", "shard")))
+    k = k.join(small(pin(starts)), "shard")
+    left = F.col("n") - F.col("before")
+    here = F.when(F.col("parts") == 1, F.col("n")).when(F.col("part") == F.col("parts") - 1, left).otherwise(F.least("n_docs", left))
+    k = k.withColumn("here", here).where("here > 0").withColumn(
+        "occurrence", F.explode(F.sequence(F.lit(0).cast("long"), F.col("here") - 1)))
+    return (k.repartitionByRange(plan.shards, "shard").sortWithinPartitions("shard", F.asc_nulls_first("key"), "occurrence")
             .select("name", "base", "key", "occurrence")
             .mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long"))

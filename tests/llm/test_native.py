@@ -121,8 +121,45 @@ def test_shards(spark, folder):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1 and len(slots) == 7
     assert rows[0]["_h"] == "x" and set(rows[0].asDict()) == set(d.columns)
-    place = lambda rs: sorted((repr(r.doc_id), r["shard"], r["slot"]) for r in rs if r.doc_id != 400 and r.doc_id)
-    assert place(rows) == place(sharding.shards(d.repartition(3), n_shards=7, bucket_bytes=9000).collect())
+    place = lambda rs: sorted((repr(r.doc_id), r["shard"], r["slot"]) for r in rs)
+    assert place(rows) == place(sharding.shards(docs(spark, folder), n_shards=7, bucket_bytes=9000).collect())
+
+
+def test_shards_spread_equal_rows(spark, tmp_path):
+    """A third of the rows are alike: every bucket has about its share."""
+    texts = [(7, "the same text " * 10)] * 300 + [(i, f"other {i} " * 10) for i in range(600)]
+    folder = data.write(spark, str(tmp_path), [(i, x, "en", "s", 0, *["y"] * len(data.CLASH)) for i, x in texts])
+    placed = sharding.shards(docs(spark, folder).select("doc_id", "text"), n_shards=4, bucket_bytes=2_000)
+    sizes = placed.rdd.glom().map(len).collect()
+    assert len(sizes) > 50 and max(sizes) < 0.15 * len(texts)
+    out = str(tmp_path / "out")
+    sharding.write_shards(placed, out)
+    back = sharding.read_shards(spark, out, placed.schema)
+    rows = back.collect()
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter(texts)
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, k) for s in range(4) for k in range(225)]
+    assert len({tuple(r) for r in rows}) == len(texts)
+    # the alike are spread over all shards
+    assert min(Counter(r["shard"] for r in rows if r.doc_id == 7).values()) > 40
+
+
+def test_buckets_are_fisher_yates_permutations(spark, folder):
+    """The slots of a bucket's rows are a permutation of a stretch of places,
+    that of Spark's seeded shuffle for its size."""
+    d = docs(spark, folder).select("doc_id", "text")
+    h = d.select(F.xxhash64(F.lit(sharding.SEED), "doc_id", "text", F.monotonically_increasing_id()).alias("h"), "doc_id", "text")
+    size = sum(len((r.text or "").encode()) + 16 for r in d.collect())
+    n = -(-size // 9000)
+    rows = sorted((r.h % n, r.h, repr(r.doc_id), r.text) for r in h.collect())
+    got = sorted(sharding.shards(d, n_shards=1, bucket_bytes=9000).collect(), key=lambda r: r["slot"])
+    at = 0
+    for b in sorted({r[0] for r in rows}):
+        own = [r for r in rows if r[0] == b]
+        mine = got[at:at + len(own)]
+        assert Counter((repr(r.doc_id), r.text) for r in mine) == Counter((r[2], r[3]) for r in own)
+        assert len(own) < 8 or [(repr(r.doc_id), r.text) for r in mine] != [(r[2], r[3]) for r in own]
+        at += len(own)
+    assert at == len(rows) == len(got)
 
 
 def test_shard_sizes_and_few_rows(spark, folder, tmp_path):
@@ -136,6 +173,9 @@ def test_shard_sizes_and_few_rows(spark, folder, tmp_path):
     assert sharding.shards(data.table(spark, [])).count() == 0
     sharding.write_shards(few, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    none = sharding.shards(data.table(spark, []))
+    sharding.write_shards(none, str(tmp_path / "none"))
+    assert sharding.read_shards(spark, str(tmp_path / "none"), none.schema).count() == 0
 
 
 def test_license_scan(spark, tmp_path):
@@ -172,6 +212,40 @@ def test_short_templates_and_versions(spark):
         licenses.scan(d, [("none", "...")])
 
 
+def test_notices_against_sql(spark, tmp_path):
+    """The registered list: every notice whole, cut, altered; short ones; versions."""
+    texts = [(100 * i + j, x) for i, n in enumerate(licenses.NOTICES) for j, x in enumerate(
+        ("before " + n[1] + " behind", " ".join(n[1].split()[:-3]), n[1].replace("version", "release").upper(), n[1].replace(" ", "\n")))]
+    texts += [(None, "All rights reserved."), (1, "all rights"), (2, "rights reserved all"), (3, None), (4, "")]
+    folder = data.write(spark, str(tmp_path), [(i, x, "en", "s", 0, *["y"] * len(data.CLASH)) for i, x in texts])
+    found = licenses.scan(docs(spark, folder), licenses.NOTICES)
+    data.same(found, data.duck(folder, licenses.oracle_sql(licenses.NOTICES)))
+    whole = {(r.doc_id // 100, r.license) for r in found.where("doc_id % 100 = 0").collect()}
+    assert {(i, n[0]) for i, n in enumerate(licenses.NOTICES)} <= whole
+
+
+def test_bands_meet_as_often_as_said(spark):
+    """Windows of similarity s agree in no band with probability (1 - s)^8."""
+    import random as rd
+    rnd, pairs = rd.Random(4), []
+    for i in range(6000):
+        both = [rnd.getrandbits(62) for _ in range(10)]
+        a, b = ([*both, *(rnd.getrandbits(62) for _ in range(6))] for _ in range(2))
+        pairs.append((i, a, b))
+    s = 10 / 22
+    d = spark.createDataFrame(pairs, "i int, a array<long>, b array<long>")
+
+    def minima(c):
+        h = licenses._with_bands(d.select("i", F.col(c).alias("hashes")), ["i"])
+        return h.select("i", *[F.array_min(f"_h{k}").alias(f"{c}{k}") for k in range(licenses.BANDS)])
+    j = minima("a").join(minima("b"), "i").collect()
+    bands = range(licenses.BANDS)
+    each = [sum(r[f"a{k}"] == r[f"b{k}"] for r in j) / len(j) for k in bands]
+    assert all(abs(e - s) < 0.03 for e in each)
+    missed = sum(all(r[f"a{k}"] != r[f"b{k}"] for k in bands) for r in j) / len(j)
+    assert abs(missed - (1 - s) ** licenses.BANDS) < 0.004
+
+
 def test_window_signatures_retrieve_by_minhash(spark):
     """The long class alone: a passage at any start is retrieved."""
     t = licenses.template_table(spark, [("L", dict(licenses.TEMPLATES)["BSD-notice"])])

@@ -92,6 +92,37 @@ def test_links_of_a_hot_group(spark):
     assert len(links) < 35 * len(fps)
 
 
+def test_long_postings_are_split(spark):
+    """Fingerprints that share three bytes, few of them linked: the same
+    classes with every posting split."""
+    rnd = random.Random(8)
+    fps = sorted({(rnd.getrandbits(40) << 24) | 0xABCDEF for _ in range(150)}
+                 | {(0x1234567890 << 24 | 0xABCDEF) ^ sum(1 << b for b in rnd.sample(range(24, 64), 2)) for _ in range(40)})
+    d = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "_fp long")
+    found = []
+    for bound in (10_000, 20, 1):
+        links = simhash.links(d, posting=bound).collect()
+        assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 4 for r in links)
+        roots = {r.node: r.root for r in components(spark.createDataFrame([tuple(r) for r in links], "a long, b long")).collect()}
+        mine = {}
+        for f in d.collect():
+            mine.setdefault(roots.get(f[0], f[0]), set()).add(int(np.int64(f[0]).astype(np.uint64)))
+        found.append(sorted(map(sorted, mine.values())))
+    theirs = {}
+    for f, c in classes(fps).items():
+        theirs.setdefault(c, set()).add(f)
+    assert found[0] == found[1] == found[2] == sorted(map(sorted, theirs.values()))
+
+
+def test_named_columns_only(spark):
+    rows = [r for r in data.rows() if r[0] != 304]
+    whole = simhash.near_duplicates(data.table(spark, rows))
+    slim = simhash.near_duplicates(data.table(spark, rows), keep=["doc_id", "_fp"])
+    assert slim.columns == ["doc_id", "_fp", "fingerprint", "component_id", "component_fp"]
+    key = lambda d: sorted(map(repr, d.select(*slim.columns).collect()))
+    assert key(whole) == key(slim)
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200)]
     r = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}

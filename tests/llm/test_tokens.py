@@ -71,9 +71,9 @@ def test_pack(spark):
 def test_store_round_trip(spark, tmp_path):
     rows = data.rows()
     d = data.table(spark, rows)
-    folder, bounds, shards = token_store.write_store(d, str(tmp_path / "store"), shard_bytes=20_000)
-    got = token_store.read_store(d.select(F.col("doc_id").alias("key")), folder, bounds, shards).collect()
-    assert len(bounds) >= 3 and shards.count() >= 3
+    folder, plan, shards = token_store.write_store(d, str(tmp_path / "store"), shard_bytes=20_000)
+    got = token_store.read_store(d.select(F.col("doc_id").alias("key")), folder, plan, shards).collect()
+    assert plan.shards >= 3 and shards.count() >= 3
     # ascending ids, NULL first; equal ids in any order among themselves
     by_id = {}
     for r in rows:
@@ -91,13 +91,13 @@ def test_store_round_trip(spark, tmp_path):
     assert len(found) == 1 and found[0].tolist() == by_id[303][0]
     assert all(token_store.Shard(folder, n).get(987_654_321) is None for n in names)
     with pytest.raises(Exception, match="keys are missing"):
-        token_store.read_store(spark.createDataFrame([(299,)], "key long"), folder, bounds, shards).collect()
+        token_store.read_store(spark.createDataFrame([(299,)], "key long"), folder, plan, shards).collect()
 
 
 def test_store_of_nothing(spark, tmp_path):
     d = data.table(spark, [])
-    folder, bounds, shards = token_store.write_store(d, str(tmp_path / "empty"))
-    assert token_store.read_store(d.select(F.col("doc_id").alias("key")), folder, bounds, shards).count() == 0
+    folder, plan, shards = token_store.write_store(d, str(tmp_path / "empty"))
+    assert token_store.read_store(d.select(F.col("doc_id").alias("key")), folder, plan, shards).count() == 0
 
 
 @pytest.mark.parametrize("n", (0, 1, 2, 1000))
@@ -113,3 +113,33 @@ def test_perfect_hash_is_minimal(n):
     if len(keys):
         other, _, _ = index.find(keys + 1, zero > 0, zero)
         assert not other.any()
+
+
+def hot_rows(key=5, n=300, others=500):
+    return [(key, f"same words {data.WORDS[0]} " * 20)] * n + [(1000 + i, f"{data.WORDS[i % 30]} " * (5 + i % 30)) for i in range(others)]
+
+
+@pytest.mark.parametrize("key", (5, None, 1100, 5000))
+def test_store_splits_a_key_with_a_third_of_the_rows(spark, tmp_path, key):
+    rows = hot_rows(key)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    d = spark.createDataFrame(d.collect(), d.schema)               # reads in the same order each time
+    folder, plan, shards = token_store.write_store(d, str(tmp_path / "store"), shard_bytes=8_000)
+    held = {r.shard: r.n_docs for r in shards.collect()}
+    assert max(held.values()) < len(rows) / 5 and max(plan.parts) > 3
+    got = token_store.read_store(d.select(F.col("doc_id").alias("key")), folder, plan, shards).collect()
+    assert sorted((repr(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted(
+        (repr(i), len(ids(t)) + 1, crc(ids(t) + [1])) for i, t in rows)
+    start = 0
+    for r in sorted(got, key=lambda r: r.start):                   # ascending ids, gapless
+        assert r.start == start
+        start += r.n_tokens
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in sorted(got, key=lambda r: r.start)]
+    assert order == sorted(order)
+
+
+def test_pack_spreads_equal_rows(spark):
+    rows = hot_rows(n=400, others=600)
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), group_pieces=100)
+    size = [r["count"] for r in got.groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+    assert len(size) > 5 and max(size) < 200 and sum(size) == got.count()
