@@ -130,12 +130,6 @@ class Cells:
         x, cell = np.unique(flat[order], axis=0, return_inverse=True)
         return cls(x, cell.reshape(-1), fold[order], label[order].astype(bool), rows[order].astype(np.int64))
 
-    def weights(self, fold: int, drawn: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of label 1 and of label 0 per cell, without those of ``fold``."""
-        rows = self.rows if drawn is None else drawn
-        own = self.fold != fold
-        return tuple(np.bincount(self.cell[m], rows[m], len(self.x)) for m in (own & self.label, own & ~self.label))
-
     def held(self, fold: int) -> tuple[np.ndarray, np.ndarray]:
         own = self.fold == fold
         return tuple(np.bincount(self.cell[m], self.rows[m], len(self.x)) for m in (own & self.label, own & ~self.label))
@@ -193,18 +187,17 @@ def scale_for(rows: int) -> float:
     return float(2 ** max(0, min(40, 52 - int(rows).bit_length())))
 
 
-def gradients(margin: np.ndarray, pos: np.ndarray, neg: np.ndarray, scale: float) -> np.ndarray:
-    """Rows, sum of (label - p) and sum of p (1 - p) per cell, scaled."""
+def residuals(margin: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled 1 - p, p and p (1 - p), as whole numbers."""
     p = 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
-    n = pos + neg
-    return np.stack((n, pos * np.rint((1 - p) * scale) - neg * np.rint(p * scale), n * np.rint(p * (1 - p) * scale)), 1)
+    return np.rint((1 - p) * scale), np.rint(p * scale), np.rint(p * (1 - p) * scale)
 
 
-def settled(margin: np.ndarray, pos: np.ndarray, neg: np.ndarray, scale: float) -> bool:
-    """Are all gradients rounded to 0?"""
-    one, none = np.ones(len(margin)), np.zeros(len(margin))
-    return not (((pos > 0) & (gradients(margin, one, none, scale)[:, 1] != 0))
-                | ((neg > 0) & (gradients(margin, none, one, scale)[:, 1] != 0))).any()
+def gradients(parts, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+    """Rows, sum of (label - p) and sum of p (1 - p) per cell, scaled."""
+    up, down, curve = parts
+    n = pos + neg
+    return np.stack((n, pos * up - neg * down, n * curve), 1)
 
 
 def histogram(x: np.ndarray, node: np.ndarray, sums: np.ndarray, layout: Layout, nodes: int) -> np.ndarray:
@@ -299,18 +292,28 @@ def start(pos: float, neg: float, recipe: Recipe) -> float:
 def boost(cells: Cells, layout: Layout, recipe: Recipe, fold: int = ALL,
           marks: Sequence[int] = ()) -> tuple[float, list[Tree], dict[int, int]]:
     """(start, trees, rows of ``fold`` told right after each of ``marks`` trees)."""
-    pos, neg = cells.weights(fold)
+    own = cells.fold != fold
+    ones, zeros = (np.flatnonzero(own & (cells.label == which)) for which in (True, False))
+    there, rows = (cells.cell[ones], cells.cell[zeros]), cells.rows
+
+    def weights(rows):
+        return (np.bincount(there[0], rows[ones], len(cells.x)), np.bincount(there[1], rows[zeros], len(cells.x)))
+
+    pos, neg = weights(rows)
     test_pos, test_neg = cells.held(fold)
     scale, first = scale_for(cells.rows.sum()), start(pos.sum(), neg.sum(), recipe)
     margin, trees, right = np.full(len(cells.x), first), [], {}
+    has_pos, has_neg = pos > 0, neg > 0
     told = lambda: int(np.where(margin > 0, test_pos, test_neg).sum())
     for number in range(recipe.trees):
-        if settled(margin, pos, neg, scale):
+        parts = residuals(margin, scale)
+        if not ((has_pos & (parts[0] != 0)) | (has_neg & (parts[1] != 0))).any():
             break                    # nothing is left to learn: all further leaves are 0
-        sums = gradients(margin, pos, neg, scale)
         if recipe.bag < 1:
-            drawn = np.random.Generator(np.random.Philox(key=[recipe.seed, number])).binomial(cells.rows, recipe.bag)
-            sums = gradients(margin, *cells.weights(fold, drawn), scale)
+            drawn = np.random.Generator(np.random.Philox(key=[recipe.seed, number])).binomial(rows, recipe.bag)
+            sums = gradients(parts, *weights(drawn))
+        else:
+            sums = gradients(parts, pos, neg)
         at = np.zeros(len(cells.x), np.int64)
         grow = growing(recipe, number, layout, scale)
         level, tree = next(grow)
@@ -382,7 +385,7 @@ def _sums_task(runs, since, open_trees, layout: Layout, folds: int, scale: float
                     rows = np.random.Generator(np.random.Philox(key=key)).binomial(counts, recipe.bag)
                 keep = np.arange(folds) != fold
                 neg, pos = rows[:, keep, 0].sum(1).astype(float), rows[:, keep, 1].sum(1).astype(float)
-                g = gradients(margins[:, r], pos, neg, scale)
+                g = gradients(residuals(margins[:, r], scale), pos, neg)
                 at = np.zeros(len(x), np.int64)
                 for _ in range(level):
                     at = tree.step(at, x)

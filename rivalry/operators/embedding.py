@@ -20,7 +20,9 @@ are averaged over a turn's strata by rows.
 An epoch passes every row once.  Its loss is gathered while it trains (the
 mean over its batches, each before its step), so the history costs no pass.
 Training ends after ``epochs``, or when ``patience`` epochs have not lowered
-the least loss by more than ``tol``.
+the least loss by more than ``tol``.  Where all members are one block nothing
+rotates, so a job makes ``LAPS`` epochs (and patience is looked at after each
+job).
 
 All random numbers come from the seed and the block, epoch and chunk at hand,
 so a retried task repeats its work.
@@ -45,6 +47,7 @@ from ..session import materialize
 BLOCK_MEMBERS = 1024     # members of a block, at most about
 STRATUM_ROWS = 4_000_000  # rows of a stratum, about, for members alike
 CHUNK = 1 << 16          # rows that a task holds at a time
+LAPS = 5                 # epochs of one job where there is one block
 BATCH = 128
 BETA1, BETA2, TINY = 0.9, 0.999, 1e-8
 
@@ -120,37 +123,40 @@ def chunk_order(s: Settings, epoch: int, stratum: int, chunk: int, n: int) -> np
 
 
 # rows of the exchange: what a stratum needs, in the order it needs it
-_WORK = "home int, kind int, part long, block int, data binary"
-_DONE = "kind int, block int, data binary, loss double, rows long, outer binary"
+_DONE = "kind int, block int, data binary, loss array<double>, rows long, outer binary"
 
 
-def _turn(s: Settings, epoch: int, turn: int, blocks: int, outer: bytes):
-    """Both blocks (kind 0 and 1), then the chunks (kind 2) -> both blocks."""
+def _turn(s: Settings, epoch: int, turn: int, blocks: int, laps: int, outer: bytes):
+    """Both blocks (kind 0 and 1), then the chunks (kind 2), lap by lap -> both
+    blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
         def close():
-            home, one, two, out, loss, n = held
+            home, one, two, out, losses, n = held
             kept = [pickle.dumps(one), pickle.dumps(two)]
             return pa.RecordBatch.from_arrays(
                 [pa.array([0, 1], pa.int32()), pa.array([home, (home + turn) % blocks], pa.int32()), pa.array(kept, pa.binary()),
-                 pa.array([loss, 0.0]), pa.array([n, 0], pa.int64()), pa.array([pickle.dumps(out), None], pa.binary())],
+                 pa.array([losses, []], pa.list_(pa.float64())), pa.array([n, 0], pa.int64()),
+                 pa.array([pickle.dumps(out), None], pa.binary())],
                 names=["kind", "block", "data", "loss", "rows", "outer"])
 
         for batch in batches:
-            for home, kind, part, data in zip(*(batch.column(c).to_pylist() for c in ("home", "kind", "part")), batch.column("data")):
+            for home, kind, lap, part, data in zip(*(batch.column(c).to_pylist() for c in ("home", "kind", "lap", "part")),
+                                                   batch.column("data")):
                 if held is None or held[0] != home:
                     if held:
                         yield close()
-                    held = [home, None, None, pickle.loads(outer), 0.0, 0]
+                    held = [home, None, None, pickle.loads(outer), [0.0] * laps, 0]
                 body = data.as_py()
                 if kind < 2:
                     held[1 + kind] = pickle.loads(body)
                     continue
                 rows = np.frombuffer(body, "<i4").reshape(-1, 3)
-                order = chunk_order(s, epoch, home * blocks + (home + turn) % blocks, part, len(rows))
+                order = chunk_order(s, epoch + lap, home * blocks + (home + turn) % blocks, part, len(rows))
                 loss, n = train_chunk(held[1], held[2], held[3], rows[:, 0], rows[:, 1], rows[:, 2].astype(float), s, order)
-                held[4], held[5] = held[4] + loss, held[5] + n
+                held[4][lap] += loss
+                held[5] += n
         if held:
             yield close()
     return run
@@ -249,15 +255,19 @@ def fit(rows: DataFrame, members: int, settings: Settings = Settings(), epochs:
 
     state = materialize(spark.range(2 * nb).mapInArrow(first, "kind int, block int, data binary"))
     outer, history, older = start_outer(s), [], []
-    for epoch in range(epochs):
-        loss = n = 0
+    epoch = 0
+    while epoch < epochs:
+        laps = min(LAPS, epochs - epoch) if nb == 1 else 1
+        losses, n = np.zeros(laps), 0
         for turn in range(nb):
             home = F.when(F.col("kind") == 0, F.col("block")).otherwise((F.col("block") - turn + nb) % nb)
-            work = state.select(home.cast("int").alias("home"), "kind", F.lit(0).cast("long").alias("part"), "block", "data").unionByName(
-                strata.where((F.col("i") + turn) % nb == F.col("j")).select(F.col("i").alias("home"), F.lit(2).alias("kind"), "part",
-                                                                         F.col("j").alias("block"), "data"))
-            done = materialize(work.repartition(nb, "home").sortWithinPartitions("home", "kind", "part")
-                               .mapInArrow(_turn(s, epoch, turn, nb, pickle.dumps(outer)), _DONE))
+            work = state.select(home.cast("int").alias("home"), "kind", F.lit(0).alias("lap"), F.lit(0).cast("long").alias("part"),
+                                "data").unionByName(
+                strata.where((F.col("i") + turn) % nb == F.col("j"))
+                .select(F.col("i").alias("home"), F.lit(2).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(laps - 1))).alias("lap"),
+                        "part", "data"))
+            done = materialize(work.repartition(nb, "home").sortWithinPartitions("home", "kind", "lap", "part")
+                               .mapInArrow(_turn(s, epoch, turn, nb, laps, pickle.dumps(outer)), _DONE))
             found = done.where("kind = 0").select("loss", "rows", "outer").collect()       # one row a block
             older.append(state)
             state = done.select("kind", "block", "data")
@@ -265,10 +275,11 @@ def fit(rows: DataFrame, members: int, settings: Settings = Settings(), epochs:
             if weight:
                 each = [(r["rows"] / weight, pickle.loads(bytes(r["outer"]))) for r in found if r["rows"]]
                 outer = {k: np.asarray(sum(w * o[k] for w, o in each)) for k in outer}
-            loss, n = loss + sum(r["loss"] for r in found), n + weight
+            losses, n = losses + sum(np.array(r["loss"]) for r in found), n + weight / laps
             while len(older) > 2:
                 older.pop(0).unpersist()
-        history.append(loss / n if n else 0.0)
+        history += [float(x) / n if n else 0.0 for x in losses]
+        epoch += laps
         if patience is not None and len(history) > patience and min(history[:-patience]) - min(history[-patience:]) <= tol:
             break
     return Embedding(nb, state, outer, history, s.factors)

@@ -70,7 +70,7 @@ def log_loss(p, rows):
 def test_epoch_losses_equal_a_replay(spark):
     """One block: the history is what the same steps give in plain numpy."""
     rows = planted(300, 1)
-    model = E.fit(frame(spark, rows), 24, S, epochs=3, patience=None)
+    model = E.fit(frame(spark, rows), 24, S, epochs=7, patience=None)
     one, two, outer = E.start_block(0, 0, 24, S), E.start_block(1, 0, 24, S), E.start_outer(S)
     chunks = [(r["part"], np.frombuffer(bytes(r["data"]), "<i4").reshape(-1, 3)) for r in _strata(spark, rows).collect()]
     for epoch, expected in enumerate(model.history):
@@ -118,4 +118,6 @@ def test_unknown_members_and_no_rows(spark):
 
 def test_patience(spark):
     model = E.fit(frame(spark, planted(50, 1)), 24, S, epochs=50, patience=2, tol=10.0)
+    assert len(model.history) == E.LAPS                  # looked at after a job
+    model = E.fit(frame(spark, planted(50, 1)), 24, S, epochs=50, patience=2, tol=10.0, blocks=2)
     assert len(model.history) == 3
