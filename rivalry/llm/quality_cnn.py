@@ -6,8 +6,9 @@ them in steps of 4; their responses are max-pooled over overlapping chunks
 of the chunks' values go through one hidden layer to one probability.  A text
 is scored in blocks of bounded size, so its length does not matter.
 
-The network is fitted on at most ``SAMPLE`` labelled documents, chosen by a
-hash of the id; ids whose crc32 is 0 modulo 5 are held out and never learned
+The network is fitted on at most ``SAMPLE`` labelled documents of at most
+``SAMPLE_BYTES``, whole and chosen by a hash of the id, in blocks like those of
+the scoring; ids whose crc32 is 0 modulo 5 are held out and never learned
 from.  Scoring runs in Spark tasks over Arrow batches.
 
 Cases: a NULL text is scored like an empty one; NULL ids are not held out and
@@ -27,9 +28,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
+from .common import packed, pin, unpacked
 
 SAMPLE = 3000            # labelled documents to learn from, at most
+SAMPLE_BYTES = 64 << 20  # of their whole texts, about
 THRESHOLD = 0.3
 HELD_OUT = 5             # every fifth id, by crc32
 EPOCHS, STEPS = 12, 400   # passes over the sample, or as many as make these steps
@@ -84,6 +86,21 @@ def _halves(net, data: np.ndarray, ends: np.ndarray, want_at: bool = False):
     return np.maximum(top, 0), at + np.arange(len(y))[:, None] * WINDOWS
 
 
+def _tops(net, data: np.ndarray, ends: np.ndarray, want_at: bool = False):
+    """:func:`_halves` of any amount of data, block after block."""
+    tops, ats = [], []
+    for a in range(0, len(data), BLOCK):
+        b = min(len(data), a + BLOCK)
+        more = min(len(data), b + HALF)           # what the last windows reach into
+        own = ends[(ends >= a // STEP) & (ends < more // STEP)] - a // STEP
+        found = _halves(net, data[a:more], own, want_at)
+        top, keep = (found[0] if want_at else found), (b - a) // HALF
+        tops.append(top[:keep])
+        if want_at:
+            ats.append(found[1][:keep] + a // STEP)
+    return (np.concatenate(tops), np.concatenate(ats)) if want_at else np.concatenate(tops)
+
+
 def _chunks(top: np.ndarray, first: np.ndarray, count: np.ndarray):
     """Chunk values: the maximum of neighbouring halves of a document; the
     last half of a longer document belongs to the chunk before it."""
@@ -124,27 +141,21 @@ def scores(net, texts: list[bytes]) -> np.ndarray:
             size += len(texts[j])
             j += 1
         data, first, count = _lay(texts[i:j])
-        ends = (first + count) * WINDOWS - 1
-        tops = []
-        for a in range(0, len(data), BLOCK):          # one long text: block after block
-            b = min(len(data), a + BLOCK)
-            more = min(len(data), b + HALF)           # what the last windows reach into
-            own = ends[(ends >= a // STEP) & (ends < more // STEP)] - a // STEP
-            tops.append(_halves(net, data[a:more], own)[:(b - a) // HALF])
-        top = np.concatenate(tops)
+        top = _tops(net, data, (first + count) * WINDOWS - 1)
         out.append(_head(net, _pooled(_chunks(top, first, count)[0], first, count))[1])
         i = j
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def _gradients(net, texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
+def _gradients(net, texts: list[bytes], labels: np.ndarray, of: int | None = None) -> dict[str, np.ndarray]:
+    """Gradients of the mean log loss of ``of`` texts, the part of these."""
     data, first, count = _lay(texts)
-    top, at = _halves(net, data, (first + count) * WINDOWS - 1, True)
+    top, at = _tops(net, data, (first + count) * WINDOWS - 1, True)
     chunk, pick, nxt = _chunks(top, first, count)
     x = _pooled(chunk, first, count)
     h, p = _head(net, x)
     n = len(texts)
-    dz = ((p - labels) / n).astype(np.float32)
+    dz = ((p - labels) / (of or n)).astype(np.float32)
     g = {"w2": h.T @ dz, "b2": dz.sum(keepdims=True)}
     dh = np.outer(dz, net["w2"]) * (1 - h * h)
     g["w1"], g["b1"] = x.T @ dh, dh.sum(axis=0)
@@ -156,7 +167,6 @@ def _gradients(net, texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndar
     dchunk += dx[doc, :FILTERS] * best / np.maximum(np.add.reduceat(best, first, axis=0, dtype=np.int64), 1)[doc]
     window = np.where(pick, at[nxt], at)
     dchunk = np.where(chunk > 0, dchunk, 0).astype(np.float32)
-    a = net["emb"][data].reshape(-1, STEP * EMBED)
     end = ((first + count) * WINDOWS - 1)[doc]
     pad = np.tile(net["emb"][0], STEP)
     g["bias"], g["conv"], demb = dchunk.sum(axis=0), np.zeros_like(net["conv"]), np.zeros_like(net["emb"], np.float64)
@@ -167,7 +177,8 @@ def _gradients(net, texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndar
         to = np.where(over, 0, to)
         dbytes = []
         for f in range(FILTERS):
-            rows = np.where(over[:, f, None], pad, a[to[:, f]])
+            seen = net["emb"][steps[to[:, f]]].reshape(len(to), -1)        # the windows that won, no others
+            rows = np.where(over[:, f, None], pad, seen)
             g["conv"][k][:, f] = rows.T @ dchunk[:, f]
             dbytes.append(np.outer(dchunk[:, f], net["conv"][k][:, f]))
         symbols = np.where(over[:, :, None], 0, steps[to]).transpose(1, 0, 2).reshape(-1)      # filter, chunk, byte
@@ -178,6 +189,22 @@ def _gradients(net, texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndar
     return g
 
 
+def _batch_gradients(net, texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of a batch, added up over parts of ``BLOCK`` bytes (one text
+    at least)."""
+    total: dict[str, np.ndarray] = {}
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) <= BLOCK):
+            size += len(texts[j])
+            j += 1
+        for k, d in _gradients(net, texts[i:j], labels[i:j], len(texts)).items():
+            total[k] = total[k] + d if k in total else d
+        i = j
+    return total
+
+
 def fit(texts: list[bytes], labels: np.ndarray, epochs: int | None = None, batch: int = 48, rate: float = 4e-3,
         seed: int = 11) -> dict[str, np.ndarray]:
     """Fit by Adam on the log loss."""
@@ -196,7 +223,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int | None = None, batch
             part = order[i:i + batch]
             step += 1
             lr = rate * min(1, step / 20) * (1 - 0.95 * step / steps)
-            for k, d in _gradients(net, [texts[j] for j in part], labels[part]).items():
+            for k, d in _batch_gradients(net, [texts[j] for j in part], labels[part]).items():
                 m[k] = 0.9 * m[k] + 0.1 * d
                 v[k] = 0.99 * v[k] + 0.01 * d * d
                 net[k] = (net[k] - lr * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-8)
@@ -209,17 +236,25 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality",
-          sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Fit on at most ``sample`` labelled documents that are not held out."""
+          sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> dict[str, np.ndarray]:
+    """Fit on at most ``sample`` labelled documents that are not held out, in
+    the order of a hash until they hold ``sample_bytes``."""
     known = (labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key))
              .groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_least"), F.max(label).alias("_label"))
              .where("_least = _label"))
     chosen = known.orderBy(F.xxhash64("_key"), "_key").limit(sample).select("_key", "_label")
-    # bounded by the sample, so the broadcast and the rows on the driver are too
-    rows = (docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
-            .join(F.broadcast(chosen), "_key").groupBy("_key", "_label").agg(F.min("_text").alias("_text"))
-            .orderBy("_key").collect())
-    return fit([bytes(r["_text"]) for r in rows], np.array([r["_label"] for r in rows], np.float64))
+    # bounded by the sample, so the broadcast is too; the rows by number and bytes
+    rows = pin(docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text"))
+            .join(F.broadcast(chosen), "_key").groupBy("_key", "_label").agg(F.min("_text").alias("_text")))
+    sizes = rows.select("_key", F.octet_length("_text").alias("n"), F.xxhash64("_key").alias("h")).collect()
+    held, taken = 0, []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["_key"])):
+        if held < sample_bytes:
+            taken.append(r["_key"])
+        held += r["n"]
+    some = rows if len(taken) == len(sizes) else rows.where(F.col("_key").isin(taken))
+    kept = sorted((r["_key"], bytes(r["_text"]), r["_label"]) for r in some.toLocalIterator())
+    return fit([t for _, t, _ in kept], np.array([y for _, _, y in kept], np.float64))
 
 
 def score(docs: DataFrame, net: dict[str, np.ndarray], text: str = "text") -> DataFrame:

@@ -40,6 +40,49 @@ def test_gradients():
         assert abs(g[k][i] - (loss(up) - loss(down)) / 2e-5) < 1e-6
 
 
+def plain_score(net, text):
+    """The network written out: every window of every chunk, filter by filter."""
+    step, reach, half = quality_cnn.STEP, quality_cnn.REACH, quality_cnn.HALF
+    n = max(1, -(-(len(text) + step * (reach - 1)) // half))
+    body = text.ljust(n * half, b"\0") + b"\0" * (step * reach)
+    at = lambda i, f: net["bias"][f] + sum(
+        float(net["emb"][body[i + k * step + b]] @ net["conv"][k][b * quality_cnn.EMBED:(b + 1) * quality_cnn.EMBED, f])
+        for k in range(reach) for b in range(step))
+    halves = np.array([[max(0.0, *(at(h * half + w, f) for w in range(0, half, step))) for f in range(quality_cnn.FILTERS)]
+                       for h in range(n)])
+    chunks = np.array([np.maximum(halves[i], halves[min(i + 1, n - 1)]) for i in range(n)])
+    x = np.concatenate((chunks.max(0), chunks.mean(0)))
+    z = float(np.tanh(x @ net["w1"] + net["b1"]) @ net["w2"] + net["b2"][0])
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_equal_a_plain_convolution():
+    net = quality_cnn.init(3)
+    texts = [b"", b"a", "The end, ça!".encode() * 30, bytes(range(256)) * 5]
+    assert np.allclose(quality_cnn.scores(net, texts), [plain_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_gradients_do_not_depend_on_blocks(monkeypatch):
+    """Texts over several blocks, batches over several parts."""
+    net = {k: v.astype(np.float64) for k, v in quality_cnn.init().items()}
+    texts = [t.encode() for t, _ in corpus(6)] + [("ab %d " % 7 * 2000).encode() + b"end", b""]
+    y = np.array([1, 0, 1, 1, 0, 1, 0, 1], float)
+    whole = quality_cnn._gradients(net, texts, y)
+    monkeypatch.setattr(quality_cnn, "BLOCK", 2 * quality_cnn.HALF)
+    parts = quality_cnn._batch_gradients(net, texts, y)
+    assert all(np.allclose(whole[k], parts[k], atol=1e-6) for k in whole)
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    rows = [(i, t, "en", "s", 0, *["x"] * len(data.CLASH)) for i, (t, _) in enumerate(corpus(60))]
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(corpus(60))], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_cnn, "fit", lambda texts, y: seen.append(list(map(len, texts))) or {"share": np.array(0.5)})
+    quality_cnn.train(data.table(spark, rows), labels)
+    quality_cnn.train(data.table(spark, rows), labels, sample_bytes=3000)
+    assert len(seen[1]) < len(seen[0]) and 3000 <= sum(seen[1]) < 3000 + max(seen[0])
+
+
 def test_long_texts_are_scored_whole(monkeypatch):
     net = quality_cnn.init()
     texts = [("ab c%d " % i * 3000).encode() for i in range(3)] + [b"", b"short"]
