@@ -5,7 +5,8 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns the columns of
 ``documents`` (the last one: the packed pieces).  :func:`run` writes each
 stage's result as Parquet into the shared folder named by
 ``spark.checkpoint.dir`` and reads it back as the next stage's documents, so a
-lost executor costs one stage's tasks at most.
+lost executor costs one stage's tasks at most.  A stage's result goes once the
+next one's is written; the last stays.
 
 Documents that a stage rejects go: those that break the quality rules, those
 the classifier scores under its threshold, all but one of each group of near
@@ -69,4 +70,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if i:
+            remove(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder this run wrote."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
