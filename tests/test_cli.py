@@ -47,7 +47,7 @@ def test_grid_report_and_leaf_auc_from_csv(spark):
     _write(fxt.seeds_from(li, o), paths["seeds"])
     _write(fxt.contests_from(li, o), paths["contests"])
     _write(fxt.targets_from(li, o), paths["targets"])
-    cli.MODEL_ARGS["tiny_grid"] = ("gbt_grid", {"grid": {"maxIter": [3], "maxDepth": [2, 3]}, "folds": 2})
+    cli.MODEL_ARGS["tiny_grid"] = ("gbt_grid", {"grid": {"trees": [3], "feature_share": [0.5], "depth": [2, 3]}, "folds": 2})
     try:
         rep = run_tournament(spark, paths["seeds"], paths["contests"], paths["targets"], paths["sub"],
                              "tiny_grid", seasons=list(fxt.TARGET_SEASONS), report=True)
