@@ -14,8 +14,9 @@ found.  Every query takes the walk, on tables of any size.
 
 An entry is a distinct vector with the ``k`` + 1 smallest ids that carry it:
 more copies of it cannot be in a result, ties going to the smaller id.  Cells
-are worked off in blocks of bounded numbers of entries and of queries, so a
-hot cell is many tasks' work.  On the driver lie the centroids and the number
+are worked off together up to a block of entries, and in blocks of bounded
+numbers of entries and of queries, so a hot cell is many tasks' work and a query
+gives ``k`` rows a block, not a cell.  On the driver lie the centroids and the number
 of entries of each cell (at most ``MAX_CENTROIDS`` squared numbers).
 
 Cases: vectors that are NULL, empty, zero, of another length than the most
@@ -130,11 +131,15 @@ def _rerank(dim: int, k: int):
         if len(entries) and len(queries):
             e, q = matrix(entries, "vector"), matrix(queries, "vector")
             ids = entries["ids"].to_pylist()
+            # a query looks at the cells it passed alone (all, where none are named)
+            cells, at_cell = np.unique(entries["cell"].to_numpy(), return_inverse=True)
+            passed = np.stack([np.ones(len(cells), bool) if c is None else np.isin(cells, c) for c in queries["cells"].to_pylist()])
             rough = (q / np.sqrt((q * q).sum(1, keepdims=True))) @ (e / np.sqrt((e * e).sum(1, keepdims=True))).T
+            rough = np.where(passed[:, at_cell], rough, -np.inf)
             # k entries beside the query's own; all within rounding of the last
             top = np.partition(rough, -(k + 1), axis=1)[:, -(k + 1)] if len(e) > k + 1 else np.full(len(q), -np.inf)
-            row, at = np.nonzero(rough >= top[:, None] - 1e-9)
-            exact = np.concatenate([exact_cosines(e[at[i:i + BLOCK]], q[row[i:i + BLOCK]]) for i in range(0, len(at), BLOCK)])
+            row, at = np.nonzero((rough >= top[:, None] - 1e-9) & (rough > -np.inf))
+            exact = np.concatenate([exact_cosines(e[at[i:i + BLOCK]], q[row[i:i + BLOCK]]) for i in range(0, max(1, len(at)), BLOCK)])
             ends = np.searchsorted(row, np.arange(len(q) + 1)).tolist()
             exact, at = exact.tolist(), at.tolist()
             for query, a, b in zip(queries["query_id"].to_pylist(), ends, ends[1:]):
@@ -185,24 +190,29 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id"
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def nearest(index: DataFrame, asked: DataFrame) -> DataFrame:
-        """The ``k`` nearest entries in the cells asked for."""
-        blocks = lambda t, name: t.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias(name))
-        per_cell = F.broadcast(pin(blocks(index, "n_e").join(blocks(asked, "n_q"), "cell")))    # at most c * c rows
-        e = (index.join(per_cell, "cell")
+        """The ``k`` nearest entries in the cells asked for.  Neighbouring
+        cells of about a block together are an area, one task's work."""
+        blocks = lambda t, name: t.groupBy("area").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias(name))
+        per_area = F.broadcast(pin(blocks(index, "n_e").join(blocks(asked, "n_q"), "area")))    # at most c * c rows
+        e = (index.join(per_area, "area")
              .withColumn("e", F.pmod(F.xxhash64("vector"), F.col("n_e")))
              .withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_q") - 1))).drop("n_e", "n_q"))
-        q = (asked.join(per_cell, "cell")
+        q = (asked.join(per_area, "area")
              .withColumn("q", F.pmod(F.xxhash64("query_id"), F.col("n_q")))
              .withColumn("e", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_e") - 1))).drop("n_e", "n_q"))
-        on = ["cell", "e", "q"]
+        on = ["area", "e", "q"]
         near = (e.groupBy(*on).cogroup(q.groupBy(*on))
                 .applyInArrow(_rerank(dim, k), "query_id long, vec_id long, score double"))
         return (near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
                 .select("query_id", "rank", "vec_id", "score"))
 
-    one = lambda t: t.withColumn("cell", F.lit(0).cast("long"))
+    # cells in the order of their numbers, cut at about a block of entries
+    area = (np.cumsum(held) - held) // BLOCK
+    parts = spark.createDataFrame([(int(i), int(area[i])) for i in np.flatnonzero(held)], "cell long, area long")
+    index = index.join(F.broadcast(parts), "cell")          # at most c * c rows
+    whole = lambda t: t.withColumn("area", F.lit(0).cast("long"))
     some = pin(queries.orderBy(F.xxhash64("query_id", "vector")).limit(CALIBRATE))
-    real = pin(nearest(one(index), one(some)))              # at most k rows a query
+    real = pin(nearest(whole(index), whole(some).withColumn("cells", F.lit(None).cast("array<long>"))))    # at most k rows a query
     where = index.select(F.explode("ids").alias("vec_id"), "cell").join(F.broadcast(real), "vec_id")
     cells_of: dict[int, list[int]] = {}
     for r in where.select("query_id", "cell").collect():
@@ -216,13 +226,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, key: str = "vec_id"
         for b in batches:
             u = _units(b.column("vector"), dim)
             d1, d2 = _distances(u[:, :half], c1), _distances(u[:, half:], c2)
-            found = [walk(d1[i], d2[i], held, probe, cells) for i in range(len(u))]
-            at = np.repeat(np.arange(len(u)), [len(f) for f in found])
+            who, where, what = [], [], []
+            for i in range(len(u)):
+                passed: dict[int, list[int]] = {}
+                for x in walk(d1[i], d2[i], held, probe, cells):
+                    passed.setdefault(int(area[x]), []).append(x)
+                who += [i] * len(passed)
+                where += passed
+                what += passed.values()
+            at = pa.array(who, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("query_id").take(pa.array(at)), b.column("vector").take(pa.array(at)),
-                 pa.array(np.array([x for f in found for x in f], np.int64))], ["query_id", "vector", "cell"])
+                [b.column("query_id").take(at), b.column("vector").take(at), pa.array(where, pa.int64()),
+                 pa.array(what, pa.list_(pa.int64()))], ["query_id", "vector", "area", "cells"])
 
-    return nearest(index, pin(queries.mapInArrow(probes, f"query_id long, vector {kind}, cell long")))
+    return nearest(index, pin(queries.mapInArrow(probes, f"query_id long, vector {kind}, area long, cells array<long>")))
 
 
 def oracle_sql(every: int = 50, k: int = K) -> str:
