@@ -1,13 +1,15 @@
 """Mixing sources to target weights.
 
-The documents of a source are permuted by a seeded hash and cut into blocks of
-about ``block_words`` words; a source's target is met by whole passes over its
-blocks and one partial pass.  A splitting tree deals the block quotas to the
-output shards: every node draws the left half's quotas from the multivariate
-hypergeometric distribution (source after source, each conditional on those
-before), down to single shards.  A shard then holds a range of each source's
-permuted block sequence - ranges of different shards are disjoint - and its
-documents are shuffled locally.
+The documents of a source are permuted by a seeded hash and cut into blocks;
+a source's target is met by whole passes over its blocks and one partial pass.
+A splitting tree deals the block quotas to the output shards: every node draws
+the left half's quotas from the multivariate hypergeometric distribution
+(source after source, each conditional on those before), down to single shards.
+A shard then holds a range of each source's permuted block sequence - ranges of
+different shards are disjoint - and its documents are shuffled locally.
+
+A mix has a shard per ``shard_words`` words, at least ``min_shards``, and about
+``SHARD_BLOCKS`` blocks a shard, so the tree splits tables of any size.
 
 Everything is DataFrame code.  Data that is joined by broadcast: one row per
 source (the weight table of the mix), and the block table if it was counted
@@ -34,6 +36,9 @@ WEIGHTS = (1, 2, 3)      # repeating, over the sources in code-point order
 CAP = 3                  # a source is passed over three times at most
 BLOCK_WORDS = 1 << 16
 SHARD_WORDS = 1 << 22
+SHARD_BLOCKS = SHARD_WORDS // BLOCK_WORDS
+MIN_SHARDS = 16
+MAX_PARTITIONS = 1 << 15   # beyond, a partition holds several shards in a row
 SEED = "mix-1"
 
 _HASH_BITS = 60
@@ -149,16 +154,32 @@ def shard_quotas(quotas: DataFrame, shards: int, seed: str = SEED) -> DataFrame:
     return node.select(F.col("lo").alias("shard"), F.posexplode("q").alias("rank", "quota"))
 
 
-def mix(docs: DataFrame, text: str = "text", weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED,
-        block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+def mix(docs: DataFrame, *args, **options) -> DataFrame:
     """``docs`` (with ``doc_id`` and ``source``) plus ``mix_size``,
     ``mix_source_size``, ``mix_target`` and ``mix_draws``: an array with one
-    (epoch, shard) for every time the mix takes the document."""
+    (epoch, shard) for every time the mix takes the document.  Arguments are
+    those of :func:`dealt`."""
+    return dealt(docs, *args, **options)[0]
+
+
+def mixed_corpus(docs: DataFrame, *args, **options) -> DataFrame:
+    """The mixed corpus itself (see :func:`shuffled`).  Arguments are those of
+    :func:`dealt`."""
+    return shuffled(*dealt(docs, *args, **options))
+
+
+def dealt(docs: DataFrame, text: str = "text", weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED,
+          block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS,
+          min_shards: int = MIN_SHARDS) -> tuple[DataFrame, int]:
+    """The rows of :func:`mix` and the number of shards they are dealt to."""
     base = packed(docs, _id=F.col("doc_id"), _source=F.col("source"), mix_size=F.size(words(F.col(text))).cast("long"))
     base = base.withColumn("_h", order_hash(seed, F.col("_id"), F.col("mix_size")))
     slim = pin(base.groupBy("_source", "_h").agg(F.sum("mix_size").alias("words")))
 
     src = targets(slim.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("source_size")), weights, cap)
+    total = src.agg(F.sum("source_size")).first()[0] or 0
+    shards = max(min_shards, math.ceil(total / shard_words))
+    block_words = max(1, min(block_words, math.ceil(total / (shards * SHARD_BLOCKS))))
     src = (src.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
                           .otherwise(F.lit(0)).cast("long"))
            .withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
@@ -187,10 +208,8 @@ def mix(docs: DataFrame, text: str = "text", weights: Sequence[int] = WEIGHTS, c
 
     partial = F.when(F.col("cut_hash").isNull(), F.col("cut_block")).otherwise(F.col("cut_block") + 1)
     quota = src.select("rank", "n_blocks", (F.col("passes") * F.col("n_blocks") + F.coalesce(partial, F.lit(0))).alias("quota"))
-    total = src.agg(F.sum("source_size")).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_words))
-    dealt = prefix_sums(shard_quotas(quota, shards, seed), ["rank"], "shard", "quota", "first").where("quota > 0")
-    draws = (dealt.select("rank", "shard", F.explode(F.sequence("first", F.col("first") + F.col("quota") - 1)).alias("d"))
+    ranges = prefix_sums(shard_quotas(quota, shards, seed), ["rank"], "shard", "quota", "first").where("quota > 0")
+    draws = (ranges.select("rank", "shard", F.explode(F.sequence("first", F.col("first") + F.col("quota") - 1)).alias("d"))
              .join(small(quota), "rank")
              .select("rank", "shard", F.expr("d div n_blocks").alias("epoch"), F.expr("d % n_blocks").alias("block"))
              .groupBy("rank", "block")
@@ -202,17 +221,25 @@ def mix(docs: DataFrame, text: str = "text", weights: Sequence[int] = WEIGHTS, c
     picked = F.coalesce(F.filter("draws", lambda x: F.coalesce(whole(x), F.lit(False))),
                         F.array().cast("array<struct<epoch:int,shard:int>>"))
     return unpacked(d, docs.columns, "mix_size", F.col("source_size").alias("mix_source_size"),
-                    F.col("target").alias("mix_target"), picked.alias("mix_draws"))
+                    F.col("target").alias("mix_target"), picked.alias("mix_draws")), shards
 
 
-def shuffled(mixed: DataFrame, seed: str = SEED) -> DataFrame:
+def shuffled(mixed: DataFrame, shards: int | None = None, seed: str = SEED) -> DataFrame:
     """The mixed corpus itself: one row per taken copy with its ``mix_shard``,
-    the rows of a shard together and shuffled by a seeded hash."""
+    the rows of a shard together and shuffled by a seeded hash.  A partition
+    holds one shard, or a run of them beyond ``MAX_PARTITIONS``; where the
+    number of ``shards`` is not given, a pass over ``mixed`` finds it."""
+    if shards is None:
+        last = mixed.agg(F.max(F.array_max("mix_draws.shard"))).first()[0]
+        shards = 1 if last is None else last + 1
+    parts = min(shards, MAX_PARTITIONS)
     plain = mixed.drop("mix_draws", "mix_size", "mix_source_size", "mix_target")
     d = packed(mixed.select(*plain.columns, "mix_draws"), _id=F.col("doc_id"), _draw=F.explode("mix_draws"))
     d = d.withColumn("mix_shard", F.col("_draw.shard")).withColumn(
         "_k", F.xxhash64(F.lit(seed), "mix_shard", "_draw.epoch", "_id"))
-    return unpacked(d.repartition("mix_shard").sortWithinPartitions("mix_shard", "_k"), plain.columns, "mix_shard")
+    place = F.floor(F.col("mix_shard").cast("long") * parts / shards).cast("int")
+    d = d.repartitionById(parts, place).sortWithinPartitions("mix_shard", "_k")
+    return unpacked(d, plain.columns, "mix_shard")
 
 
 def oracle_sql() -> str:

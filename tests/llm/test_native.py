@@ -1,10 +1,14 @@
 """Quality rules, source mix, sharding, license scans: DataFrame code only."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
+from math import ceil, comb
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from rivalry.llm import common, licenses, mixing, quality_rules, sharding
@@ -82,6 +86,116 @@ def test_mix_shards(spark, folder):
     assert key(out) == key(again)
 
 
+def plain_tree(quota, shards, seed):
+    """The splitting tree in whole numbers and fractions: shard -> quotas."""
+    out = {}
+
+    def uniform(*parts):
+        h = 42
+        for p in parts:
+            h = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else p.to_bytes(4, "little"), seed=h)
+        return (Fraction(h % (1 << 52)) + Fraction(1, 2)) / (1 << 52)
+
+    def draw(u, n_pop, good, n):
+        if not n or not good:
+            return 0
+        low, high = max(0, n + good - n_pop), min(n, good)
+        mode = min(high, max(low, (n + 1) * (good + 1) // (n_pop + 2)))
+        goal = u * comb(n_pop, n)
+        for k in [*range(mode, high + 1), *range(mode - 1, low - 1, -1)]:
+            goal -= comb(good, k) * comb(n_pop - good, n - k)
+            if goal <= 0:
+                return k
+
+    def split(lo, hi, q):
+        if hi - lo == 1:
+            out[lo] = q
+            return
+        mid, n, left = (lo + hi) // 2, sum(q), []
+        half = n * (mid - lo) // (hi - lo)
+        for i, x in enumerate(q):
+            left.append(draw(uniform(seed, lo, hi, i), n, x, half))
+            n, half = n - x, half - left[-1]
+        split(lo, mid, left)
+        split(mid, hi, [a - b for a, b in zip(q, left)])
+
+    split(0, shards, quota)
+    return out
+
+
+def plain_mix(rows, seed=mixing.SEED):
+    """(doc_id, size, source) -> [(epoch, shard)] by row, all settings those
+    of a small table: 16 shards of 64 blocks."""
+    hashed = [(int(hashlib.md5(f"{seed}|{'-' if i is None else i}|{n}".encode()).hexdigest()[:15], 16), n, s)
+              for i, n, s in rows]
+    size = Counter()
+    for _, n, s in hashed:
+        size[s] += n
+    sources = sorted(size, key=lambda s: (s is None, s or ""))
+    total, held, level = sum(size.values()), set(), 0
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(sources)}
+    while True:
+        free = [s for s in sources if s not in held]
+        level = Fraction(total - sum(3 * size[s] for s in held), sum(weight[s] for s in free) or 1)
+        over = {s for s in free if weight[s] * level > 3 * size[s]}
+        if not over:
+            break
+        held |= over
+    block_words = ceil(total / (16 * 64))
+    quota, take = [], {}
+    for s in sources:
+        target = 3 * size[s] if s in held else weight[s] * level
+        blocks = max(1, ceil(Fraction(size[s], block_words)))
+        passes, rest = divmod(target, size[s]) if size[s] else (0, 0)
+        block = lambda h: (h >> 28) * blocks >> 32
+        before, last = 0, None
+        sizes = Counter()
+        for h, n, x in hashed:
+            sizes[h] += n if x == s else 0
+        for h in sorted({h for h, n, x in hashed if x == s}):
+            if before + Fraction(sizes[h], 2) < rest:
+                last = h
+            before += sizes[h]
+        filled = Counter()
+        for h, n, x in hashed:
+            if x == s:
+                filled[block(h)] += n
+        start, cut = 0, None
+        for b in sorted(filled):
+            if start < rest <= start + filled[b]:
+                cut = b
+            start += filled[b]
+        inside = cut is not None and last is not None and block(last) == cut
+        quota.append(int(passes) * blocks + (0 if cut is None else cut + inside))
+        take[s] = (block, blocks, passes, rest, last)
+    shards = plain_tree(quota, 16, seed)
+    owner = [[k for k in range(16) for _ in range(shards[k][i])] for i in range(len(sources))]
+    out = []
+    for h, n, s in hashed:
+        block, blocks, passes, rest, last = take[s]
+        own = owner[sources.index(s)]
+        epochs = range(int(passes) + (rest > 0 and last is not None and h <= last))
+        out.append([(e, own[e * blocks + block(h)]) for e in epochs])
+    return out, shards
+
+
+def test_mix_draws_against_a_plain_tree(spark, folder):
+    """Production parameters: every epoch and shard of every document."""
+    rows = [(r[0], len([w for w in SPACE.split(r[1] or "") if w]), r[3]) for r in data.rows()]
+    plain, shards = plain_mix(rows)
+    used = {shard for draws in plain for _, shard in draws}
+    assert len(used) > 8 and max(map(sum, shards.values())) - min(map(sum, shards.values())) <= 5
+    got = sorted(((r.doc_id, r.mix_size, r.source, [tuple(x) for x in r.mix_draws])
+                  for r in mixing.mix(docs(spark, folder)).collect()), key=repr)
+    assert got == sorted(((*r, d) for r, d in zip(rows, plain)), key=repr)
+
+
+def test_a_shard_is_a_partition(spark, folder):
+    out = mixing.mixed_corpus(docs(spark, folder))
+    place = out.select("mix_shard", F.spark_partition_id().alias("p")).distinct().collect()
+    assert out.rdd.getNumPartitions() == 16 and all(r.mix_shard == r.p for r in place)
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(data.table(spark, [])).count() == 0
     nothing = mixing.mix(data.table(spark, [r for r in data.rows() if r[0] in (200, 201)])).collect()
@@ -101,7 +215,6 @@ def test_splitting_tree_is_exact(spark):
 
 def test_hypergeometric_draws(spark):
     """Against the distribution function in whole numbers."""
-    from math import comb
     n_pop, good, n = 30, 11, 9
     u = [(i + 0.5) / 400 for i in range(400)]
     d = spark.createDataFrame([(x,) for x in u], "u double").select(
