@@ -258,6 +258,10 @@ def fit_svc(train: DataFrame, cs: Sequence[float] = SVC_CS, gammas: Sequence[flo
     return Calibrated(search, slope, offset)
 
 
+#: What a finished search may be; each has points, metrics and a best point.
+SEARCHES = (Search, Calibrated, boosting.BoostSearch)
+
+
 def grid_report(search: Search | Calibrated | boosting.BoostSearch) -> DataFrame:
     """(params, metric, is_best) per grid point of a finished search: the grid
     is small, so its rows are built on the driver."""

@@ -47,7 +47,7 @@ def run_tournament(spark: SparkSession, seeds: str, contests: str, targets: str,
     family, kw = MODEL_ARGS[model]
     sub, fitted = tournament_predictions(_tournament(spark, seeds, contests, targets, seasons, fmt), family, **kw)
     files.write_submission(sub, out)
-    if report and isinstance(fitted, models.Search):
+    if report and isinstance(fitted, models.SEARCHES):
         return models.grid_report(fitted)
     return None
 

@@ -8,8 +8,8 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 
-TABLES = ["lineitem", "orders", "supplier", "nation", "region", "customer", "part", "documents", "embeddings", "labels",
-          "pages"]
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+          "conversations").split()
 SQL = E.oracle_sql()
 
 
