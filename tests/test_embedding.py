@@ -121,3 +121,27 @@ def test_patience(spark):
     assert len(model.history) == E.LAPS                  # looked at after a job
     model = E.fit(frame(spark, planted(50, 1)), 24, S, epochs=50, patience=2, tol=10.0, blocks=2)
     assert len(model.history) == 3
+
+
+def test_blocks_follow_memory_and_rows(spark):
+    """Every turn is a job: some thousand members with few rows are one block
+    (there were three), many rows are cut into more."""
+    rows = [(i, 2999 - i, i % 2) for i in range(0, 3000, 7)]
+    model = E.fit(frame(spark, rows), 3000, S, epochs=1, patience=None)
+    assert model.blocks == 1 and model.side(0).count() == 3000
+
+
+def test_more_rows_more_blocks(spark, monkeypatch):
+    monkeypatch.setattr(E, "STRATUM_ROWS", 100)
+    rows = planted(500, 4)
+    model = E.fit(frame(spark, rows), 24, S, epochs=2, patience=None)
+    assert model.blocks == 4 and len(model.history) == 2          # 1,000 rows: 16 strata of about 100
+    assert sorted(r.idx for r in model.side(1).collect()) == list(range(24))
+
+
+def test_repeated_members_of_a_batch_are_summed():
+    a = np.array([3, 1, 3, 3, 0])
+    ua, place, by = E._members(a)
+    assert ua.tolist() == [0, 1, 3] and ua[place].tolist() == a.tolist()
+    d, rows = np.array([1.0, 2, 3, 4, 5]), np.arange(10.0).reshape(5, 2)
+    assert np.allclose(E._summed(d, rows, by), [5 * rows[4], 2 * rows[1], rows[0] + 3 * rows[2] + 4 * rows[3]])
