@@ -45,3 +45,24 @@ def test_min_max_and_profile(spark):
     assert mm == {"x": (1.0, 3.0), "y": (2.0, 2.0)}
     prof = {r.column: (r.rows, r.non_null, r.dtype) for r in null_profile(df).collect()}
     assert prof == {"x": (2, 2, "int"), "y": (2, 1, "double"), "z": (2, 1, "string")}
+
+
+def test_large_groups_and_small_ones(spark, monkeypatch):
+    """Groups gathered and groups ranked give the same medians, NULL keys too;
+    without a large bucket the rows are not ranked."""
+    from pyspark.sql import functions as F
+
+    from rivalry.operators import stats
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, 0, 0, 0, 1, 2, 3]), rnd.choice(["a", None]), rnd.choice([None, rnd.random(), 1.0])) for _ in range(400)]
+    df = spark.createDataFrame(rows, "g int, h string, x double")
+    asked, plain = [], stats._ranked_medians
+    monkeypatch.setattr(stats, "_ranked_medians", lambda *a: asked.append(1) or plain(*a))
+    small = group_medians(df, ["g", "h"], ["x"])
+    assert not asked
+    monkeypatch.setattr(stats, "LARGE_BUCKET", 60)
+    both = group_medians(df, ["g", "h"], ["x"])
+    assert asked
+    found = [{(r.g, r.h): r.x for r in d.collect()} for d in (small, both, plain(df, ["g", "h"], ["x"]))]
+    assert found[0] == found[1] == found[2] and len(found[0]) == df.select("g", "h").distinct().count()
+    assert df.where(F.col("g") == 0).count() > 120
