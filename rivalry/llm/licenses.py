@@ -11,8 +11,8 @@ Two window classes cover templates of all lengths: long ones (from
 ``LONG`` shingles) by windows of 16 shingles, of which every passage of a long
 template holds a whole one at each start; short ones by windows of a single
 shingle, where the signature is the shingle itself and nothing is missed.
-A template of fewer words than a shingle is matched as its whole word
-sequence, one without a word is refused.  A template may name a passage that a
+A template of fewer words than a shingle is retrieved and matched as its whole
+word sequence, one without a word is refused.  A template may name a passage that a
 document must hold whole, such as the version (``NOTICES``).
 The bands are independent: each takes its minimum by half of a seeded 64-bit
 hash of the shingle (:func:`_with_bands`), so windows of similarity s miss
@@ -197,6 +197,12 @@ def _sequences(w: Column, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", *[w[i + j] for j in range(n)])))
 
 
+def _run_hashes(w: Column, n: int) -> Column:
+    """Hash of every sequence of ``n`` words, in order."""
+    starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(*[w[i + j] for j in range(n)]))
+
+
 def scan(docs: DataFrame, templates: Sequence[tuple[str, ...]] = TEMPLATES, text: str = "text",
          key: str = "doc_id") -> DataFrame:
     """(doc_id, license, n_shared, n_shingles): the templates of which a
@@ -210,10 +216,17 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, ...]] = TEMPLATES, text
     long_ = F.size("shingles") >= LONG
     short_index = t.where(~long_).select("license", F.explode("hashes").alias("value")).distinct()
     long_index = _template_signatures(t.where(long_))
+    # shorter templates are retrieved by the hash of their whole word sequence
+    lengths = sorted({n for _, n in words if n < SHINGLE})
+    brief = every.where(F.size("w") < SHINGLE)
+    for n in lengths:
+        own = brief.where(F.size("w") == n).select("license", F.explode(_run_hashes(F.col("w"), n)).alias("value"))
+        short_index = short_index.unionByName(own)
 
     d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    h = computed(computed(d, ["doc_id", "th"], w=_tokens(F.col("text"))), ["doc_id", "th"], hashes=hashes(F.col("w")))
-    found = (h.select("doc_id", "th", F.explode("hashes").alias("value")).join(small(pin(short_index)), "value")
+    h = computed(computed(d, ["doc_id", "th"], w=_tokens(F.col("text"))), ["doc_id", "th"], hashes=hashes(F.col("w")),
+                 runs=F.concat(F.array().cast("array<bigint>"), *[_run_hashes(F.col("w"), n) for n in lengths]))
+    found = (h.select("doc_id", "th", F.explode(F.concat("hashes", "runs")).alias("value")).join(small(pin(short_index)), "value")
              .select("doc_id", "th", "license"))
     found = found.unionByName(_text_signatures(h, ["doc_id", "th"]).join(small(pin(long_index)), ["band", "value"])
                               .select("doc_id", "th", "license"))
@@ -224,20 +237,20 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, ...]] = TEMPLATES, text
     c = pin(found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "licenses"))
     seen = d.join(small(c), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
     seen = computed(seen, ["doc_id", "th", "licenses"], w=_tokens(F.col("text")))
-    own = computed(seen, ["doc_id", "th", "licenses"], own=F.array_distinct(shingles(F.col("w"))))
+    own = computed(seen, ["doc_id", "th", "licenses"], own=F.array_distinct(shingles(F.col("w"))),
+                   runs=F.concat(F.array().cast("array<string>"), *[_sequences(F.col("w"), n) for n in lengths]))
     pairs = own.select("doc_id", "th", "own", F.explode("licenses").alias("license")).join(
         F.broadcast(t.select("license", "shingles", "must")), "license")
     pairs = pairs.where(F.size(F.array_except("must", "own")) == 0)
     pairs = computed(pairs, ["doc_id", "th", "license", F.size("shingles").cast("long").alias("n_shingles")],
                      n_shared=F.size(F.array_intersect("shingles", "own")).cast("long"))
     whole = pairs.where(F.col("n_shared") >= F.lit(CONTAINMENT) * F.col("n_shingles"))
-    if lengths := sorted({n for _, n in words if n < SHINGLE}):
-        brief = every.where(F.size("w") < SHINGLE).select("license", F.concat_ws(" ", "w").alias("value"))
-        runs = computed(computed(d, ["doc_id", "th"], w=_tokens(F.col("text"))), ["doc_id", "th"],
-                        runs=F.concat(*[_sequences(F.col("w"), n) for n in lengths]))
+    if lengths:
         one = F.lit(1).cast("long")
         whole = whole.unionByName(
-            runs.select("doc_id", "th", F.explode("runs").alias("value")).join(small(pin(brief)), "value")
+            own.select("doc_id", "th", "runs", F.explode("licenses").alias("license"))
+            .join(F.broadcast(brief.select("license", F.concat_ws(" ", "w").alias("value"))), "license")
+            .where(F.array_contains("runs", F.col("value")))
             .select("doc_id", "th", "license", one.alias("n_shingles"), one.alias("n_shared")))
     return whole.distinct().select("doc_id", "license", "n_shared", "n_shingles")
 

@@ -378,3 +378,17 @@ def test_prefix_sums_and_slices(spark):
     b = [3, 10, 11, 40]
     s = d.select("i", common.slice_of(F.col("i"), b).alias("s")).collect()
     assert all(x.s == sum(x.i >= y for y in b) for x in s)
+
+
+def test_brief_templates_take_no_pass_of_their_own(spark, tmp_path, monkeypatch):
+    """A template shorter than a shingle is retrieved with the others (the words
+    of all documents were cut once more for it)."""
+    calls, plain = [], licenses._tokens
+    monkeypatch.setattr(licenses, "_tokens", lambda text: calls.append(1) or plain(text))
+    templates = (("one", "Unlicense"), ("three", "All rights reserved."), ("long", "Permission to use this is hereby given to all"))
+    rows = [(1, "the unlicense, ALL rights reserved! unlicense"), (2, "all rights are reserved"), (3, None), (4, "unlicense"),
+            (5, "Permission to use this is hereby given to all; all rights reserved")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, licenses.scan(d, templates).collect()))
+    assert got == [(1, "one", 1, 1), (1, "three", 1, 1), (4, "one", 1, 1), (5, "long", 5, 5), (5, "three", 1, 1)]
+    assert len(calls) == 4           # templates, their passages, all documents, those retrieved
