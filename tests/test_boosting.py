@@ -243,3 +243,26 @@ def test_one_label_and_empty(spark):
     assert sure.transform(d).agg(F.min("Pred1")).first()[0] > 0.999
     none = B.fit(d.limit(0), lambda width: FIRST)
     assert none.transform(d).agg(F.max("Pred1")).first()[0] == 0.5
+
+
+def test_bins_count_the_cuts_below_and_cells_are_sent_to_the_rows(spark):
+    from bisect import bisect_left
+
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql.types import StructField, StructType
+    values = [-math.inf, -1.0, 0.0, 0.5, 0.75, 2.0, math.inf]
+    cuts = [[-1.0, 0.0, 0.0, 0.5, 1.0], [], [0.6]]
+    df = spark.createDataFrame([(Vectors.dense([a, b, a]),) for a in values for b in (0.0, 1.0)],
+                               StructType([StructField("features", VectorUDT())]))
+    got = B.with_cells(df, cuts).collect()
+    assert [r["_cell"] for r in got] == [[bisect_left(c, float(v)) for c, v in zip(cuts, r.features)] for r in got]
+    model = B.Boosted(cuts, 0.25, [])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = model.transform(df)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert scored.count() == len(got)
