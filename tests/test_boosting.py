@@ -295,3 +295,14 @@ def test_runs_of_a_task_share_their_draws(monkeypatch):
     for (a, trees, told), (b, again, right) in zip(alone, together):
         assert a == b and told == right and len(trees) == len(again)
         assert all((s.feature == t.feature).all() and (s.value == t.value).all() for s, t in zip(trees, again))
+
+
+def test_search_with_row_draws_deals_runs_to_tasks(spark):
+    d, (x, y, fold) = frame(spark, 200)
+    make = lambda p, width: B.Recipe(4, p["depth"], 0.3, bag=0.8, second_order=True, l2=1.0, min_child=p["least"], seed=5)
+    points = [{"depth": k, "least": m} for k in (2, 3) for m in (0.5, 1.0, 2.0)]       # 24 runs, 12 tasks
+    found = B.search(d, points, make)
+    cells, layout = cells_of(x, y, fold), B.Layout(BINS)
+    for p, m in zip(found.points, found.metrics):
+        right = [B.boost(cells, layout, make(p, 5), f, (4,))[2][4] / (fold == f).sum() for f in range(4)]
+        assert abs(m - sum(right) / 4) < 1e-12
