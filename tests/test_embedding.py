@@ -145,3 +145,60 @@ def test_repeated_members_of_a_batch_are_summed():
     assert ua.tolist() == [0, 1, 3] and ua[place].tolist() == a.tolist()
     d, rows = np.array([1.0, 2, 3, 4, 5]), np.arange(10.0).reshape(5, 2)
     assert np.allclose(E._summed(d, rows, by), [5 * rows[4], 2 * rows[1], rows[0] + 3 * rows[2] + 4 * rows[3]])
+
+
+def test_a_chunk_is_the_plain_steps():
+    """Rows of a chunk in fast steps against loss, gradients and Adam batch by
+    batch; member 2 of side 1 has a third of the rows."""
+    r = np.random.default_rng(5)
+    n = 70                                                  # the last batch is short
+    a = np.where(r.random(n) < 0.33, 2, r.integers(0, 9, n)).astype("<i4")
+    b, y = r.integers(0, 7, n).astype("<i4"), r.integers(0, 2, n).astype(float)
+    fast, plain = ((E.start_block(0, 0, 9, S), E.start_block(1, 0, 7, S), E.start_outer(S)) for _ in range(2))
+    for epoch in range(3):
+        order, total = E.chunk_order(S, epoch, 0, 0, n), 0.0
+        got, rows = E.train_chunk(*fast, a, b, y, S, order)
+        for i in range(0, n, S.batch):
+            at = order[i:i + S.batch]
+            loss, (ua, g1), (ub, g2), g0 = E.loss_and_gradients(*plain, a[at], b[at], y[at], S.l2)
+            total += loss * len(at)
+            for p, g, own in ((plain[0], g1, ua), (plain[1], g2, ub), (plain[2], g0, ...)):
+                E.adam(p, g, S.rate, own)
+        assert rows == n and abs(got - total) < 1e-9
+        for p, q in zip(fast, plain):
+            assert all(np.allclose(p[k], q[k], atol=1e-12) for k in q)
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_files_give_what_tables_give(spark, monkeypatch, blocks):
+    """The turns over files shuffle nothing (there was one shuffle a turn), leave
+    the last blocks and no other file, and score by block pairs."""
+    import os
+    from urllib.parse import urlparse
+    rows = planted(300, 6)
+    model = E.fit(frame(spark, rows), 24, S, epochs=4, patience=None, blocks=blocks)
+    ask = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)] + [(-1, None, 3), (-2, 3, None), (-3, None, None)],
+                                "i int, a long, b long")
+    found = {r.i: r.pred for r in model.score(ask, "a", "b").collect()}
+    assert model.score(ask, "a", "b").columns == ["i", "a", "b", "pred"]
+    left = os.listdir(urlparse(model.folder.uri).path)
+    assert sorted(x for x in left if not x.endswith(".crc")) == sorted(n for own in model.names for n in own) and len(left) == 2 * blocks
+    monkeypatch.setattr(E.Folder, "new", classmethod(lambda cls, spark: None))
+    plain = E.fit(frame(spark, rows), 24, S, epochs=4, patience=None, blocks=blocks)
+    assert plain.folder is None and np.allclose(plain.history, model.history, atol=1e-12)
+    again = {r.i: r.pred for r in plain.score(ask, "a", "b").collect()}
+    assert len(found) == 603 and found.keys() == again.keys()
+    assert all(found[i] is None and again[i] is None for i in (-1, -2, -3))
+    assert all(abs(found[i] - again[i]) < 1e-12 for i in range(600))
+
+
+def test_blocks_do_not_wait_for_slots():
+    assert E._blocks(500, 30_000, 8, True) == 1
+    assert E._blocks(60_000, 16_000_000, 8, True) == 8       # twelve blocks made two rounds of every turn
+    assert E._blocks(360_000, 98_000_000, 8, True) == 24     # 22 by members
+    assert E._blocks(60_000, 16_000_000, 8, False) == 12
+
+
+def test_no_epoch(spark):
+    model = E.fit(frame(spark, planted(20, 1)), 24, S, epochs=0, blocks=2)
+    assert model.history == [] and model.side(0).count() == 24
